@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .queries import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "coverage"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
