@@ -68,42 +68,46 @@ def offenders(spark: SparkSession, entries: DataFrame, candidates: DataFrame, de
     fid = entries.select("ordinal", "feature_id")
     e = entries
     open_ = states.where("state = 'open'").join(fid, "ordinal")
-    flagged = lambda *flags: open_.where(F.col("flag").isin(*flags))
     one = lambda check, df, *c: df.select(F.lit(check).alias("check"), F.concat(*c).alias("offender"))
     me = F.col("feature_id")
     lit = F.lit
     primary, kept = F.col("final_class").isin(PRIMARY), F.col("final_class").isin(KEPT)
     evidence = candidates.where("source <> 'metaboanalyst' and formula is not null").select("ordinal").unionByName(decisions.where("action in ('backcheck', 'isomer_guard')").select("ordinal")).distinct()
-    tags = e.select("ordinal", "feature_id", kept.alias("k"), F.explode(names.contaminant_tags(F.col("name"))).alias("tag")).withColumn("k", F.coalesce("k", lit(False)))
+    tags = e.select(kept.alias("k"), F.explode(names.contaminant_tags(F.col("name"))).alias("tag")).withColumn("k", F.coalesce("k", lit(False)))
     implied = F.coalesce(*[F.when(F.col("origin") == o, lit(c)) for o, c in CLASS_OF_ORIGIN.items()])
     severity = collide.severity(held(e), class_level(decisions))
     trivial = decisions.where("action in ('accept', 'auto_accept', 'exclude')").withColumn("r", F.lower(F.trim(F.coalesce("rationale", lit("")))))
     mams = e.where("mam is not null and relation = 'exact'").groupBy("mam").agg(F.count("*").alias("n")).where("n > 1")
     untouched = e.agg(F.count_if(F.coalesce(primary, lit(False))).alias("p"), F.count("mam").alias("m"), F.count("relation").alias("r")).where("p > 0 and m = 0 and r = 0")
     needed = spark.createDataFrame([(x,) for x in required], "path string")
+    case = lambda check, condition, *c: F.when(F.coalesce(condition, lit(False)), F.struct(lit(check).alias("check"), F.concat(*c).alias("offender")))
+    rel, conf, cls, origin = F.col("relation"), F.col("confidence"), F.col("final_class"), F.col("origin")
+    locant = F.array_contains(names.normalize(F.col("name"))["flags"], "has_digit_locant")
+    own = [  # what an entry's own row tells, in one pass
+        case("confidence_present", cls.isNotNull() & ~F.coalesce(conf.isin(TIERS), lit(False)), me),
+        case("class_confidence_consistency", primary & conf.isin("W", "X", "U"), me, lit(":"), cls, lit("/"), conf),
+        case("w_tier_not_primary", primary & (conf == "W"), me),
+        case("isomer_locant_safety", kept & (conf != "M1") & locant, me),
+        case("contaminant_consistency", kept & (F.size(names.contaminant_tags(F.col("name"))) > 0), me, lit(":kept-analysable")),
+        case("origin_coherence", (cls == "exogenous") & origin.isNull(), me, lit(":exogenous-untagged")),
+        case("origin_coherence", ~origin.isin(ORIGINS), me, lit(":invalid-origin["), origin, lit("]")),
+        case("origin_coherence", implied != cls, me, lit(":"), origin, lit("->"), implied, lit("!="), cls),
+        case("gem_resolution_recorded", (primary | (cls == "exogenous")) & (F.coalesce(rel, lit("id-gap")) == "id-gap"), me, F.when(rel.isNull(), ":no-relation").otherwise(":id-gap-unresolved")),
+        case("gem_surrogate_documented", rel.isin("isomer-surrogate", "class-proxy") & (F.length(F.trim("rationale")) < 20), me, lit(":"), rel, lit("-undocumented")),
+        case("no_pending", F.coalesce(cls, lit("")) == "", me),
+    ]
+    of_flag = {"id_name_conflict": "id_name_conflicts", "isomer_token_conflict": "id_name_conflicts", "hmdb_backfill_conflict": "hmdb_backfill_conflicts", "auto_accept_review": "flagged_auto_accepts_reviewed", "id_gap_try_generic_kegg": "id_gap_generic_kegg"}
+    check_of = F.coalesce(*[F.when(F.col("flag") == f, lit(c)) for f, c in of_flag.items()])
     parts = [
+        e.select(F.explode(F.array_compact(F.array(*own))).alias("x")).select("x.check", "x.offender"),
+        open_.where(F.col("flag").isin(list(of_flag))).select(check_of.alias("check"), F.concat(me, F.when(check_of == "id_name_conflicts", F.concat(lit(":"), F.col("flag"))).otherwise("")).alias("offender")),
         one("anti_fabrication", resolve.fabricated(held(e).select("ordinal", "db", "id"), candidates).join(fid, "ordinal"), me, lit(":"), "db", lit("="), "id"),
-        one("confidence_present", e.where(F.col("final_class").isNotNull() & ~F.coalesce(F.col("confidence").isin(TIERS), lit(False))), me),
-        one("class_confidence_consistency", e.where(primary & F.col("confidence").isin("W", "X", "U")), me, lit(":"), "final_class", lit("/"), "confidence"),
-        one("w_tier_not_primary", e.where(primary & (F.col("confidence") == "W")), me),
-        one("verify_before_fuzzy", e.where(F.col("final_class").isNotNull() & F.col("confidence").isin(FUZZY)).join(evidence, "ordinal", "left_anti"), me),
-        one("isomer_locant_safety", e.where(kept & F.col("confidence").isNotNull() & (F.col("confidence") != "M1") & F.array_contains(names.normalize(F.col("name"))["flags"], "has_digit_locant")), me),
+        one("verify_before_fuzzy", e.where(cls.isNotNull() & conf.isin(FUZZY)).join(evidence, "ordinal", "left_anti"), me),
         one("id_backcheck", resolve.indirect_unchecked(e, candidates, decisions), me, lit(":kegg="), "id"),
-        one("id_name_conflicts", flagged("id_name_conflict", "isomer_token_conflict"), me, lit(":"), "flag"),
         one("id_collisions", severity.where("severity = 'collision'"), "db", lit(":"), "id"),
-        one("hmdb_backfill_conflicts", flagged("hmdb_backfill_conflict"), me),
-        one("contaminant_consistency", tags.where("k").select("feature_id").distinct(), me, lit(":kept-analysable")),
         one("contaminant_consistency", tags.groupBy("tag").agg(F.bool_or("k").alias("a"), F.bool_or(~F.col("k")).alias("b")).where("a and b"), lit("class["), "tag", lit("]:excluded+kept")),
-        one("origin_coherence", e.where("final_class = 'exogenous' and origin is null"), me, lit(":exogenous-untagged")),
-        one("origin_coherence", e.where(F.col("origin").isNotNull() & ~F.col("origin").isin(ORIGINS)), me, lit(":invalid-origin["), "origin", lit("]")),
-        one("origin_coherence", e.where(implied.isNotNull() & (implied != F.col("final_class"))), me, lit(":"), "origin", lit("->"), implied, lit("!="), "final_class"),
-        one("flagged_auto_accepts_reviewed", flagged("auto_accept_review"), me),
-        one("id_gap_generic_kegg", flagged("id_gap_try_generic_kegg"), me),
-        one("gem_resolution_recorded", e.where((primary | (F.col("final_class") == "exogenous")) & (F.coalesce("relation", lit("id-gap")) == "id-gap")), me, F.when(F.col("relation").isNull(), ":no-relation").otherwise(":id-gap-unresolved")),
-        one("gem_surrogate_documented", e.where(F.col("relation").isin("isomer-surrogate", "class-proxy") & (F.length(F.trim("rationale")) < 20)), me, lit(":"), "relation", lit("-undocumented")),
         one("gem_surrogate_documented", mams, "mam", lit(":exact-shared")),
         one("rationale_quality", trivial.where(F.col("r").isin(TRIVIAL_RATIONALES) | (F.length("r") < 4)).select("ordinal").distinct().join(fid, "ordinal"), me),
-        one("no_pending", e.where("coalesce(final_class, '') = ''"), me),
         one("gem_crosswalk_ran", untouched, lit("no entry was looked up in the model")),
         one("finalize_artifacts", needed.join(artifacts, "path", "left_anti"), "path"),
     ]

@@ -615,8 +615,12 @@ states AS (SELECT r.ordinal, r.flag, CASE WHEN a.flag IS NOT NULL THEN 'acknowle
  FROM raised r LEFT JOIN acked a ON a.ordinal = r.ordinal AND a.flag = r.flag LEFT JOIN holding h ON h.ordinal = r.ordinal AND h.flag = r.flag)"""
 
 
-def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, d = D.entries(spark, sf_dir), D.decisions(spark, sf_dir)
+def _ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Entries and decisions, kept by the executors while the checks read them again and again."""
+    return D.entries(spark, sf_dir).persist(), D.decisions(spark, sf_dir).drop("props", "ts").persist()
+
+
+def _states(e: DataFrame, d: DataFrame) -> DataFrame:
     flags = [*FLAGS, "old_flag"]
     raised = e.select("ordinal", F.explode(F.array(F.lit(0), F.lit(3))).alias("o")).select("ordinal", D.pick(flags, (F.col("ordinal") + F.col("o")) % len(flags)).alias("flag"))
     return audit.flag_states(raised, raised.where("ordinal % 13 = 0"), audit.conditions(e, d))
@@ -631,7 +635,7 @@ def fl1_fl8_conditions(spark, sf_dir):
 @query(_CONDITIONS + """ SELECT flag, count(*) FILTER (state = 'open') AS open, count(*) FILTER (state = 'acknowledged') AS acknowledged, count(*) FILTER (state = 'self_resolved') AS self_resolved FROM states GROUP BY flag""")
 def a5_flag_summary(spark, sf_dir):
     """A5: flags that are open, acknowledged, or closed by themselves."""
-    return audit.flag_summary(_states(spark, sf_dir))
+    return audit.flag_summary(_states(*_ledger(spark, sf_dir)))
 
 
 _REQUIRED = ["coverage.tsv", "master.tsv", "enriched_xref.tsv", "kegg_recovered.tsv"]
@@ -665,9 +669,9 @@ UNION ALL SELECT 'finalize_artifacts', p FROM (SELECT unnest(['master.tsv', 'keg
 
 
 def _offenders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, d = D.entries(spark, sf_dir), D.decisions(spark, sf_dir)
+    e, d = _ledger(spark, sf_dir)
     there = spark.createDataFrame([("coverage.tsv",), ("enriched_xref.tsv",)], "path string")
-    return audit.offenders(spark, e, D.candidates(spark, sf_dir), d, _states(spark, sf_dir), there, _REQUIRED)
+    return audit.offenders(spark, e, D.candidates(spark, sf_dir), d, _states(e, d), there, _REQUIRED)
 
 
 @query(_OFFENDERS + """ SELECT * FROM off""")
@@ -682,7 +686,7 @@ ck AS (SELECT lv."check", CASE WHEN n IS NULL THEN 'pass' ELSE on_hit END AS lev
 
 
 def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _offenders(spark, sf_dir)
+    found = _offenders(spark, sf_dir).persist()
     current = audit.audit(spark, found.where("check = 'no_pending'"), spark.createDataFrame([], "check string, fingerprint string")).where("check = 'no_pending'").select("check", "fingerprint")
     return audit.audit(spark, found, current)
 
@@ -723,9 +727,9 @@ def f19_f20_verdicts(spark, sf_dir):
 def f22_best_verdict(spark, sf_dir):
     """the verdict over all names of a record."""
     rows = [("LysoPC(16:0)", ["1-Acyl-sn-glycero-3-phosphocholine", "LysoPC(16:0/0:0)"]), ("15-HETE", ["15-HETE", "5,15-DiHETE"]), ("Taurochenodeoxycholic acid", ["Urocortisol"]), ("nothing", [])]
-    r = spark.createDataFrame(rows, "query string, names array<string>").withColumn("a", verdict.features(F.col("query")))
-    v = F.transform("names", lambda n: verdict.compare(F.col("a"), verdict.features(n))["verdict"])
-    return r.select("query", verdict.best_of(v).alias("verdict"))
+    r = spark.createDataFrame(rows, "query string, names array<string>").select("query", F.explode_outer("names").alias("name"))
+    r = r.withColumn("a", verdict.features(F.col("query"))).withColumn("b", verdict.features(F.col("name"))).withColumn("v", F.when(F.col("name").isNotNull(), verdict.compare(F.col("a"), F.col("b"))["verdict"]))
+    return r.groupBy("query").agg(verdict.best_of(F.collect_set("v")).alias("verdict"))
 
 
 @query()
