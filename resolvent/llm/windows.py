@@ -2,12 +2,13 @@
 
 First pass. A window of 13 words is represented by one of its 5-word shingles, the one of least
 hash, which every occurrence of the window chooses alike and which neighbouring windows share. Each
-partition counts the chosen shingles in a count-min sketch; the merged sketches never count less
+partition counts the documents of its chosen shingles in a count-min sketch; the merged sketches never count less
 than there are, so they overestimate the count of every window, and one bit a cell (two or more) is
 what the second pass needs. The merged sketch has a fixed size, however large the corpus: where it
 fills up, it lets more through, but loses none.
 
-Second pass. Only runs of windows whose shingle is estimated to repeat are written, one row a run.
+Second pass. Only runs of windows whose shingle is estimated to be in several documents are written,
+one row for each different run of a document.
 Equal runs are grouped first; single windows are compared only where one shingle has runs of
 different words. A run or window of equal words is found by two independent 64-bit hashes, that of
 its shingle and that of all its words.
@@ -17,13 +18,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +37,11 @@ _PARTS = 1 << (CELLS - PART)
 
 
 class Runs:
-    """The runs of windows of one text that chose the same shingle."""
+    """The runs of windows of one text that chose the same shingle.
+
+    Shingles are hashed from running sums over the bytes, in numpy; hash() reads the bytes of a
+    run or window themselves.
+    """
 
     def __init__(self, text: str | None):
         words = (text or "").encode("utf-8", "surrogatepass").split()
@@ -46,19 +50,45 @@ class Runs:
         if self.n < WINDOW:
             return
         self.joined = b" ".join(words)
-        self.ends = [x - 1 for x in accumulate([len(w) + 1 for w in words])]
-        self.starts = [0, *[x + 1 for x in self.ends[:-1]]]
-        digest, joined = xxhash.xxh64_digest, self.joined
-        h = np.frombuffer(b"".join([digest(joined[s:e]) for s, e in zip(self.starts, self.ends[SHINGLE - 1 :])]), ">u8").astype(np.uint64)
-        chosen = sliding_window_view(h, RUN).argmin(axis=1) + np.arange(self.n - WINDOW + 1)
-        self.start = np.flatnonzero(np.diff(chosen, prepend=-1))
+        b = np.frombuffer(self.joined, np.uint8)
+        gap = np.flatnonzero(b == 32)
+        self.starts = np.concatenate([[0], gap + 1])
+        self.ends = np.append(gap, len(b))
+        up, down = _powers(len(b) + 1)
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_OF_BYTE[b] * up[: len(b)], out=sums[1:])
+        first, last = self.starts[: self.n - SHINGLE + 1], self.ends[SHINGLE - 1 :]
+        h = (sums[last] - sums[first]) * down[first]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        key = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
+        two = np.minimum(key[:-1], key[1:])
+        four = np.minimum(two[:-2], two[2:])
+        eight = np.minimum(four[:-4], four[4:])
+        chosen = np.minimum(eight[:-1], key[RUN - 1 :]) & _PLACE
+        self.start = np.flatnonzero(np.diff(chosen.astype(np.int64), prepend=-1))
         self.count = np.diff(self.start, append=len(chosen))
-        self.shingle = h[chosen[self.start]]
+        self.shingle = h[chosen[self.start].astype(np.int64)]
 
     def hash(self, first: int, windows: int) -> int:
         return xxhash.xxh3_64_intdigest(self.joined[self.starts[first] : self.ends[first + windows + WINDOW - 2]])
 
 
+_OF_BYTE = np.random.default_rng(13).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACE = np.uint64((1 << 28) - 1)
+_BASE = 0x9E3779B97F4A7C15
+_HELD: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, n of each at least."""
+    if not _HELD or len(_HELD[0]) < n:
+        size = max(n, 1 << 17)
+        _HELD[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, x, np.uint64), dtype=np.uint64)]) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _HELD[0], _HELD[1]
+
+
 def cells(shingle: np.ndarray) -> list[np.ndarray]:
     """The cell in each row of the sketch; the rows are numbered through."""
     mixed = (shingle ^ (shingle >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -85,7 +115,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for t in b.column("text").to_pylist():
-            if len(s := Runs(t).shingle):
+            if len(s := np.unique(Runs(t).shingle)):  # once a document: a text's own repeats don't count
                 held.append(s)
                 n += len(s)
         if n > 2_000_000:
@@ -126,31 +156,50 @@ def estimated_repeated(bits: np.ndarray, shingle: np.ndarray) -> np.ndarray:
 
 
 _WINS = [f"w{k}" for k in range(RUN)]
-_RUN_SCHEMA = "shingle long, words long, doc_id long, text_hash long, start int, n int, " + ", ".join(f"{w} long" for w in _WINS)
+_RUN_SCHEMA = "shingle long, words long, doc_id long, text_hash long, n int, starts array<int>, " + ", ".join(f"{w} long" for w in _WINS)
 
 
 def _suspect(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """The different runs of each text that may repeat; the hashes of their windows where there is more than one."""
     bits = shared.value
     for b in batches:
         found: list[list] = [[] for _ in range(6 + RUN)]
         for key, text_hash, t in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), b.column("text").to_pylist()):
             r = Runs(t)
-            for k in np.flatnonzero(estimated_repeated(bits, r.shingle)).tolist() if len(r.shingle) else ():
+            if not len(r.shingle):
+                continue
+            own: dict[tuple[int, int], list[int]] = {}
+            for k in np.flatnonzero(estimated_repeated(bits, r.shingle)).tolist():
                 s, n = int(r.start[k]), int(r.count[k])
-                values = [int(r.shingle[k]), r.hash(s, n), key, text_hash, s, n, *[r.hash(s + i, 1) for i in range(n)], *[None] * (RUN - n)]
-                for column, v in zip(found, values):
+                at = own.setdefault((int(r.shingle[k]), r.hash(s, n)), [])
+                if not at:
+                    at.append(n)
+                at.append(s)
+            for (shingle, words), (n, *starts) in own.items():
+                wins = [r.hash(starts[0] + i, 1) for i in range(n)] if n > 1 else []
+                for column, v in zip(found, [shingle, words, key, text_hash, n, starts, *wins, *[None] * (RUN - len(wins))]):
                     column.append(v)
-        signed = {0, 1, *range(6, 6 + RUN)}
-        arrays = [pa.array(c, pa.uint64()).view(pa.int64()) if k in signed else pa.array(c, pa.int32() if k in (4, 5) else pa.int64()) for k, c in enumerate(found)]
-        yield pa.RecordBatch.from_arrays(arrays, names=["shingle", "words", "doc_id", "text_hash", "start", "n", *_WINS])
+        kinds = [None, None, pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), *[None] * RUN]
+        arrays = [pa.array(c, pa.uint64()).view(pa.int64()) if k is None else pa.array(c, k) for c, k in zip(found, kinds)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["shingle", "words", "doc_id", "text_hash", "n", "starts", *_WINS])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, for the way through the shuffle."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for b in batches:
+        data = [None if t is None else pack(t.encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(data, pa.binary()), b.column("r_id"), b.column("r_hash")], names=["row", "packed", "r_id", "r_hash"])
 
 
 def _judged(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
     """Applies marks (start << 16 | windows as bits) to texts: counts, and the kept words or their hash."""
+    unpack = zstandard.ZstdDecompressor().decompress
     for b in batches:
         n, gone, kept = [], [], []
-        for t, found in zip(b.column("text").to_pylist(), b.column("marks").to_pylist()):
-            words = (t or "").encode("utf-8", "surrogatepass").split()
+        for packed, found in zip(b.column("packed").to_pylist(), b.column("marks").to_pylist()):
+            data = None if packed is None else unpack(packed)
+            words = (data or b"").split()
             n.append(len(words))
             if found:
                 m = np.array(found, np.int64)
@@ -162,7 +211,7 @@ def _judged(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.Reco
                 stay = np.cumsum(delta[:-1]) == 0
                 words = [w for w, s in zip(words, stay.tolist()) if s]
             gone.append(n[-1] - len(words))
-            kept.append(hashlib.sha256(b" ".join(words)).hexdigest() if digest else b" ".join(words).decode("utf-8", "replace") if gone[-1] else t)
+            kept.append(hashlib.sha256(b" ".join(words)).hexdigest() if digest else b" ".join(words).decode("utf-8", "replace") if gone[-1] else None if data is None else data.decode("utf-8", "replace"))
         yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["row", "n_words", "n_removed", "kept"])
 
 
@@ -174,15 +223,16 @@ def marks(docs: DataFrame) -> DataFrame:
     runs = materialize(rows.mapInArrow(lambda it: _suspect(it, shared), _RUN_SCHEMA), "runs")
     kinds = materialize(runs.groupBy("shingle", "words").agg(F.min("doc_id").alias("low"), F.min("n").alias("n"), *[F.max(w).alias(w) for w in _WINS]), "kinds")
     mixed = kinds.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle")
-    single = kinds.join(mixed, "shingle", "left_semi").select("shingle", "words", "low", F.posexplode(F.array_compact(F.array(*_WINS))).alias("i", "window"))
-    single = materialize(single, "windows")
+    wins = F.when(F.col("n") == 1, F.array("words")).otherwise(F.array_compact(F.array(*_WINS)))
+    single = kinds.join(mixed, "shingle", "left_semi").select("shingle", "words", "low", F.posexplode(wins).alias("i", "window"))
     least = single.groupBy("shingle", "window").agg(F.min("low").alias("least"))
     bits = single.join(least, ["shingle", "window"]).where("low > least").groupBy("shingle", "words").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i"))).alias("bits"))
     judged = kinds.select("shingle", "words", "low").join(bits, ["shingle", "words"], "left")
     all_ = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n")) - 1
     mask = F.when(F.col("doc_id") > F.col("low"), all_).otherwise(F.coalesce("bits", F.lit(0)))
-    found = runs.select("shingle", "words", "doc_id", "text_hash", "start", "n").join(judged, ["shingle", "words"]).select("doc_id", "text_hash", F.call_function("shiftleft", F.col("start").cast("long"), F.lit(16)).bitwiseOR(mask).alias("mark"), mask.alias("mask")).where("mask > 0")
-    return found.groupBy("doc_id", "text_hash").agg(F.collect_list("mark").alias("marks"))
+    found = runs.select("shingle", "words", "doc_id", "text_hash", "n", "starts").join(judged, ["shingle", "words"]).select("doc_id", "text_hash", "starts", mask.alias("mask")).where("mask > 0")
+    marked = found.select("doc_id", "text_hash", F.transform("starts", lambda s: F.call_function("shiftleft", s.cast("long"), F.lit(16)).bitwiseOR(F.col("mask"))).alias("m"))
+    return marked.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("m")).alias("marks"))
 
 
 def without_repeats(docs: DataFrame, carry: list[str], digest: bool = False) -> DataFrame:
@@ -197,8 +247,10 @@ def without_repeats(docs: DataFrame, carry: list[str], digest: bool = False) ->
     text = F.col("text").cast("string")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), text.alias("text"), F.col("doc_id").cast("long").alias("r_id"), F.xxhash64(text).alias("r_hash"))
     found = marks(docs)
-    joined = rows.join(found, (F.col("r_id") == F.col("doc_id")) & (F.col("r_hash") == F.col("text_hash")), "left").select("row", "text", "marks")
-    return joined.mapInArrow(lambda it: _judged(it, digest), f"row {rows.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept string")
+    kind = rows.schema["row"].dataType.simpleString()
+    sent = rows.mapInArrow(_packed, f"row {kind}, packed binary, r_id long, r_hash long")
+    joined = sent.join(found, (F.col("r_id") == F.col("doc_id")) & (F.col("r_hash") == F.col("text_hash")), "left").select("row", "packed", "marks")
+    return joined.mapInArrow(lambda it: _judged(it, digest), f"row {kind}, n_words long, n_removed long, kept string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
