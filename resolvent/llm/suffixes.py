@@ -4,7 +4,7 @@ A 400-byte string that occurs twice chooses, at both places, the same 32-byte gr
 least hash. Neighbouring strings mostly share the gram, so a text falls into segments: the strings
 that chose one gram, which each start in one segment only. Segments whose gram occurs twice or more
 anywhere are dealt to shards by gram, so equal strings meet in a shard. Of segments with the very
-same bytes, two stand for all.
+same bytes, one stands for all: its strings are known to repeat, and others may still share them.
 
 A shard concatenates its segments and sorts the suffixes by induction: suffixes are classified,
 the leftmost-smaller substrings sorted by a first induction and named, their order found from the
@@ -14,7 +14,8 @@ run bucket by bucket in numpy, a wave of suffixes at a time; the prefixes run ov
 step.
 
 Grams with very many different segments are dealt over several shards. There, each shard passes on
-one representative of each of its different strings, and these are merged by content.
+one representative of each of its different strings, packed by ranges of their hashes, and the
+representatives of a range are merged.
 """
 
 from __future__ import annotations
@@ -202,11 +203,11 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray, starts: np.ndarray, ends: n
     return out, before
 
 
-def repeated_starts(segments: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """For each segment, which of its strings of SPAN bytes occur again among the segments.
+def repeated_starts(segments: list[bytes], again: list[bool]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """For each segment, which of its strings of SPAN bytes occur again: all, if it is marked so, else those found among the segments.
 
     Also the leaders: the segment and place of one string of each class of equal strings, and
-    whether the class has more than one.
+    whether it occurs again.
     """
     sizes = np.array([len(s) for s in segments], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
@@ -218,14 +219,14 @@ def repeated_starts(segments: list[bytes]) -> tuple[list[np.ndarray], np.ndarray
     sa = suffix_array(t, 258)
     counts = np.maximum(sizes - SPAN + 1, 0)
     prefix, before = permuted_prefixes(t, sa, starts, starts + counts, SPAN)
-    again = prefix >= SPAN
-    hit = again.copy()
-    hit[before[np.flatnonzero(again)]] = True
+    same = prefix >= SPAN
+    hit = same.copy()
+    hit[before[np.flatnonzero(same)]] = True
     own = np.repeat(np.arange(len(segments)), counts)
-    place = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = starts[own] + place
-    leads = ~again[at]
-    return [hit[s : s + c] for s, c in zip(starts.tolist(), counts.tolist())], own[leads], place[leads], hit[at[leads]]
+    at = starts[own] + np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+    hit[at[np.array(again, bool)[own]]] = True
+    leads = ~same[at]
+    return [hit[s : s + c] for s, c in zip(starts.tolist(), counts.tolist())], own[leads], (at - starts[own])[leads], hit[at[leads]]
 
 
 # ---------------------------------------------------------------- segments
@@ -294,51 +295,65 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names, kinds = ["shard", "gram", "seg", "copies", "spread", "data"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+    names, kinds = ["shard", "gram", "seg", "again", "parts", "data"], [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
     for b in batches:
         out: list[list] = [[] for _ in names]
         for t, wanted in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist()):
             data = _data(t)
             for w in wanted:
-                for column, v in zip(out, (w["shard"], w["gram"], w["seg"], w["copies"], w["spread"], data[w["start"] : w["start"] + w["n"] + SPAN - 1])):
+                for column, v in zip(out, (w["shard"], w["gram"], w["seg"], w["again"], w["parts"], data[w["start"] : w["start"] + w["n"] + SPAN - 1])):
                     column.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
 
-_FOUND = "gram long, seg long, runs array<int>, w1 long, w2 long, place int, multi boolean"
+_FOUND = "gram long, seg long, runs array<int>, range int, leaders binary"
+_LEADER = np.dtype([("w1", "<i8"), ("w2", "<i8"), ("seg", "<i8"), ("place", "<i4"), ("again", "<i4")])
 
 
 def _runs(hit: np.ndarray) -> list[int]:
-    edge = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
-    return edge.tolist()
+    return np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0)).tolist()
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    kinds = {"gram": pa.int64(), "seg": pa.int64(), "runs": pa.list_(pa.int32()), "range": pa.int32(), "leaders": pa.binary()}
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
 
 
 def _shard(found: pa.Table) -> pa.Table:
-    """The repeated strings of a shard's segments; of grams spread over shards, also a leader of each class."""
-    seen: dict[tuple[int, int], int] = {}
-    keys, data, spread, owner = [], [], [], []
-    columns = (found.column(c).to_pylist() for c in ("gram", "seg", "copies", "spread", "data"))
-    for gram, seg, copies, wide, d in zip(*columns):
-        if (gram, seg) not in seen:
-            seen[gram, seg] = len(keys)
-            keys.append((gram, seg))
-            spread.append(wide)
-            data += [d] * copies
-            owner += [len(keys) - 1] * copies
-    hits, lead, place, multi = repeated_starts(data)
-    rows: list[tuple] = []
-    done = set()
-    for k, hit in zip(owner, hits):
-        if k not in done and hit.any():
-            rows.append((*keys[k], _runs(hit), None, None, None, None))
-        done.add(k)
-    for s, p, m in zip(lead.tolist(), place.tolist(), multi.tolist()):
-        if spread[owner[s]]:
-            w = xxhash.xxh3_128_intdigest(data[s][p : p + SPAN])
-            rows.append((*keys[owner[s]], None, _signed(w >> 64), _signed(w & (1 << 64) - 1), p, m))
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
-    names = ["gram", "seg", "runs", "w1", "w2", "place", "multi"]
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+    """The repeated strings of a shard's segments; of grams dealt over shards, also the leaders of classes, by ranges of their hashes."""
+    seen: dict[tuple[int, int], tuple] = {}
+    for gram, seg, *rest in zip(*(found.column(c).to_pylist() for c in ("gram", "seg", "again", "parts", "data"))):
+        seen.setdefault((gram, seg), tuple(rest))
+    keys, (again, parts, data) = list(seen), (list(x) for x in zip(*seen.values()))
+    hits, lead, place, known = repeated_starts(data, again)
+    rows = [(*k, _runs(hit), None, None) for k, hit in zip(keys, hits) if hit.any()]
+    wide = np.array(parts)[lead] > 1
+    packed: dict[tuple[int, int], list[tuple]] = {}
+    for s, p, m in zip(lead[wide].tolist(), place[wide].tolist(), known[wide].tolist()):
+        w = xxhash.xxh3_128_intdigest(data[s][p : p + SPAN])
+        gram, seg = keys[s]
+        packed.setdefault((gram, (w & 0xFFFFFFFF) % parts[s]), []).append((_signed(w >> 64), _signed(w & (1 << 64) - 1), seg, p, m))
+    return _table(rows + [(gram, None, None, k, np.array(x, _LEADER).tobytes()) for (gram, k), x in packed.items()])
+
+
+def _merge(found: pa.Table) -> pa.Table:
+    """Leaders of one gram and range of hashes: those that no string of their own shard repeats, but another shard's leader does."""
+    gram = found.column("gram")[0].as_py()
+    x = np.concatenate([np.frombuffer(b, _LEADER) for b in found.column("leaders").to_pylist()])
+    x = x[np.lexsort((x["w2"], x["w1"]))]
+    same = (x["w1"][1:] == x["w1"][:-1]) & (x["w2"][1:] == x["w2"][:-1])
+    hit = np.zeros(len(x), bool)
+    hit[1:] |= same
+    hit[:-1] |= same
+    x = x[hit & (x["again"] == 0)]
+    x = x[np.lexsort((x["place"], x["seg"]))]
+    first = np.flatnonzero(np.diff(x["seg"], prepend=x["seg"][:1] - 1 if len(x) else 0)) if len(x) else []
+    rows = []
+    for s, e in zip(first, [*first[1:], len(x)]):
+        mask = np.zeros(int(x["place"][e - 1]) + 1, bool)
+        mask[x["place"][s:e]] = True
+        rows.append((gram, int(x["seg"][s]), _runs(mask), None, None))
+    return _table(rows)
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,18 +390,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     kinds = cut.groupBy("gram", "seg").agg(F.count("*").alias("c"), F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.first("start").alias("start"), F.first("n").alias("n"))
     kinds = materialize(kinds, "kinds")
     grams = kinds.groupBy("gram").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).where("total > 1").select("gram", "kinds")
-    wanted = materialize(kinds.join(grams, "gram").withColumn("copies", F.least("c", F.lit(2)).cast("int")), "wanted")
-    size = wanted.agg(F.sum((F.col("n") + SPAN) * F.col("copies"))).first()[0] or 0
+    wanted = materialize(kinds.join(grams, "gram").withColumn("again", F.col("c") > 1).withColumn("parts", F.ceil(F.col("kinds") / SHARED).cast("int")), "wanted")
+    size = wanted.agg(F.sum(F.col("n") + SPAN)).first()[0] or 0
     shards = int(size // SHARD_BYTES) + 1
-    salt = F.when(F.col("kinds") > SHARED, F.pmod("seg", F.ceil(F.col("kinds") / SHARED))).otherwise(0)
-    entry = F.struct(F.pmod(F.xxhash64("gram", salt), F.lit(shards)).alias("shard"), "gram", "seg", "copies", (F.col("kinds") > SHARED).alias("spread"), "start", "n")
+    salt = F.when(F.col("parts") > 1, F.pmod("seg", F.col("parts"))).otherwise(0)
+    entry = F.struct(F.pmod(F.xxhash64("gram", salt), F.lit(shards)).alias("shard"), "gram", "seg", "again", "parts", "start", "n")
     by_doc = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(entry).alias("wanted"))
     key = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
-    fetched = rows.alias("r").join(by_doc.alias("w"), key("r", "w")).select("text", "wanted").mapInArrow(_fetch, "shard long, gram long, seg long, copies int, spread boolean, data binary")
+    fetched = rows.alias("r").join(by_doc.alias("w"), key("r", "w")).select("text", "wanted").mapInArrow(_fetch, "shard long, gram long, seg long, again boolean, parts int, data binary")
     found = materialize(fetched.groupBy("shard").applyInArrow(_shard, _FOUND), "repeated")
-    leaders = found.where("w1 is not null").select("gram", "seg", "w1", "w2", "place", "multi")
-    shared = leaders.groupBy("gram", "w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("gram", "w1", "w2")
-    merged = leaders.where("not multi").join(shared, ["gram", "w1", "w2"]).select("gram", "seg", F.array("place", F.col("place") + 1).alias("runs"))
-    runs = found.where("runs is not null").select("gram", "seg", "runs").unionByName(merged).groupBy("gram", "seg").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    merged = found.where("leaders is not null").select("gram", "range", "leaders").groupBy("gram", "range").applyInArrow(_merge, _FOUND)
+    runs = found.where("runs is not null").select("gram", "seg", "runs").unionByName(merged.select("gram", "seg", "runs")).groupBy("gram", "seg").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     spans = cut.join(runs, ["gram", "seg"]).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "runs")).alias("spans"))
     return rows.alias("r").join(spans.alias("w"), key("r", "w"), "left").select("r.doc_id", "text", "spans").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
