@@ -403,3 +403,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     runs = found.where("runs is not null").select("gram", "seg", "runs").unionByName(merged.select("gram", "seg", "runs")).groupBy("gram", "seg").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     spans = cut.join(runs, ["gram", "seg"]).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "runs")).alias("spans"))
     return rows.alias("r").join(spans.alias("w"), key("r", "w"), "left").select("r.doc_id", "text", "spans").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT r, p, sha256(array_slice(b, p, p + 399)) AS k FROM (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS p FROM d WHERE octet_length(b) >= 400)),
+hit AS (SELECT r, p FROM win WHERE k IN (SELECT k FROM win GROUP BY k HAVING count(*) > 1)),
+island AS (SELECT r, p, sum(CASE WHEN p > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS g FROM (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM hit)),
+span AS (SELECT r, min(p) AS s, max(p) + 399 AS e FROM island GROUP BY r, g),
+piece AS (SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) + 1 AS a, s - 1 AS z FROM span UNION ALL SELECT d.r, coalesce(max(e), 0) + 1, max(octet_length(b)) FROM d LEFT JOIN span USING (r) GROUP BY d.r),
+kept AS (SELECT r, string_agg(CASE WHEN z >= a THEN hex(array_slice(b, a, z)) ELSE '' END, '' ORDER BY a) AS h FROM piece JOIN d USING (r) GROUP BY r),
+sums AS (SELECT r, sum(e - s + 1)::BIGINT AS gone, count(*) AS n FROM span GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(h)) AS kept_sha256 FROM d JOIN kept USING (r) LEFT JOIN sums USING (r)
+"""
