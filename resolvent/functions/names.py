@@ -106,12 +106,17 @@ def contaminant_origin(c: Column) -> Column:
     return F.coalesce(*[F.when(low.rlike(p), F.lit(origin)) for p, _, origin in XENOBIOTICS])
 
 
-def name_score(q: Column, name: Column, base: Column) -> Column:
-    """struct(score, kind) of a model species' name or id for a query: the best route; the earlier of equals."""
-    ql, nl, bl = F.lower(q), F.lower(name), F.lower(base)
+def name_parts(c: Column) -> Column:
+    """What name_score needs of a name, to be computed once per name: struct(low, grams, bare, tokens)."""
+    return F.struct(F.lower(c).alias("low"), grams(c).alias("grams"), grams(without_brackets(c)).alias("bare"), tokens(c).alias("tokens"))
+
+
+def name_score(q: Column, n: Column, base: Column) -> Column:
+    """struct(score, kind) of a model species for a query, from the name_parts of both: the best route; the earlier of equals."""
+    ql, nl, bl = q["low"], n["low"], F.lower(base)
     ratio = F.least(F.length(ql), F.length(nl)) / F.greatest(F.length(ql), F.length(nl))
-    d = F.greatest(dice(grams(q), grams(name)), dice(grams(q), grams(without_brackets(name))))
-    qt, nt = tokens(q), tokens(name)
+    d = F.greatest(dice(q["grams"], n["grams"]), dice(q["grams"], n["bare"]))
+    qt, nt = q["tokens"], n["tokens"]
     routes = [
         ("id-exact", F.when(ql == bl, 96.0).otherwise(0.0)),
         ("id-substring", F.when((ql != bl) & bl.contains(ql), 60.0 + 20.0 * F.length(ql) / F.length(bl)).otherwise(0.0)),

@@ -35,8 +35,11 @@ def search(queries: DataFrame, index: DataFrame, most: int = 25, least: float =
     only names shorter than a trigram can match without, and those are met by their whole text.
     """
     named = index.select("base", F.explode(F.concat("names", F.when(F.size("names") == 0, F.array(F.col("base"))).otherwise(F.expr("cast(array() as array<string>)")))).alias("name"))
-    pairs = blocking.share_a_gram(queries.select("query").distinct(), "query", named, "name", extra=["base"])
-    scored = pairs.withColumn("s", names.name_score(F.trim("query"), F.col("name"), F.col("base"))).where(F.col("s.score") >= least)
+    asked = queries.select("query").distinct()
+    pairs = blocking.share_a_gram(asked, "query", named, "name", extra=["base"])
+    q_parts = asked.withColumn("q", names.name_parts(F.trim("query")))
+    n_parts = named.select("name").distinct().withColumn("n", names.name_parts(F.col("name")))
+    scored = pairs.join(q_parts, "query").join(n_parts, "name").withColumn("s", names.name_score(F.col("q"), F.col("n"), F.col("base"))).where(F.col("s.score") >= least)
     best = scored.groupBy("query", "base").agg(F.max(F.struct(F.round("s.score", 1).alias("score"), F.col("s.order"), F.col("s.kind"))).alias("b"))
     w = Window.partitionBy("query").orderBy(F.col("b.score").desc(), "base")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query", "base", "b.score", "b.kind", "rank")

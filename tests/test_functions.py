@@ -33,7 +33,7 @@ def test_similarity(spark):
     df = spark.createDataFrame([("Chenodeoxyglycocholate", "Glycochenodeoxycholic acid"), ("ab", "ab"), ("abc", "abc")], "a string, b string")
     got = [round(r.d, 4) for r in df.select(names.dice(names.grams(F.col("a")), names.grams(F.col("b"))).alias("d")).collect()]
     assert got[0] > 0.5 and got[1:] == [0.0, 1.0]
-    s = spark.createDataFrame([("Glucose", "glucose", "B1"), ("glucose", "D-Glucose", "B1"), ("b1", "x", "B1"), ("zz", "qq", "B1")], "q string, n string, b string").select(names.name_score(F.col("q"), F.col("n"), F.col("b")).alias("s")).collect()
+    s = spark.createDataFrame([("Glucose", "glucose", "B1"), ("glucose", "D-Glucose", "B1"), ("b1", "x", "B1"), ("zz", "qq", "B1")], "q string, n string, b string").select(names.name_score(names.name_parts(F.col("q")), names.name_parts(F.col("n")), F.col("b")).alias("s")).collect()
     assert [(round(r.s.score, 2), r.s.kind) for r in s] == [(100.0, "name-exact"), (90.91, "name-trigram"), (96.0, "id-exact"), (0.0, "id-exact")]
 
 
