@@ -24,7 +24,7 @@ from .common import bucket, texts, tune
 
 #: Training bounds per language: rows fetched, characters in the automaton, characters that set its own rate.
 SAMPLE_ROWS, AUTOMATON_CHARS, RATE_CHARS = 60, 16_000, 16_000
-ALPHABET, BLOCK, UNKNOWN = 62, 1024, "und"
+ALPHABET, BLOCK, LANES, UNKNOWN = 62, 1024, 4096, "und"
 #: How much a phrase rate above the best counts in the score.
 SHARPNESS = 12.0
 
@@ -124,25 +124,23 @@ class Model:
 
     def parse(self, found: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases by text and language, and the characters parsed."""
-        codes = [_codes(t) if t else np.zeros(0, np.uint32) for t in found]
-        sizes = np.array([len(c) for c in codes])
-        chars = np.zeros(len(found), np.int64)
         phrases = np.zeros((len(found), len(self.names)), np.int64)
-        if not sizes.sum():
+        squeezed = [_squeezed(self.classes(_codes(t))) if t else np.zeros(0, np.uint8) for t in found]
+        chars = np.array([len(c) for c in squeezed], np.int64)
+        if not chars.sum():
             return phrases, chars
-        flat = self.classes(np.concatenate(codes))
-        owner = np.repeat(np.arange(len(found)), sizes)
-        keep = flat > 0
-        keep[1:] |= (flat[:-1] > 0) & (owner[1:] == owner[:-1])
-        flat, chars = flat[keep], np.bincount(owner[keep], minlength=len(found))
+        flat = np.concatenate(squeezed)
+        del squeezed
         ends = np.cumsum(chars)
         lanes = [(i, s, min(s + BLOCK, e)) for i, (s, e) in enumerate(zip((ends - chars).tolist(), ends.tolist())) for s in range(s, e, BLOCK)]
-        for at in range(0, len(lanes), 8192):
-            own, start, end = np.array(lanes[at : at + 8192]).T
+        for at in range(0, len(lanes), LANES):
+            own, start, end = np.array(lanes[at : at + LANES]).T
             order = np.argsort(start - end, kind="stable")
             own, start, size = own[order], start[order], (end - start)[order]
-            at_t = start + np.arange(size[0])[:, None]
-            steps = flat[np.minimum(at_t, len(flat) - 1)]
+            steps = np.zeros((len(own), size[0]), np.uint8)
+            for row, first, n in zip(steps, start.tolist(), size.tolist()):
+                row[:n] = flat[first : first + n]
+            steps = np.ascontiguousarray(steps.T)
             active = np.searchsorted(-size, -np.arange(size[0]), side="left")
             for k, table in enumerate(self.tables):
                 np.add.at(phrases[:, k], own, _phrases(table, steps, active) + 1)

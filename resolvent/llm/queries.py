@@ -55,4 +55,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_packing, op3_licenses, op4_suffix_dedup, op5_media, op6_substring_dedup, op7_quality, op8_language, op9_rules, op10_bpe)}
-ORACLES: dict[str, str] = {"op9_rules": rules.ORACLE}
+ORACLES: dict[str, str] = {"op4_suffix_dedup": suffixes.ORACLE, "op6_substring_dedup": windows.ORACLE, "op9_rules": rules.ORACLE}
