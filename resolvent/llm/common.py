@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -13,11 +15,14 @@ from pyspark.sql import functions as F
 #: bytes.split() without arguments splits UTF-8 at exactly this set.
 SPACE = " \t\n\x0b\x0c\r"
 
+#: Seconds that Spark's cleaner is given to remove shuffle files.
+RELEASE_S = 2.0
+
 
 def tune(spark: SparkSession) -> None:
     """Bounds the Arrow batches that reach Python, by bytes and by rows, however long the texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,6 +49,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files that only served tables already written, instead of whenever the driver next collects its garbage."""
+    for _ in range(2):  # the JVM hears of what Python let go a moment later
+        gc.collect()
+        time.sleep(RELEASE_S / 4)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(RELEASE_S / 4)
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """The two columns that an operator reads, so that no other column of docs can clash with its own."""
     return docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), *more)

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, texts, tune
+from .common import materialize, release, texts, tune
 
 WINDOW, SHINGLE = 13, 5
 RUN = WINDOW - SHINGLE + 1
@@ -221,18 +221,25 @@ def marks(docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(sketch(docs))
     rows = texts(docs).where("text is not null and doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     runs = materialize(rows.mapInArrow(lambda it: _suspect(it, shared), _RUN_SCHEMA), "runs")
-    kinds = materialize(runs.groupBy("shingle", "words").agg(F.min("doc_id").alias("low"), F.min("n").alias("n"), *[F.max(w).alias(w) for w in _WINS]), "kinds")
-    mixed = kinds.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle")
+    release(spark)
+    kinds = materialize(runs.groupBy("shingle", "words").agg(F.min("doc_id").alias("low"), F.count("*").alias("c"), F.min("n").alias("n"), *[F.max(w).alias(w) for w in _WINS]), "kinds")
+    release(spark)
+    mixed = kinds.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle")
     wins = F.when(F.col("n") == 1, F.array("words")).otherwise(F.array_compact(F.array(*_WINS)))
     single = kinds.join(mixed, "shingle", "left_semi").select("shingle", "words", "low", F.posexplode(wins).alias("i", "window"))
     least = single.groupBy("shingle", "window").agg(F.min("low").alias("least"))
     bits = single.join(least, ["shingle", "window"]).where("low > least").groupBy("shingle", "words").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i"))).alias("bits"))
-    judged = kinds.select("shingle", "words", "low").join(bits, ["shingle", "words"], "left")
+    bits = materialize(bits, "bits")
+    release(spark)
+    judged = kinds.select("shingle", "words", "low", "c").join(bits, ["shingle", "words"], "left").where("c > 1 or bits is not null").drop("c")
     all_ = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n")) - 1
     mask = F.when(F.col("doc_id") > F.col("low"), all_).otherwise(F.coalesce("bits", F.lit(0)))
     found = runs.select("shingle", "words", "doc_id", "text_hash", "n", "starts").join(judged, ["shingle", "words"]).select("doc_id", "text_hash", "starts", mask.alias("mask")).where("mask > 0")
     marked = found.select("doc_id", "text_hash", F.transform("starts", lambda s: F.call_function("shiftleft", s.cast("long"), F.lit(16)).bitwiseOR(F.col("mask"))).alias("m"))
-    return marked.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("m")).alias("marks"))
+    found = materialize(marked.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("m")).alias("marks")), "marks")
+    del judged, marked, least, single
+    release(spark)
+    return found
 
 
 def without_repeats(docs: DataFrame, carry: list[str], digest: bool = False) -> DataFrame:
@@ -267,3 +274,15 @@ def with_texts_cut(docs: DataFrame) -> DataFrame:
     kinds = dict(docs.dtypes)
     found = without_repeats(docs, [c for c in docs.columns if c != "text"])
     return found.select(*[(new[c].cast(kinds[c]) if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+tok AS (SELECT r, doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+gram AS (SELECT r, doc_id, p, x, CASE WHEN count(*) OVER f = 13 THEN string_agg(x, ' ') OVER f END AS k FROM tok WINDOW f AS (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+first AS (SELECT k, min(doc_id) AS low FROM gram WHERE k IS NOT NULL GROUP BY k),
+seen AS (SELECT r, p, x, CASE WHEN low < doc_id THEN 1 ELSE 0 END AS hit FROM gram LEFT JOIN first USING (k)),
+cut AS (SELECT r, p, x, max(hit) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM seen),
+sums AS (SELECT r, count(*) AS n, sum(gone)::BIGINT AS removed, coalesce(string_agg(x, ' ' ORDER BY p) FILTER (gone = 0), '') AS kept FROM cut GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN sums USING (r)
+"""
