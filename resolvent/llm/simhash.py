@@ -28,6 +28,8 @@ from .graph import components
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: Fingerprints that may share a segment value before the value is refined, and refined values that may be broadcast.
 DENSE, BROADCAST_KEYS = 48, 100_000
+#: Ids of dropped documents that may be broadcast (8 bytes each), so that texts stay where they are.
+BROADCAST_IDS = 2_000_000
 _BLOCK = 1 << 15
 
 
@@ -153,7 +155,9 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     Rows that repeat a doc_id are one document: one of them stays. Rows without a doc_id stay.
     """
     found = materialize(near_duplicates(docs).select("doc_id", "component_id"), "groups")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    if gone.count() <= BROADCAST_IDS:  # else Spark shuffles the texts
+        gone = F.broadcast(gone)
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = materialize(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if again.isEmpty():
