@@ -1,17 +1,20 @@
 """License scans: a trained paragraph classifier whose predictions are confirmed against templates.
 
-A paragraph is a line; lines of more than LONGEST words are read in overlapping stretches. Sparse
-word unigrams and bigrams feed a multinomial logistic regression over licence families and an
-unknown class. It is trained here, on variations of the templates, on mixtures of families, and on
-a bounded sample of the corpus's own paragraphs as unknown; its temperature is fitted on variations
-that it was not trained on. A predicted family counts if at least CONFIRMED of the word bigrams of
-one of its templates are in the paragraph. A paragraph without any bigram of a template can't be
-confirmed, so it isn't scored.
+A paragraph is a run of lines that aren't blank, so a notice may be wrapped at any word. Its lines
+are read one by one, and its words, across lines, in overlapping stretches of LONGEST: where a
+stretch has CONFIRMED of a template's bigrams, its shortest run with all of them there is read, runs
+that overlap as one. Sparse word unigrams and bigrams feed a multinomial logistic regression over
+licence families and an unknown class. It is trained here, on variations of the templates, on
+mixtures of families, and on a bounded sample of the corpus's own paragraphs as unknown; its
+temperature is fitted on variations that it was not trained on. A predicted family counts if at least
+CONFIRMED of the word bigrams of one of its templates are in what was read. Lines and stretches that
+confirm no template aren't scored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,6 +69,38 @@ def pairs(found: list[str]) -> set[tuple[str, str]]:
     return set(zip(found, found[1:]))
 
 
+def blocks(text: str | None) -> list[list[list[str]]]:
+    """The paragraphs of a text, each the words of its lines."""
+    out: list[list[list[str]]] = [[]]
+    for line in (text or "").split("\n"):
+        if line.strip():
+            out[-1].append(tokens(line))
+        elif out[-1]:
+            out.append([])
+    return out if out[-1] else out[:-1]
+
+
+def stretches(found: list[str]) -> list[list[str]]:
+    """The words in stretches of at most LONGEST that overlap by half."""
+    return [found[s : s + LONGEST] for s in range(0, max(1, len(found) - LONGEST // 2), LONGEST // 2)] if len(found) > LONGEST else [found]
+
+
+def shortest_run(found: list[str], wanted: set[tuple[str, str]]) -> tuple[int, int]:
+    """Start and end of the shortest run of the words that has all of the wanted bigrams that they have."""
+    places = [(k, p) for k, p in enumerate(zip(found, found[1:])) if p in wanted]
+    n, had, first, best = len({p for _, p in places}), Counter(), 0, (len(found), 0)
+    for k, p in places:
+        had[p] += 1
+        while len(had) == n:
+            start, q = places[first]
+            best = min(best, (k + 2 - start, start))
+            had[q] -= 1
+            if not had[q]:
+                del had[q]
+            first += 1
+    return best[1], best[1] + best[0]
+
+
 class Model:
     """Weights by class over the n-grams of the templates, the share of other words, and the length."""
 
@@ -143,18 +178,31 @@ class Model:
             out.append((name, float(row[k])) if sure else (UNKNOWN, float(row[-1])))
         return out
 
-    def paragraphs(self, text: str | None) -> tuple[int, list[list[str]]]:
-        """The number of lines with a word, and the words of the stretches that have a bigram of a template."""
-        n, found = 0, []
-        for line in (text or "").split("\n"):
-            t = tokens(line)
-            n += bool(t) or bool(line.strip())
-            if len(t) > 1 and not self.bigrams.isdisjoint(zip(t, t[1:])):
-                for s in range(0, max(1, len(t) - LONGEST // 2), LONGEST // 2) if len(t) > LONGEST else (0,):
-                    part = t[s : s + LONGEST]
-                    if not self.bigrams.isdisjoint(zip(part, part[1:])):
-                        found.append(part)
-        return n, found
+    def confirmed(self, found: list[str]) -> list[set[tuple[str, str]]]:
+        """The templates of which the words have CONFIRMED of the bigrams."""
+        had = self.bigrams.intersection(zip(found, found[1:]))
+        return [q for ts in self.templates.values() for q in ts if len(q & had) >= CONFIRMED * len(q)] if had else []
+
+    def runs(self, found: list[str]) -> list[list[str]]:
+        """The runs of the confirmed templates; those that overlap are one, so that their families compete."""
+        out: list[tuple[int, int]] = []
+        for a, b in sorted(shortest_run(found, q) for q in self.confirmed(found)):
+            if out and a < out[-1][1]:
+                out[-1] = out[-1][0], max(b, out[-1][1])
+            else:
+                out.append((a, b))
+        return [found[a:b] for a, b in out]
+
+    def paragraphs(self, text: str | None) -> tuple[int, list[tuple[int, list[str]]]]:
+        """The number of paragraphs, and the words to score, each with the place of its paragraph."""
+        found = blocks(text)
+        out = []
+        for k, lines in enumerate(found):
+            parts = [p for t in lines for p in stretches(t)]
+            whole = stretches([w for t in lines for w in t])
+            out += [(k, p) for p in parts if self.confirmed(p)]
+            out += [(k, r) for p in whole for r in self.runs(p)]
+        return len(found), out
 
 
 def confirmed_nowhere(found: list[str]) -> bool:
@@ -167,8 +215,8 @@ def learn(docs: DataFrame, rows: int = SAMPLE_DOCS) -> list[list[str]]:
     place = F.xxhash64(F.col("doc_id"), F.lit("license sample"))
     ids = [r.doc_id for r in docs.select("doc_id").where("doc_id is not null").orderBy(place, "doc_id").limit(rows).collect()]
     found = texts(docs).where(F.col("doc_id").isin(ids)).select(F.substring("text", 1, 2000).alias("text")).limit(2 * rows).collect() if ids else []
-    lines = sorted({x for r in found for x in (r.text or "").split("\n")})
-    return [t for t in map(tokens, lines) if len(t) > 2 and confirmed_nowhere(t)][: 4 * rows]
+    words = sorted({tuple(p) for r in found for b in blocks(r.text) for p in stretches([w for t in b for w in t])})
+    return [list(t) for t in words if len(t) > 2 and confirmed_nowhere(list(t))][: 4 * rows]
 
 
 def _scan(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -176,17 +224,19 @@ def _scan(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Record
     for b in batches:
         n, found, owner = [], [], []
         for k, t in enumerate(b.column("text").to_pylist()):
-            lines, had = model.paragraphs(t)
-            n.append(lines)
-            found += had
-            owner += [k] * len(had)
+            blocks, had = model.paragraphs(t)
+            n.append(blocks)
+            found += [p for _, p in had]
+            owner += [(k, place) for place, _ in had]
         hits: list[list[tuple[str, float]]] = [[] for _ in n]
+        licensed: list[set[int]] = [set() for _ in n]
         for at in range(0, len(found), 2048):
-            for k, (name, p) in zip(owner[at : at + 2048], model.predict(found[at : at + 2048])):
+            for (k, place), (name, p) in zip(owner[at : at + 2048], model.predict(found[at : at + 2048])):
                 if name != UNKNOWN:
                     hits[k].append((name, p))
+                    licensed[k].add(place)
         best = [min(((-p, name) for name, p in h), default=(0.0, NONE)) for h in hits]
-        columns = [pa.array(n, pa.int64()), pa.array([len(h) for h in hits], pa.int64()), pa.array([x[1] for x in best]), pa.array([abs(x[0]) for x in best], pa.float64()), pa.array([",".join(sorted({x[0] for x in h})) for h in hits])]
+        columns = [pa.array(n, pa.int64()), pa.array([len(x) for x in licensed], pa.int64()), pa.array([x[1] for x in best]), pa.array([abs(x[0]) for x in best], pa.float64()), pa.array([",".join(sorted({x[0] for x in h})) for h in hits])]
         yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *columns], names=names)
 
 

@@ -128,6 +128,17 @@ def test_licenses(spark, docs):
     assert {r.license for r in licenses.scan(docs).where("license <> 'none'").collect()} == {"CC-BY-NC"}
 
 
+def test_licenses_in_wrapped_paragraphs(spark, docs):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met"
+    gpl = "This program is free software: you can redistribute it and/or modify\r\nit under the terms of the GNU General Public License"
+    filled = " ".join(f"v{k}" for k in range(60)) + "\nAll rights\nreserved. " + " ".join(f"v{k}" for k in range(70, 130))
+    parts = {1: mit, 2: bsd, 3: gpl, 4: filled, 5: "v1 v2\n\n" + mit + "\n" + bsd + "\n \nv3", 6: gpl.replace("GNU", "GNU Lesser") + "\nas published by the Free Software Foundation", 7: mit.replace("\n", "\n\n")}
+    df = spark.createDataFrame(list(parts.items()), "doc_id long, text string").unionByName(docs.select("doc_id", "text").where("doc_id > 50"))
+    got = {r.doc_id: (r.n_paragraphs, r.n_licensed, r.families) for r in licenses.scan(df).where("doc_id < 8").collect()}
+    assert got == {1: (1, 1, "MIT"), 2: (1, 1, "BSD"), 3: (1, 1, "GPL"), 4: (1, 1, "proprietary"), 5: (3, 1, "BSD,MIT"), 6: (1, 1, "LGPL"), 7: (2, 0, "")}
+
+
 def test_licenses_match_a_plain_pass(docs, texts):
     model = licenses.Model(licenses.learn(docs))
     for d, _, n, name, _, _ in rows(licenses.scan(docs)):
