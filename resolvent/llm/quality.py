@@ -126,10 +126,11 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple | None:
-    """Fits the model on at most `rows` positives and `rows` unlabelled documents of the training fold.
+    """Fits the model on at most `rows` positives and `rows` documents of the training fold, whatever their labels.
 
-    Only rows whose crc32 of doc_id modulo 4 is not 2 are used. The samples are the smallest hashes
-    of doc_id; ids alone are sampled, and the at most 2 * rows ids found are broadcast against docs.
+    The second sample is the unlabelled one: labels are ignored, so it is there however many documents
+    are labelled, and a document may be in both. Only rows whose crc32 of doc_id modulo 4 is not 2 are used. The samples are the smallest hashes
+    of doc_id; ids alone are sampled, and the at most 2 * rows found are broadcast against docs.
     """
     tune(docs.sparkSession)
     marked = labels.where("doc_id is not null and quality is not null").where(bucket("doc_id", 4) != 2).groupBy("doc_id").agg(F.max("quality").alias("q"))
@@ -139,9 +140,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple
     place = F.xxhash64(F.col("doc_id"), F.lit("quality sample"))
     positive = marked.where("q = 1").select("doc_id", F.lit(1).alias("kind"), place.alias("h")).orderBy("h").limit(rows)
     ids = docs.select("doc_id").where("doc_id is not null").where(bucket("doc_id", 4) != 2).distinct()
-    free = ids.join(marked.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(0).alias("kind"), place.alias("h")).orderBy("h").limit(rows)
-    picked = {r.doc_id: r.kind for r in positive.unionByName(free).select("doc_id", "kind").collect()}
-    chosen = docs.sparkSession.createDataFrame(pd.DataFrame({"p_id": list(picked), "kind": list(picked.values())}), "p_id long, kind int")
+    free = ids.select("doc_id", F.lit(0).alias("kind"), place.alias("h")).orderBy("h").limit(rows)
+    picked = positive.unionByName(free).select("doc_id", "kind").collect()
+    chosen = docs.sparkSession.createDataFrame(pd.DataFrame({"p_id": [r.doc_id for r in picked], "kind": [r.kind for r in picked]}), "p_id long, kind int")
     found = texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("p_id")).select("kind", "text").mapInArrow(_measured, "kind int, x array<float>").limit(4 * rows).collect()
     x = np.array([r.x for r in found], np.float32).reshape(-1, len(FEATURES))
     kind = np.array([r.kind for r in found])

@@ -268,6 +268,13 @@ def test_quality_never_learns_from_held_out_labels(spark):
     assert rows(quality.score_quality(docs, labels)) == rows(quality.score_quality(docs, flipped))
 
 
+def test_quality_where_every_document_is_labelled(spark):
+    docs, _ = _labelled(spark)
+    labels = spark.createDataFrame([(k, 0 if k % 5 == 0 else 1, 0) for k in range(400)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.with_quality(docs, labels).collect()}
+    assert sum((k in kept) == (k % 5 != 0) for k in range(400)) >= 0.95 * 400
+
+
 def test_quality_without_labels_and_edge_texts(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality.score_quality(docs, none).collect()} == {0.5}
