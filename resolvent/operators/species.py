@@ -32,7 +32,7 @@ def search(queries: DataFrame, index: DataFrame, most: int = 25, least: float =
     """The best species per query name: rounded score, then base id; by any route of names.name_score.
 
     Candidates share a trigram with the query, or contain it or are contained in it through one:
-    only names shorter than a trigram can match without, and those are met by their whole text.
+    only names shorter than a trigram can match without, and those are met by their first characters.
     """
     named = index.select("base", F.explode(F.concat("names", F.when(F.size("names") == 0, F.array(F.col("base"))).otherwise(F.expr("cast(array() as array<string>)")))).alias("name"))
     asked = queries.select("query").distinct()

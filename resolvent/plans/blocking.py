@@ -16,11 +16,42 @@ def _keys(c):
     return F.when(F.size(g) > 0, g).otherwise(F.array(names.flat(c)))
 
 
+def _is_short(c):
+    """Fewer letters and digits than a trigram has."""
+    return F.length(names.flat(c)) < 3
+
+
+def _short_key(c):
+    """The first three characters of a short name, whatever they are."""
+    return F.substring(F.lower(c), 1, 3)
+
+
+def _runs(c):
+    """All runs of at most three characters, the empty one too."""
+    low = F.lower(c)
+
+    def of(n: int):
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(n)))
+        return F.when(F.length(low) >= n, every).otherwise(F.array(F.lit("")))
+
+    return F.concat(F.array(F.lit("")), of(1), of(2), of(3))
+
+
 def share_a_gram(left: DataFrame, l_name: str, right: DataFrame, r_name: str, extra: list[str]) -> DataFrame:
-    """Distinct pairs where the left name shares a trigram or a word with the right one or with a column of extra."""
+    """Distinct pairs where the left name shares a trigram or a word with the right one or with a column of extra.
+
+    A name of fewer than three letters and digits, which has no trigram, also meets the names that
+    contain its first three characters (all of it, if it has fewer); left names are trimmed for that.
+    """
     a = left.select(l_name, F.explode(_keys(F.col(l_name))).alias("_gram"))
     b = right.select(r_name, *extra, F.explode(_keys(F.concat_ws(" ", r_name, *extra))).alias("_gram"))
-    return a.join(b, "_gram").select(l_name, r_name, *extra).distinct()
+    l, r = F.trim(F.col(l_name)), F.col(r_name)
+    short_a = left.where(_is_short(l)).select(l_name, _short_key(l).alias("_gram"))
+    runs_b = right.select(r_name, *extra, F.explode(F.array_distinct(F.concat(_runs(r), *[_runs(F.col(c)) for c in extra]))).alias("_gram"))
+    short_b = right.where(_is_short(r)).select(r_name, *extra, _short_key(r).alias("_gram"))
+    runs_a = left.select(l_name, F.explode(F.array_distinct(_runs(l))).alias("_gram"))
+    met = [x.join(y, "_gram").select(l_name, r_name, *extra) for x, y in ((a, b), (short_a, runs_b), (runs_a, short_b))]
+    return met[0].unionByName(met[1]).unionByName(met[2]).distinct()
 
 
 def dice_join(left: DataFrame, l_name: str, right: DataFrame, r_name: str, above: float, extra: list[str]) -> DataFrame:

@@ -46,6 +46,14 @@ def test_top_k_is_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_search_finds_short_names_inside_words(spark):
+    named = [(1, "B1c", "2PGA"), (2, "B2c", "PG"), (3, "B3c", "x--y"), (4, "B4c", "xa-by"), (5, "B5c", "glucose")]
+    m = species.index(spark.createDataFrame([(k, s, "c", n, None, 0, 1.0, None, None, None) for k, s, n in named], "ordinal long, species_id string, compartment string, name string, formula string, charge int, mass double, kegg string, hmdb string, chebi string"))
+    q = spark.createDataFrame([("PG",), ("3PGA",), ("--",), ("a-b",), ("u",)], "query string")
+    got = {(r.query, r.base, r.score) for r in species.search(q, m).collect()}
+    assert got >= {("PG", "B1", 67.5), ("3PGA", "B2", 67.5), ("--", "B3", 67.5), ("a-b", "B4", 71.0), ("u", "B5", 55.0)}
+
+
 def test_crosswalk_takes_the_first_namespace(spark):
     s = spark.createDataFrame([("B1", "C1", None, None), ("B2", None, "HMDB0000002", "CHEBI:3"), ("B3", "C1", None, None)], "base string, kegg string, hmdb string, chebi string")
     a = spark.createDataFrame([(1, "kegg", "C1"), (1, "hmdb", "HMDB0000002"), (2, "chebi", "CHEBI:3"), (3, "kegg", "C9")], "ordinal long, db string, id string")
