@@ -2,9 +2,10 @@
 
 Documents are tokenized once. Each is cut every 1024 tokens; whole pieces fill a window of their
 own, the rest of a document goes to the open fill level that leaves the least sum of squared counts
-of partly filled windows. Pieces are dealt over shards of bounded size by hash; a shard's level
-array has one entry per fill level, whatever the number of pieces. The few windows that are open
-when a shard's pieces are all placed are packed again, largest piece first.
+of partly filled windows. A piece stays where the rule puts it. Pieces are dealt evenly over shards
+of bounded size; a shard's level array has one entry per fill level, whatever the number of pieces.
+What stays open at the end of a shard is padded: at most a few windows a level, so the share of
+padding falls with the size of a shard.
 """
 
 from __future__ import annotations
@@ -12,8 +13,6 @@ from __future__ import annotations
 import functools
 import json
 import zlib
-from array import array
-from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Remembering, by_match, chunks, splitter
 from .common import materialize, texts, tune
 
 WINDOW, END_ID = 1024, 0
 #: Pieces a shard gets on average.
-SHARD = 8192
+SHARD = 65_536
 _PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-REMEMBERED = 400_000
+_PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -72,50 +70,32 @@ class Ids:
 
     def whole(self, text: str) -> bytes:
         if self.fast is None or any(s in text for s in self.special):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        else:
-            ids = self.fast.encode_ordinary(text)
-        return np.array(ids, "<u4").tobytes()
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
 @functools.lru_cache(maxsize=2)
-def _memory(path: str) -> tuple[Ids, Remembering]:
-    ids = Ids(path)
-    if ids.fast is None:
-        return ids, Remembering(lambda new: [ids.whole(x) for x in new])
-    match = ids.fast._core_bpe.encode_single_piece
-    return ids, Remembering(by_match(splitter(ids.pattern), lambda found: [array("I", match(x.encode("utf-8", "surrogatepass"))).tobytes() for x in found], b"".join), REMEMBERED)
+def _ids(path: str) -> Ids:
+    return Ids(path)
 
 
 def _piece_batches(batches: Iterator[pa.RecordBatch], path: str, window: int) -> Iterator[pa.RecordBatch]:
-    ids, memory = _memory(path)
-    end = END_ID.to_bytes(4, "little")
+    ids, end = _ids(path), END_ID.to_bytes(4, "little")
     for b in batches:
-        keys = b.column("doc_id").cast(pa.int64()).to_pylist()
-        out: list[list] = [[], [], [], [], []]
-        found = b.column("text").to_pylist()
-        cut = [None if x and (ids.fast is None or any(s in x for s in ids.special)) else chunks(x) if x else [] for x in found]
-        start = 0
-        while start < len(found):
-            stop, size = start, 0
-            while stop < len(found) and (stop == start or size + len(cut[stop] or ()) <= REMEMBERED):
-                size += len(cut[stop] or ())
-                stop += 1
-            memory.learn([c for cs in cut[start:stop] if cs for c in cs])
-            for k in range(start, stop):
-                data = (ids.whole(found[k]) if cut[k] is None else b"".join([memory[c] for c in cut[k]])) + end
-                for at in range(0, len(data), 4 * window):
-                    piece = data[at : at + 4 * window]
-                    for column, value in zip(out, (keys[k], at // 4, len(piece) // 4, zlib.crc32(piece), len(data) // 4)):
-                        column.append(value)
-            start = stop
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        out: list[list] = [[] for _ in _PIECE]
+        for key, text in zip(b.column("doc_id").cast(pa.int64()).to_pylist(), b.column("text").to_pylist()):
+            data = (ids.whole(text) if text else b"") + end
+            for at in range(0, len(data), 4 * window):
+                piece = data[at : at + 4 * window]
+                for column, value in zip(out, (key, at // 4, len(piece) // 4, zlib.crc32(piece), len(data) // 4)):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=_PIECE)
 
 
 def pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """Each document's tokens and an end id, cut every `window`: doc_id, start, length, ids_crc32, doc_tokens."""
     tune(docs.sparkSession)
-    return texts(docs).mapInArrow(lambda it: _piece_batches(it, path, window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return texts(docs).mapInArrow(lambda it: _piece_batches(it, path, window), _PIECE_SCHEMA)
 
 
 def sum_of_squares(lengths: list[int], window: int = WINDOW) -> tuple[list[int], list[int]]:
@@ -152,40 +132,17 @@ def sum_of_squares(lengths: list[int], window: int = WINDOW) -> tuple[list[int],
     return where, fill
 
 
-def close_open(lengths: list[int], where: list[int], fill: list[int], window: int = WINDOW) -> list[int]:
-    """Packs the pieces of the windows that the stream left open again, now that no more will come.
-
-    Largest first, each into the fullest window that has room. -> the window of each piece.
-    """
-    where, left = list(where), []
-    loose = sorted(((lengths[i], i) for i, w in enumerate(where) if fill[w] < window), reverse=True)
-    n = len(fill)
-    for s, i in loose:
-        k = bisect_right(left, (window - s, n + len(loose)))
-        f, w = left.pop(k - 1) if k else (0, n)
-        n += w == n
-        where[i] = w
-        if f + s < window:
-            insort(left, (f + s, w))
-    return where
-
-
 def _pack(window: int):
     def pack(found: pa.Table) -> pa.Table:
         shard = found.column("shard")[0].as_py()
         found = found.select(_PIECE).sort_by([(c, "ascending") for c in _PIECE])
         lengths = found.column("length").to_pylist()
         where, fill = sum_of_squares(lengths, window)
-        names: dict[int, int] = {}
-        used: list[int] = []
-        sequence, offset = [], []
-        for w, s in zip(close_open(lengths, where, fill, window), lengths):
-            k = names.setdefault(w, len(used))
-            if k == len(used):
-                used.append(0)
-            sequence.append((shard << 32) + k)
-            offset.append(used[k])
-            used[k] += s
+        used, sequence, offset = [0] * len(fill), [], []
+        for w, s in zip(where, lengths):
+            sequence.append((shard << 32) + w)
+            offset.append(used[w])
+            used[w] += s
         return found.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
     return pack
@@ -194,10 +151,11 @@ def _pack(window: int):
 def pack(docs: DataFrame, path: str, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null and empty texts give one piece of the end id alone. Repeated rows are packed once each.
-    No row is dropped; sequence ids are unique, not gapless.
+    Null and empty texts give one piece of the end id alone. Repeated rows, and rows without a
+    doc_id, are packed once each. No row is dropped; sequence ids are unique, not gapless. Rows are
+    dealt over shards in turn, so equal rows, however many, don't meet in one.
     """
     cut = materialize(pieces(docs, path, window), "pieces")
     shards = max(1, -(-cut.count() // shard))
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(_pack(window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    dealt = cut.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)))
+    return dealt.groupBy("shard").applyInArrow(_pack(window), f"{_PIECE_SCHEMA}, sequence_id long, offset long")

@@ -101,11 +101,40 @@ def test_sum_of_squares_is_the_rule():
         level[w] = h + s
         count[h + s] += h + s < 20
     assert [level[k] for k in range(len(fill))] == fill
-    closed = packing.close_open(lengths, where, fill, 20)
-    total = defaultdict(int)
-    for s, w in zip(lengths, closed):
-        total[w] += s
-    assert max(total.values()) <= 20 and len(total) <= len(fill)
+
+
+def test_levels_that_tie():
+    """A 2 may go to level 6 or 7 of 10, with the same sum of squares: the fullest level wins."""
+    assert packing.sum_of_squares([6, 7, 2], 10) == ([0, 1, 1], [6, 9])
+    assert packing.sum_of_squares([1], 1) == ([0], [1]) and packing.sum_of_squares([], 8) == ([], [])
+
+
+def test_packing_of_repeated_rows_and_null_ids(spark):
+    data = [(1, "one two three")] * 40 + [(None, None)] * 40 + [(None, "x y " * 900)] * 3
+    found = packing.pack(spark.createDataFrame(data, "doc_id long, text string"), JSON, shard=16)
+    got = found.collect()
+    assert sum(r.start == 0 for r in got) == len(data) and sum(r.length for r in got if r.doc_id is None and r.doc_tokens == 1) == 40
+    shards = defaultdict(int)
+    for r in got:
+        shards[r.sequence_id >> 32] += 1
+    assert max(shards.values()) <= 2 * 16
+    fill = defaultdict(int)
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == fill[r.sequence_id]
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 1024
+
+
+def test_ids_are_those_of_tokenizers():
+    from tokenizers import Tokenizer
+
+    own, slow, rng = packing.Ids(JSON), Tokenizer.from_file(JSON), random.Random(11)
+    alphabet = ["a", "the", "I'll", "'s", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\u3000", "\u200b", "é", "e\u0301", "日本", "Ⅷ", "½", "٣", "🙂", "12", "3.5", "#!", "_", "İ", "<|endoftext|>", "\x00"]
+    for _ in range(1500):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25)))
+        assert own.whole(text) == np.array(slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+    for text in (" " * 100_000, " " * 100_000 + "x", "a" * 100_000, "ab\n" * 50_000, "!" * 50_000):
+        assert own.whole(text) == np.array(slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_special_tokens_in_texts(spark):
