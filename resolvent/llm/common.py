@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import shutil
 import tempfile
-import time
 import uuid
+import weakref
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 #: bytes.split() without arguments splits UTF-8 at exactly this set.
 SPACE = " \t\n\x0b\x0c\r"
 
-#: Seconds that Spark's cleaner is given to remove shuffle files.
-RELEASE_S = 2.0
+#: A key of a join is heavy if it has more than 1 / HEAVY of all rows, and more than LIGHT rows: fewer than HEAVY keys are, whatever the table.
+HEAVY, LIGHT = 4_000, 1_000
 
 
 def tune(spark: SparkSession) -> None:
@@ -26,47 +26,79 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session (as in tests) gets a folder of its own that goes when Python
+    ends; on a cluster that is an error, as executors couldn't see such a folder.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="resolvent-")
+        atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def new_table(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/resolvent/{name}-{uuid.uuid4().hex}"
+#: Where the written intermediate tables are that someone still holds.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet in the shared folder and reads it back.
 
-    Every executor can read it again after another is lost. The caller's result may still read
-    the table lazily, so it is left for whoever owns the shared folder to clear.
+    Every executor can read it again after another is lost. A table that the caller's result reads
+    lazily is left for whoever owns the shared folder to clear; others go by discard().
     """
-    path = new_table(df.sparkSession, name)
+    path = f"{shared_folder(df.sparkSession)}/resolvent/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of materialize() that nothing will read again: all that was made of them is written."""
+    for t in tables:
+        if t is not None and (path := _WRITTEN.pop(t, None)):
+            sc = t.sparkSession.sparkContext
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def heavy(counts: DataFrame, keys: list[str], count: str, rows: int) -> DataFrame | None:
+    """The heavy keys of a table of keys and their rows, `rows` in all: fewer than HEAVY. None if there are none."""
+    found = materialize(counts.where(F.col(count) > max(LIGHT, rows // HEAVY)).select(*keys), "heavy")
+    if found.isEmpty():
+        discard(found)
+        return None
+    return found
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of shuffle files that only served tables already written, instead of whenever the driver next collects its garbage."""
-    for _ in range(2):  # the JVM hears of what Python let go a moment later
-        gc.collect()
-        time.sleep(RELEASE_S / 4)
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(RELEASE_S / 4)
+def join_split(left: DataFrame, right: DataFrame, keys: list[str], heavy: DataFrame | None, how: str = "inner") -> DataFrame:
+    """left joined with right, whose keys are unique. Rows of heavy keys stay where they are: of right, fewer than HEAVY rows are broadcast for them."""
+    if heavy is None:
+        return left.join(right, keys, how)
+    few = F.broadcast(heavy)
+    light = left.join(few, keys, "left_anti").join(right, keys, how)
+    return light.unionByName(left.join(few, keys, "left_semi").join(F.broadcast(right.join(few, keys, "left_semi")), keys, how))
+
+
+def plain(docs: DataFrame, *own: str) -> DataFrame:
+    """docs with all columns but doc_id, text and those in own named by their place, so that no name can clash or needs quotes.
+
+    `.toDF(*docs.columns)` gives the names back.
+    """
+    keep = {"doc_id", "text", *own}
+    return docs.toDF(*[c if c in keep else f"column_{k}" for k, c in enumerate(docs.columns)])
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """The two columns that an operator reads, so that no other column of docs can clash with its own."""
-    return docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return plain(docs, *more).select(F.col("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
 def bucket(column: str, modulus: int) -> Column:
     """crc32 of the column as text, modulo modulus: how the folds are dealt."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
-
-
-def arrow(schema: str | pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(columns, schema=schema)

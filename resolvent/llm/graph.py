@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 MAX_ROUNDS = 100
 
@@ -33,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = materialize(large, "links")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low.withColumnRenamed("u", "c"), F.col("u") == F.col("c")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        old, e = e, materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(old, large)
         now = _state(e)
         if now == before:
             return e

@@ -17,16 +17,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bucket, texts, tune
+from .common import bucket, plain, texts, tune
 
-#: Training bounds per language: rows fetched, characters in the automaton, characters that set its own rate.
-SAMPLE_ROWS, AUTOMATON_CHARS, RATE_CHARS = 60, 16_000, 16_000
+#: Training bounds per language: rows fetched, characters of a row's text, characters in the automaton, characters that set its own rate.
+SAMPLE_ROWS, ROW_CHARS, AUTOMATON_CHARS, RATE_CHARS = 60, 4_000, 16_000, 16_000
 ALPHABET, BLOCK, LANES, UNKNOWN = 62, 1024, 4096, "und"
 #: How much a phrase rate above the best counts in the score.
 SHARPNESS = 12.0
+#: Phrases that a text of any language may need beyond what its length explains, and the excess over which it is in no learned language.
+FREE, STRANGE = 6, 2.5
 
 
 @functools.lru_cache(maxsize=1)
@@ -146,32 +148,34 @@ class Model:
                 np.add.at(phrases[:, k], own, _phrases(table, steps, active) + 1)
         return phrases, chars
 
-    def predict(self, found: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def predict(self, found: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and excess of each text: the phrases beyond FREE that it needs, as a multiple of its language's own rate."""
         phrases, chars = self.parse(found)
         letters = np.array([bool(t) and any(map(str.isalpha, t)) for t in found], bool)
         rel = phrases / np.maximum(chars, 1)[:, None] / self.rates
         best = rel.argmin(axis=1)
         near = np.exp(-SHARPNESS * (rel - rel.min(axis=1, keepdims=True)))
         score = np.where(letters, near.max(axis=1) / near.sum(axis=1), 0.0)
-        return [self.names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist())], score
+        fewest = np.take_along_axis(phrases, best[:, None], 1)[:, 0]
+        excess = np.maximum(fewest - FREE, 0) / np.maximum(chars, 1) / self.rates[best]
+        return [self.names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist())], score, excess
 
 
-def learn(docs: DataFrame) -> tuple[list[str], list[str], list[str]]:
+def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = ROW_CHARS) -> tuple[list[str], list[str], list[str]]:
     """Names and bounded labelled text of the languages of docs: for the automaton, and for its rate.
 
-    Only rows whose crc32 of doc_id modulo 3 is not 1, with a language and text, are read. About
-    SAMPLE_ROWS per language come to the driver, chosen by a hash of doc_id, whatever the number of
-    rows; a language is learned if it has a single row.
+    Only rows whose crc32 of doc_id modulo 3 is not 1, with a language and text, are read; rows without
+    a doc_id are not. Of each language, however rare beside others, at most `rows` come to the driver,
+    those of least hash of doc_id, each with at most `chars` characters from a hashed place of its text.
+    A language is learned if it has a single row.
     """
-    rows = texts(docs, "lang").where("lang is not null and text is not null").where(bucket("doc_id", 3) != 1)
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
-        return [], [], []
-    part = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE_ROWS / n))])
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1_000_000)) / 1_000_000.0
+    found = texts(docs, "lang").where("lang is not null and text is not null").where(bucket("doc_id", 3) != 1)
+    place = F.xxhash64("doc_id", F.lit("language sample"))
+    start = F.pmod(place, F.greatest(F.length("text") - chars + 1, F.lit(1))).cast("int") + 1
+    found = found.select(F.col("lang").cast("string").alias("lang"), "doc_id", place.alias("place"), F.col("text").substr(start, F.lit(chars)).alias("text"))
+    order = Window.partitionBy("lang").orderBy("place", "doc_id", "text")
     got: dict[str, list] = {}
-    sample = rows.where(place < part[F.col("lang")]).select("lang", "doc_id", F.substring("text", 1, 4000).alias("text"))
-    for r in sample.orderBy("lang", place, "doc_id", "text").limit(4 * SAMPLE_ROWS * len(counts)).collect():
+    for r in found.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows).orderBy("lang", "k").select("lang", "text").collect():
         got.setdefault(r.lang, []).append(r.text)
     names, automaton, rate = [], [], []
     for name, found in sorted(got.items()):
@@ -188,37 +192,43 @@ def _model(learned: tuple) -> Model:
 
 
 def predictor(spark: SparkSession, learned: tuple[list[str], list[str], list[str]]):
-    """A column function text -> struct(lang_pred, score). What is learned is a few kB per language."""
+    """A column function text -> struct(lang_pred, score, excess). What is learned is a few kB per language."""
     tune(spark)
     held = tuple(map(tuple, learned))
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, excess double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for text in batches:
             if held[0]:
-                names, score = _model(held).predict(text.tolist())
+                names, score, excess = _model(held).predict(text.tolist())
             else:
-                names, score = [UNKNOWN] * len(text), np.zeros(len(text))
-            yield pd.DataFrame({"lang_pred": names, "score": score})
+                names, score, excess = [UNKNOWN] * len(text), np.zeros(len(text)), np.zeros(len(text))
+            yield pd.DataFrame({"lang_pred": names, "score": score, "excess": excess})
 
     return predict
 
 
-def _own(text: Column) -> Column:
-    return text.cast("string")
-
-
 def predict_languages(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of each row's whole text.
+    """doc_id, held_out, lang_pred, score and excess of each row's whole text.
 
     Null texts and texts without a letter are `und` with score 0. If docs has no labelled row to
-    learn from, every text is `und`. Repeated rows give equal rows. Scores need no shuffle.
+    learn from, every text is `und`. Equal rates go to the language first in the alphabet. Repeated
+    rows give equal rows. A row without a doc_id has no fold: held_out is null. Scores need no shuffle.
     """
     predict = predictor(docs.sparkSession, learn(docs))
-    return texts(docs).select("doc_id", (bucket("doc_id", 3) == 1).alias("held_out"), predict("text").alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
+    return texts(docs).select("doc_id", (bucket("doc_id", 3) == 1).alias("held_out"), predict("text").alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score", "p.excess")
 
 
-def with_language(docs: DataFrame) -> DataFrame:
-    """docs without the rows that are `und`: null texts and texts with no letter. All columns stay."""
-    predict = predictor(docs.sparkSession, learn(docs))
-    return docs.where(predict(_own(F.col("text")))["lang_pred"] != UNKNOWN)
+def with_language(docs: DataFrame, languages: list[str] | None = None, strange: float = STRANGE) -> DataFrame:
+    """docs in one of the given languages (all learned ones by default). All columns stay.
+
+    Rejected are null texts, texts with no letter, texts predicted to be in another language, and
+    texts that need over `strange` times the phrases that text of the predicted language does: they
+    are in no learned language. Without a labelled row there is no language, and no row stays.
+    """
+    own = plain(docs, "lang")
+    predict = predictor(docs.sparkSession, learn(own))
+    kept = own.withColumn("predicted", predict(F.col("text").cast("string"))).where((F.col("predicted.lang_pred") != UNKNOWN) & (F.col("predicted.excess") <= strange))
+    if languages is not None:
+        kept = kept.where(F.col("predicted.lang_pred").isin(languages))
+    return kept.drop("predicted").toDF(*docs.columns)

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import texts, tune
 
 UNKNOWN, NONE = "unknown", "none"
-#: Sampled documents whose paragraphs teach the unknown class; words per stretch; confirmation; least probability.
-SAMPLE_DOCS, LONGEST, CONFIRMED, LEAST = 300, 80, 0.8, 0.5
+#: Sampled documents whose paragraphs teach the unknown class, characters of each; words per stretch; confirmation; least probability.
+SAMPLE_DOCS, ROW_CHARS, LONGEST, CONFIRMED, LEAST = 300, 2_000, 80, 0.8, 0.5
 
 #: Short notices by family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -210,13 +210,19 @@ def confirmed_nowhere(found: list[str]) -> bool:
     return all(len(q & had) < CONFIRMED * len(q) for ts in TEMPLATES.values() for q in (pairs(tokens(t)) for t in ts))
 
 
-def learn(docs: DataFrame, rows: int = SAMPLE_DOCS) -> list[list[str]]:
-    """Words of paragraphs of at most `rows` documents, chosen by a hash of doc_id; no licence notices among them."""
-    place = F.xxhash64(F.col("doc_id"), F.lit("license sample"))
-    ids = [r.doc_id for r in docs.select("doc_id").where("doc_id is not null").orderBy(place, "doc_id").limit(rows).collect()]
-    found = texts(docs).where(F.col("doc_id").isin(ids)).select(F.substring("text", 1, 2000).alias("text")).limit(2 * rows).collect() if ids else []
-    words = sorted({tuple(p) for r in found for b in blocks(r.text) for p in stretches([w for t in b for w in t])})
-    return [list(t) for t in words if len(t) > 2 and confirmed_nowhere(list(t))][: 4 * rows]
+def learn(docs: DataFrame, rows: int = SAMPLE_DOCS, chars: int = ROW_CHARS) -> list[list[str]]:
+    """Words of paragraphs that hold no licence notice, of at most `rows` documents, those of least hash of doc_id.
+
+    Of each, at most `chars` characters from a hashed place of its text are read; of rows that repeat
+    a doc_id, the one of least text.
+    """
+    place = F.xxhash64("doc_id", F.lit("license sample"))
+    own = texts(docs).where("doc_id is not null and text is not null")
+    ids = [r.doc_id for r in own.select("doc_id").distinct().orderBy(place, "doc_id").limit(rows).collect()]
+    start = F.pmod(place, F.greatest(F.length("text") - chars + 1, F.lit(1))).cast("int") + 1
+    part = own.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min(F.col("text").substr(start, F.lit(chars))).alias("text"))
+    words = sorted({tuple(p) for r in (part.collect() if ids else ()) for b in blocks(r.text) for p in stretches([w for t in b for w in t])})
+    return [list(t) for t in words if len(t) > 2 and confirmed_nowhere(list(t))]
 
 
 def _scan(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, texts, tune
+from .common import heavy, join_split, materialize, plain, texts, tune
 
 WIDTH = 64
 _HEADER = re.compile(rb"P5\n# bytes (\d+)\n64 (\d+)\n255\n")
@@ -93,7 +93,7 @@ def _read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sequences(pages: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
     """id and the interleaved sequence of each page."""
     tune(pages.sparkSession)
-    return pages.select(F.col(key).cast("long").alias("id"), F.col(column).cast("string").alias("html")).mapInArrow(_read_pages, f"id long, sequence {SEQUENCE}")
+    return plain(pages, key, column).select(F.col(key).cast("long").alias("id"), F.col(column).cast("string").alias("html")).mapInArrow(_read_pages, f"id long, sequence {SEQUENCE}")
 
 
 def to_media(data: bytes) -> bytes:
@@ -120,11 +120,15 @@ def feature(samples: bytes) -> str:
     return f"{mean:.3f};{dev:.3f};" + ",".join(str(v) for v in (count.reshape(16, 16).sum(axis=1) * 1000 // len(x)).tolist())
 
 
+#: A document's page: a heading, its medium with a caption, and a closing text, in this order.
+_PAGE = '<article><h1>{0}</h1><figure><img src="sha256:{1}" alt="old"><figcaption>{0}</figcaption></figure><p>end of {0}</p></article>'
+
+
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         media = [to_media((t or "").encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()]
         digest = [hashlib.sha256(m).hexdigest() for m in media]
-        page = [f'<figure><img src="sha256:{d}"><figcaption>{html.escape(str(i))}</figcaption></figure>' for d, i in zip(digest, b.column("doc_id").to_pylist())]
+        page = [_PAGE.format(html.escape(str(i)), d) for d, i in zip(digest, b.column("doc_id").to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(page), pa.array(digest), pa.array(media, pa.binary())], names=["doc_id", "html", "digest", "media"])
 
 
@@ -139,27 +143,45 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k in (0, 3, 6, 7) else pa.int64()) for k, c in enumerate(out)], names=names)
 
 
+_MEASURES = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
+
+
 def measurements(store: DataFrame) -> DataFrame:
-    """One row per digest of a store (digest, media): what the stored bytes measure when read back."""
+    """One row per digest of a store (digest, media): what the stored bytes measure when read back, and the rows that have it as c."""
     tune(store.sparkSession)
-    found = store.select("digest", "media").mapInArrow(_measure, "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    return found.dropDuplicates(["digest"])
+    found = store.select("digest", "media").mapInArrow(_measure, "digest string, " + ", ".join(f"{k} {v}" for k, v in _MEASURES.items()))
+    return found.groupBy("digest").agg(F.count("*").alias("c"), *[F.first(k).alias(k) for k in _MEASURES])
 
 
 def resolve(found: DataFrame, store: DataFrame) -> DataFrame:
-    """id, position, caption and the measurements of each media reference of sequences(); unknown digests give nulls."""
-    refs = found.select("id", F.explode("sequence").alias("x")).where("x.kind = 'media'").select("id", "x.position", "x.caption", F.substring("x.ref", 8, 64).alias("ref"))
-    return refs.join(measurements(store), F.col("ref") == F.col("digest"), "left").drop("digest")
+    """Every item of sequences(): id, position, kind, text, caption, and of media references the measurements; unknown digests give nulls.
+
+    Texts stay where they are. References are joined by digest; of digests that very many share,
+    fewer than common.HEAVY, the measurements are broadcast.
+    """
+    ref = F.when((F.col("x.kind") == "media") & F.col("x.ref").startswith("sha256:"), F.substring("x.ref", 8, 64))
+    items = materialize(found.select("id", F.explode("sequence").alias("x")).select("id", "x.position", "x.kind", "x.text", "x.ref", "x.caption", ref.alias("digest")), "items")
+    measured = materialize(measurements(store), "measured")
+    refs = items.where("digest is not null")
+    common = heavy(refs.groupBy("digest").agg(F.count("*").alias("c")), ["digest"], "c", refs.count())
+    known = join_split(refs, measured.drop("c"), ["digest"], common, "left")
+    return known.unionByName(items.where("digest is null"), allowMissingColumns=True).drop("digest")
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """Each row's whole text as a stored medium, referred to by a page and resolved by digest.
+    """Each row's whole text as a stored medium, which a page of text, medium and text refers to, resolved by digest.
 
     One row for each row of docs: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature, caption. Null and empty texts give a medium of 64 zeros.
-    Equal texts share a digest, and so all values.
+    media_bytes, media_sha256, feature, position and caption of the medium in its page. Null and
+    empty texts give a medium of 64 zeros. Equal texts share a digest, and so all values but the
+    caption, which is the doc_id. Repeated rows give equal rows; rows without a doc_id stay.
     """
     tune(docs.sparkSession)
     stored = materialize(texts(docs).mapInArrow(_store, "doc_id long, html string, digest string, media binary"), "media")
-    found = resolve(sequences(stored, "doc_id"), stored)
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption")
+    found = resolve(sequences(stored, "doc_id"), stored).where("kind = 'media'")
+    return found.select(F.col("id").alias("doc_id"), *_MEASURES, "position", "caption")
+
+
+def page_items(pages: DataFrame) -> DataFrame:
+    """page_id, position, kind, text, ref and caption of what each page shows, in order. Null and empty pages have none."""
+    return sequences(pages).select(F.col("id").alias("page_id"), F.explode("sequence").alias("x")).select("page_id", "x.*")

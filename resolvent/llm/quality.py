@@ -1,8 +1,10 @@
 """Quality scores by positive-unlabelled learning.
 
 A small network on text measurements minimises the non-negative unbiased risk: of trusted positives
-(labelled rows with quality 1), of unlabelled web text, and of a class prior, estimated from the
-share of positives among the labelled training rows. No labelled negative is ever shown to it.
+(labelled rows with quality 1), of unlabelled web text, and of a class prior. The prior is estimated
+from the same two samples: where a classifier of positives against unlabelled text is surest, nearly
+all unlabelled rows are positive, so the least ratio of the two samples' shares above a threshold
+bounds the prior. Labelled negatives take no part.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, texts, tune
+from .common import bucket, plain, texts, tune
 
 #: Rows of each kind, positive and unlabelled, that the model is fitted on at most.
 SAMPLE_ROWS = 6_000
@@ -78,6 +80,49 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(STEEPNESS * self.margin(x) + np.log(BOUNDARY / (1 - BOUNDARY)), -30, 30)))
 
 
+def _halves(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    at = rng.permutation(len(x))
+    return x[at[::2]], x[at[1::2]]
+
+
+def _direction(p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Weights and bias of a logistic regression of p against u, both given the same weight; a few Newton steps."""
+    x = np.concatenate([p, u])
+    x = np.column_stack([x, np.ones(len(x))])
+    y = np.repeat([1.0, 0.0], [len(p), len(u)])
+    weight = np.repeat([0.5 / len(p), 0.5 / len(u)], [len(p), len(u)])
+    w = np.zeros(x.shape[1])
+    for _ in range(12):
+        s = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (weight * (s - y)) + 1e-3 * w
+        w = w - np.linalg.solve((x * (weight * s * (1 - s) + 1e-9)[:, None]).T @ x + 1e-3 * np.eye(len(w)), slope)
+    return w
+
+
+def least_ratio(p: np.ndarray, u: np.ndarray) -> float:
+    """The share of u over that of p above the threshold where the ratio, with room for chance in both, is least."""
+    room = np.sqrt(np.log(20) / 2 / len(u)) + np.sqrt(np.log(20) / 2 / len(p))
+    at = np.unique(p)
+    above = lambda x: 1 - np.searchsorted(np.sort(x), at, side="left") / len(x)
+    in_p, in_u = above(p), above(u)
+    best = int(((in_u + room) / in_p).argmin())
+    return float(in_u[best] / in_p[best])
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 5) -> float:
+    """The share of positives in the unlabelled sample, between 0.02 and 0.98; each half of the samples is scored by the other's classifier."""
+    both = np.concatenate([positive, unlabelled]).astype(np.float64)
+    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
+    rng = np.random.default_rng(seed)
+    (p1, p2), (u1, u2) = (_halves(np.clip((x - mean) / scale, -6, 6), rng) for x in (positive, unlabelled))
+    found = []
+    for (p, u), (q, v) in (((p1, u1), (p2, u2)), ((p2, u2), (p1, u1))):
+        if len(p) and len(u) and len(q) and len(v):
+            w = _direction(p, u)
+            found.append(least_ratio(q @ w[:-1] + w[-1], v @ w[:-1] + w[-1]))
+    return float(np.clip(np.mean(found), 0.02, 0.98)) if found else 0.5
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 7) -> tuple | None:
     """Minimises the non-negative risk prior E_p l(g) + max(0, E_u l(-g) - prior E_p l(-g)) with the sigmoid loss l.
 
@@ -122,33 +167,34 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = [measure(t).tolist() for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("kind"), pa.array(x, pa.list_(pa.float32()))], names=["kind", "x"])
+        yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("doc_id").cast(pa.int64()), pa.array(x, pa.list_(pa.float32()))], names=["kind", "doc_id", "x"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple | None:
     """Fits the model on at most `rows` positives and `rows` documents of the training fold, whatever their labels.
 
     The second sample is the unlabelled one: labels are ignored, so it is there however many documents
-    are labelled, and a document may be in both. Only rows whose crc32 of doc_id modulo 4 is not 2 are used. The samples are the smallest hashes
-    of doc_id; ids alone are sampled, and the at most 2 * rows found are broadcast against docs.
+    are labelled, and a document may be in both. Only rows whose crc32 of doc_id modulo 4 is not 2 are
+    used; of rows that repeat a doc_id one counts. The samples are the smallest hashes of doc_id; ids
+    alone are sampled, and the at most 2 * rows found are broadcast against docs.
     """
     tune(docs.sparkSession)
-    marked = labels.where("doc_id is not null and quality is not null").where(bucket("doc_id", 4) != 2).groupBy("doc_id").agg(F.max("quality").alias("q"))
-    n, good = marked.agg(F.count("*"), F.sum((F.col("q") == 1).cast("long"))).first()
-    if not n or not good:
-        return None
     place = F.xxhash64(F.col("doc_id"), F.lit("quality sample"))
-    positive = marked.where("q = 1").select("doc_id", F.lit(1).alias("kind"), place.alias("h")).orderBy("h").limit(rows)
-    ids = docs.select("doc_id").where("doc_id is not null").where(bucket("doc_id", 4) != 2).distinct()
-    free = ids.select("doc_id", F.lit(0).alias("kind"), place.alias("h")).orderBy("h").limit(rows)
+    marked = labels.where("doc_id is not null and quality = 1").where(bucket("doc_id", 4) != 2).select("doc_id").distinct()
+    positive = marked.select("doc_id", F.lit(1).alias("kind"), place.alias("h")).orderBy("h", "doc_id").limit(rows)
+    ids = plain(docs).select("doc_id").where("doc_id is not null").where(bucket("doc_id", 4) != 2).distinct()
+    free = ids.select("doc_id", F.lit(0).alias("kind"), place.alias("h")).orderBy("h", "doc_id").limit(rows)
     picked = positive.unionByName(free).select("doc_id", "kind").collect()
     chosen = docs.sparkSession.createDataFrame(pd.DataFrame({"p_id": [r.doc_id for r in picked], "kind": [r.kind for r in picked]}), "p_id long, kind int")
-    found = texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("p_id")).select("kind", "text").mapInArrow(_measured, "kind int, x array<float>").limit(4 * rows).collect()
+    found = texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("p_id")).select("kind", "doc_id", "text").mapInArrow(_measured, "kind int, doc_id long, x array<float>")
+    one = found.groupBy("kind", "doc_id").agg(F.min("x").alias("x"))  # of rows that repeat a doc_id, one
+    found = one.collect()
     x = np.array([r.x for r in found], np.float32).reshape(-1, len(FEATURES))
     kind = np.array([r.kind for r in found])
     order = np.lexsort([*x.T, kind])  # the fit doesn't depend on the order of arrival
     x, kind = x[order], kind[order]
-    return fit(x[kind == 1], x[kind == 0], good / n)
+    good, free = x[kind == 1], x[kind == 0]
+    return fit(good, free, estimated_prior(good, free)) if len(good) and len(free) else None
 
 
 def scorer(w: tuple | None):
@@ -168,7 +214,8 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= BOUNDARY) of each row's whole text.
 
     Null, empty and wordless texts get the score of a text without measurements. Repeated rows give
-    equal rows. Without labelled positives to learn from every score is 0.5.
+    equal rows. A row without a doc_id has no fold: held_out is null. Without labelled positives to
+    learn from every score is 0.5.
     """
     score = scorer(learn(docs, labels))
     return texts(docs).select("doc_id", (bucket("doc_id", 4) == 2).alias("held_out"), score("text").alias("score")).withColumn("predicted", F.when(F.col("score") >= BOUNDARY, 1).otherwise(0).cast("int"))
@@ -177,4 +224,4 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs whose score reaches BOUNDARY. All columns stay. Without a model every row stays."""
     w = learn(docs, labels)
-    return docs if w is None else docs.where(scorer(w)(F.col("text").cast("string")) >= BOUNDARY)
+    return docs if w is None else plain(docs).where(scorer(w)(F.col("text").cast("string")) >= BOUNDARY).toDF(*docs.columns)

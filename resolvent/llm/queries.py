@@ -50,9 +50,17 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
+def rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.ablated(table(spark, sf_dir, "documents"))
+
+
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.page_items(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_packing, op3_licenses, op4_suffix_dedup, op5_media, op6_substring_dedup, op7_quality, op8_language, op9_rules, op10_bpe)}
-ORACLES: dict[str, str] = {"op4_suffix_dedup": suffixes.ORACLE, "op6_substring_dedup": windows.ORACLE, "op9_rules": rules.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_packing, op3_licenses, op4_suffix_dedup, op5_media, op6_substring_dedup, op7_quality, op8_language, op9_rules, op10_bpe, rules_ablation, media_pages)}
+ORACLES: dict[str, str] = {"op4_suffix_dedup": suffixes.ORACLE, "op6_substring_dedup": windows.ORACLE, "op9_rules": rules.ORACLE, "rules_ablation": rules.ABLATION_ORACLE}

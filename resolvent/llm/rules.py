@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, texts
 
 REPEAT = 5
 _GAP, _SYMBOL = "[\\x20\\x09-\\x0D]+", "[#*$%&|<>]"
@@ -60,7 +60,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     Null, empty and wordless texts measure zero throughout, and fail few_words alone. Windows are
     told apart by 64-bit hashes within a text. Repeated rows give equal rows.
     """
-    rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    rows = texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     trimmed = F.btrim("t", F.lit(SPACE))
     rows = rows.select("doc_id", "t", F.when(trimmed == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(trimmed, _GAP)).alias("w"))
     lines = F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
@@ -89,6 +89,11 @@ def judge(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     )
 
 
+def ablated(docs: DataFrame) -> DataFrame:
+    """What each rule of each policy removes of docs, and what it alone removes."""
+    return ablation(ledger(docs))
+
+
 def ablation(found: DataFrame) -> DataFrame:
     """policy, rule, n_failed and n_only (rows that this rule alone removes) from a ledger.
 
@@ -121,3 +126,10 @@ b AS (SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept, failures::BIGINT AS failures FROM b
 """
+
+ABLATION_ORACLE = f"""
+WITH led AS (SELECT failures FROM ({ORACLE})),
+rule(policy, rule, bit, mask) AS (VALUES {", ".join(f"('{p}', '{name}', {1 << k}, {mask(p)})" for p in POLICIES for k, name in enumerate(RULES) if name in POLICIES[p])})
+SELECT policy, rule, sum(CASE WHEN failures & bit <> 0 THEN 1 ELSE 0 END)::BIGINT AS n_failed, sum(CASE WHEN failures & mask = bit THEN 1 ELSE 0 END)::BIGINT AS n_only
+FROM led CROSS JOIN rule GROUP BY policy, rule
+"""

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, texts, tune
+from .common import discard, materialize, plain, texts, tune
 from .graph import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
@@ -154,12 +154,14 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows that repeat a doc_id are one document: one of them stays. Rows without a doc_id stay.
     """
-    found = materialize(near_duplicates(docs).select("doc_id", "component_id"), "groups")
+    own = plain(docs)
+    found = materialize(near_duplicates(own).select("doc_id", "component_id"), "groups")
     gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     if gone.count() <= BROADCAST_IDS:  # else Spark shuffles the texts
         gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = own.join(gone, "doc_id", "left_anti").select(*own.columns)
     again = materialize(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if again.isEmpty():
-        return kept
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    discard(found)
+    if not again.isEmpty():
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*own.columns)
+    return kept.toDF(*docs.columns)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tune
+from .common import discard, heavy, join_split, materialize, texts, tune
 
 SPAN, GRAM = 400, 32
 _REACH = SPAN - GRAM + 1
@@ -385,12 +385,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     both. Rows without a doc_id take part like any other.
     """
     tune(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    rows = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     cut = materialize(rows.where("text is not null").mapInArrow(_cut, "gram long, seg long, doc_id long, text_hash long, start int, n int"), "segments")
     kinds = cut.groupBy("gram", "seg").agg(F.count("*").alias("c"), F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.first("start").alias("start"), F.first("n").alias("n"))
     kinds = materialize(kinds, "kinds")
-    grams = kinds.groupBy("gram").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).where("total > 1").select("gram", "kinds")
-    wanted = materialize(kinds.join(grams, "gram").withColumn("again", F.col("c") > 1).withColumn("parts", F.ceil(F.col("kinds") / SHARED).cast("int")), "wanted")
+    n_cut, n_kinds = kinds.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    common = heavy(kinds, ["gram", "seg"], "c", n_cut)
+    grams = materialize(kinds.groupBy("gram").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).where("total > 1").select("gram", "kinds"), "grams")
+    wide = heavy(grams, ["gram"], "kinds", n_kinds)
+    wanted = join_split(kinds, grams, ["gram"], wide).withColumn("again", F.col("c") > 1).withColumn("parts", F.ceil(F.col("kinds") / SHARED).cast("int"))
+    wanted = materialize(wanted, "wanted")
     size = wanted.agg(F.sum(F.col("n") + SPAN)).first()[0] or 0
     shards = int(size // SHARD_BYTES) + 1
     salt = F.when(F.col("parts") > 1, F.pmod("seg", F.col("parts"))).otherwise(0)
@@ -401,7 +405,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = materialize(fetched.groupBy("shard").applyInArrow(_shard, _FOUND), "repeated")
     merged = found.where("leaders is not null").select("gram", "range", "leaders").groupBy("gram", "range").applyInArrow(_merge, _FOUND)
     runs = found.where("runs is not null").select("gram", "seg", "runs").unionByName(merged.select("gram", "seg", "runs")).groupBy("gram", "seg").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    spans = cut.join(runs, ["gram", "seg"]).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "runs")).alias("spans"))
+    # a set: rows that repeat a doc_id and a text say the same
+    spans = join_split(cut, runs, ["gram", "seg"], common).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "runs")).alias("spans"))
+    spans = materialize(spans, "spans")
+    discard(cut, kinds, common, grams, wide, wanted, found)
     return rows.alias("r").join(spans.alias("w"), key("r", "w"), "left").select("r.doc_id", "text", "spans").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

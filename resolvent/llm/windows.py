@@ -4,8 +4,8 @@ First pass. A window of 13 words is represented by one of its 5-word shingles, t
 hash, which every occurrence of the window chooses alike and which neighbouring windows share. Each
 partition counts the documents of its chosen shingles in a count-min sketch; the merged sketches never count less
 than there are, so they overestimate the count of every window, and one bit a cell (two or more) is
-what the second pass needs. The merged sketch has a fixed size, however large the corpus: where it
-fills up, it lets more through, but loses none.
+what the second pass needs. The sketch grows with the corpus up to a size that every worker can hold;
+beyond that it fills up and lets more through, but loses none.
 
 Second pass. Only runs of windows whose shingle is estimated to be in several documents are written,
 one row for each different run of a document.
@@ -26,14 +26,16 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize, release, texts, tune
+from .common import discard, heavy, join_split, materialize, plain, texts, tune
 
 WINDOW, SHINGLE = 13, 5
 RUN = WINDOW - SHINGLE + 1
-#: The sketch: rows, and cells in each as a power of two. It takes ROWS * 2**CELLS / 8 bytes, merged.
-ROWS, CELLS, PART = 2, 27, 16
-_PARTS = 1 << (CELLS - PART)
+#: The sketch: rows, and the least and most cells in each as a power of two. It takes ROWS * 2**cells / 8 bytes, merged.
+ROWS, FEWEST, MOST, PART = 2, 20, 30, 16
+#: Bytes of text per cell, where cells aren't at their most: about a third of a shingle.
+BYTES_A_CELL = 8
 
 
 class Runs:
@@ -89,19 +91,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _HELD[0], _HELD[1]
 
 
-def cells(shingle: np.ndarray) -> list[np.ndarray]:
-    """The cell in each row of the sketch; the rows are numbered through."""
+def cells(shingle: np.ndarray, power: int) -> list[np.ndarray]:
+    """The cell in each row of a sketch of 2**power cells a row; the rows are numbered through."""
     mixed = (shingle ^ (shingle >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return [(x >> np.uint64(64 - CELLS)) + np.uint64(k << CELLS) for k, x in enumerate((shingle * np.uint64(0x9E3779B97F4A7C15), mixed)[:ROWS])]
+    return [(x >> np.uint64(64 - power)) + np.uint64(k << power) for k, x in enumerate((shingle * np.uint64(0x9E3779B97F4A7C15), mixed)[:ROWS])]
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], power: int) -> Iterator[pa.RecordBatch]:
     """A partition's sketch, in parts of 2**PART cells: the cells counted once, and those counted more often."""
     held: list[np.ndarray] = []
     n = 0
 
     def rows() -> pa.RecordBatch:
-        cell, count = np.unique(np.concatenate([c for x in held for c in cells(x)]), return_counts=True)
+        cell, count = np.unique(np.concatenate([c for x in held for c in cells(x, power)]), return_counts=True)
         part = (cell >> np.uint64(PART)).astype(np.int64)
         low, more = cell.astype(np.uint16), count > 1
         names, at = np.unique(part, return_index=True)
@@ -138,19 +140,22 @@ def _merged(found: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": list(out), "bits": list(out.values())})
 
 
-def sketch(docs: DataFrame) -> np.ndarray:
-    """The merged sketch of docs: a bit for each cell that counts two or more."""
+def sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """The merged sketch of docs, a bit for each cell that counts two or more; and its cells a row as a power of two."""
     tune(docs.sparkSession)
-    parts = texts(docs).where("text is not null").mapInArrow(_counted, "part long, once binary, twice binary")
-    bits = np.zeros(ROWS * _PARTS << (PART - 3), np.uint8)
-    for r in parts.groupBy(F.shiftright("part", 4)).applyInPandas(_merged, "part long, bits binary").collect():
+    found = texts(docs).where("text is not null")
+    size = found.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    power = min(MOST, max(FEWEST, int(size // BYTES_A_CELL).bit_length()))
+    parts = found.mapInArrow(lambda it: _counted(it, power), "part long, once binary, twice binary")
+    bits = np.zeros(ROWS << (power - 3), np.uint8)
+    for r in parts.groupBy(F.shiftright("part", 4)).applyInPandas(_merged, "part long, bits binary").toLocalIterator():
         bits[r.part << (PART - 3) : (r.part + 1) << (PART - 3)] = np.frombuffer(bytes(r.bits), np.uint8)
-    return bits
+    return bits, power
 
 
-def estimated_repeated(bits: np.ndarray, shingle: np.ndarray) -> np.ndarray:
+def estimated_repeated(bits: np.ndarray, power: int, shingle: np.ndarray) -> np.ndarray:
     out = np.ones(len(shingle), bool)
-    for c in cells(shingle):
+    for c in cells(shingle, power):
         out &= (bits[(c >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (c & np.uint64(7)).astype(np.uint8))) & 1 > 0
     return out
 
@@ -161,7 +166,7 @@ _RUN_SCHEMA = "shingle long, words long, doc_id long, text_hash long, n int, sta
 
 def _suspect(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """The different runs of each text that may repeat; the hashes of their windows where there is more than one."""
-    bits = shared.value
+    bits, power = shared.value
     for b in batches:
         found: list[list] = [[] for _ in range(6 + RUN)]
         for key, text_hash, t in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), b.column("text").to_pylist()):
@@ -169,7 +174,7 @@ def _suspect(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
             if not len(r.shingle):
                 continue
             own: dict[tuple[int, int], list[int]] = {}
-            for k in np.flatnonzero(estimated_repeated(bits, r.shingle)).tolist():
+            for k in np.flatnonzero(estimated_repeated(bits, power, r.shingle)).tolist():
                 s, n = int(r.start[k]), int(r.count[k])
                 at = own.setdefault((int(r.shingle[k]), r.hash(s, n)), [])
                 if not at:
@@ -221,24 +226,27 @@ def marks(docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(sketch(docs))
     rows = texts(docs).where("text is not null and doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     runs = materialize(rows.mapInArrow(lambda it: _suspect(it, shared), _RUN_SCHEMA), "runs")
-    release(spark)
     kinds = materialize(runs.groupBy("shingle", "words").agg(F.min("doc_id").alias("low"), F.count("*").alias("c"), F.min("n").alias("n"), *[F.max(w).alias(w) for w in _WINS]), "kinds")
-    release(spark)
-    mixed = kinds.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle")
+    n_runs, n_kinds = kinds.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    common = heavy(kinds, ["shingle", "words"], "c", n_runs)
+    mixed = materialize(kinds.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1"), "mixed")
+    wide = heavy(mixed, ["shingle"], "k", n_kinds)
     wins = F.when(F.col("n") == 1, F.array("words")).otherwise(F.array_compact(F.array(*_WINS)))
-    single = kinds.join(mixed, "shingle", "left_semi").select("shingle", "words", "low", F.posexplode(wins).alias("i", "window"))
-    least = single.groupBy("shingle", "window").agg(F.min("low").alias("least"))
-    bits = single.join(least, ["shingle", "window"]).where("low > least").groupBy("shingle", "words").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i"))).alias("bits"))
-    bits = materialize(bits, "bits")
-    release(spark)
+    single = join_split(kinds, mixed.select("shingle"), ["shingle"], wide).select("shingle", "words", "low", F.posexplode(wins).alias("i", "window"))
+    least = single.groupBy("shingle", "window").agg(F.min("low").alias("least"), F.count("*").alias("k"))
+    least = least.where("k > 1") if wide is None else materialize(least.where("k > 1"), "least")
+    shared_wide = None if wide is None else heavy(least, ["shingle", "window"], "k", RUN * n_kinds)
+    later = join_split(single, least.drop("k"), ["shingle", "window"], shared_wide).where("low > least")
+    bits = materialize(later.groupBy("shingle", "words").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i"))).alias("bits")), "bits")
     judged = kinds.select("shingle", "words", "low", "c").join(bits, ["shingle", "words"], "left").where("c > 1 or bits is not null").drop("c")
     all_ = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n")) - 1
     mask = F.when(F.col("doc_id") > F.col("low"), all_).otherwise(F.coalesce("bits", F.lit(0)))
-    found = runs.select("shingle", "words", "doc_id", "text_hash", "n", "starts").join(judged, ["shingle", "words"]).select("doc_id", "text_hash", "starts", mask.alias("mask")).where("mask > 0")
-    marked = found.select("doc_id", "text_hash", F.transform("starts", lambda s: F.call_function("shiftleft", s.cast("long"), F.lit(16)).bitwiseOR(F.col("mask"))).alias("m"))
-    found = materialize(marked.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("m")).alias("marks")), "marks")
-    del judged, marked, least, single
-    release(spark)
+    marked = join_split(runs.select("shingle", "words", "doc_id", "text_hash", "n", "starts"), judged, ["shingle", "words"], common).select("doc_id", "text_hash", "starts", mask.alias("mask")).where("mask > 0")
+    marked = marked.select("doc_id", "text_hash", F.transform("starts", lambda s: F.call_function("shiftleft", s.cast("long"), F.lit(16)).bitwiseOR(F.col("mask"))).alias("m"))
+    # a set: rows that repeat a doc_id and a text say the same
+    found = materialize(marked.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set("m")).alias("marks")), "marks")
+    discard(runs, kinds, common, mixed, wide, bits, shared_wide, least)
+    shared.unpersist()
     return found
 
 
@@ -252,12 +260,12 @@ def without_repeats(docs: DataFrame, carry: list[str], digest: bool = False) ->
     """
     tune(docs.sparkSession)
     text = F.col("text").cast("string")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), text.alias("text"), F.col("doc_id").cast("long").alias("r_id"), F.xxhash64(text).alias("r_hash"))
+    rows = plain(docs, *carry).select(F.struct(*carry).alias("row"), text.alias("text"), F.col("doc_id").cast("long").alias("r_id"), F.xxhash64(text).alias("r_hash"))
     found = marks(docs)
-    kind = rows.schema["row"].dataType.simpleString()
-    sent = rows.mapInArrow(_packed, f"row {kind}, packed binary, r_id long, r_hash long")
+    row = T.StructField("row", rows.schema["row"].dataType)
+    sent = rows.mapInArrow(_packed, T.StructType([row]).add("packed", "binary").add("r_id", "long").add("r_hash", "long"))
     joined = sent.join(found, (F.col("r_id") == F.col("doc_id")) & (F.col("r_hash") == F.col("text_hash")), "left").select("row", "packed", "marks")
-    return joined.mapInArrow(lambda it: _judged(it, digest), f"row {kind}, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(lambda it: _judged(it, digest), T.StructType([row]).add("n_words", "long").add("n_removed", "long").add("kept", "string"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -270,10 +278,11 @@ def with_texts_cut(docs: DataFrame) -> DataFrame:
 
     Texts that lose nothing stay as they are. n_chars, if there is such a column, follows the text.
     """
-    new = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(None))}
-    kinds = dict(docs.dtypes)
-    found = without_repeats(docs, [c for c in docs.columns if c != "text"])
-    return found.select(*[(new[c].cast(kinds[c]) if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    own = plain(docs, "n_chars")
+    new = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("row.n_chars") if "n_chars" in own.columns else F.lit(None))}
+    kinds = dict(own.dtypes)
+    found = without_repeats(own, [c for c in own.columns if c != "text"])
+    return found.select(*[(new[c].cast(kinds[c]) if c in new else F.col(f"row.{c}")).alias(c) for c in own.columns]).toDF(*docs.columns)
 
 
 ORACLE = r"""

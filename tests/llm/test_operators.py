@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from resolvent.llm import bpe, graph, langid, licenses, media, packing, quality, rules, simhash, suffixes, windows
+from resolvent.llm import bpe, common, graph, langid, licenses, media, packing, quality, rules, simhash, suffixes, windows
 
 from . import brute
 
@@ -176,6 +176,20 @@ def test_licenses_match_a_plain_pass(docs, texts):
         assert (name == "none") <= all(x == licenses.UNKNOWN for x in found)
 
 
+def test_license_scores_by_plain_sums(docs, texts):
+    """Every prediction again, from the weights alone, one word and one pair at a time."""
+    model = licenses.Model(licenses.learn(docs))
+    found = [licenses.tokens(t) for ts in licenses.TEMPLATES.values() for t in ts] + [p for _, t in texts for _, p in model.paragraphs(t)[1]]
+    for words, (name, score) in zip(found, model.predict(found)):
+        grams = {(w,) for w in words} | set(zip(words, words[1:]))
+        own = [sum(model.w[model.at[g]][k] for g in grams if g in model.at) + model.w[-1][k] + model.w[-2][k] * 2 * sum((w,) not in model.at for w in words) / max(1, len(words)) for k in range(len(model.classes))]
+        e = np.exp((np.array(own) - max(own)) / model.temperature)
+        e /= e.sum()
+        best = max(range(len(own)), key=lambda k: (own[k], -k))
+        sure = model.classes[best] != licenses.UNKNOWN and e[best] >= licenses.LEAST and any(len(licenses.pairs(licenses.tokens(t)) & licenses.pairs(words)) >= licenses.CONFIRMED * len(licenses.pairs(licenses.tokens(t))) for t in licenses.TEMPLATES[model.classes[best]])
+        assert name == (model.classes[best] if sure else licenses.UNKNOWN) and score == pytest.approx(e[best] if sure else e[-1])
+
+
 # ---------------------------------------------------------------- suffix arrays
 
 
@@ -220,7 +234,25 @@ def test_media(docs, texts):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         m = media.to_media(data)
         assert (r.media_bytes, r.media_sha256, r.feature) == (len(m), hashlib.sha256(m).hexdigest(), media.feature(payload))
-        assert media.from_media(m) == (len(data), payload) and r.caption == str(d)
+        assert media.from_media(m) == (len(data), payload) and (r.caption, r.position) == (str(d), 1)
+
+
+def test_media_of_shared_digests(spark, monkeypatch):
+    monkeypatch.setattr(common, "LIGHT", 2)
+    data = [(k, None if k % 2 else "") for k in range(40)] + [(None, "same"), (None, "same"), (7, "same"), (100, "other")]
+    got = media.text_media(spark.createDataFrame(data, "doc_id long, text string"))
+    want = [(d, len(t or ""), 64, hashlib.sha256((t or "").encode().ljust(64, b"\0")).hexdigest(), str(d)) for d, t in data]
+    assert rows(got, "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "caption") == sorted(want, key=str)
+
+
+def test_references_are_resolved_in_order(spark):
+    m = media.to_media(b"payload")
+    d = hashlib.sha256(m).hexdigest()
+    pages = [(1, f"<p>one</p><img src='sha256:{d}' alt='a'>two<img src='sha256:{'0' * 64}'><img src='http://x/y.png' alt='c'>"), (2, None), (3, "")]
+    store = spark.createDataFrame([(d, m), (d, m)], "digest string, media binary")
+    got = media.resolve(media.sequences(spark.createDataFrame(pages, "page_id long, html string")), store)
+    assert rows(got, "id", "position", "kind", "text", "caption", "n_bytes") == [(1, 0, "text", "one", None, None), (1, 1, "media", None, "a", 7), (1, 2, "text", "two", None, None), (1, 3, "media", None, None, None), (1, 4, "media", None, "c", None)]
+    assert rows(media.page_items(spark.createDataFrame(pages, "page_id long, html string")), "page_id", "position") == [(1, k) for k in range(5)]
 
 
 def test_sequences(spark):
@@ -249,10 +281,32 @@ def test_substring_dedup_of_repeated_rows_and_null_ids(spark):
 
 
 def test_full_sketch_loses_nothing(docs, texts, monkeypatch):
-    monkeypatch.setattr(windows, "sketch", lambda docs: np.full(windows.ROWS << (windows.CELLS - 3), 255, np.uint8))
+    monkeypatch.setattr(windows, "sketch", lambda docs: (np.full(windows.ROWS << (windows.FEWEST - 3), 255, np.uint8), windows.FEWEST))
     assert rows(windows.remove_repeats(docs)) == sorted(brute.repeated_windows(texts), key=str)
 
 
+def test_substring_dedup_with_heavy_keys(docs, texts, monkeypatch):
+    monkeypatch.setattr(common, "LIGHT", 1)
+    monkeypatch.setattr(common, "HEAVY", 1_000_000)
+    assert rows(windows.remove_repeats(docs)) == sorted(brute.repeated_windows(texts), key=str)
+    assert rows(suffixes.remove_repeats(docs)) == sorted(brute.repeated_bytes(texts), key=str)
+
+
+@pytest.mark.parametrize("power", [20, 22])
+def test_the_sketch_never_counts_less(docs, texts, power, monkeypatch):
+    monkeypatch.setattr(windows, "FEWEST", power)
+    bits, got = windows.sketch(docs)
+    assert got == power
+    holders = defaultdict(set)
+    for d, t in texts:
+        for h in windows.Runs(t).shingle.tolist():
+            holders[h].add(d)
+    twice = np.array([h for h, ids in holders.items() if len(ids) > 1], np.uint64)
+    once = np.array([h for h, ids in holders.items() if len(ids) == 1], np.uint64)
+    assert len(twice) and windows.estimated_repeated(bits, power, twice).all()
+    assert windows.estimated_repeated(bits, power, once).mean() < 0.01
+
+
 def test_texts_are_cut(docs, texts):
     got = windows.with_texts_cut(docs)
     assert got.columns == docs.columns and dict(got.dtypes) == dict(docs.dtypes)
@@ -304,6 +358,42 @@ def test_quality_where_every_document_is_labelled(spark):
     assert sum((k in kept) == (k % 5 != 0) for k in range(400)) >= 0.95 * 400
 
 
+def test_prior_is_that_of_the_mixture():
+    rng = np.random.default_rng(3)
+    for share in (0.2, 0.5, 0.9):
+        p, n = rng.normal(2, 1, (2000, 2)), rng.normal(-2, 1, (4000, 2))
+        u = np.concatenate([rng.normal(2, 1, (int(4000 * share), 2)), n[: 4000 - int(4000 * share)]])
+        assert abs(quality.estimated_prior(p, u) - share) < 0.06
+    p, u, z = [3.0, 2.0, 1.0, 1.0], [3.0, 2.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0], []
+    room = np.sqrt(np.log(20) / 16) + np.sqrt(np.log(20) / 8)
+    for t in sorted(set(p)):
+        a, b = sum(x >= t for x in p) / 4, sum(x >= t for x in u) / 8
+        z.append(((b + room) / a, b / a))
+    assert quality.least_ratio(np.array(p), np.array(u)) == pytest.approx(min(z)[1])
+
+
+def test_fit_lowers_the_non_negative_risk():
+    """On one measurement: the fitted network's risk, by its formula, is near the least that any threshold has."""
+    rng = np.random.default_rng(9)
+    p, u = rng.normal(1.5, 1, (800, 1)), np.concatenate([rng.normal(1.5, 1, (480, 1)), rng.normal(-1.5, 1, (320, 1))])
+    model = quality.Model(quality.fit(p, u, 0.6))
+
+    def risk(sp, su):
+        return 0.6 * (1 - sp).mean() + max(0.0, su.mean() - 0.6 * sp.mean())
+
+    found = risk(*(1 / (1 + np.exp(-model.margin(x))) for x in (p, u)))
+    least = min(risk((p > t).astype(float), (u > t).astype(float)) for t in np.linspace(-4, 4, 161))
+    assert found <= least + 0.05  # the loss is soft, a threshold is not
+
+
+def test_quality_of_repeated_rows_and_null_ids(spark):
+    docs, labels = _labelled(spark)
+    more = docs.unionByName(docs.where("doc_id < 50")).unionByName(spark.createDataFrame([(None, "x y z"), (None, None), (None, "x y z")], docs.schema))
+    got = quality.score_quality(more, labels.unionByName(labels)).collect()
+    assert len(got) == 453 and all((r.held_out is None) == (r.doc_id is None) for r in got)
+    assert len({(r.doc_id, r.score) for r in got if r.doc_id is not None}) == 400 and len({r.score for r in got if r.doc_id is None}) == 2
+
+
 def test_quality_without_labels_and_edge_texts(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality.score_quality(docs, none).collect()} == {0.5}
@@ -336,8 +426,32 @@ def test_language_edge_texts(spark, docs, empty):
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict_languages(docs.select("doc_id", "text", "lang").unionByName(odd)).collect()}
     assert [got[k] for k in (1000, 1001, 1002)] == [("und", 0.0)] * 3 and got[1003][0] == got[1004][0] == "en"
     assert langid.predict_languages(empty).count() == 0
-    kept = {r.doc_id for r in langid.with_language(docs).collect()}
-    assert kept == {r.doc_id for r in docs.collect() if any(map(str.isalpha, r.text or ""))}
+    none = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.lang_pred for r in langid.predict_languages(none).collect()} == {"und"} and langid.with_language(none).count() == 0
+
+
+def test_a_rare_language_is_learned_beside_a_huge_one(spark):
+    one = next(k for k in range(100, 200) if brute.crc(k, 3) != 1)
+    data = [(one, "bado keli suma torin vesta " * 3, "aa")] * 5000 + [(k, "zwerg höhle müde straße groß " * 3, "zz") for k in range(90)]
+    got = langid.predict_languages(spark.createDataFrame(data, "doc_id long, text string, lang string")).groupBy("lang_pred").count()
+    assert dict(rows(got)) == {"aa": 5000, "zz": 90}
+
+
+def test_stage_goes_by_the_predicted_language(spark):
+    data, df = _languages(spark)
+    odd = [(1000, None, "aa"), (1001, "12 %", "aa"), (1002, "xq zjv qkx wqzz vxj jqw zkq xvv " * 20, None), (1003, "keli suma " * 9, None), (None, "zwerg höhle", None)]
+    more = df.unionByName(spark.createDataFrame(odd, df.schema))
+    kept = langid.with_language(more)
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.columns == df.columns and sorted(ids, key=str) == sorted([*range(180), 1003, None], key=str)
+    some = {r.doc_id for r in langid.with_language(more, ["bb"]).collect()}
+    assert some == {None, *[d for d, _, _ in data if d % 3 == 1]}
+
+
+def test_equal_rates_go_to_the_first_language(spark):
+    data = [(k, "one same text " * 5, lang) for k, lang in enumerate(["bb", "aa"] * 30)] + [(None, "same text", "aa"), (5, "one same text " * 5, "aa")]
+    got = langid.predict_languages(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()
+    assert {r.lang_pred for r in got} == {"aa"} and len(got) == len(data) and all((r.held_out is None) == (r.doc_id is None) for r in got)
 
 
 def test_cross_parsing_counts_greedy_phrases():
@@ -422,6 +536,41 @@ def test_bpe_matches(text):
 # ---------------------------------------------------------------- all of them
 
 
+ODD = ["my-col", "my col", "a.b", "back`tick", "TEXT", "Doc_Id", "row", "fp", "marks"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark, texts):
+    """The texts, some rows twice and without an id, with columns whose names need quotes or differ from others in case alone."""
+    data = [*texts, *texts[5:9], *[(None, t) for _, t in texts[:12]]]
+    one = spark.createDataFrame([(d, t, *["x"] * len(ODD)) for d, t in data], "doc_id long, text string, " + ", ".join(f"c{k} string" for k in range(len(ODD))))
+    return one.toDF("doc_id", "text", *ODD)
+
+
+def test_stages_with_odd_columns(spark, odd):
+    labels = spark.createDataFrame([(3 * k + 1, 1, 0) for k in range(30)], "doc_id long, quality int, toxic int")
+    tagged = odd.toDF("doc_id", "text", *ODD[:-1], "lang")
+    for before, after in ((odd, simhash.without_near_duplicates(odd)), (odd, windows.with_texts_cut(odd)), (tagged, langid.with_language(tagged)), (odd, quality.with_quality(odd, labels))):
+        assert after.columns == before.columns and 0 < after.count() <= before.count()
+        assert {r[2] for r in after.collect()} == {"x"}
+
+
+def test_queries_with_odd_columns_repeated_rows_and_null_ids(spark, odd, texts):
+    labels = spark.createDataFrame([(3 * k + 1, 1, 0) for k in range(30)], "doc_id long, quality int, toxic int")
+    tagged = odd.toDF("doc_id", "text", *ODD[:-1], "lang")
+    n = len(texts) + 16
+    found = [simhash.near_duplicates(odd), licenses.scan(odd), suffixes.remove_repeats(odd), media.text_media(odd), windows.remove_repeats(odd), quality.score_quality(odd, labels), langid.predict_languages(tagged), rules.judge(odd), bpe.encode_and_decode(odd, RANKS, public_tokenizers.PATTERN)]
+    assert [df.count() for df in found] == [n] * len(found)
+    for df in found[1:]:  # equal texts, equal values, whatever the id
+        if "caption" in df.columns:
+            df = df.drop("caption")
+        by_id = defaultdict(set)
+        for r in df.collect():
+            by_id[r.doc_id].add(tuple(r))
+        assert all(len(v) == 1 for d, v in by_id.items() if d is not None)
+    assert packing.pack(odd, JSON).where("start = 0").count() == n
+
+
 def test_empty_tables(spark, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     found = [simhash.near_duplicates(empty), packing.pack(empty, JSON), licenses.scan(empty), suffixes.remove_repeats(empty), media.text_media(empty), windows.remove_repeats(empty), rules.judge(empty), bpe.encode_and_decode(empty, RANKS, public_tokenizers.PATTERN)]

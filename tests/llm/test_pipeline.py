@@ -5,6 +5,8 @@ import hashlib
 import corpus_pipeline
 import pytest
 
+from resolvent.llm import langid, quality
+
 from . import brute
 
 
@@ -23,7 +25,11 @@ def test_stages(spark, sf_dir, texts):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     first = stage["language ID"](spark, docs, sf_dir)
     had = {r.doc_id: r.text for r in first.collect()}
-    assert had == {d: t for d, t in texts if any(map(str.isalpha, t or ""))}
+    judged = {r.doc_id: r for r in langid.predict_languages(docs).collect()}
+    assert had == {d: t for d, t in texts if judged[d].lang_pred != "und" and judged[d].excess <= langid.STRANGE}
+    second = {r.doc_id for r in stage["quality classifier"](spark, first, sf_dir).collect()}
+    scores = quality.score_quality(first, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert second == {r.doc_id for r in scores.collect() if r.predicted}
     third = stage["SimHash near-dedup"](spark, first, sf_dir)
     kept = {r.doc_id: r.text for r in third.collect()}
     assert sorted(kept) == sorted({c for _, c in brute.near_duplicates(list(had.items())).values()})
@@ -33,6 +39,18 @@ def test_stages(spark, sf_dir, texts):
     assert first.columns == third.columns == docs.columns
 
 
-def test_run(spark, sf_dir):
+def test_run_is_its_stages_in_turn(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
     out = corpus_pipeline.run(spark, sf_dir)
-    assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 10
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    assert out.columns == [*columns, "sequence_id", "offset"]
+    assert sorted(map(tuple, out.select(columns).collect())) == sorted(map(tuple, docs.select(columns).collect()))
+
+
+def test_stages_of_an_empty_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.count() == 0
