@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..vocab import GREEK, SALTS, XENOBIOTICS
@@ -19,46 +19,69 @@ def spelled_greek(c: Column) -> Column:
     return reduce(lambda x, g: F.replace(x, F.lit(g), F.lit(GREEK[g])), GREEK, c)
 
 
-def normalize(c: Column) -> Column:
-    """struct(normalized, key, parenthetical, alternatives, flags) of a reported name.
+_ACRONYM = r"^([A-Za-z0-9]{2,7})\s*\((.{3,})\)$"
+_NO_TEXTS = "cast(array() as array<string>)"
+
+
+def normalized(df: DataFrame, name: str, out: str) -> DataFrame:
+    """df with the column `out`: struct(normalized, key, parenthetical, alternatives, flags) of a reported name.
 
     A short capital acronym before its expansion in brackets gives way to the expansion; other
     brackets stay. Parts of combined names, the acronym and closed-up conjugates are alternatives.
+    Each step is a column of its own that the next one reads, so nothing is computed twice.
     """
-    s = F.regexp_replace(strip(spelled_greek(strip(c))), r"(?U)\s+", " ")
-    acronym = F.regexp_extract(s, r"^([A-Za-z0-9]{2,7})\s*\((.{3,})\)$", 1)
-    is_acronym = (acronym != "") & (F.upper(acronym) == acronym) & acronym.rlike("[A-Z]")
-    expansion = strip(F.regexp_extract(s, r"^([A-Za-z0-9]{2,7})\s*\((.{3,})\)$", 2))
-    inner = strip(F.regexp_extract(s, r"\(([^)]+)\)", 1))
-    base = F.when(is_acronym, expansion).otherwise(s)
-    aside = F.when(is_acronym, expansion).when((F.length(inner) > 2) & ~inner.rlike(r"^[RSrs+\-,/ ]+$"), inner)
+    columns = df.columns
+    n = {k: f"_{out}_{k}" for k in ("s", "acronym", "is_acronym", "expansion", "inner", "base", "equals", "slash", "display")}
+    c = {k: F.col(v) for k, v in n.items()}
 
     def parts(mark: str) -> Column:
-        found = F.filter(F.transform(F.split(base, mark, -1), strip), lambda x: x != "")
-        return F.when(base.contains(mark) & (F.size(found) > 1), found).otherwise(F.expr("cast(array() as array<string>)"))
-
-    by_equals, by_slash = parts("="), parts("/")
-    low = F.lower(base)
-    cut = lambda salt: strip(F.substring(base, F.lit(1), F.length(base) - len(salt) - 1))
-    ends = [low.endswith(" " + salt) for salt in SALTS]
-    display = reduce(lambda other, k: F.when(ends[k], cut(SALTS[k])).otherwise(other), reversed(range(len(SALTS))), base)
-    salted = reduce(lambda a, b: a | b, ends)
-    closed = {x: F.regexp_replace(display, f"(?i)[ -]{x}$", x) for x in ("carnitine", "coa")}
-    spaced = {x: display.rlike(f"(?i)[ -]{x}$") for x in closed}
-    alternatives = F.concat(
-        F.when(is_acronym, F.array(acronym, s)).otherwise(F.expr("cast(array() as array<string>)")),
-        by_equals, by_slash,
-        F.array_compact(F.array(*[F.when(spaced[x], closed[x]) for x in closed])),
-    )
+        found = F.filter(F.transform(F.split(c["base"], mark, -1), strip), lambda x: x != "")
+        return F.when(c["base"].contains(mark), found).otherwise(F.expr(_NO_TEXTS))
+
+    several = lambda k: F.when(F.size(c[k]) > 1, c[k]).otherwise(F.expr(_NO_TEXTS))
+    low = F.lower(c["base"])
+    cut = lambda salt: strip(F.substring(c["base"], F.lit(1), F.length(c["base"]) - len(salt) - 1))
+    display = reduce(lambda other, salt: F.when(low.endswith(" " + salt), cut(salt)).otherwise(other), reversed(SALTS), c["base"])
+    spaced = {x: c["display"].rlike(f"(?i)[ -]{x}$") for x in ("carnitine", "coa")}
+    closed = F.array_compact(F.array(*[F.when(v, F.regexp_replace(c["display"], f"(?i)[ -]{x}$", x)) for x, v in spaced.items()]))
+    alternatives = F.concat(F.when(c["is_acronym"], F.array(c["acronym"], c["s"])).otherwise(F.expr(_NO_TEXTS)), several("equals"), several("slash"), closed)
     flags = F.array(
-        F.when(is_acronym, F.lit("abbrev_parenthetical")),
-        F.when((F.size(by_equals) > 0) | (F.size(by_slash) > 0), F.lit("combined_name")),
-        F.when(salted, F.lit("salt_stripped")),
-        F.when(base.rlike(r"\b\d+[- ]"), F.lit("has_digit_locant")),
+        F.when(c["is_acronym"], F.lit("abbrev_parenthetical")),
+        F.when((F.size(c["equals"]) > 1) | (F.size(c["slash"]) > 1), F.lit("combined_name")),
+        F.when(c["display"] != c["base"], F.lit("salt_stripped")),
+        F.when(c["base"].rlike(_LOCANT), F.lit("has_digit_locant")),
         F.when(spaced["carnitine"] | spaced["coa"], F.lit("conjugate_spacing")),
-        F.when(display.rlike(r"(?i)\bcarnitine\b"), F.lit("acylcarnitine")),
+        F.when(c["display"].rlike(r"(?i)\bcarnitine\b"), F.lit("acylcarnitine")),
     )
-    return F.struct(display.alias("normalized"), F.lower(display).alias("key"), aside.alias("parenthetical"), F.array_sort(F.array_distinct(alternatives)).alias("alternatives"), F.array_sort(F.array_compact(flags)).alias("flags"))
+    aside = F.when(c["is_acronym"], c["expansion"]).when((F.length(c["inner"]) > 2) & ~c["inner"].rlike(r"^[RSrs+\-,/ ]+$"), c["inner"])
+    steps = [
+        {"s": _spaced_once(F.col(name))},
+        {"acronym": F.regexp_extract(c["s"], _ACRONYM, 1), "expansion": strip(F.regexp_extract(c["s"], _ACRONYM, 2)), "inner": strip(F.regexp_extract(c["s"], r"\(([^)]+)\)", 1))},
+        {"is_acronym": _is_acronym(c["acronym"])},
+        {"base": F.when(c["is_acronym"], c["expansion"]).otherwise(c["s"])},
+        {"equals": parts("="), "slash": parts("/"), "display": display},
+    ]
+    for step in steps:
+        df = df.withColumns({n[k]: v for k, v in step.items()})
+    whole = F.struct(c["display"].alias("normalized"), F.lower(c["display"]).alias("key"), aside.alias("parenthetical"), F.array_sort(F.array_distinct(alternatives)).alias("alternatives"), F.array_sort(F.array_compact(flags)).alias("flags"))
+    return df.select(*[F.col(f"`{x}`") for x in columns], whole.alias(out))
+
+
+_LOCANT = r"\b\d+[- ]"
+
+
+def _spaced_once(c: Column) -> Column:
+    return F.regexp_replace(strip(spelled_greek(strip(c))), r"(?U)\s+", " ")
+
+
+def _is_acronym(c: Column) -> Column:
+    return (c != "") & (F.upper(c) == c) & c.rlike("[A-Z]")
+
+
+def has_locant(c: Column) -> Column:
+    """The has_digit_locant flag of normalized() alone: no other part of the normal form is computed for it."""
+    s = _spaced_once(c)
+    return F.when(_is_acronym(F.regexp_extract(s, _ACRONYM, 1)), strip(F.regexp_extract(s, _ACRONYM, 2))).otherwise(s).rlike(_LOCANT)
 
 
 def query_name(normalized: Column, original: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import ids
-from ..vocab import CLASSES, EXCLUDED, KEPT, MAPPED_RELATIONS, NAMESPACES, PRIMARY
+from ..functions import ids, names
+from ..vocab import CAUSES, CLASSES, EXCLUDED, KEPT, MAPPED_RELATIONS, NAMESPACES, PRIMARY, ROUTES
+from .resolve import ACCEPTING, reason_category
 
 
 def class_counts(spark: SparkSession, entries: DataFrame) -> DataFrame:
@@ -51,25 +52,103 @@ def intersections(members: DataFrame) -> DataFrame:
 
 
 def improvement(entries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Per namespace: features with an id from the exact source alone, and with any at all."""
-    kept = entries.where(F.coalesce("final_class", F.lit("pending")) != EXCLUDED).select("ordinal")
-    before = candidates.where("id is not null and source = 'metaboanalyst'").select("ordinal", "db").distinct().withColumn("b", F.lit(1))
-    held = entries.select("ordinal", F.expr("stack(5, %s) as (db, id)" % ", ".join(f"'{d}', {d}" for d in NAMESPACES))).where("id is not null").select("ordinal", "db")
-    after = held.unionByName(candidates.where("id is not null").select("ordinal", "db")).distinct()
-    rows = kept.join(after, "ordinal").join(before, ["ordinal", "db"], "left")
-    return rows.groupBy("db").agg(F.count("b").alias("baseline"), F.count("*").alias("after"))
-
-
-def master(entries: DataFrame, history: DataFrame) -> DataFrame:
-    """One row per feature for the master table; absent values are empty, lists joined."""
-    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return entries.join(history, "ordinal", "left").select("feature_id", "name", *[blank(d).alias(d) for d in NAMESPACES], blank("final_class").alias("final_class"), blank("confidence").alias("confidence"), blank("origin").alias("origin"), blank("relation").alias("relation"), blank("mam").alias("mam"), blank("last_rationale").alias("last_rationale"), F.concat_ws(";", *NAMESPACES).alias("all_ids"))
-
-
-def recovered(entries: DataFrame, candidates: DataFrame, db: str) -> DataFrame:
-    """Features whose accepted id of a namespace isn't from the exact source."""
-    first = candidates.where((F.col("source") == "metaboanalyst") & (F.col("db") == db) & F.col("id").isNotNull()).select("ordinal", "id").distinct()
-    return entries.where(f"{db} is not null").select("ordinal", "feature_id", F.col(db).alias("id")).join(first, ["ordinal", "id"], "left_anti").select("feature_id", "id")
+    """metric, baseline, after: features with an id per namespace, with a primary one and in the model, by the first pass alone and at the end; and the classes at the end."""
+    first = candidates.where("id is not null and source = 'metaboanalyst'").groupBy("ordinal").pivot("db", NAMESPACES).agg(F.lit(True)).select("ordinal", *[F.coalesce(d, F.lit(False)).alias(f"b_{d}") for d in NAMESPACES])
+    union = membership(entries, candidates).select("feature_id", *[F.col(f"has_{d}") for d in NAMESPACES])
+    rows = entries.join(first, "ordinal", "left").join(union, "feature_id", "left")
+    yes = lambda c: F.count_if(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(False)))
+    any_first, in_model, cls = F.col("b_kegg") | F.col("b_hmdb"), F.col("mam").isNotNull(), F.col("final_class")
+    pairs = [("primary", yes(any_first), yes(cls.isin(PRIMARY))), *[(d, yes(f"b_{d}"), yes(f"has_{d}")) for d in NAMESPACES], ("model", yes(in_model & any_first), yes(in_model))]
+    pairs += [(f"class:{c}", F.lit(0).cast("long"), yes(cls == c)) for c in ("structure-only", "exogenous", EXCLUDED)]
+    one = rows.agg(F.array(*[F.struct(F.lit(m).alias("metric"), b.alias("baseline"), a.alias("after")) for m, b, a in pairs]).alias("x"))
+    return one.select(F.explode("x").alias("x")).select("x.*")
+
+
+def master(entries: DataFrame, candidates: DataFrame, decisions: DataFrame, states: DataFrame, model: str) -> DataFrame:
+    """The master table, one row per feature: name and normal form, class, origin, tier, ids, model result, open flags, and how many candidates and decisions there are. Absent values are empty."""
+    open_ = states.where("state = 'open'").groupBy("ordinal").agg(F.array_join(F.array_sort(F.collect_set("flag")), ";").alias("flags"))
+    n_candidates, n_decisions = (df.groupBy("ordinal").agg(F.count("*").alias(c)) for df, c in ((candidates, "n_candidates"), (decisions, "n_decisions")))
+    rows = names.normalized(entries, "name", "n").join(open_, "ordinal", "left").join(n_candidates, "ordinal", "left").join(n_decisions, "ordinal", "left")
+    blank = lambda c, name=None: F.coalesce(F.col(c), F.lit("")).alias(name or c)
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    cause = F.when(~F.col("relation").isin(MAPPED_RELATIONS), F.col("relation"))
+    return rows.select(
+        "feature_id", F.col("name").alias("original_name"), blank("n.normalized", "normalized"), blank("final_class"), blank("origin"), blank("confidence"), *[blank(d) for d in NAMESPACES],
+        F.when(F.col("relation").isNotNull(), model).otherwise("").alias("gem_model"), blank("mam", "gem_mam"), blank("relation", "gem_relation"), F.coalesce(cause, F.lit("")).alias("gem_cause"), blank("flags"), none("n_candidates"), none("n_decisions"),
+    )
+
+
+def logics(decisions: DataFrame) -> DataFrame:
+    """Per entity, of the rationales of accepting decisions: the first, the first that is no bridging or backfill, and the first that is or names hmdb."""
+    low = F.lower("rationale")
+    bridged = F.col("rationale").contains("re-bridge")
+    first = lambda c: F.min(F.when(c, F.struct("seq", "rationale")))["rationale"]
+    own = decisions.where(F.col("action").isin(ACCEPTING)).withColumn("rationale", F.coalesce("rationale", F.lit("")))
+    return own.groupBy("ordinal").agg(first(F.lit(True)).alias("first_logic"), first(~bridged & ~F.col("rationale").contains("backfill")).alias("kegg_logic"), first(low.contains("hmdb") | bridged | low.contains("backfill")).alias("hmdb_logic"))
+
+
+def is_name(query: Column) -> Column:
+    """Whether a query is a name: not empty, and not an id after its namespace."""
+    return (query != "") & ~query.rlike(f"^({'|'.join(NAMESPACES)}):")
+
+
+def recovered(entries: DataFrame, candidates: DataFrame, decisions: DataFrame, db: str) -> DataFrame:
+    """Features with an id of a namespace of which the first pass had none at all: by which name, record, route and logic it was found."""
+    had = candidates.where((F.col("source") == "metaboanalyst") & (F.col("db") == db) & F.col("id").isNotNull()).select("ordinal").distinct()
+    found = candidates.where((F.col("source") != "metaboanalyst") & (F.col("db") == db)).groupBy("ordinal", "id").agg(F.min(F.struct("seq", "source", "query", "note")).alias("c"))
+    rows = entries.where(f"{db} is not null").withColumn("id", F.col(db)).join(had, "ordinal", "left_anti").join(found, ["ordinal", "id"], "left").join(logics(decisions), "ordinal", "left")
+    rows = names.normalized(rows.select("ordinal", "feature_id", "name", "id", "c", f"{db}_logic", "first_logic"), "name", "n")
+    route = F.coalesce(*[F.when(F.col("c.source") == k, F.lit(v)) for k, v in ROUTES.items()], F.col("c.source"), F.lit("?"))
+    logic = F.col("kegg_logic") if db == "kegg" else F.coalesce("hmdb_logic", "first_logic")
+    return rows.select("ordinal", "feature_id", F.col("name").alias("original_name"), F.coalesce(F.when(is_name(F.col("c.query")), F.col("c.query")), "n.normalized", F.lit("")).alias("harmonized_name"), "id", F.coalesce("c.note", F.lit("")).alias("note"), route.alias("route"), F.coalesce(logic, F.lit("")).alias("logic"))
+
+
+def cause(original: Column, logic: Column, route: Column) -> Column:
+    """Why the first pass missed a name, by the logic and the route that found it, else by its form."""
+    low, o = F.lower(logic), original
+    typo, short, form, synonym, combined, vendor = map(F.lit, CAUSES)
+    return (
+        F.when(low.contains("typo"), typo)
+        .when(F.lower(route).contains("xref bridge") | low.contains("bridgedb promotes"), vendor)
+        .when(low.contains("combined name") | low.contains("isomer pair") | o.contains("/"), combined)
+        .when(o.rlike(r"=\s*[A-Z0-9]{2,5}\b") | names.strip(o).rlike("^[A-Z0-9]{2,5}$") | o.rlike(r"\([A-Z0-9]{2,6}\)"), short)
+        .when((F.lower(o).contains("carnitine") & o.contains(" ")) | o.rlike(r"-\d-?[Pp]hosphate") | o.startswith("Orto"), form)
+        .otherwise(synonym)
+    )
+
+
+def causes(recovered: DataFrame) -> DataFrame:
+    """place, cause, n, and the first and last feature, of the recovered ones; in report order."""
+    rows = recovered.select("feature_id", cause(F.col("original_name"), F.col("logic"), F.col("route")).alias("cause"))
+    place = F.coalesce(*[F.when(F.col("cause") == c, F.lit(k)) for k, c in enumerate(CAUSES)])
+    return rows.groupBy("cause").agg(F.count("*").alias("n"), F.min("feature_id").alias("first"), F.max("feature_id").alias("last")).select(place.alias("place"), "cause", "n", "first", "last")
+
+
+def _ids(columns: list[str]) -> Column:
+    return F.concat_ws(";", *[F.when(F.col(d).isNotNull(), F.concat(F.lit(f"{d}:"), d)) for d in columns])
+
+
+def set_apart(entries: DataFrame, history: DataFrame) -> DataFrame:
+    """Exogenous entries that are kept and those that are excluded: category, ids, whether the model has the former, and the reason."""
+    rows = entries.where(F.col("final_class").isin("exogenous", EXCLUDED)).join(history, "ordinal", "left").withColumn("reason", F.coalesce("last_call", "last_rationale", F.lit("")))
+    in_model = F.when(F.col("final_class") == "exogenous", F.when(F.col("mam").isNotNull(), "in-model").when(~F.col("relation").isin(MAPPED_RELATIONS), F.col("relation")).otherwise(""))
+    return rows.select("feature_id", F.col("name").alias("original_name"), "final_class", reason_category(F.col("origin"), F.col("name"), F.col("reason")).alias("category"), _ids(["kegg", "hmdb", "chebi", "pubchem"]).alias("ids"), in_model.alias("gem_xref"), "reason")
+
+
+def unmapped(entries: DataFrame, candidates: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Entries without a primary id: the queries that were tried, the structure ids there are, and the first logic."""
+    tried = candidates.where("query <> ''").groupBy("ordinal").agg(F.array_join(F.array_sort(F.collect_set("query")), " | ").alias("tried"))
+    rows = entries.where(F.col("final_class").isin("structure-only", "unmapped")).join(tried, "ordinal", "left").join(logics(decisions), "ordinal", "left")
+    reason = F.coalesce(F.nullif("first_logic", F.lit("")), F.lit("no KEGG/HMDB returned by any source"))
+    return rows.select("feature_id", F.col("name").alias("original_name"), F.coalesce("tried", F.lit("")).alias("harmonized_names_tried"), "final_class", _ids(["chebi", "pubchem", "inchikey"]).alias("structure_ids"), reason.alias("reason"))
+
+
+def model_curation(entries: DataFrame, species: DataFrame, model: str) -> DataFrame:
+    """The model's answer for each entry that has one or should have: species, relation, names, whether it was curated, and why."""
+    relation = F.coalesce("relation", F.when(F.col("mam").isNotNull(), "unspecified").when(F.col("final_class").isin(*PRIMARY, "exogenous"), "not-evaluated"))
+    rows = entries.withColumn("relation", relation).where("relation is not null").join(species.select(F.col("base").alias("mam"), F.array_join("names", ";").alias("gem_name")), "mam", "left")
+    has = F.col("relation") != "not-evaluated"
+    return rows.select("feature_id", F.col("name").alias("original_name"), F.when(has, model).otherwise("").alias("model"), F.coalesce("mam", F.lit("")).alias("mam"), "relation", F.coalesce("gem_name", F.lit("")).alias("gem_name"), F.when(F.col("curated"), "yes").otherwise("no").alias("curated"), F.when(has, F.col("rationale")).otherwise("").alias("rationale"))
 
 
 def annotate(rows: DataFrame, column: str, entries: DataFrame) -> DataFrame:

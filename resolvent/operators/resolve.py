@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, names
-from ..vocab import CLASS_OF_ORIGIN, CLASSES, EXCLUDED, INDIRECT, LEGACY_CLASSES, NAMESPACES, PRIMARY
+from ..vocab import CLASS_OF_ORIGIN, CLASSES, EXCLUDED, INDIRECT, LEGACY_CLASSES, NAMESPACES, ORIGINS, PRIMARY, REASON_WORDS
+
+
+ACCEPTING = ["accept", "auto_accept"]
 
 
 def ingest(found: DataFrame) -> DataFrame:
     """feature_id, name, its normal form, tags of non-biological classes."""
-    return found.select("feature_id", "name", names.normalize(F.col("name")).alias("n"), names.contaminant_tags(F.col("name")).alias("tags")).select("feature_id", "name", "n.*", "tags")
+    return names.normalized(found, "name", "n").select("feature_id", "name", "n.*", names.contaminant_tags(F.col("name")).alias("tags"))
 
 
 def name_index(candidates: DataFrame) -> DataFrame:
@@ -32,14 +35,19 @@ def exact_match(features: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def substring_search(terms: DataFrame, records: DataFrame, most: int = 6) -> DataFrame:
-    """The first `most` records, by position, whose name contains the term.
+    """The first `most` records, by position, whose name contains the term; none for an empty term.
 
-    A term has three characters or more: its first trigram is an equi-join key against the trigrams
-    of the names, so no pair without it is looked at.
+    A term's first three characters, or all of a shorter one, are an equi-join key against the runs
+    of characters of the names, so no pair without it is looked at.
     """
-    grams = records.select("position", "record", F.lower("record").alias("low")).select("position", "record", "low", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - 2, F.lit(1))), lambda i: F.substring("low", i, F.lit(3))))).alias("gram"))
-    asked = terms.where(F.length("term") >= 3).select("term", F.substring(F.lower("term"), 1, 3).alias("gram"))
-    found = asked.join(grams, "gram").where(F.col("low").contains(F.lower("term")))
+    low = F.lower("record")
+    runs = lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(n)))).otherwise(F.expr("cast(array() as array<string>)"))
+    asked = terms.where("term <> ''").distinct().select("term", F.substring(F.lower("term"), 1, 3).alias("gram"), F.least(F.length("term"), F.lit(3)).alias("size"))
+    found = None
+    for n in (1, 2, 3):
+        grams = records.select("position", "record", F.explode(F.array_distinct(runs(n))).alias("gram"))
+        met = asked.where(F.col("size") == n).join(grams, "gram").where(low.contains(F.lower("term")))
+        found = met if found is None else found.unionByName(met)
     at = Window.partitionBy("term").orderBy("position")
     return found.withColumn("rank", F.row_number().over(at)).where(F.col("rank") <= most).select("term", "rank", "position", "record")
 
@@ -64,22 +72,39 @@ def upsert_candidates(candidates: DataFrame) -> DataFrame:
     return candidates.where("id is not null").groupBy("ordinal", "source", "db", "id").agg(F.min("seq").alias("first_seq"), last("note").alias("note"), last("formula").alias("formula"), F.count("*").alias("n"))
 
 
-def route(decided: DataFrame) -> DataFrame:
-    """Class, tier and warnings of each entry as a recorded decision would leave them."""
-    cls = F.col("final_class")
-    cls = F.coalesce(*[F.when(cls == old, F.lit(new)) for old, new in LEGACY_CLASSES.items()], cls)
+def route(asked: DataFrame, unbacked: DataFrame) -> DataFrame:
+    """What recording each decision would do: action, class, tier, origin and warnings.
+
+    asked: ordinal, feature_id, name, an id per namespace, and the class, confidence and origin asked
+    for, any of them null; unbacked: the ordinals with an id that no candidate has. A class outside
+    the vocabulary and an id without a candidate are refused. Without ids, an excluded, unmapped or
+    exogenous entry is settled as such; otherwise the class follows from the ids where none is given.
+    """
+    cls = F.coalesce(*[F.when(F.col("final_class") == old, F.lit(new)) for old, new in LEGACY_CLASSES.items()], F.col("final_class"))
+    rows = asked.join(unbacked.select("ordinal").distinct().withColumn("unbacked", F.lit(True)), "ordinal", "left").withColumn("cls", cls)
     has_ids = F.coalesce(*NAMESPACES).isNotNull()
-    implied = F.coalesce(*[F.when(F.col("origin") == o, F.lit(c)) for o, c in CLASS_OF_ORIGIN.items()])
-    tier = F.when(cls == EXCLUDED, "X").when((cls == "unmapped") | ~has_ids, "U").when(cls == "exogenous", F.coalesce("confidence", F.lit("M4"))).otherwise(F.coalesce("confidence", F.lit("M2")))
-    warnings = F.array_compact(
-        F.array(
-            F.when(~cls.isin(CLASSES), F.lit("unknown class")),
-            F.when((cls == "exogenous") & F.col("origin").isNull(), F.lit("exogenous without origin")),
-            F.when(implied.isNotNull() & (implied != cls), F.lit("origin implies another class")),
-            F.when((cls == EXCLUDED) & has_ids, F.lit("excluded with ids")),
-        )
+    suggested = F.when(F.col("cls") == EXCLUDED, F.coalesce(names.contaminant_origin(F.col("name")), F.lit("contaminant")))
+    derived = F.when(F.col("kegg").isNotNull(), PRIMARY[0]).when(F.col("hmdb").isNotNull(), PRIMARY[1]).when(has_ids, "structure-only").otherwise("unmapped")
+    kind = F.when(~F.col("cls").isin(CLASSES), "unknown").when(~has_ids & F.col("cls").isin(EXCLUDED, "unmapped"), "terminal").when(~has_ids & (F.col("cls") == "exogenous"), "tagged").when(F.col("unbacked"), "unbacked").otherwise("mapped")
+    rows = rows.select("*", kind.alias("kind"), F.coalesce("origin", suggested).alias("given"), F.coalesce("cls", derived).alias("got"), names.has_locant(F.col("name")).alias("locant"))
+    implied = F.coalesce(*[F.when(F.col("given") == o, F.lit(c)) for o, c in CLASS_OF_ORIGIN.items()])
+    kind, cls, got, given = F.col("kind"), F.col("cls"), F.col("got"), F.col("given")
+    kept = (kind == "mapped") & got.isin(*PRIMARY, "structure-only", "exogenous")
+    warnings = F.array(
+        F.when(~given.isin(ORIGINS), "origin not recognized"),
+        F.when(implied != cls, "origin implies another class"),
+        F.when(kept & (F.size(names.contaminant_tags(F.col("name"))) > 0), "kept under a non-biological name"),
+        F.when(((kind == "tagged") | kept) & (got == "exogenous") & given.isNull(), "exogenous without origin"),
+        F.when(kept & F.col("locant") & (F.coalesce("confidence", F.lit("M2")) != "M1"), "locant by a route that isn't exact"),
     )
-    return decided.select("feature_id", cls.alias("routed_class"), F.when(cls.isNotNull(), tier).alias("tier"), F.coalesce("origin", F.when(cls.isin(*PRIMARY, "structure-only"), F.lit("endogenous"))).alias("routed_origin"), F.array_join(warnings, "; ").alias("warnings"))
+    refused = kind.isin("unknown", "unbacked")
+    default = F.when(kind == "terminal", F.when(cls == EXCLUDED, "X").otherwise("U")).when(kind == "tagged", "M4").otherwise("M2")
+    origin = F.when((kind == "mapped") & given.isNull() & got.isin(*PRIMARY, "structure-only"), "endogenous").otherwise(given)
+    return rows.select(
+        "feature_id", F.when(refused, F.concat(F.lit("refused: "), F.when(kind == "unknown", "unknown class").otherwise("id without a candidate"))).when(kind == "terminal", "exclude").otherwise("accept").alias("action"),
+        F.when(~refused, got).alias("routed_class"), F.when(~refused, F.coalesce("confidence", default)).alias("tier"), F.when(~refused, origin).alias("routed_origin"),
+        F.when(refused, "").otherwise(F.array_join(F.array_compact(warnings), "; ")).alias("warnings"),
+    )
 
 
 def fabricated(accepted: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -89,8 +114,7 @@ def fabricated(accepted: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def risky(features: DataFrame) -> DataFrame:
     """Exact matches that need a second look: acronyms, combined names, single capitalised words."""
-    n = names.normalize(F.col("name"))
-    out = features.select("feature_id", "name", n["flags"].alias("flags"))
+    out = names.normalized(features, "name", "n").select("feature_id", "name", F.col("n.flags").alias("flags"))
     return out.where(F.arrays_overlap("flags", F.array(F.lit("abbrev_parenthetical"), F.lit("combined_name"))) | F.trim("name").rlike("^[A-Z][a-z]+$")).select("feature_id", "name", F.array_join("flags", ";").alias("flags"))
 
 
@@ -139,9 +163,10 @@ def allocate(asked: DataFrame) -> DataFrame:
 
 
 def latest(events: DataFrame, by: str = "ordinal") -> DataFrame:
-    """Per entity: the last rationale, the first accepting action, the last action, and how many there were."""
-    accepting = F.when(F.col("action").isin("accept", "auto_accept"), F.struct("seq", "action"))
-    return events.groupBy(by).agg(F.max(F.struct("seq", "rationale"))["rationale"].alias("last_rationale"), F.min(accepting)["action"].alias("first_accept"), F.max(F.struct("seq", "action"))["action"].alias("last_action"), F.count("*").alias("n"))
+    """Per entity: the last rationale, that of the last call (a decision that sets a class), the first accepting action, the last action, and how many events there were."""
+    accepting = F.when(F.col("action").isin(ACCEPTING), F.struct("seq", "action"))
+    call = F.when(F.col("action").isin("exclude", *ACCEPTING), F.struct("seq", "rationale"))
+    return events.groupBy(by).agg(F.max(F.struct("seq", "rationale"))["rationale"].alias("last_rationale"), F.max(call)["rationale"].alias("last_call"), F.min(accepting)["action"].alias("first_accept"), F.max(F.struct("seq", "action"))["action"].alias("last_action"), F.count("*").alias("n"))
 
 
 def bounded_history(events: DataFrame, most: int = 5) -> DataFrame:
@@ -150,9 +175,10 @@ def bounded_history(events: DataFrame, most: int = 5) -> DataFrame:
 
 
 def reason_category(origin: Column, name: Column, reason: Column) -> Column:
-    """Recorded origin, else what the name's class implies, else words of the reason, else unspecified."""
-    words = F.when(reason.rlike("(?i)drug|medic"), "drug").when(reason.rlike("(?i)diet|food"), "diet").when(reason.rlike("(?i)record|exact"), "database").otherwise("unspecified")
-    return F.coalesce(F.nullif(origin, F.lit("endogenous")), names.contaminant_origin(name), words)
+    """Recorded origin unless endogenous, else what the name's class implies, else the first category with a word in the reason, else unspecified."""
+    low = F.lower(F.coalesce(reason, F.lit("")))
+    said = [F.when(low.rlike("|".join(words)), F.lit(category)) for category, words in REASON_WORDS.items()]
+    return F.coalesce(F.nullif(origin, F.lit("endogenous")), names.contaminant_origin(name), *said, F.lit("unspecified"))
 
 
 def indirect_unchecked(entries: DataFrame, candidates: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -35,8 +35,9 @@ candidates AS (SELECT *, {canon("db", "raw_id")} AS id FROM (SELECT l_partkey AS
          WHEN l_suppkey % 5 = 2 THEN CASE WHEN l_linenumber % 2 = 0 THEN 'CHEBI:' ELSE '' END || {_N}
          WHEN l_suppkey % 5 = 3 THEN {_N} ELSE 'KEY' || {_N} || '-N' END AS raw_id,
     {_list(NAMES)}[(l_suppkey + l_partkey) % {len(NAMES)} + 1] AS note,
-    CASE WHEN l_linenumber % 2 <> 0 THEN {_list(FORMULAS)}[l_suppkey % {len(FORMULAS)} + 1] END AS formula
-    FROM lineitem WHERE l_quantity > 30)),
+    CASE WHEN l_linenumber % 2 <> 0 THEN {_list(FORMULAS)}[l_suppkey % {len(FORMULAS)} + 1] END AS formula,
+    CASE WHEN l_linenumber = 7 THEN '' WHEN l_linenumber = 3 THEN 'chebi:' || {_N} ELSE {_list(NAMES)}[(l_suppkey * 7 + l_partkey) % {len(NAMES)} + 1] END AS query
+    FROM lineitem)),
 accepted AS (SELECT ordinal, db, CASE WHEN db = 'kegg' AND ordinal % 17 = 0 THEN 'C99999' ELSE b.id END AS id
     FROM (SELECT ordinal, db, min({{'seq': seq, 'id': id}}) AS b FROM candidates WHERE id IS NOT NULL AND ordinal % 9 <> 8 GROUP BY ordinal, db)),
 wide AS (SELECT ordinal, {", ".join(f"min(id) FILTER (db = '{d}') AS {d}" for d in NAMESPACES)} FROM accepted GROUP BY ordinal),
@@ -47,13 +48,13 @@ entries AS (SELECT *, CASE WHEN relation IN ('exact', 'class-proxy', 'isomer-sur
     CASE WHEN f.ordinal % 8 < 7 THEN {_list(TIERS)}[f.ordinal % 8 + 1] END AS confidence,
     CASE WHEN f.ordinal % 4 <> 3 THEN {_list(ORIGINS)}[(f.ordinal // 4) % {len(ORIGINS)} + 1] END AS origin,
     CASE WHEN f.ordinal % 6 < 5 THEN {_list(RELATIONS)}[f.ordinal % 6 + 1] END AS relation,
-    CASE WHEN f.ordinal % 3 = 0 THEN 'chosen because its chain matches' ELSE 'short' END AS rationale
+    CASE WHEN f.ordinal % 3 = 0 THEN 'chosen because its chain matches' ELSE 'short' END AS rationale, f.ordinal % 3 = 0 AS curated
     FROM features f LEFT JOIN wide USING (ordinal))),
 decisions AS (SELECT ordinal, seq, ts, action, db, CASE WHEN seq % 2 = 0 AND held IS NOT NULL THEN held ELSE 'X' || seq END AS id,
     CASE WHEN action = 'backcheck' THEN {_list(VERDICTS)}[seq % 4 + 1] END AS verdict,
     CASE WHEN action = 'backcheck' THEN CASE WHEN seq % 7 = 0 THEN 'class' ELSE 'species' END END AS db_resolution, rationale, props
     FROM (SELECT user_id AS ordinal, event_id AS seq, ts, CASE event_type {_CASES} END AS action, {_list(NAMESPACES)}[event_id % 5 + 1] AS db,
-          {_list(RATIONALES)}[event_id % 6 + 1] AS rationale, props FROM events) e
+          {_list(RATIONALES)}[event_id % {len(RATIONALES)} + 1] AS rationale, props FROM events) e
     LEFT JOIN (SELECT ordinal, db, id AS held FROM accepted) USING (ordinal, db)),
 species AS (SELECT c_custkey AS ordinal, 'MAM' || {pad(_B + "::VARCHAR", 5)} || CASE WHEN c_custkey % 2 = 0 THEN '_' ELSE '' END || {_PLACE} AS species_id,
     CASE WHEN c_custkey % 5 <> 4 THEN {_PLACE} ELSE '' END AS compartment,
@@ -62,13 +63,7 @@ species AS (SELECT c_custkey AS ordinal, 'MAM' || {pad(_B + "::VARCHAR", 5)} ||
     CASE WHEN {_B} % 2 = 0 THEN 'C' || {pad(f"({_B} * 5)::VARCHAR", 5)} END AS kegg,
     CASE WHEN {_B} % 3 = 0 THEN 'HMDB' || {pad(f"({_B} * 5)::VARCHAR", 7)} END AS hmdb,
     CASE WHEN {_B} % 5 = 0 THEN 'CHEBI:' || ({_B} * 5) END AS chebi FROM customer),
-bridge AS (SELECT CASE WHEN o_custkey % 2 = 0 THEN 'kegg' ELSE 'chebi' END AS src_db,
-    CASE WHEN o_custkey % 2 = 0 THEN 'C' || {pad("o_custkey::VARCHAR", 5)} WHEN o_custkey % 3 = 0 THEN 'CHEBI:' || o_custkey ELSE o_custkey::VARCHAR END AS src_id,
+bridge AS (SELECT ['kegg', 'chebi', 'pubchem', 'inchikey'][o_custkey % 4 + 1] AS src_db,
+    CASE WHEN o_custkey % 4 = 0 THEN 'C' || {pad("o_custkey::VARCHAR", 5)} WHEN o_custkey % 4 = 1 AND o_custkey % 3 = 0 THEN 'CHEBI:' || o_custkey WHEN o_custkey % 4 < 3 THEN o_custkey::VARCHAR ELSE 'KEY' || o_custkey || '-N' END AS src_id,
     'HMDB' || CASE WHEN o_orderkey % 2 = 0 THEN {pad("(o_orderkey // 4)::VARCHAR", 5)} ELSE {pad("(o_orderkey // 4)::VARCHAR", 7)} END AS hmdb FROM orders)
 """
-ORACLES: dict[str, str] = {}
-
-
-def add(name: str, sql: str) -> None:
-    """sql: a select, or further tables and a select, after the prelude."""
-    ORACLES[name] = PRELUDE + ("" if sql.lstrip().startswith(",") else "") + sql.strip()

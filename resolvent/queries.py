@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from .functions import formula, ids, names, verdict
 from .operators import audit, collide, report, resolve, species
 from .oracles import PRELUDE, canon
+from .plans.written import written
 from .sources import domain as D
-from .vocab import ADDUCTS, CLASSES, DEFAULT_ADDUCTS, FLAGS, INDIRECT, NAMESPACES, ORIGINS, PRIMARY, TIERS, TRIVIAL_RATIONALES, XENOBIOTICS
+from .vocab import ADDUCTS, ARTIFACTS, CAUSES, CLASS_OF_ORIGIN, CLASSES, DEFAULT_ADDUCTS, FLAGS, INDIRECT, NAMESPACES, ORIGINS, PRIMARY, REASON_WORDS, ROUTES, TIERS, TRIVIAL_RATIONALES, XENOBIOTICS
 
+#: The label of the model whose species are the rows of `customer`.
+MODEL = "customer"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -44,6 +47,12 @@ def _origin(x: str) -> str:
     return "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(lower({x}), '{p}') THEN '{o}' END" for p, _, o in XENOBIOTICS) + ")"
 
 
+_NORMAL = rf"""n_s AS (SELECT feature_id, name, regexp_replace(trim(replace(replace(replace(replace(replace(replace(replace(replace(name, 'α', 'alpha'), 'β', 'beta'), 'γ', 'gamma'), 'δ', 'delta'), 'ε', 'epsilon'), 'ω', 'omega'), 'μ', 'u'), 'λ', 'lambda')), '\s+', ' ', 'g') AS s FROM features),
+n_b AS (SELECT *, regexp_extract(s, '^([A-Za-z0-9]{{2,7}})\s*\((.{{3,}})\)$', 1) AS acronym, trim(regexp_extract(s, '^([A-Za-z0-9]{{2,7}})\s*\((.{{3,}})\)$', 2)) AS expansion, trim(regexp_extract(s, '\(([^)]+)\)', 1)) AS inside FROM n_s),
+n_c AS (SELECT *, acronym <> '' AND upper(acronym) = acronym AND regexp_matches(acronym, '[A-Z]') AS is_a FROM n_b),
+n_d AS (SELECT *, CASE WHEN is_a THEN expansion ELSE s END AS base FROM n_c),
+normal AS (SELECT *, CASE WHEN ends_with(lower(base), ' monohydrate') THEN trim(left(base, length(base) - 12)) WHEN regexp_matches(lower(base), ' (hydrochloride|dihydrochloride|hydrobromide|sodium salt|potassium salt|hemisulfate|sulfate salt|acetate salt|dihydrate|trihydrate|hydrate)$') THEN regexp_replace(base, '(?i) (hydrochloride|dihydrochloride|hydrobromide|sodium salt|potassium salt|hemisulfate|sulfate salt|acetate salt|dihydrate|trihydrate|hydrate)$', '') ELSE base END AS display FROM n_d)"""
+_PARTS = r"""p AS (SELECT *, CASE WHEN contains(base, '=') THEN list_filter(list_transform(string_split(base, '='), lambda x: trim(x)), lambda x: x <> '') ELSE [] END AS pe, CASE WHEN contains(base, '/') THEN list_filter(list_transform(string_split(base, '/'), lambda x: trim(x)), lambda x: x <> '') ELSE [] END AS ps FROM normal)"""
 _KEPT = _in([*PRIMARY, "structure-only", "exogenous"])
 _HELD = f"held AS (SELECT ordinal, name, db, id FROM (UNPIVOT (SELECT ordinal, name, {', '.join(NAMESPACES)} FROM entries) ON {', '.join(NAMESPACES)} INTO NAME db VALUE id))"
 
@@ -92,48 +101,101 @@ def a6_upset(spark, sf_dir):
     return report.intersections(report.membership(D.entries(spark, sf_dir), D.candidates(spark, sf_dir)))
 
 
-@query(f""", {_HELD}, after AS (SELECT ordinal, db FROM held UNION SELECT ordinal, db FROM candidates WHERE id IS NOT NULL),
-before AS (SELECT DISTINCT ordinal, db, 1 AS b FROM candidates WHERE id IS NOT NULL AND source = 'metaboanalyst')
-SELECT db, count(b) AS baseline, count(*) AS after FROM entries e JOIN after USING (ordinal) LEFT JOIN before USING (ordinal, db) WHERE coalesce(final_class, 'pending') <> 'xenobiotic-excluded' GROUP BY db""")
+_IMPROVED = f""", {_HELD}, u AS (SELECT ordinal, db FROM held UNION SELECT ordinal, db FROM candidates WHERE id IS NOT NULL),
+bb AS (SELECT ordinal, {", ".join(f"bool_or(db = '{d}') AS b_{d}" for d in NAMESPACES)} FROM candidates WHERE id IS NOT NULL AND source = 'metaboanalyst' GROUP BY ordinal),
+aa AS (SELECT ordinal, {", ".join(f"bool_or(db = '{d}') AS a_{d}" for d in NAMESPACES)} FROM u GROUP BY ordinal),
+x AS (SELECT final_class, mam, b_kegg OR b_hmdb AS any_first, {", ".join(f"b_{d}, a_{d} AND coalesce(final_class, 'pending') <> 'xenobiotic-excluded' AS a_{d}" for d in NAMESPACES)} FROM entries LEFT JOIN bb USING (ordinal) LEFT JOIN aa USING (ordinal))
+SELECT 'primary' AS metric, count(*) FILTER (any_first) AS baseline, count(*) FILTER (final_class IN {_in(PRIMARY)}) AS after FROM x
+UNION ALL SELECT 'model', count(*) FILTER (mam IS NOT NULL AND any_first), count(mam) FROM x
+""" + "".join(f" UNION ALL SELECT '{d}', count(*) FILTER (b_{d}), count(*) FILTER (a_{d}) FROM x" for d in NAMESPACES) + "".join(f" UNION ALL SELECT 'class:{c}', 0, count(*) FILTER (final_class = '{c}') FROM x" for c in ("structure-only", "exogenous", "xenobiotic-excluded"))
+
+
+@query(_IMPROVED)
 def a7_improvement(spark, sf_dir):
+    """Before and after, per namespace, in the model, and by class."""
     return report.improvement(D.entries(spark, sf_dir), D.candidates(spark, sf_dir))
 
 
-_HISTORY = """history AS (SELECT ordinal, arg_max(rationale, seq) AS last_rationale, arg_min(action, seq) FILTER (action IN ('accept', 'auto_accept')) AS first_accept,
+_HISTORY = """history AS (SELECT ordinal, arg_max(rationale, seq) AS last_rationale, arg_max(rationale, seq) FILTER (action IN ('exclude', 'accept', 'auto_accept')) AS last_call, arg_min(action, seq) FILTER (action IN ('accept', 'auto_accept')) AS first_accept,
  arg_max(action, seq) AS last_action, count(*) AS n FROM decisions GROUP BY ordinal)"""
 
 
-@query(f""", {_HISTORY} SELECT feature_id, name, {", ".join(f"coalesce({d}, '') AS {d}" for d in NAMESPACES)}, coalesce(final_class, '') AS final_class, coalesce(confidence, '') AS confidence,
-coalesce(origin, '') AS origin, coalesce(relation, '') AS relation, coalesce(mam, '') AS mam, coalesce(last_rationale, '') AS last_rationale, concat_ws(';', {", ".join(NAMESPACES)}) AS all_ids
-FROM entries LEFT JOIN history USING (ordinal)""")
-def k2_master(spark, sf_dir):
-    """The master table."""
-    return report.master(D.entries(spark, sf_dir), resolve.latest(D.decisions(spark, sf_dir)))
+_LOGICS = """lg AS (SELECT ordinal, arg_min(rationale, seq) AS first_logic, arg_min(rationale, seq) FILTER (NOT contains(rationale, 're-bridge') AND NOT contains(rationale, 'backfill')) AS kegg_logic,
+ arg_min(rationale, seq) FILTER (contains(lower(rationale), 'hmdb') OR contains(rationale, 're-bridge') OR contains(lower(rationale), 'backfill')) AS hmdb_logic FROM decisions WHERE action IN ('accept', 'auto_accept') GROUP BY ordinal)"""
+_ROUTE = "CASE source " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ROUTES.items()) + " ELSE coalesce(source, '?') END"
 
 
 def _recovered(db: str) -> str:
-    return f"""SELECT feature_id, {db} AS id FROM entries e WHERE {db} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM candidates c WHERE c.ordinal = e.ordinal AND c.id = e.{db} AND c.db = '{db}' AND c.source = 'metaboanalyst')"""
+    logic = "kegg_logic" if db == "kegg" else "coalesce(hmdb_logic, first_logic)"
+    return f""", {_NORMAL}, {_LOGICS}, c AS (SELECT ordinal, id, arg_min(source, seq) AS source, arg_min(query, seq) AS query, arg_min(note, seq) AS note FROM candidates WHERE db = '{db}' AND source <> 'metaboanalyst' GROUP BY ordinal, id),
+rec AS (SELECT e.ordinal, e.feature_id, e.name AS original_name, coalesce(CASE WHEN query <> '' AND NOT regexp_matches(query, '^({"|".join(NAMESPACES)}):') THEN query END, display, '') AS harmonized_name, {db} AS id, coalesce(note, '') AS note, {_ROUTE} AS route, coalesce({logic}, '') AS logic
+FROM entries e LEFT JOIN normal n USING (feature_id) LEFT JOIN c ON c.ordinal = e.ordinal AND c.id = e.{db} LEFT JOIN lg ON lg.ordinal = e.ordinal
+WHERE {db} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM candidates m WHERE m.ordinal = e.ordinal AND m.db = '{db}' AND m.source = 'metaboanalyst' AND m.id IS NOT NULL))"""
 
 
-@query(_recovered("kegg"))
+def recovered(spark: SparkSession, sf_dir: str, db: str) -> DataFrame:
+    return report.recovered(D.entries(spark, sf_dir), D.candidates(spark, sf_dir), D.decisions(spark, sf_dir), db)
+
+
+@query(_recovered("kegg") + " SELECT * FROM rec")
 def j9_kegg_recovered(spark, sf_dir):
-    return report.recovered(D.entries(spark, sf_dir), D.candidates(spark, sf_dir), "kegg")
+    """KEGG ids where the first pass had none, with name, record, route and logic."""
+    return recovered(spark, sf_dir, "kegg")
 
 
-@query(_recovered("hmdb"))
+@query(_recovered("hmdb") + " SELECT * FROM rec")
 def k4_hmdb_recovered(spark, sf_dir):
-    return report.recovered(D.entries(spark, sf_dir), D.candidates(spark, sf_dir), "hmdb")
+    return recovered(spark, sf_dir, "hmdb")
+
+
+_CAUSE = _recovered("kegg") + r""", caused AS (SELECT *, CASE WHEN contains(lower(logic), 'typo') THEN 0 WHEN contains(lower(route), 'xref bridge') OR contains(lower(logic), 'bridgedb promotes') THEN 5
+ WHEN contains(lower(logic), 'combined name') OR contains(lower(logic), 'isomer pair') OR contains(original_name, '/') THEN 4
+ WHEN regexp_matches(original_name, '=\s*[A-Z0-9]{2,5}\b') OR regexp_matches(trim(original_name), '^[A-Z0-9]{2,5}$') OR regexp_matches(original_name, '\([A-Z0-9]{2,6}\)') THEN 1
+ WHEN contains(lower(original_name), 'carnitine') AND contains(original_name, ' ') OR regexp_matches(original_name, '-\d-?[Pp]hosphate') OR starts_with(original_name, 'Orto') THEN 2 ELSE 3 END AS place FROM rec)"""
+_CAUSE_NAME = "CASE place " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(CAUSES)) + " END"
+
+
+@query(_CAUSE + f" SELECT feature_id, original_name, harmonized_name, {_CAUSE_NAME} AS cause FROM caused")
+def f27_causes(spark, sf_dir):
+    """why the first pass missed each recovered name."""
+    r = recovered(spark, sf_dir, "kegg")
+    return r.select("feature_id", "original_name", "harmonized_name", report.cause(F.col("original_name"), F.col("logic"), F.col("route")).alias("cause"))
+
+
+@query(_CAUSE + f" SELECT place, {_CAUSE_NAME} AS cause, count(*) AS n, min(feature_id) AS first, max(feature_id) AS last FROM caused GROUP BY place")
+def a16_cause_groups(spark, sf_dir):
+    """Recovered names by cause, in report order; their examples are the rows of f27_causes."""
+    return report.causes(recovered(spark, sf_dir, "kegg"))
 
 
-@query(f""", {_HISTORY}, r AS (SELECT feature_id, final_class, coalesce(nullif(origin, 'endogenous'), {_origin("name")},
- CASE WHEN regexp_matches(coalesce(last_rationale, ''), '(?i)drug|medic') THEN 'drug' WHEN regexp_matches(coalesce(last_rationale, ''), '(?i)diet|food') THEN 'diet'
-      WHEN regexp_matches(coalesce(last_rationale, ''), '(?i)record|exact') THEN 'database' ELSE 'unspecified' END) AS category, coalesce(last_rationale, '') AS reason FROM entries LEFT JOIN history USING (ordinal))
-SELECT * FROM r WHERE final_class IN ('unmapped', 'exogenous', 'xenobiotic-excluded')""")
-def k4_p9_provenance(spark, sf_dir):
-    """Category and last reason of what was left out, kept apart or not found."""
-    e = D.entries(spark, sf_dir).where("final_class in ('unmapped', 'exogenous', 'xenobiotic-excluded')").join(resolve.latest(D.decisions(spark, sf_dir)), "ordinal", "left")
-    reason = F.coalesce("last_rationale", F.lit(""))
-    return e.select("feature_id", "final_class", resolve.reason_category(F.col("origin"), F.col("name"), reason).alias("category"), reason.alias("reason"))
+_REASON = "CASE " + " ".join(f"WHEN regexp_matches(lower(reason), '{'|'.join(words)}') THEN '{c}'" for c, words in REASON_WORDS.items()) + " ELSE 'unspecified' END"
+
+
+def _ids_sql(columns) -> str:
+    return "concat_ws(';', " + ", ".join(f"'{d}:' || {d}" for d in columns) + ")"
+
+
+@query(f""", {_HISTORY}, r AS (SELECT *, coalesce(last_call, last_rationale, '') AS reason FROM entries LEFT JOIN history USING (ordinal) WHERE final_class IN ('exogenous', 'xenobiotic-excluded'))
+SELECT feature_id, name AS original_name, final_class, coalesce(nullif(origin, 'endogenous'), {_origin("name")}, {_REASON}) AS category, {_ids_sql(["kegg", "hmdb", "chebi", "pubchem"])} AS ids,
+CASE WHEN final_class = 'exogenous' THEN CASE WHEN mam IS NOT NULL THEN 'in-model' WHEN relation NOT IN ('exact', 'class-proxy', 'isomer-surrogate') THEN relation ELSE '' END END AS gem_xref, reason FROM r""")
+def k4_p9_set_apart(spark, sf_dir):
+    """Exogenous entries that are kept and excluded ones, with category and reason of the last call."""
+    return report.set_apart(D.entries(spark, sf_dir), resolve.latest(D.decisions(spark, sf_dir)))
+
+
+@query("SELECT x AS words, CASE WHEN " + " WHEN ".join(f"regexp_matches(lower(x), '{'|'.join(words)}') THEN '{c}'" for c, words in REASON_WORDS.items()) + " ELSE 'unspecified' END AS category, count(*) AS n FROM (SELECT rationale AS x FROM decisions) GROUP BY ALL")
+def p9_reason_categories(spark, sf_dir):
+    """The category that each reason's words alone give."""
+    none = F.lit(None).cast("string")
+    d = D.decisions(spark, sf_dir).groupBy(F.col("rationale").alias("words")).agg(F.count("*").alias("n"))
+    return d.select("words", resolve.reason_category(none, none, F.col("words")).alias("category"), "n")
+
+
+@query(f""", {_LOGICS}, tr AS (SELECT ordinal, array_to_string(list_sort(list_distinct(list(query))), ' | ') AS tried FROM candidates WHERE query <> '' GROUP BY ordinal)
+SELECT feature_id, name AS original_name, coalesce(tried, '') AS harmonized_names_tried, final_class, {_ids_sql(["chebi", "pubchem", "inchikey"])} AS structure_ids, coalesce(nullif(first_logic, ''), 'no KEGG/HMDB returned by any source') AS reason
+FROM entries LEFT JOIN tr USING (ordinal) LEFT JOIN lg USING (ordinal) WHERE final_class IN ('structure-only', 'unmapped')""")
+def k4_unmapped_harmonization(spark, sf_dir):
+    return report.unmapped(D.entries(spark, sf_dir), D.candidates(spark, sf_dir), D.decisions(spark, sf_dir))
 
 
 @query(f""", last AS (SELECT key, unnest(e) FROM (SELECT lower(trim(name)) AS key, max({{'o': ordinal, {", ".join(f"'ID_{d}': {d}" for d in NAMESPACES)}, 'ID_class': final_class}}) AS e FROM entries GROUP BY key))
@@ -170,12 +232,7 @@ def a10_most_common(spark, sf_dir):
 
 # ------------------------------------------------------------------ names, ids, scalar functions
 
-@query(rf""", s AS (SELECT feature_id, name, regexp_replace(trim(replace(replace(replace(replace(replace(replace(replace(replace(name, 'α', 'alpha'), 'β', 'beta'), 'γ', 'gamma'), 'δ', 'delta'), 'ε', 'epsilon'), 'ω', 'omega'), 'μ', 'u'), 'λ', 'lambda')), '\s+', ' ', 'g') AS s FROM features),
-b AS (SELECT *, regexp_extract(s, '^([A-Za-z0-9]{{2,7}})\s*\((.{{3,}})\)$', 1) AS acronym, trim(regexp_extract(s, '^([A-Za-z0-9]{{2,7}})\s*\((.{{3,}})\)$', 2)) AS expansion, trim(regexp_extract(s, '\(([^)]+)\)', 1)) AS inside FROM s),
-c AS (SELECT *, acronym <> '' AND upper(acronym) = acronym AND regexp_matches(acronym, '[A-Z]') AS is_a FROM b),
-d AS (SELECT *, CASE WHEN is_a THEN expansion ELSE s END AS base FROM c),
-e AS (SELECT *, CASE WHEN ends_with(lower(base), ' monohydrate') THEN trim(left(base, length(base) - 12)) WHEN regexp_matches(lower(base), ' (hydrochloride|dihydrochloride|hydrobromide|sodium salt|potassium salt|hemisulfate|sulfate salt|acetate salt|dihydrate|trihydrate|hydrate)$') THEN regexp_replace(base, '(?i) (hydrochloride|dihydrochloride|hydrobromide|sodium salt|potassium salt|hemisulfate|sulfate salt|acetate salt|dihydrate|trihydrate|hydrate)$', '') ELSE base END AS display FROM d),
-p AS (SELECT *, CASE WHEN contains(base, '=') THEN list_filter(list_transform(string_split(base, '='), lambda x: trim(x)), lambda x: x <> '') ELSE [] END AS pe, CASE WHEN contains(base, '/') THEN list_filter(list_transform(string_split(base, '/'), lambda x: trim(x)), lambda x: x <> '') ELSE [] END AS ps FROM e)
+@query(rf""", {_NORMAL}, {_PARTS}
 SELECT feature_id, name, display AS normalized, lower(display) AS key, CASE WHEN is_a THEN expansion WHEN length(inside) > 2 AND NOT regexp_matches(inside, '^[RSrs+\-,/ ]+$') THEN inside END AS parenthetical,
 array_to_string(list_sort(list_distinct(list_concat(CASE WHEN is_a THEN [acronym, s] ELSE [] END, CASE WHEN len(pe) > 1 THEN pe ELSE [] END, CASE WHEN len(ps) > 1 THEN ps ELSE [] END,
   CASE WHEN regexp_matches(display, '(?i)[ -]carnitine$') THEN [regexp_replace(display, '(?i)[ -]carnitine$', 'carnitine')] ELSE [] END, CASE WHEN regexp_matches(display, '(?i)[ -]coa$') THEN [regexp_replace(display, '(?i)[ -]coa$', 'coa')] ELSE [] END))), '|') AS alternatives,
@@ -200,10 +257,10 @@ def f6_base_id(spark, sf_dir):
     return D.species(spark, sf_dir).select("species_id", "compartment", ids.base_id(F.col("species_id"), F.col("compartment")).alias("base"))
 
 
-@query(r"""SELECT species_id, CASE WHEN regexp_replace(left(species_id, 9), '[_-]+$', '') <> left(species_id, 9) THEN nullif(regexp_replace(left(species_id, 9), '[_-]+$', ''), '') END AS repaired FROM species""")
+@query(r"""SELECT species_id, CASE WHEN regexp_replace(x, '[_-]+$', '') <> x THEN nullif(regexp_replace(x, '[_-]+$', ''), '') END AS repaired FROM (SELECT species_id, regexp_replace(species_id, '[a-z]$', '') AS x FROM species)""")
 def f25_s4_repair(spark, sf_dir):
-    """Ids with a dangling mark, repaired."""
-    return D.species(spark, sf_dir).select("species_id", ids.repaired(F.substring("species_id", 1, 9)).alias("repaired"))
+    """Ids that lost their compartment's letter, some with a dangling mark, repaired."""
+    return D.species(spark, sf_dir).select("species_id", ids.repaired(F.regexp_replace("species_id", "[a-z]$", "")).alias("repaired"))
 
 
 _GRAMS = "list_distinct(CASE WHEN length({x}) >= 3 THEN list_transform(range(1, length({x}) - 1), lambda i: substr({x}, i, 3)) ELSE [] END)"
@@ -289,12 +346,12 @@ def j1_exact_match(spark, sf_dir):
     return resolve.exact_match(D.features(spark, sf_dir), resolve.name_index(D.candidates(spark, sf_dir)))
 
 
-@query(""", r AS (SELECT DISTINCT p_partkey AS position, p_name AS record FROM part), t AS (SELECT DISTINCT lower(regexp_extract(p_name, '[A-Za-z]+$')) AS term FROM part), h AS (SELECT term, position, record, row_number() OVER (PARTITION BY term ORDER BY position) AS rank FROM t JOIN r ON contains(lower(record), term) WHERE length(term) >= 3)
+@query(""", r AS (SELECT DISTINCT p_partkey AS position, p_name AS record FROM part), t AS (SELECT DISTINCT lower(regexp_extract(p_name, '[A-Za-z]+$')) AS term FROM part UNION SELECT left(lower(p_name), 2) FROM part), h AS (SELECT term, position, record, row_number() OVER (PARTITION BY term ORDER BY position) AS rank FROM t JOIN r ON contains(lower(record), term) WHERE term <> '')
 SELECT term, rank::INT AS rank, position, record FROM h WHERE rank <= 6""")
 def s8_substring_search(spark, sf_dir):
     """The first six records whose name contains a term."""
     p = D.read(spark, sf_dir, "part")
-    terms = p.select(F.lower(F.regexp_extract("p_name", "[A-Za-z]+$", 0)).alias("term")).distinct()
+    terms = p.select(F.explode(F.array(F.lower(F.regexp_extract("p_name", "[A-Za-z]+$", 0)), F.substring(F.lower("p_name"), 1, 2))).alias("term")).distinct()
     return resolve.substring_search(terms, p.select(F.col("p_partkey").alias("position"), F.col("p_name").alias("record")))
 
 
@@ -324,14 +381,23 @@ def candidate_upsert(spark, sf_dir):
     return resolve.upsert_candidates(D.candidates(spark, sf_dir))
 
 
-@query(f"""SELECT feature_id, final_class AS routed_class, CASE WHEN final_class IS NULL THEN NULL WHEN final_class = 'xenobiotic-excluded' THEN 'X' WHEN final_class = 'unmapped' OR coalesce({", ".join(NAMESPACES)}) IS NULL THEN 'U'
-WHEN final_class = 'exogenous' THEN coalesce(confidence, 'M4') ELSE coalesce(confidence, 'M2') END AS tier, coalesce(origin, CASE WHEN final_class IN ('KEGG-mapped', 'HMDB-mapped', 'structure-only') THEN 'endogenous' END) AS routed_origin,
-array_to_string(list_filter([CASE WHEN final_class = 'exogenous' AND origin IS NULL THEN 'exogenous without origin' END, CASE WHEN i IS NOT NULL AND i <> final_class THEN 'origin implies another class' END,
-  CASE WHEN final_class = 'xenobiotic-excluded' AND coalesce({", ".join(NAMESPACES)}) IS NOT NULL THEN 'excluded with ids' END], lambda x: x IS NOT NULL), '; ') AS warnings
-FROM (SELECT *, CASE WHEN origin IN ('diet', 'drug') THEN 'exogenous' WHEN origin IN ('industrial', 'additive') THEN 'xenobiotic-excluded' END AS i FROM entries)""")
+@query(f""", {_NORMAL}, {_HELD}, un AS (SELECT DISTINCT ordinal FROM held h WHERE NOT EXISTS (SELECT 1 FROM candidates c WHERE c.ordinal = h.ordinal AND c.db = h.db AND c.id = h.id)),
+r AS (SELECT e.*, coalesce({", ".join(NAMESPACES)}) IS NOT NULL AS has_ids, un.ordinal IS NOT NULL AS unbacked, coalesce(origin, CASE WHEN final_class = 'xenobiotic-excluded' THEN coalesce({_origin("e.name")}, 'contaminant') END) AS given,
+ coalesce(final_class, CASE WHEN kegg IS NOT NULL THEN 'KEGG-mapped' WHEN hmdb IS NOT NULL THEN 'HMDB-mapped' WHEN coalesce({", ".join(NAMESPACES)}) IS NOT NULL THEN 'structure-only' ELSE 'unmapped' END) AS got,
+ regexp_matches(base, '\\b\\d+[- ]') AS locant FROM entries e JOIN normal n USING (feature_id) LEFT JOIN un ON un.ordinal = e.ordinal),
+k AS (SELECT *, CASE WHEN NOT has_ids AND final_class IN ('xenobiotic-excluded', 'unmapped') THEN 'terminal' WHEN NOT has_ids AND final_class = 'exogenous' THEN 'tagged' WHEN unbacked THEN 'unbacked' ELSE 'mapped' END AS kind,
+ CASE {" ".join(f"WHEN given = '{o}' THEN '{c}'" for o, c in CLASS_OF_ORIGIN.items())} END AS implied FROM r),
+m AS (SELECT *, kind = 'mapped' AND got IN {_KEPT} AS kept FROM k)
+SELECT feature_id, CASE kind WHEN 'unbacked' THEN 'refused: id without a candidate' WHEN 'terminal' THEN 'exclude' ELSE 'accept' END AS action, CASE WHEN kind <> 'unbacked' THEN got END AS routed_class,
+CASE kind WHEN 'unbacked' THEN NULL WHEN 'terminal' THEN coalesce(confidence, CASE final_class WHEN 'unmapped' THEN 'U' ELSE 'X' END) WHEN 'tagged' THEN coalesce(confidence, 'M4') ELSE coalesce(confidence, 'M2') END AS tier,
+CASE WHEN kind = 'unbacked' THEN NULL WHEN kind = 'mapped' AND given IS NULL AND got IN ('KEGG-mapped', 'HMDB-mapped', 'structure-only') THEN 'endogenous' ELSE given END AS routed_origin,
+CASE WHEN kind = 'unbacked' THEN '' ELSE array_to_string(list_filter([CASE WHEN given NOT IN {_in(ORIGINS)} THEN 'origin not recognized' END, CASE WHEN implied <> final_class THEN 'origin implies another class' END,
+ CASE WHEN kept AND len({_tags("name")}) > 0 THEN 'kept under a non-biological name' END, CASE WHEN (kind = 'tagged' OR kept) AND got = 'exogenous' AND given IS NULL THEN 'exogenous without origin' END,
+ CASE WHEN kept AND locant AND coalesce(confidence, 'M2') <> 'M1' THEN 'locant by a route that isn''t exact' END], lambda x: x IS NOT NULL), '; ') END AS warnings FROM m""")
 def p5_p6_routing(spark, sf_dir):
-    """Class, tier and warnings of each decision."""
-    return resolve.route(D.entries(spark, sf_dir))
+    """What recording each decision would do, and its warnings."""
+    unbacked = resolve.fabricated(held(spark, sf_dir).select("ordinal", "db", "id"), D.candidates(spark, sf_dir))
+    return resolve.route(D.entries(spark, sf_dir), unbacked)
 
 
 @query(f""", {_HELD} SELECT ordinal, db, id FROM held h WHERE NOT EXISTS (SELECT 1 FROM candidates c WHERE c.ordinal = h.ordinal AND c.db = h.db AND c.id = h.id)""")
@@ -359,12 +425,36 @@ def j4_shared_ids(spark, sf_dir):
     return collide.shared_ids(held(spark, sf_dir))
 
 
-@query(f""", {_HELD}, k AS (SELECT DISTINCT ordinal, db, id FROM decisions WHERE action = 'backcheck' AND (verdict = 'class-level' OR db_resolution = 'class')),
-s AS (SELECT h.db, h.id, count(*) AS n, count(DISTINCT lower(trim(name))) AS nn, count(k.ordinal) AS c FROM held h LEFT JOIN k ON k.ordinal = h.ordinal AND k.db = h.db AND k.id = h.id GROUP BY h.db, h.id HAVING count(*) > 1)
-SELECT db, id, n, CASE WHEN nn = 1 THEN 'duplicate-name' WHEN c > 0 THEN 'class-id-shared' ELSE 'collision' END AS severity FROM s""")
+#: Of the names of candidates, those of a class: lipids without a chain or head group of their own.
+_GENERIC = _in(["1-Acyl-sn-glycero-3-phosphocholine"])
+_EVIDENCE = f"""{_HELD}, k AS (SELECT DISTINCT ordinal, db, id FROM decisions WHERE action = 'backcheck' AND (verdict = 'class-level' OR db_resolution = 'class')),
+raised AS (SELECT DISTINCT ordinal, [{", ".join(f"'{f}'" for f in [*FLAGS, "old_flag"])}][(ordinal + o) % {len(FLAGS) + 1} + 1] AS flag FROM entries, (SELECT unnest([0, 3]) AS o)),
+ev AS (SELECT * FROM k UNION SELECT ordinal, db, id FROM candidates WHERE id IS NOT NULL AND note IN {_GENERIC} UNION SELECT h.ordinal, db, id FROM held h JOIN raised r ON r.ordinal = h.ordinal WHERE flag = 'class_level_id'),
+sev AS (SELECT h.db, h.id, count(*) AS n, CASE WHEN count(DISTINCT lower(trim(name))) = 1 THEN 'duplicate-name' WHEN count(ev.ordinal) > 0 THEN 'class-id-shared' ELSE 'collision' END AS severity FROM held h LEFT JOIN ev ON ev.ordinal = h.ordinal AND ev.db = h.db AND ev.id = h.id GROUP BY h.db, h.id HAVING count(*) > 1)"""
+
+
+def raised(e: DataFrame) -> DataFrame:
+    """ordinal, flag: two flags for each entry, in turn."""
+    flags = [*FLAGS, "old_flag"]
+    return e.select("ordinal", F.explode(F.array(F.lit(0), F.lit(3))).alias("o")).select("ordinal", D.pick(flags, (F.col("ordinal") + F.col("o")) % len(flags)).alias("flag"))
+
+
+def evidence(e: DataFrame, c: DataFrame, d: DataFrame) -> DataFrame:
+    return audit.class_evidence(e, c, d, raised(e))
+
+
+@query(f""", {_EVIDENCE} SELECT db, id, n, severity FROM sev""")
 def j5_severity(spark, sf_dir):
-    """What each sharing means, with the evidence of back-checks."""
-    return collide.severity(held(spark, sf_dir), audit.class_level(D.decisions(spark, sf_dir)))
+    """What each sharing means, by all evidence of class-level ids."""
+    e = D.entries(spark, sf_dir)
+    return collide.severity(audit.held(e), evidence(e, D.candidates(spark, sf_dir), D.decisions(spark, sf_dir)))
+
+
+@query(f""", {_EVIDENCE} SELECT db, id, count(DISTINCT ordinal) AS n FROM ev GROUP BY db, id""")
+def f23_class_evidence(spark, sf_dir):
+    """ids that back-checks, names of candidates or flags show to be class-level."""
+    e = D.entries(spark, sf_dir)
+    return evidence(e, D.candidates(spark, sf_dir), D.decisions(spark, sf_dir)).groupBy("db", "id").agg(F.count_distinct("ordinal").alias("n"))
 
 
 @query(f""", {_HELD} SELECT ordinal, db, id, arg_min(note, {{'s': seq, 'n': note}}) AS note, min(seq) AS seq FROM held JOIN candidates USING (ordinal, db, id) WHERE source <> 'metaboanalyst' GROUP BY ordinal, db, id""")
@@ -415,12 +505,12 @@ def j17_p13_gaps(spark, sf_dir):
     return e.join(QUERIES["j7_crosswalk"](spark, sf_dir).select("ordinal"), "ordinal", "left_anti").select("ordinal", "feature_id", "name")
 
 
-@query(f""", {_BASE}, asked AS (SELECT DISTINCT mam AS id FROM entries WHERE mam IS NOT NULL UNION SELECT species_id FROM species WHERE ordinal % 7 = 0), k AS (SELECT base AS id, 0 AS place, base FROM model UNION ALL SELECT unnest(species), 1, base FROM model),
+@query(f""", {_BASE}, asked AS (SELECT DISTINCT mam AS id FROM entries WHERE mam IS NOT NULL UNION SELECT species_id FROM species), k AS (SELECT base AS id, 0 AS place, base FROM model UNION ALL SELECT unnest(species), 1, base FROM model),
 b AS (SELECT id, min({{'p': place, 'b': base}}) AS b FROM k GROUP BY id)
 SELECT asked.id, b.id IS NOT NULL AS found, b.b AS base, CASE b.p WHEN 0 THEN 'base-id' WHEN 1 THEN 'species-id' END AS by FROM asked LEFT JOIN (SELECT id, b.p, b.b FROM b) b ON b.id = asked.id""".replace("SELECT id, b.p, b.b FROM b", "SELECT id, b['p'] AS p, b['b'] AS b FROM b"))
 def j12_species_check(spark, sf_dir):
     """Base ids, else species ids, that the model has."""
-    asked = D.entries(spark, sf_dir).where("mam is not null").select(F.col("mam").alias("id")).unionByName(D.species(spark, sf_dir).where("ordinal % 7 = 0").select(F.col("species_id").alias("id"))).distinct()
+    asked = D.entries(spark, sf_dir).where("mam is not null").select(F.col("mam").alias("id")).unionByName(D.species(spark, sf_dir).select(F.col("species_id").alias("id"))).distinct()
     return species.lookup(asked, model(spark, sf_dir))
 
 
@@ -504,12 +594,19 @@ def j18_species_collisions(spark, sf_dir):
     return D.entries(spark, sf_dir).where("mam is not null").groupBy("mam").agg(F.count("*").alias("n"), F.count_if(F.col("relation") == "exact").alias("n_exact"), F.min("ordinal").alias("first")).where("n > 1")
 
 
-@query(""" SELECT feature_id, relation, e.mam, e.mam IS NOT NULL AND s.base IS NOT NULL AS in_model FROM entries e LEFT JOIN (SELECT DISTINCT left(species_id, 8) AS base FROM species) s ON s.base = e.mam WHERE relation IS NOT NULL""")
+@query(f""", {_BASE} SELECT feature_id, relation, e.mam, e.mam IS NOT NULL AND m.base IS NOT NULL AS in_model FROM entries e LEFT JOIN model m ON m.base = e.mam WHERE relation IS NOT NULL""")
 def j11_model_result(spark, sf_dir):
     """Entries with their model result, and whether the model has the species."""
-    s = D.species(spark, sf_dir).select(F.substring("species_id", 1, 8).alias("base")).distinct()
     e = D.entries(spark, sf_dir).where("relation is not null")
-    return e.join(s, e.mam == s.base, "left").select("feature_id", "relation", "mam", (F.col("mam").isNotNull() & F.col("base").isNotNull()).alias("in_model"))
+    return e.join(model(spark, sf_dir).select("base"), F.col("mam") == F.col("base"), "left").select("feature_id", "relation", "mam", (F.col("mam").isNotNull() & F.col("base").isNotNull()).alias("in_model"))
+
+
+@query(f""", {_BASE}, r AS (SELECT *, coalesce(relation, CASE WHEN mam IS NOT NULL THEN 'unspecified' WHEN final_class IN ('KEGG-mapped', 'HMDB-mapped', 'exogenous') THEN 'not-evaluated' END) AS rel FROM entries)
+SELECT feature_id, r.name AS original_name, CASE WHEN rel = 'not-evaluated' THEN '' ELSE 'customer' END AS model, coalesce(mam, '') AS mam, rel AS relation, coalesce(array_to_string(names, ';'), '') AS gem_name, CASE WHEN curated THEN 'yes' ELSE 'no' END AS curated,
+CASE WHEN rel = 'not-evaluated' THEN '' ELSE rationale END AS rationale FROM r LEFT JOIN model ON base = mam WHERE rel IS NOT NULL""")
+def k4_gem_curation(spark, sf_dir):
+    """K4: the model's answer for each entry that has one or should have."""
+    return report.model_curation(D.entries(spark, sf_dir), model(spark, sf_dir), MODEL)
 
 
 # ------------------------------------------------------------------ events, windows, sets
@@ -582,14 +679,6 @@ def u6_subset(spark, sf_dir):
     return a.join(b, "w").where((F.col("a") != F.col("b")) & names.subset(F.col("ta"), F.col("tb"))).select("a", "b")
 
 
-@query(r"""SELECT CASE WHEN regexp_matches(lower(trim(rationale)), 'record') THEN 'back-check' WHEN regexp_matches(lower(trim(rationale)), 'exact') THEN 'exact name' WHEN trim(rationale) = '' THEN 'none' ELSE 'other' END AS cause, count(*) AS n, min(seq) AS first, max(seq) AS last FROM decisions GROUP BY 1""")
-def a16_f27_causes(spark, sf_dir):
-    """Decisions by the cause that their rationale states."""
-    r = F.lower(F.trim("rationale"))
-    cause = F.when(r.rlike("record"), "back-check").when(r.rlike("exact"), "exact name").when(r == "", "none").otherwise("other")
-    return D.decisions(spark, sf_dir).groupBy(cause.alias("cause")).agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
-
-
 @query("""SELECT seq, json_extract_string(props, '$.k')::BIGINT AS k, json_extract(props, '$.missing') IS NOT NULL AS has_more FROM decisions""")
 def s12_payloads(spark, sf_dir):
     """Fields of recorded JSON payloads."""
@@ -599,8 +688,7 @@ def s12_payloads(spark, sf_dir):
 
 # ------------------------------------------------------------------ flags and audit
 
-_CONDITIONS = f""", {_HELD}, k AS (SELECT DISTINCT ordinal, db, id FROM decisions WHERE action = 'backcheck' AND (verdict = 'class-level' OR db_resolution = 'class')),
-sev AS (SELECT h.db, h.id, CASE WHEN count(DISTINCT lower(trim(name))) = 1 THEN 'duplicate-name' WHEN count(k.ordinal) > 0 THEN 'class-id-shared' ELSE 'collision' END AS severity FROM held h LEFT JOIN k ON k.ordinal = h.ordinal AND k.db = h.db AND k.id = h.id GROUP BY h.db, h.id HAVING count(*) > 1),
+_CONDITIONS = f""", {_EVIDENCE},
 never AS (SELECT ordinal FROM entries WHERE ordinal NOT IN (SELECT ordinal FROM decisions WHERE action IN ('accept', 'exclude'))),
 holding AS (SELECT ordinal, 'auto_accept_review' AS flag FROM never UNION SELECT ordinal, 'isomer_token_conflict' FROM never
  UNION SELECT h.ordinal, 'id_name_conflict' FROM held h JOIN decisions d ON d.ordinal = h.ordinal AND d.db = h.db AND d.id = h.id WHERE action = 'backcheck' AND verdict = 'conflict'
@@ -609,27 +697,35 @@ holding AS (SELECT ordinal, 'auto_accept_review' AS flag FROM never UNION SELECT
  UNION SELECT ordinal, 'hmdb_backfill_conflict' FROM entries WHERE hmdb IS NULL
  UNION SELECT ordinal, 'id_gap_try_generic_kegg' FROM entries WHERE kegg IS NOT NULL AND mam IS NULL AND coalesce(relation, 'id-gap') = 'id-gap'
  UNION SELECT ordinal, 'possible_xenobiotic' FROM entries WHERE len({_tags("name")}) > 0 AND final_class IN {_KEPT}),
-raised AS (SELECT DISTINCT ordinal, [{", ".join(f"'{f}'" for f in [*FLAGS, "old_flag"])}][(ordinal + o) % {len(FLAGS) + 1} + 1] AS flag FROM entries, (SELECT unnest([0, 3]) AS o)),
 acked AS (SELECT DISTINCT ordinal, flag FROM raised WHERE ordinal % 13 = 0),
 states AS (SELECT r.ordinal, r.flag, CASE WHEN a.flag IS NOT NULL THEN 'acknowledged' WHEN h.flag IS NOT NULL OR r.flag = 'old_flag' THEN 'open' ELSE 'self_resolved' END AS state
  FROM raised r LEFT JOIN acked a ON a.ordinal = r.ordinal AND a.flag = r.flag LEFT JOIN holding h ON h.ordinal = r.ordinal AND h.flag = r.flag)"""
 
 
-def _ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Entries and decisions, kept by the executors while the checks read them again and again."""
-    return D.entries(spark, sf_dir).persist(), D.decisions(spark, sf_dir).drop("props", "ts").persist()
+def _ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entries, candidates and decisions, written once, since the checks read them again and again."""
+    found = D.entries(spark, sf_dir), D.candidates(spark, sf_dir).drop("raw_id", "query"), D.decisions(spark, sf_dir).drop("props", "ts")
+    return tuple(written(df, name) for df, name in zip(found, ("entries", "candidates", "decisions")))
 
 
-def _states(e: DataFrame, d: DataFrame) -> DataFrame:
-    flags = [*FLAGS, "old_flag"]
-    raised = e.select("ordinal", F.explode(F.array(F.lit(0), F.lit(3))).alias("o")).select("ordinal", D.pick(flags, (F.col("ordinal") + F.col("o")) % len(flags)).alias("flag"))
-    return audit.flag_states(raised, raised.where("ordinal % 13 = 0"), audit.conditions(e, d))
+def _states(e: DataFrame, c: DataFrame, d: DataFrame) -> DataFrame:
+    return audit.flag_states(raised(e), raised(e).where("ordinal % 13 = 0"), audit.conditions(e, d, evidence(e, c, d)))
 
 
 @query(_CONDITIONS + " SELECT * FROM holding")
 def fl1_fl8_conditions(spark, sf_dir):
     """FL1-FL8: where the condition of each flag holds."""
-    return audit.conditions(D.entries(spark, sf_dir), D.decisions(spark, sf_dir))
+    e, d = D.entries(spark, sf_dir), D.decisions(spark, sf_dir)
+    return audit.conditions(e, d, evidence(e, D.candidates(spark, sf_dir), d))
+
+
+@query(_CONDITIONS + """ SELECT ordinal, flag, CASE WHEN r.flag IS NULL THEN 'never raised' WHEN length(why) < 8 THEN 'the reason is too short' ELSE 'acknowledged' END AS outcome FROM
+(SELECT ordinal, 'class_level_id' AS flag, CASE WHEN curated THEN 'reviewed, and kept as it is' ELSE 'fine' END AS why FROM entries) a LEFT JOIN raised r USING (ordinal, flag)""".replace("r.flag IS NULL", "r.there IS NULL").replace("LEFT JOIN raised r USING", "LEFT JOIN (SELECT *, true AS there FROM raised) r USING"))
+def fl_acknowledge(spark, sf_dir):
+    """FL: requests to acknowledge a flag, with reasons of enough and of too few letters."""
+    e = D.entries(spark, sf_dir)
+    asked = e.select("ordinal", F.lit("class_level_id").alias("flag"), F.when(F.col("curated"), "reviewed, and kept as it is").otherwise("fine").alias("why"))
+    return audit.acknowledge_flags(raised(e), asked)
 
 
 @query(_CONDITIONS + """ SELECT flag, count(*) FILTER (state = 'open') AS open, count(*) FILTER (state = 'acknowledged') AS acknowledged, count(*) FILTER (state = 'self_resolved') AS self_resolved FROM states GROUP BY flag""")
@@ -638,7 +734,17 @@ def a5_flag_summary(spark, sf_dir):
     return audit.flag_summary(_states(*_ledger(spark, sf_dir)))
 
 
-_REQUIRED = ["coverage.tsv", "master.tsv", "enriched_xref.tsv", "kegg_recovered.tsv"]
+@query(_CONDITIONS + f""", {_NORMAL}, op AS (SELECT ordinal, string_agg(DISTINCT flag, ';' ORDER BY flag) AS flags FROM states WHERE state = 'open' GROUP BY ordinal)
+SELECT e.feature_id, e.name AS original_name, display AS normalized, coalesce(final_class, '') AS final_class, coalesce(origin, '') AS origin, coalesce(confidence, '') AS confidence, {", ".join(f"coalesce({d}, '') AS {d}" for d in NAMESPACES)},
+CASE WHEN relation IS NULL THEN '' ELSE '{MODEL}' END AS gem_model, coalesce(mam, '') AS gem_mam, coalesce(relation, '') AS gem_relation, CASE WHEN relation NOT IN ('exact', 'class-proxy', 'isomer-surrogate') THEN relation ELSE '' END AS gem_cause, coalesce(flags, '') AS flags,
+(SELECT count(*) FROM candidates c WHERE c.ordinal = e.ordinal) AS n_candidates, (SELECT count(*) FROM decisions d WHERE d.ordinal = e.ordinal) AS n_decisions FROM entries e JOIN normal n USING (feature_id) LEFT JOIN op ON op.ordinal = e.ordinal""")
+def k2_master(spark, sf_dir):
+    """The master table of eighteen columns."""
+    e, c, d = _ledger(spark, sf_dir)
+    return report.master(e, c, d, _states(e, c, d), MODEL)
+
+
+_THERE = ["coverage_summary.tsv", "enriched_xref.tsv", "code/reproduce_mapping.py"]
 _OFFENDERS = _CONDITIONS + f""", f AS (SELECT ordinal, feature_id FROM entries), op AS (SELECT flag, feature_id FROM states JOIN f USING (ordinal) WHERE state = 'open'),
 tg AS (SELECT feature_id, unnest({_tags("name")}) AS tag, coalesce(final_class IN {_KEPT}, false) AS k FROM entries),
 im AS (SELECT *, CASE WHEN origin IN ('diet', 'drug') THEN 'exogenous' WHEN origin IN ('industrial', 'additive') THEN 'xenobiotic-excluded' END AS implied FROM entries),
@@ -650,7 +756,7 @@ UNION ALL SELECT 'verify_before_fuzzy', feature_id FROM entries e WHERE final_cl
 UNION ALL SELECT 'isomer_locant_safety', feature_id FROM entries WHERE final_class IN {_KEPT} AND confidence <> 'M1' AND regexp_matches(name, '\\b\\d+[- ]')
 UNION ALL SELECT 'id_backcheck', feature_id || ':kegg=' || kegg FROM entries e WHERE kegg IS NOT NULL AND coalesce(confidence, '') <> 'M1' AND EXISTS (SELECT 1 FROM candidates c WHERE c.ordinal = e.ordinal AND c.db = 'kegg' AND c.id = e.kegg AND source IN {_in(INDIRECT)}) AND NOT EXISTS (SELECT 1 FROM decisions d WHERE d.ordinal = e.ordinal AND action = 'backcheck' AND d.db = 'kegg' AND d.id = e.kegg)
 UNION ALL SELECT 'id_name_conflicts', feature_id || ':' || flag FROM op WHERE flag IN ('id_name_conflict', 'isomer_token_conflict')
-UNION ALL SELECT 'id_collisions', db || ':' || id FROM sev WHERE severity = 'collision'
+UNION ALL SELECT 'id_collisions', db || ':' || id || CASE WHEN severity = 'collision' THEN '' ELSE '(class-level)' END FROM sev WHERE severity <> 'duplicate-name'
 UNION ALL SELECT 'hmdb_backfill_conflicts', feature_id FROM op WHERE flag = 'hmdb_backfill_conflict'
 UNION ALL SELECT DISTINCT 'contaminant_consistency', feature_id || ':kept-analysable' FROM tg WHERE k
 UNION ALL SELECT 'contaminant_consistency', 'class[' || tag || ']:excluded+kept' FROM tg GROUP BY tag HAVING bool_or(k) AND bool_or(NOT k)
@@ -665,30 +771,37 @@ UNION ALL SELECT 'gem_surrogate_documented', mam || ':exact-shared' FROM entries
 UNION ALL SELECT DISTINCT 'rationale_quality', feature_id FROM decisions JOIN f USING (ordinal) WHERE action IN ('accept', 'auto_accept', 'exclude') AND (lower(trim(rationale)) IN {_in(TRIVIAL_RATIONALES)} OR length(trim(rationale)) < 4)
 UNION ALL SELECT 'no_pending', feature_id FROM entries WHERE coalesce(final_class, '') = ''
 UNION ALL SELECT 'gem_crosswalk_ran', 'no entry was looked up in the model' FROM entries HAVING count(*) FILTER (final_class IN {_in(PRIMARY)}) > 0 AND count(mam) = 0 AND count(relation) = 0
-UNION ALL SELECT 'finalize_artifacts', p FROM (SELECT unnest(['master.tsv', 'kegg_recovered.tsv']) AS p))""".replace("\\\\", "\\")
+UNION ALL SELECT 'finalize_artifacts', p FROM (SELECT unnest([{", ".join(f"'{x}'" for x in ARTIFACTS if x not in _THERE)}]) AS p))""".replace("\\\\", "\\")
 
 
-def _offenders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, d = _ledger(spark, sf_dir)
-    there = spark.createDataFrame([("coverage.tsv",), ("enriched_xref.tsv",)], "path string")
-    return audit.offenders(spark, e, D.candidates(spark, sf_dir), d, _states(e, d), there, _REQUIRED)
+def _offenders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Entries and offenders."""
+    e, c, d = _ledger(spark, sf_dir)
+    there = spark.createDataFrame([(x,) for x in _THERE], "path string")
+    shown = written(evidence(e, c, d), "evidence")
+    states = written(audit.flag_states(raised(e), raised(e).where("ordinal % 13 = 0"), audit.conditions(e, d, shown)), "states")
+    return e, audit.offenders(spark, e, c, d, states, shown, there, ARTIFACTS)
 
 
 @query(_OFFENDERS + """ SELECT * FROM off""")
 def g1_g20_offenders(spark, sf_dir):
     """Everything the twenty checks object to."""
-    return _offenders(spark, sf_dir)
+    return _offenders(spark, sf_dir)[1]
 
 
 _AUDIT = _OFFENDERS + f""", lv AS (SELECT unnest([{", ".join(f"'{c}'" for c in audit.LEVELS)}]) AS "check", unnest([{", ".join(f"'{c}'" for c in audit.LEVELS.values())}]) AS on_hit),
-sm AS (SELECT "check", count(*) AS n, substr(sha256(count(*) || ':' || sum(('0x' || substr(md5(offender), 1, 15))::BIGINT)::HUGEINT::VARCHAR), 1, 16) AS fp FROM off GROUP BY "check"),
-ck AS (SELECT lv."check", CASE WHEN n IS NULL THEN 'pass' ELSE on_hit END AS level, coalesce(n, 0) AS n, coalesce(fp, '') AS fingerprint, n IS NOT NULL AND on_hit = 'warn' AND lv."check" = 'no_pending' AS acknowledged FROM lv LEFT JOIN sm ON sm."check" = lv."check")"""
+sm AS (SELECT "check", count(*) AS n, count(*) FILTER (ends_with(offender, '(class-level)')) AS soft, substr(sha256(count(*) || ':' || sum(('0x' || substr(md5(offender), 1, 15))::BIGINT)::HUGEINT::VARCHAR), 1, 16) AS fp FROM off GROUP BY "check"),
+ck AS (SELECT lv."check", CASE WHEN n IS NULL THEN 'pass' WHEN lv."check" = 'id_collisions' AND soft = n THEN 'warn' ELSE on_hit END AS level, coalesce(n, 0) AS n, coalesce(fp, '') AS fingerprint, n IS NOT NULL AND on_hit = 'warn' AND lv."check" = 'no_pending' AS acknowledged,
+ n IS NOT NULL AND on_hit = 'warn' AND lv."check" = 'rationale_quality' AS stale FROM lv LEFT JOIN sm ON sm."check" = lv."check")"""
 
 
 def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _offenders(spark, sf_dir).persist()
-    current = audit.audit(spark, found.where("check = 'no_pending'"), spark.createDataFrame([], "check string, fingerprint string")).where("check = 'no_pending'").select("check", "fingerprint")
-    return audit.audit(spark, found, current)
+    """The checks, with one acknowledgement of the offenders of now and one of offenders that were others."""
+    e, found = _offenders(spark, sf_dir)
+    found = written(found, "offenders")
+    none = spark.createDataFrame([], "check string, fingerprint string")
+    current = audit.audit(spark, e, found, none).where("check = 'no_pending'").select("check", "fingerprint")
+    return audit.audit(spark, e, found, current.unionByName(spark.createDataFrame([("rationale_quality", "0123456789abcdef")], "check string, fingerprint string")))
 
 
 @query(_AUDIT + """ SELECT * FROM ck""")
@@ -697,6 +810,14 @@ def g21_g22_audit(spark, sf_dir):
     return _checks(spark, sf_dir)
 
 
+@query(_AUDIT + """ SELECT x."check", CASE WHEN ck.level IS NULL THEN 'unknown check' WHEN ck.level = 'fail' THEN 'a failure can only be mended' WHEN ck.level = 'pass' THEN 'it passes' WHEN length(x."check") % 2 = 0 THEN 'the reason is too short' ELSE 'acknowledged' END AS outcome,
+CASE WHEN ck.level = 'warn' AND length(x."check") % 2 = 1 THEN fingerprint END AS fingerprint FROM (SELECT "check" FROM lv UNION ALL SELECT 'no_such_check') x LEFT JOIN ck USING ("check")""")
+def g22_acknowledge(spark, sf_dir):
+    """Requests to acknowledge each check, every second one with too short a reason."""
+    asked = spark.createDataFrame([(c, "looks fine" if len(c) % 2 == 0 else "seen, and told downstream") for c in [*audit.LEVELS, "no_such_check"]], "check string, why string")
+    return audit.acknowledge(_checks(spark, sf_dir), asked)
+
+
 @query(_AUDIT + """ SELECT count(*) FILTER (level = 'pass') AS n_pass, count(*) FILTER (level = 'warn') AS n_warn, count(*) FILTER (level = 'fail') AS n_fail, count(*) FILTER (acknowledged) AS n_acknowledged,
 CASE WHEN bool_or(level = 'fail') THEN 'fail' WHEN bool_or(level = 'warn' AND NOT acknowledged) THEN 'warn' ELSE 'pass' END AS verdict FROM ck""")
 def a14_audit_rollup(spark, sf_dir):

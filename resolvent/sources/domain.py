@@ -20,7 +20,11 @@ NAMES = [
     "4-(Dimethylamino)benzoic acid", "Glucose 6-phosphate", "  D-Glucose ", "Glycochenodeoxycholic acid",
 ]
 FORMULAS = ["C6H12O6", "C2H7NO3S", "C24H50NO7P", "C26H43NO5", "C20H32O3", "C16H32O2", "C10H26N4", "c5h11no2s", "RCO2", "HO4C4H5"]
-RATIONALES = ["", "ok", "guess", "exact name match", "reviewed against its record", " see the note "]
+RATIONALES = [
+    "", "ok", "guess", "exact name match", "reviewed against its record", " see the note ", "a typo in the name, spelled right in the record",
+    "BridgeDb promotes the PubChem id", "isomer pair, told apart by its record", "an antibiotic drug by its record", "dietary, from plants",
+    "HMDB backfill (BridgeDb)", "re-bridge of the id", "mobile phase additive",
+]
 ACTIONS = {"view": "backcheck", "signup": "accept", "purchase": "auto_accept", "error": "exclude", "click": "isomer_guard"}
 ORIGINS = ["endogenous", "diet", "drug", "industrial", "additive", "martian"]
 RELATIONS = ["exact", "class-proxy", "isomer-surrogate", "model-scope-absent", "id-gap"]
@@ -42,7 +46,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ordinal, seq, source, db, raw_id, id (canonical, null if missing), note, formula"""
+    """ordinal, seq, source, db, raw_id, id (canonical, null if missing), note, formula, query (the name or `db:id` that was asked for, or empty)"""
     n = F.col("l_suppkey") * 20 + F.col("l_partkey") % 20
     text = n.cast("string")
     padded = lambda k: F.lpad(text, F.greatest(F.lit(k), F.length(text)), F.lit("0"))
@@ -57,10 +61,12 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("KEY"), text, F.lit("-N")))
     )
     order = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 2).otherwise(4) + F.when(F.col("l_linestatus") == "F", 0).otherwise(1)
-    rows = read(spark, sf_dir, "lineitem").where("l_quantity > 30").select(
+    line = F.col("l_linenumber")
+    asked = F.when(line == 7, "").when(line == 3, F.concat(F.lit("chebi:"), text)).otherwise(pick(NAMES, (F.col("l_suppkey") * 7 + F.col("l_partkey")) % len(NAMES)))
+    rows = read(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("ordinal"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), pick(SOURCES, order).alias("source"),
         pick(NAMESPACES, which).alias("db"), raw.alias("raw_id"), pick(NAMES, (F.col("l_suppkey") + F.col("l_partkey")) % len(NAMES)).alias("note"),
-        F.when(~even, pick(FORMULAS, F.col("l_suppkey") % len(FORMULAS))).alias("formula"),
+        F.when(~even, pick(FORMULAS, F.col("l_suppkey") % len(FORMULAS))).alias("formula"), asked.alias("query"),
     )
     return rows.withColumn("id", ids.canonical(F.col("db"), F.col("raw_id")))
 
@@ -87,7 +93,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ordinal", "feature_id", "name", *NAMESPACES, final.alias("final_class"), F.when(k % 8 < 7, pick(TIERS, k % 8)).alias("confidence"),
         F.when(k % 4 != 3, pick(ORIGINS, F.floor(k / 4) % len(ORIGINS))).alias("origin"), relation.alias("relation"),
         F.when(k % 3 == 0, "chosen because its chain matches").otherwise("short").alias("rationale"),
-        F.when(relation.isin("exact", "class-proxy", "isomer-surrogate"), F.concat(F.lit("MAM"), F.lpad((F.floor(k / 2) % 400).cast("string"), 5, "0"))).alias("mam"),
+        F.when(relation.isin("exact", "class-proxy", "isomer-surrogate"), F.concat(F.lit("MAM"), F.lpad((F.floor(k / 2) % 400).cast("string"), 5, "0"))).alias("mam"), (k % 3 == 0).alias("curated"),
     )
 
 
@@ -97,7 +103,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = F.element_at(F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv]), F.col("event_type"))
     rows = read(spark, sf_dir, "events").select(
         F.col("user_id").alias("ordinal"), k.alias("seq"), "ts", action.alias("action"), pick(NAMESPACES, k % 5).alias("db"),
-        pick(RATIONALES, k % 6).alias("rationale"), F.col("props"),
+        pick(RATIONALES, k % len(RATIONALES)).alias("rationale"), F.col("props"),
     )
     held = accepted(spark, sf_dir).withColumnRenamed("id", "held")
     check = F.col("action") == "backcheck"
@@ -128,8 +134,31 @@ def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src_db, src_id, hmdb: cross-references, some of them to several accessions or in several spellings."""
     c = F.col("o_custkey")
     text, target = c.cast("string"), F.floor(F.col("o_orderkey") / 4).cast("string")
+    padded = lambda x, k: F.lpad(x, F.greatest(F.lit(k), F.length(x)), F.lit("0"))
+    kind = c % 4
     return read(spark, sf_dir, "orders").select(
-        F.when(c % 2 == 0, "kegg").otherwise("chebi").alias("src_db"),
-        F.when(c % 2 == 0, F.concat(F.lit("C"), F.lpad(text, F.greatest(F.lit(5), F.length(text)), F.lit("0")))).when(c % 3 == 0, F.concat(F.lit("CHEBI:"), text)).otherwise(text).alias("src_id"),
-        F.concat(F.lit("HMDB"), F.when(F.col("o_orderkey") % 2 == 0, F.lpad(target, F.greatest(F.lit(5), F.length(target)), F.lit("0"))).otherwise(F.lpad(target, F.greatest(F.lit(7), F.length(target)), F.lit("0")))).alias("hmdb"),
-    )
+        F.when(kind == 0, "kegg").when(kind == 1, "chebi").when(kind == 2, "pubchem").otherwise("inchikey").alias("src_db"),
+        F.when(kind == 0, F.concat(F.lit("C"), padded(text, 5))).when((kind == 1) & (c % 3 == 0), F.concat(F.lit("CHEBI:"), text)).when(kind < 3, text).otherwise(F.concat(F.lit("KEY"), text, F.lit("-N"))).alias("src_id"),
+        F.concat(F.lit("HMDB"), F.when(F.col("o_orderkey") % 2 == 0, padded(target, 5)).otherwise(padded(target, 7))).alias("hmdb"),
+    )
+
+
+def compound_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query, properties, synonyms: recorded answers about a compound, as JSON; of some there is no answer, or no names."""
+    k = F.col("p_partkey")
+    text = k.cast("string")
+    properties = F.concat(F.lit('{"PropertyTable":{"Properties":[{"CID":'), text, F.lit(',"MolecularFormula":"'), pick(FORMULAS, k % len(FORMULAS)), F.lit('","InChIKey":"KEY'), text, F.lit('-N","IUPACName":"'), F.col("p_name"), F.lit('","MonoisotopicMass":"'), (k % 900 + 100).cast("string"), F.lit('.0634"}]}}'))
+    names = F.transform(F.sequence(F.lit(1), (k % 40 + 1).cast("int")), lambda i: F.concat(F.lit('"name '), i.cast("string"), F.lit('"')))
+    synonyms = F.concat(F.lit('{"InformationList":{"Information":[{"CID":'), text, F.lit(',"Synonym":['), F.array_join(names, ","), F.lit("]}]}}"))
+    return read(spark, sf_dir, "part").select(F.col("p_name").alias("query"), k.alias("cid"), F.when(k % 7 != 0, properties).alias("properties"), F.when(k % 5 != 0, synonyms).alias("synonyms"))
+
+
+def term_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, payload: recorded answers about a ChEBI term, as JSON, with the formula under any of its keys; some are empty."""
+    k = F.col("p_partkey")
+    text = k.cast("string")
+    formula = F.concat(F.lit('"'), pick(["generalized_empirical_formula", "formula", "Formula", "other"], k % 4), F.lit('":'), F.when(k % 2 == 0, F.concat(F.lit('["'), pick(FORMULAS, k % len(FORMULAS)), F.lit('","X"]'))).otherwise(F.concat(F.lit('"'), pick(FORMULAS, k % len(FORMULAS)), F.lit('"'))))
+    facts = F.concat(F.lit("{"), formula, F.lit(',"monoisotopic_mass":["'), (k % 900 + 100).cast("string"), F.lit('.5"],"inchikey":'), F.when(k % 3 == 0, "[]").otherwise(F.concat(F.lit('["KEY'), text, F.lit('-N"]'))), F.lit("}"))
+    term = F.concat(F.lit('{"label":"'), F.col("p_name"), F.lit('","synonyms":["'), F.col("p_brand"), F.lit('",""],"annotation":'), facts, F.lit("}"))
+    payload = F.when(k % 11 == 0, F.lit('{"_embedded":{"terms":[]}}')).when(k % 13 == 0, F.lit("{}")).otherwise(F.concat(F.lit('{"_embedded":{"terms":['), term, F.lit("]}}")))
+    return read(spark, sf_dir, "part").select(F.when(k % 2 == 0, text).otherwise(F.concat(F.lit("CHEBI:"), text)).alias("id"), payload.alias("payload"))

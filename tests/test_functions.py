@@ -10,7 +10,7 @@ def column(spark, values, expr, kind="string"):
 
 
 def test_normalize(spark):
-    got = column(spark, ["  D-Glucose ", "TMAO(trimethylamine N-oxide)", "2-PG/3-PG", "Creatine monohydrate", "Butyryl carnitine", "α-Ketoglutaric acid", "4-(Dimethylamino)benzoic acid", "Tri(butoxyethyl) phosphate", "x ", None], names.normalize)
+    got = ["  D-Glucose ", "TMAO(trimethylamine N-oxide)", "2-PG/3-PG", "Creatine monohydrate", "Butyryl carnitine", "α-Ketoglutaric acid", "4-(Dimethylamino)benzoic acid", "Tri(butoxyethyl) phosphate", "x ", None], names.normalize)
     assert [g.normalized for g in got[:8]] == ["D-Glucose", "trimethylamine N-oxide", "2-PG/3-PG", "Creatine", "Butyryl carnitine", "alpha-Ketoglutaric acid", "4-(Dimethylamino)benzoic acid", "Tri(butoxyethyl) phosphate"]
     assert got[1].parenthetical == "trimethylamine N-oxide" and got[1].alternatives == ["TMAO", "TMAO(trimethylamine N-oxide)"]
     assert got[2].alternatives == ["2-PG", "3-PG"] and got[2].flags == ["combined_name", "has_digit_locant"]
@@ -76,5 +76,10 @@ def test_variants(spark):
     assert "lactoneotetraosylceramide" in variants.variants("nLc4Cer") and "plasmenylcholine" in variants.variants("LysoPC(P-16:0)")
     assert not any("oleoyl" in v for v in variants.variants("Cer(d18:1/16:0)")) and variants.variants(None) == []
     assert max(len(variants.variants(n)) for n in ("LysoPC(16:0)", "PC(16:0/18:1)")) <= variants.MOST
+    assert variants.variants("3'-sialyl-neolactotetraosylceramide")[0] == "Sialyl-3-paragloboside" and variants.variants("oxidized LPC") == ["oxidized lysophosphatidylcholine", "oxidized phosphatidylcholine"]
+    assert variants.variants("LysoPS(18:0)")[:3] == ["1-stearoyl-sn-glycero-3-phosphoserine", "1-stearoylglycero-3-phosphoserine", "stearoyl lysophosphatidylserine"]
+    assert variants.variants("N1,N12-Diacetylspermidine") == ["diacetylspermine", "N1,N12-diacetylspermine"] and variants.variants("LPS(18:0)") == ["LPS"]
+    assert variants.variants("LysoPC(O-16:0)")[0] == "1-hexadecyl-sn-glycero-3-phosphocholine" and "1-alkyl-sn-glycero-3-phosphocholine" in variants.variants("LysoPC(O-16:0)")
+    assert variants.variants("Lac Cer") == variants.variants("LacCer")[:1] + variants.variants("LacCer")[1:]
     df = spark.createDataFrame([("15-HETE",), (None,)], "n string")
     assert variants.expand(df, "n").count() == len(variants.variants("15-HETE"))

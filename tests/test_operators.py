@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from resolvent.operators import audit, collide, report, resolve, sinks, species
 from resolvent.plans import blocking
+from resolvent.vocab import CAUSES
 
 
 def test_greedy_allocation(spark):
@@ -75,14 +76,38 @@ def test_flag_states_and_rollup(spark):
     assert got == {1: "open", 2: "open", 3: "self_resolved", 4: "acknowledged"}
     found = spark.createDataFrame([("no_pending", "M1"), ("no_pending", "M2")], "check string, offender string")
     none = spark.createDataFrame([], "check string, fingerprint string")
-    first = audit.audit(spark, found, none)
+    e = spark.createDataFrame([(1,)], "ordinal long")
+    first = audit.audit(spark, e, found, none)
     assert audit.rollup(first).first().verdict == "warn" and len(audit.LEVELS) == first.count() == 20
     ack = first.where("check = 'no_pending'").select("check", "fingerprint")
-    assert audit.rollup(audit.audit(spark, found, ack)).first().verdict == "pass"
+    assert audit.rollup(audit.audit(spark, e, found, ack)).first().verdict == "pass"
     more = found.unionByName(spark.createDataFrame([("no_pending", "M3")], "check string, offender string"))
-    assert audit.rollup(audit.audit(spark, more, ack)).first().verdict == "warn"
+    assert audit.rollup(audit.audit(spark, e, more, ack)).first().verdict == "warn"
+    assert [r.check for r in audit.audit(spark, e, more, ack).where("stale").collect()] == ["no_pending"]
+    assert [(r.check, r.level) for r in audit.audit(spark, e.where("false"), more, ack).collect()] == [("ingest", "warn")]
 
 
+def test_class_level_sharing_is_a_warning(spark):
+    e = spark.createDataFrame([(1,)], "ordinal long")
+    none = spark.createDataFrame([], "check string, fingerprint string")
+    level = lambda *x: {r.check: r.level for r in audit.audit(spark, e, spark.createDataFrame([("id_collisions", o) for o in x], "check string, offender string"), none).collect()}["id_collisions"]
+    assert level("kegg:C1(class-level)") == "warn" and level("kegg:C1(class-level)", "kegg:C2") == "fail"
+
+
+def test_acknowledging(spark):
+    checks = spark.createDataFrame([("a", "warn", "f"), ("b", "fail", "g"), ("c", "pass", "")], "check string, level string, fingerprint string")
+    asked = spark.createDataFrame([("a", "seen and accepted"), ("a", "  too short   "), ("a", None), ("b", "seen and accepted"), ("c", "seen and accepted"), ("d", "seen and accepted")], "check string, why string")
+    got = sorted((r.check, r.outcome, r.fingerprint or "") for r in audit.acknowledge(checks, asked).collect())
+    assert got == [("a", "acknowledged", "f"), ("a", "the reason is too short", ""), ("a", "the reason is too short", ""), ("b", "a failure can only be mended", ""), ("c", "it passes", ""), ("d", "unknown check", "")]
+
+
+def test_causes(spark):
+    rows = [("Glucse", "a Typo", "?"), ("x", "", "xref bridge (BridgeDb)"), ("x", "BridgeDb promotes it", "?"), ("2-PG/3-PG", "", "?"), ("Phosphoenolpyruvate=PEP", "", "?"), ("GABA", "", "?"), ("Spermine (SPM)", "", "?"), ("Butyryl carnitine", "", "?"), ("glucose-6-phosphate", "", "?"), ("Ortophosphate", "", "?"), ("Urea", "", "?")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, o string, logic string, route string")
+    got = [r.c for r in df.select("k", report.cause(F.col("o"), F.col("logic"), F.col("route")).alias("c")).orderBy("k").collect()]
+    typo, short, form, synonym, combined, vendor = CAUSES
+    assert got == [typo, vendor, vendor, combined, short, short, short, form, form, form, synonym]
+
 def test_coverage_of_nothing(spark):
     e = spark.createDataFrame([], "final_class string, kegg string, hmdb string, relation string")
     assert {(r.value, r.pct) for r in report.coverage(spark, e).collect()} == {(0, 0.0)}
@@ -97,7 +122,7 @@ def test_finalize_goes_on_after_a_failure(tmp_path, spark):
     assert got == {"coverage": "ValueError: no", "provenance": "ok", "slides": "unknown step"}
 
 
-@pytest.mark.parametrize("term,want", [("glu", ["Glucose", "glue"]), ("gl", [])])
+@pytest.mark.parametrize("term,want", [("glu", ["Glucose", "glue"]), ("gl", ["Glucose", "glue"]), ("x", ["x"]), ("", [])])
 def test_substring_search(spark, term, want):
     r = spark.createDataFrame([(0, "Glucose"), (1, "x"), (2, "glue")], "position long, record string")
     assert [x.record for x in resolve.substring_search(spark.createDataFrame([(term,)], "term string"), r).orderBy("rank").collect()] == want
