@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..vocab import ADDUCTS, MONO_MASS
+from ..vocab import ADDUCTS, AVERAGE_MASS, MONO_MASS
 
 
 def parses(c: Column) -> Column:
@@ -15,10 +15,11 @@ def parses(c: Column) -> Column:
 
 
 def counts(c: Column) -> Column:
-    """A plain formula as an array of (element, count), each element once: C, H, then by letter."""
+    """A plain formula as an array of (element, count), each element once: C, H, then by letter; without carbon, all by letter."""
     parts = F.regexp_extract_all(c, F.lit("([A-Z][a-z]?)([0-9]*)"), F.lit(0))
     one = F.transform(parts, lambda x: F.struct(F.regexp_extract(x, "^[A-Za-z]+", 0).alias("e"), F.coalesce(F.nullif(F.regexp_extract(x, "[0-9]+$", 0), F.lit("")), F.lit("1")).cast("int").alias("n")))
-    order = lambda e: F.when(e == "C", "0").when(e == "H", "1").otherwise(F.concat(F.lit("2"), e))
+    organic = F.exists(one, lambda x: x["e"] == "C")
+    order = lambda e: F.when(organic & (e == "C"), "0").when(organic & (e == "H"), "1").otherwise(F.concat(F.lit("2"), e))
     kinds = F.array_sort(F.array_distinct(F.transform(one, lambda x: F.struct(order(x["e"]).alias("o"), x["e"].alias("e")))))
     return F.transform(kinds, lambda k: F.struct(k["e"].alias("e"), F.aggregate(F.filter(one, lambda x: x["e"] == k["e"]), F.lit(0), lambda s, x: s + x["n"]).alias("n")))
 
@@ -29,11 +30,19 @@ def canonical(c: Column) -> Column:
     return F.when(parses(c), F.array_join(F.transform(counts(c), lambda x: F.concat(x["e"], F.when(x["n"] > 1, x["n"].cast("string")).otherwise(""))), "")).otherwise(F.upper(c))
 
 
-def mono_mass(c: Column) -> Column:
-    masses = F.create_map(*[F.lit(x) for e, m in MONO_MASS.items() for x in (e, m)])
+def _mass(c: Column, of: dict[str, float]) -> Column:
+    masses = F.create_map(*[F.lit(x) for e, m in of.items() for x in (e, m)])
     return F.when(parses(c), F.aggregate(counts(c), F.lit(0.0), lambda s, x: s + masses[x["e"]] * x["n"]))
 
 
+def mono_mass(c: Column) -> Column:
+    return _mass(c, MONO_MASS)
+
+
+def average_mass(c: Column) -> Column:
+    return _mass(c, AVERAGE_MASS)
+
+
 def is_pool(c: Column) -> Column:
     """Whether a formula has a placeholder: R or X that starts no element's name."""
     return c.rlike("[RX](?![a-z])")

@@ -134,15 +134,16 @@ def name_parts(c: Column) -> Column:
     return F.struct(F.lower(c).alias("low"), grams(c).alias("grams"), grams(without_brackets(c)).alias("bare"), tokens(c).alias("tokens"))
 
 
-def name_score(q: Column, n: Column, base: Column) -> Column:
-    """struct(score, kind) of a model species for a query, from the name_parts of both: the best route; the earlier of equals."""
+def name_score(q: Column, n: Column, base: Column, ids: Column) -> Column:
+    """struct(score, order, kind) of a model species for a query, from the name_parts of both, its base id and its species ids, joined by spaces: the best route; the earlier of equals."""
     ql, nl, bl = q["low"], n["low"], F.lower(base)
+    same_id = (ql == bl) | F.array_contains(F.split(F.lower(ids), " "), ql)
     ratio = F.least(F.length(ql), F.length(nl)) / F.greatest(F.length(ql), F.length(nl))
     d = F.greatest(dice(q["grams"], n["grams"]), dice(q["grams"], n["bare"]))
     qt, nt = q["tokens"], n["tokens"]
     routes = [
-        ("id-exact", F.when(ql == bl, 96.0).otherwise(0.0)),
-        ("id-substring", F.when((ql != bl) & bl.contains(ql), 60.0 + 20.0 * F.length(ql) / F.length(bl)).otherwise(0.0)),
+        ("id-exact", F.when(same_id, 96.0).otherwise(0.0)),
+        ("id-substring", F.when(~same_id & bl.contains(ql), 60.0 + 20.0 * F.length(ql) / F.length(bl)).otherwise(0.0)),
         ("name-exact", F.when(ql == nl, 100.0).otherwise(0.0)),
         ("name-substring", F.when((ql != nl) & (nl.contains(ql) | ql.contains(nl)), 50.0 + 35.0 * ratio).otherwise(0.0)),
         ("name-tokens", F.when((ql != nl) & (F.size(qt) > 0) & (F.size(nt) > 0), 60.0 * jaccard(qt, nt) + F.when(subset(qt, nt), 10.0).otherwise(0.0)).otherwise(0.0)),

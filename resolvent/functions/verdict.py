@@ -6,7 +6,9 @@ Both are Column expressions. Acyl names match the longest first and use up their
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as V
@@ -47,17 +49,20 @@ def _set(c: Column) -> Column:
     return F.array_sort(F.array_distinct(c))
 
 
-def features(name: Column) -> Column:
-    """A struct of the axes on which compounds of like name differ. Null is read as an empty name."""
-    low = lowered(name)
-    skeleton = _tags(low, V.SKELETONS)
-    trivial = _all(low, f"({_longest(V.ACYLS)})")
+def features(name: Column, let: Callable[[str, Column], Column] = lambda _, c: c) -> Column:
+    """A struct of the axes on which compounds of like name differ. Null is read as an empty name.
+
+    let gives what is used more than once a name, so that it is computed once (see featured).
+    """
+    low = let("low", lowered(name))
+    skeleton = let("skeleton", _tags(low, V.SKELETONS))
+    trivial = let("trivial", _all(low, f"({_longest(V.ACYLS)})"))
     stems = f"({_longest(V.STEMS)})a?({_longest(V.ENDINGS)})o(?:yl|ic)"
     systematic = F.zip_with(_all(low, stems, 1), _all(low, stems, 2), lambda a, b: F.concat(_map(V.STEMS)[a].cast("string"), F.lit(":"), _map(V.ENDINGS)[b].cast("string")))
     of_trivial = F.transform(trivial, lambda x: _map({k: v[0] for k, v in V.ACYLS.items()})[x])
-    chains = _set(F.concat(F.filter(_all(low, V.CHAIN), lambda x: x != "0:0"), of_trivial, systematic))
+    chains = let("chains", _set(F.concat(F.filter(_all(low, V.CHAIN), lambda x: x != "0:0"), of_trivial, systematic)))
     headed = low.rlike("glycero|phosphocholine|phosphoethanolamine")
-    said = _tags(low, V.ETHERS)
+    said = let("said", _tags(low, V.ETHERS))
     ester = (F.size(trivial) > 0) & headed
     implied = (F.size(chains) > 0) & F.array_contains(skeleton, "glycerophospholipid") & (F.size(said) == 0)
     ether = F.when(ester | implied, F.array_distinct(F.concat(said, F.array(F.lit("acyl"))))).otherwise(said)
@@ -72,13 +77,13 @@ def features(name: Column) -> Column:
     osyl = _map(V.OSYL)[F.regexp_extract(low, "(mono|di|tri|tetra|penta|hexa)a?osyl", 1)]
     length = F.coalesce(size, osyl, F.when(low.contains("paraglobo"), 4))
     pairs = F.transform(_all(low, V.LINKAGE, 0), lambda x: F.array_join(F.slice(F.regexp_extract_all(x, F.lit(r"(\d)"), F.lit(1)), 1, 2), "-"))
-    oxidation = low.rlike(V.OXIDATION)
+    oxidation = let("oxidation", low.rlike(V.OXIDATION))
     hydroxy = F.when(low.rlike("h[ep]?ete|hode"), F.when(low.rlike(r"\bdi-?h[ep]?ete|\bdihydroxy"), 2).otherwise(1)).when(
         F.array_contains(skeleton, "eicosanoid") & low.contains("hydroxy"), F.when(low.contains("dihydroxy"), 2).otherwise(1)
     )
-    polyamine = F.coalesce(*[F.when(low.contains(p), F.lit(p)) for p in V.POLYAMINES])
+    polyamine = let("polyamine", F.coalesce(*[F.when(low.contains(p), F.lit(p)) for p in V.POLYAMINES]))
     acetyl = F.when(polyamine.isNotNull() | F.array_contains(skeleton, "amino-acid"), F.when(low.rlike(r"di-?acetyl|\bbis-?acetyl"), 2).when(low.rlike(r"monoacetyl|n\d*-acetyl|\bacetyl"), 1))
-    generic = low.rlike(V.GENERIC)
+    generic = let("generic", low.rlike(V.GENERIC))
     lipid = F.arrays_overlap(skeleton, F.array(*map(F.lit, V.LIPIDS)))
     resolution = F.when((F.size(chains) > 0) | low.rlike(V.HEADGROUP), "species").when(lipid | generic, "class").otherwise("species")
     return F.struct(
@@ -91,6 +96,28 @@ def features(name: Column) -> Column:
     )
 
 
+def featured(found: DataFrame, name: str) -> DataFrame:
+    """name and f, the features of each distinct value of a column; each step is a column of its own that the next ones read."""
+    df = found.select(F.col(name).alias("name")).distinct()
+
+    def let(key: str, c: Column) -> Column:
+        nonlocal df
+        df = df.withColumn(f"_{key}", c)
+        return F.col(f"_{key}")
+
+    whole = features(F.col("name"), let)
+    return df.select("name", whole.alias("f"))
+
+
+def judged(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """pairs with v, the comparison of the names in two columns. Each distinct name is read once, and each distinct pair compared once; the joins keep expressions apart."""
+    names = featured(pairs.select(F.col(left).alias("name")).union(pairs.select(F.col(right))), "name")
+    a, b = names.select(F.col("name").alias("_a"), F.col("f").alias("_fa")), names.select(F.col("name").alias("_b"), F.col("f").alias("_fb"))
+    one = pairs.select(F.col(left).alias("_l"), F.col(right).alias("_r")).distinct()
+    one = one.join(a, F.col("_l").eqNullSafe(F.col("_a"))).join(b, F.col("_r").eqNullSafe(F.col("_b"))).select("_l", "_r", compare(F.col("_fa"), F.col("_fb")).alias("v"))
+    return pairs.join(one, F.col(left).eqNullSafe(F.col("_l")) & F.col(right).eqNullSafe(F.col("_r"))).drop("_l", "_r")
+
+
 def compare(q: Column, c: Column) -> Column:
     """struct(verdict, conflicts, ambiguities, shared) of two features() columns; the lists name axes."""
     has = lambda x: F.size(x) > 0

@@ -28,7 +28,7 @@ def class_evidence(entries: DataFrame, candidates: DataFrame, decisions: DataFra
     its class_level_id flag. Each distinct name is looked at once.
     """
     named = candidates.where("id is not null and note <> ''").select("ordinal", "db", "id", "note").distinct()
-    generic = named.select("note").distinct().where(verdict.features(F.col("note"))["resolution"] == "class")
+    generic = verdict.featured(named, "note").where("f.resolution = 'class'").select(F.col("name").alias("note"))
     flagged = raised.where("flag = 'class_level_id'").select("ordinal").distinct()
     return class_level(decisions).unionByName(named.join(generic, "note").select("ordinal", "db", "id")).unionByName(held(entries).join(flagged, "ordinal", "left_semi").select("ordinal", "db", "id")).distinct()
 

@@ -17,8 +17,8 @@ def pairs(held: DataFrame) -> DataFrame:
     """Pairs of different names on one id, compared: names are collapsed first, so a much-shared id costs its names squared, not its holders."""
     names = held.groupBy("db", "id", F.trim("name").alias("name")).agg(F.count("*").alias("n"))
     a, b = names.select("db", "id", F.col("name").alias("a")), names.select("db", "id", F.col("name").alias("b"))
-    both = a.join(b, ["db", "id"]).where("a < b").withColumn("fa", verdict.features(F.col("a"))).withColumn("fb", verdict.features(F.col("b")))
-    return both.withColumn("v", verdict.compare(F.col("fa"), F.col("fb"))).select("db", "id", "a", "b", "v.verdict", "v.conflicts")
+    both = a.join(b, ["db", "id"]).where("a < b")
+    return verdict.judged(both, "a", "b").select("db", "id", "a", "b", "v.verdict", "v.conflicts")
 
 
 def severity(held: DataFrame, class_level: DataFrame) -> DataFrame:

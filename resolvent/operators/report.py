@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, names
-from ..vocab import CAUSES, CLASSES, EXCLUDED, KEPT, MAPPED_RELATIONS, NAMESPACES, PRIMARY, ROUTES
-from .resolve import ACCEPTING, reason_category
+from ..vocab import CAUSES, CLASSES, EXCLUDED, MAPPED_RELATIONS, NAMESPACES, PRIMARY, ROUTES
+from .resolve import ACCEPTING, allocate, reason_category
 
 
 def class_counts(spark: SparkSession, entries: DataFrame) -> DataFrame:
@@ -151,10 +151,14 @@ def model_curation(entries: DataFrame, species: DataFrame, model: str) -> DataFr
     return rows.select("feature_id", F.col("name").alias("original_name"), F.when(has, model).otherwise("").alias("model"), F.coalesce("mam", F.lit("")).alias("mam"), "relation", F.coalesce("gem_name", F.lit("")).alias("gem_name"), F.when(F.col("curated"), "yes").otherwise("no").alias("curated"), F.when(has, F.col("rationale")).otherwise("").alias("rationale"))
 
 
+ANNOTATION = ["final_class", "origin", "confidence", *NAMESPACES, "gem_mam", "gem_relation"]
+
+
 def annotate(rows: DataFrame, column: str, entries: DataFrame) -> DataFrame:
-    """Source rows with the ids of the last feature of the same trimmed, lower-cased name."""
-    last = entries.groupBy(F.lower(F.trim("name")).alias("key")).agg(F.max(F.struct("ordinal", *NAMESPACES, "final_class")).alias("e"))
-    return rows.withColumn("key", F.lower(F.trim(column))).join(last, "key", "left").select(*rows.columns, *[F.col(f"e.{d}").alias(f"ID_{d}") for d in NAMESPACES], F.col("e.final_class").alias("ID_class"), F.col("e").isNotNull().alias("ID_matched"))
+    """Source rows with ten ID_ columns of the last feature of the same trimmed, lower-cased name, and whether there is one. Absent values are empty."""
+    named = entries.withColumnsRenamed({"mam": "gem_mam", "relation": "gem_relation"})
+    last = named.groupBy(F.lower(F.trim("name")).alias("key")).agg(F.max(F.struct("ordinal", *ANNOTATION)).alias("e"))
+    return rows.withColumn("key", F.lower(F.trim(column))).join(last, "key", "left").select(*rows.columns, *[F.coalesce(F.col(f"e.{d}"), F.lit("")).alias(f"ID_{d}") for d in ANNOTATION], F.col("e").isNotNull().alias("ID_matched"))
 
 
 def best_column(rows: DataFrame, columns: list[str], entries: DataFrame) -> DataFrame:
@@ -186,12 +190,38 @@ def next_step(entries: DataFrame, candidates: DataFrame) -> DataFrame:
     return counts.select("n", "pending", F.when(F.col("n") == 0, "ingest_names").when(F.col("c") == 0, "exact_match").when(F.col("pending") > 0, "gather_evidence").otherwise("model_or_finalize").alias("step"))
 
 
-def kept(entries: DataFrame) -> DataFrame:
-    return entries.where(F.col("final_class").isin(KEPT))
-
-
-def backfill(entries: DataFrame, bridge: DataFrame) -> DataFrame:
-    """ordinal, targets: HMDB accessions that the bridge knows for the kegg or chebi id of kept entries without one."""
-    gaps = kept(entries).where("hmdb is null").select("ordinal", F.explode(F.array(*[F.struct(F.lit(d).alias("db"), F.col(d).alias("id")) for d in ("kegg", "chebi")])).alias("x")).select("ordinal", "x.db", "x.id").where("id is not null")
-    keyed = bridge.select(F.col("src_db").alias("db"), ids.canonical(F.col("src_db"), F.col("src_id")).alias("id"), ids.pad_hmdb(F.col("hmdb")).alias("target"))
-    return gaps.join(keyed, ["db", "id"]).groupBy("ordinal").agg(F.array_sort(F.collect_set("target")).alias("targets"))
+#: Namespaces that lead to an hmdb accession, and classes that may gain one.
+BACKFILL_FROM = ["inchikey", "kegg", "chebi", "pubchem"]
+GAINING = ["KEGG-mapped", "structure-only", "exogenous"]
+
+
+def backfill(entries: DataFrame, candidates: DataFrame, bridge: DataFrame) -> DataFrame:
+    """ordinal, targets, ambiguous: the hmdb accessions that entries without one may take, in order.
+
+    First those of its own candidates, in order, then what the bridge knows for its ids: per
+    namespace the accepted id, else that of the first candidate. ambiguous: for one of these ids the
+    bridge knows several.
+    """
+    gaps = entries.where(F.col("final_class").isin(GAINING)).where("hmdb is null")
+    first = candidates.where(F.col("id").isNotNull() & F.col("db").isin(BACKFILL_FROM)).groupBy("ordinal", "db").agg(F.min(F.struct("seq", "id"))["id"].alias("candidate"))
+    accepted = gaps.select("ordinal", F.explode(F.array(*[F.struct(F.lit(k).alias("place"), F.lit(d).alias("db"), F.col(d).alias("accepted")) for k, d in enumerate(BACKFILL_FROM)])).alias("x")).select("ordinal", "x.*")
+    asked = accepted.join(first, ["ordinal", "db"], "left").select("ordinal", "place", "db", F.coalesce("accepted", "candidate").alias("id")).where("id is not null")
+    keyed = bridge.select(F.col("src_db").alias("db"), ids.canonical(F.col("src_db"), F.col("src_id")).alias("id"), ids.pad_hmdb(F.col("hmdb")).alias("target")).distinct()
+    met = asked.join(keyed, ["db", "id"]).groupBy("ordinal", "place").agg(F.array_sort(F.collect_set("target")).alias("t"))
+    bridged = met.groupBy("ordinal").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "t"))), lambda x: x["t"])).alias("bridged"), F.bool_or(F.size("t") > 1).alias("ambiguous"))
+    own = candidates.where("db = 'hmdb' and id is not null").join(gaps.select("ordinal"), "ordinal", "left_semi").groupBy("ordinal", "id").agg(F.min("seq").alias("seq"))
+    own = own.groupBy("ordinal").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "id"))), lambda x: x["id"]).alias("own"))
+    none = F.expr("cast(array() as array<string>)")
+    out = gaps.select("ordinal").join(own, "ordinal", "left").join(bridged, "ordinal", "left")
+    return out.select("ordinal", F.array_distinct(F.concat(F.coalesce("own", none), F.coalesce("bridged", none))).alias("targets"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
+
+
+def backfilled(entries: DataFrame, candidates: DataFrame, bridge: DataFrame) -> DataFrame:
+    """ordinal, outcome, target: what each entry without an accession gains. No accession goes to two entries, nor one that another entry has; where the bridge is ambiguous nothing is taken."""
+    found = backfill(entries, candidates, bridge)
+    taken = entries.where("hmdb is not null").select(F.col("hmdb").alias("target")).distinct()
+    options = found.where("not ambiguous").select("ordinal", F.posexplode("targets").alias("place", "target"))
+    free = options.join(taken, "target", "left_anti").groupBy("ordinal").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "target"))), lambda x: x["target"]).alias("targets"))
+    got = allocate(free.select(F.lit(0).cast("long").alias("run"), "ordinal", "targets")).select("ordinal", "target")
+    outcome = F.when(F.col("ambiguous"), "ambiguous").when(F.col("target").isNotNull(), "gained").when(F.size("targets") > 0, "taken by another").otherwise("nothing found")
+    return found.join(got, "ordinal", "left").select("ordinal", outcome.alias("outcome"), "target")

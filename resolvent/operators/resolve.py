@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import ids, names
+from ..functions import ids, names, verdict
+from ..plans.written import written
 from ..vocab import CLASS_OF_ORIGIN, CLASSES, EXCLUDED, INDIRECT, LEGACY_CLASSES, NAMESPACES, ORIGINS, PRIMARY, REASON_WORDS
 
 
 ACCEPTING = ["accept", "auto_accept"]
+#: Databases that are asked by name.
+ASKED = ["kegg", "pubchem", "chebi"]
 
 
 def ingest(found: DataFrame) -> DataFrame:
@@ -118,6 +118,49 @@ def risky(features: DataFrame) -> DataFrame:
     return out.where(F.arrays_overlap("flags", F.array(F.lit("abbrev_parenthetical"), F.lit("combined_name"))) | F.trim("name").rlike("^[A-Z][a-z]+$")).select("feature_id", "name", F.array_join("flags", ";").alias("flags"))
 
 
+def risky_matches(matched: DataFrame) -> DataFrame:
+    """feature_id, name, match -> those whose matched record's name means another compound or a class: verdict and the axes of conflict. Each pair of names is compared once."""
+    pairs = verdict.judged(matched.select("name", "match").distinct(), "name", "match")
+    found = pairs.where(F.col("v.verdict").isin("conflict", "class-level")).select("name", "match", F.col("v.verdict").alias("verdict"), F.array_join("v.conflicts", ";").alias("conflicts"))
+    return matched.select("feature_id", "name", "match").distinct().join(found, ["name", "match"])
+
+
+def backchecked(held: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Of accepted ids (ordinal, db, id), those that were held against their own record."""
+    return held.join(decisions.where("action = 'backcheck'").select("ordinal", "db", "id").distinct(), ["ordinal", "db", "id"], "left_semi")
+
+
+def harmonized_queries(entries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """ordinal, db, queries: for kegg, pubchem and chebi, the names that their sources were asked for, in order, and the normal form, each once."""
+    asked = candidates.where((F.col("query") != "") & ~F.col("query").rlike(f"^({'|'.join(NAMESPACES)}):"))
+    asked = asked.select("ordinal", "seq", "query", F.explode(F.array(*[F.when(F.col("source").contains(d), F.lit(d)) for d in ASKED])).alias("db")).where("db is not null")
+    own = names.normalized(entries.select("ordinal", "name"), "name", "n").select("ordinal", F.lit(None).cast("long").alias("seq"), F.col("n.normalized").alias("query"), F.explode(F.array(*map(F.lit, ASKED))).alias("db"))
+    first = asked.unionByName(own.where("query <> ''")).groupBy("ordinal", "db", "query").agg(F.min(F.coalesce("seq", F.lit(2**62))).alias("seq"))
+    return first.groupBy("ordinal", "db").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "query"))), lambda x: x["query"]), " | ").alias("queries"))
+
+
+def accept_warnings(held: DataFrame, candidates: DataFrame, decisions: DataFrame) -> DataFrame:
+    """ordinal, warning, db, id, detail for accepted ids (ordinal, name, db, id) that their own kind of check can't see through.
+
+    shared: features of other names hold the id. unchecked: a kegg id that came by search or bridge
+    and was never held against its record.
+    """
+    by_id = held.groupBy("db", "id").agg(F.count_distinct(F.lower(F.trim("name"))).alias("n")).where("n > 1")
+    shared = held.join(by_id, ["db", "id"]).select("ordinal", F.lit("shared").alias("warning"), "db", "id", F.concat((F.col("n") - 1).cast("string"), F.lit(" other names")).alias("detail"))
+    kegg = held.where("db = 'kegg'").select("ordinal", "db", "id")
+    by = candidates.where((F.col("db") == "kegg") & F.col("source").isin(INDIRECT)).groupBy("ordinal", "id").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("detail"))
+    unchecked = kegg.join(by, ["ordinal", "id"]).join(backchecked(kegg, decisions), ["ordinal", "db", "id"], "left_anti")
+    return shared.unionByName(unchecked.select("ordinal", F.lit("unchecked").alias("warning"), "db", "id", "detail"))
+
+
+def name_warnings(held: DataFrame, candidates: DataFrame) -> DataFrame:
+    """ordinal, name, db, id, match, verdict, conflicts: accepted ids that came under a name of another compound or of a class."""
+    named = names.normalized(held, "name", "n").select("ordinal", F.col("n.normalized").alias("name"), "db", "id")
+    met = named.join(candidates.where("id is not null and note <> ''").select("ordinal", "db", "id", F.col("note").alias("match")).distinct(), ["ordinal", "db", "id"])
+    judged = risky_matches(met.select(F.lit(None).cast("string").alias("feature_id"), "name", "match")).drop("feature_id")
+    return met.join(judged, ["name", "match"])
+
+
 def first_hit(asked: DataFrame, index: DataFrame, order: list[str]) -> DataFrame:
     """asked(key, db, id) against index(db, id, base): all bases of the first namespace, in the given order, that has any."""
     place = F.coalesce(*[F.when(F.col("db") == d, F.lit(k)) for k, d in enumerate(order)])
@@ -140,26 +183,24 @@ def allocate_single(asked: DataFrame) -> DataFrame:
 
 
 def allocate(asked: DataFrame) -> DataFrame:
-    """ordinal, targets (array, in order), run: in ordinal order, each takes its first target that none before it took.
+    """run, ordinal, targets (array, in order) -> run, ordinal, target: in ordinal order, each takes its first target that none before it took.
 
-    The rule is sequential, so it is applied per `run`, the unit that one allocation covers; the
-    rows of a run are sorted by Spark and stream through Python with the set of what is taken.
+    Not one after the other but in rounds: each proposes to the first target it has left, and a
+    target drops all that come after the least ordinal that proposes to it. As every target ranks by
+    ordinal, what is left in the end is what the order would have given. Each round is two
+    aggregations and a join over the pairs that are left, written down.
     """
-
-    def step(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, taken = None, set()
-        for part in found:
-            out = []
-            for r in part.itertuples(index=False):
-                if r.run != run:
-                    run, taken = r.run, set()
-                free = next((t for t in r.targets if t not in taken), None) if r.targets is not None else None
-                taken.add(free)
-                out.append((r.run, r.ordinal, free))
-            yield pd.DataFrame(out, columns=["run", "ordinal", "target"])
-
-    dealt = asked.repartition("run").sortWithinPartitions("run", "ordinal")
-    return dealt.mapInPandas(step, "run long, ordinal long, target string")
+    pairs = asked.select("run", "ordinal", F.posexplode("targets").alias("place", "target")).groupBy("run", "ordinal", "target").agg(F.min("place").alias("place"))
+    pairs = written(pairs, "asked")
+    n = pairs.count()
+    while True:
+        first = pairs.groupBy("run", "ordinal").agg(F.min(F.struct("place", "target")).alias("f")).select("run", "ordinal", F.col("f.target").alias("target"))
+        holder = first.groupBy("run", "target").agg(F.min("ordinal").alias("holder"))
+        left = written(pairs.join(holder, ["run", "target"], "left").where("holder is null or ordinal <= holder").drop("holder"), "asked")
+        m = left.count()
+        if m == n:
+            return asked.select("run", "ordinal").join(first, ["run", "ordinal"], "left")
+        pairs, n = left, m
 
 
 def latest(events: DataFrame, by: str = "ordinal") -> DataFrame:

@@ -7,8 +7,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import formula, ids, names
+from ..functions import formula, ids, names, variants, verdict
 from ..plans import blocking
+from ..plans.written import written
 
 
 def index(species: DataFrame) -> DataFrame:
@@ -28,21 +29,87 @@ def lookup(asked: DataFrame, index: DataFrame) -> DataFrame:
     return asked.join(best, "id", "left").select("id", F.col("b").isNotNull().alias("found"), F.col("b.base").alias("base"), F.when(F.col("b.place") == 0, "base-id").when(F.col("b.place") == 1, "species-id").alias("by"))
 
 
-def search(queries: DataFrame, index: DataFrame, most: int = 25, least: float = 30.0) -> DataFrame:
-    """The best species per query name: rounded score, then base id; by any route of names.name_score.
+def _by_name(spellings: DataFrame, index: DataFrame, least: float) -> DataFrame:
+    """query, base, score, order, kind: of each distinct query the best of the routes of names.name_score per species, from a score on.
 
     Candidates share a trigram with the query, or contain it or are contained in it through one:
     only names shorter than a trigram can match without, and those are met by their first characters.
     """
-    named = index.select("base", F.explode(F.concat("names", F.when(F.size("names") == 0, F.array(F.col("base"))).otherwise(F.expr("cast(array() as array<string>)")))).alias("name"))
-    asked = queries.select("query").distinct()
-    pairs = blocking.share_a_gram(asked, "query", named, "name", extra=["base"])
+    named = index.select("base", F.array_join("species", " ").alias("ids"), F.explode(F.concat("names", F.when(F.size("names") == 0, F.array(F.col("base"))).otherwise(F.expr("cast(array() as array<string>)")))).alias("name"))
+    asked = spellings.select("query").distinct()
+    pairs = blocking.share_a_gram(asked, "query", named, "name", extra=["base", "ids"])
     q_parts = asked.withColumn("q", names.name_parts(F.trim("query")))
     n_parts = named.select("name").distinct().withColumn("n", names.name_parts(F.col("name")))
-    scored = pairs.join(q_parts, "query").join(n_parts, "name").withColumn("s", names.name_score(F.col("q"), F.col("n"), F.col("base"))).where(F.col("s.score") >= least)
-    best = scored.groupBy("query", "base").agg(F.max(F.struct(F.round("s.score", 1).alias("score"), F.col("s.order"), F.col("s.kind"))).alias("b"))
-    w = Window.partitionBy("query").orderBy(F.col("b.score").desc(), "base")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query", "base", "b.score", "b.kind", "rank")
+    scored = pairs.join(q_parts, "query").join(n_parts, "name").withColumn("s", names.name_score(F.col("q"), F.col("n"), F.col("base"), F.col("ids"))).where(F.col("s.score") >= least)
+    best = scored.groupBy("query", "base").agg(F.max(F.struct("s.score", "s.order", "s.kind")).alias("b"))
+    return best.select("query", "base", "b.score", "b.order", "b.kind")
+
+
+def search(queries: DataFrame, index: DataFrame, most: int = 25, least: float = 30.0) -> DataFrame:
+    """The best species per query name: rounded score, then base id."""
+    best = _by_name(queries, index, least).withColumn("score", F.round("score", 1))
+    w = Window.partitionBy("query").orderBy(F.col("score").desc(), "base")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query", "base", "score", "kind", "rank")
+
+
+def search_all(spellings: DataFrame, facts: DataFrame | None, index: DataFrame, most: int = 25, least: float = 30.0, ppm: float = 25.0) -> DataFrame:
+    """The best species per key by all that is known of it: key, base, score, kind, matched (the spelling, for a name), rank.
+
+    spellings: key, place, query, in the order they are tried; facts: key, kegg, hmdb, chebi,
+    formula, mass, any of them null, or None. Ids count 100, formulas 95, masses 85 to 80, names as they
+    score. Routes are folded in this order: a later one counts if it is above what stands, rounded.
+    """
+    spelled = spellings.where("trim(query) <> ''").select("key", "place", F.trim("query").alias("query"))
+    by_name = spelled.join(_by_name(spelled, index, least), "query")
+    routes = [by_name.select("key", "base", (F.col("place") + 5).cast("int").alias("at"), "score", "kind", F.col("query").alias("matched"))]
+    no = F.lit(None).cast("string")
+    if facts is not None:
+        xref = index.select("base", F.explode(F.array(*[F.struct(F.lit(k).alias("at"), F.lit(d).alias("db"), F.col(d).alias("id")) for k, d in enumerate(("kegg", "hmdb", "chebi"))])).alias("x")).where("x.id is not null").select("base", "x.*")
+        given = facts.select("key", F.explode(F.array(*[F.struct(F.lit(d).alias("db"), (ids.chebi(F.col(d)) if d == "chebi" else F.col(d)).alias("id")) for d in ("kegg", "hmdb", "chebi")])).alias("x")).select("key", "x.*").where("id is not null")
+        routes.append(given.join(xref, ["db", "id"]).select("key", "base", "at", F.lit(100.0).alias("score"), F.concat(F.lit("xref:"), "db").alias("kind"), no.alias("matched")))
+        routes.append(by_formula(facts.where("formula is not null").select("key", "formula"), index).select("key", "base", F.lit(3).alias("at"), F.lit(95.0).alias("score"), F.lit("formula").alias("kind"), no.alias("matched")))
+        near = blocking.range_join(facts.where("mass is not null").select("key", "mass"), "mass", index.select("base", F.col("mass").alias("m")), "m", ppm / 1e6)
+        routes.append(near.select("key", "base", F.lit(4).alias("at"), (85.0 - F.abs(F.col("m") - F.col("mass")) / F.greatest(F.col("mass") * (ppm / 1e6), F.lit(1e-9)) * 5.0).alias("score"), F.lit("mass").alias("kind"), no.alias("matched")))
+    hits = routes[0]
+    for r in routes[1:]:
+        hits = hits.unionByName(r)
+    one = lambda score, kind, matched: F.struct(score.alias("score"), kind.alias("kind"), matched.alias("matched"))
+    fold = F.aggregate(
+        F.array_sort(F.collect_list(F.struct("at", "score", "kind", "matched"))), one(F.lit(-1.0), no, no),
+        lambda s, x: F.when(x["score"] > s["score"], one(F.round(x["score"], 1), x["kind"], x["matched"])).otherwise(s),
+    )
+    best = hits.groupBy("key", "base").agg(fold.alias("b")).select("key", "base", "b.*")
+    w = Window.partitionBy("key").orderBy(F.col("score").desc(), "base")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def suggest(named: DataFrame, index: DataFrame, most: int = 6) -> DataFrame:
+    """Species to consider for each distinct name of named(name), by its normal form and then the spellings of both, in order: key (the name), base, score, kind, matched, rank."""
+    spelled = names.normalized(named.select("name").distinct(), "name", "n").select("name", F.col("n.normalized").alias("query"))
+    spelled = written(spelled, "names")
+    forms = written(variants.expand(spelled.select("name").union(spelled.select("query")).distinct(), "name"), "spellings").select(F.col("name").alias("form"), "variant")
+    tries = spelled.select("name", F.explode(F.array("name", "query")).alias("form")).join(forms, "form")
+    others = tries.groupBy("name").agg(F.array_sort(F.collect_set("variant")).alias("v")).select(F.col("name").alias("key"), F.posexplode("v").alias("place", "query")).withColumn("place", F.col("place") + 1)
+    every = written(spelled.select(F.col("name").alias("key"), F.lit(0).alias("place"), "query").unionByName(others), "tries")
+    return search_all(every, None, written(index, "index"), most)
+
+
+def screen(hits: DataFrame, name: str, hit_name: str, key: str = "key") -> DataFrame:
+    """Hits with the verdict on their name against the one asked for, and their place, safest first, else as ranked."""
+    judged = verdict.judged(hits, name, hit_name).withColumn("verdict", F.when(F.coalesce(hit_name, F.lit("")) == "", "unknown").otherwise(F.col("v.verdict")))
+    w = Window.partitionBy(key).orderBy(verdict.rank(F.col("verdict")), "rank")
+    return judged.withColumn("place", F.row_number().over(w)).drop("v")
+
+
+def collisions(results: DataFrame, active: DataFrame) -> DataFrame:
+    """label, mam, n, n_exact, first: species that several entries have under one model's label.
+
+    results: ordinal, label, mam (array), relation, one row per entry and label; active: ordinal,
+    label, mam, relation of the model in use, which counts where an entry has no result of that label.
+    """
+    rest = active.join(results.select("ordinal", "label"), ["ordinal", "label"], "left_anti")
+    rows = results.unionByName(rest).select("ordinal", "label", "relation", F.explode("mam").alias("mam"))
+    return rows.groupBy("label", "mam").agg(F.count("*").alias("n"), F.count_if(F.col("relation") == "exact").alias("n_exact"), F.min("ordinal").alias("first")).where("n > 1")
 
 
 def top_dice(queries: DataFrame, index: DataFrame, above: float = 0.4, most: int = 5) -> DataFrame:

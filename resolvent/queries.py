@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import formula, ids, names, verdict
+from .functions import formula, ids, names, variants, verdict
+from .gold import GOLD, SPELLINGS
 from .operators import audit, collide, report, resolve, species
 from .oracles import PRELUDE, canon
 from .plans.written import written
 from .sources import domain as D
+from .sources import readers
 from .vocab import ADDUCTS, ARTIFACTS, CAUSES, CLASS_OF_ORIGIN, CLASSES, DEFAULT_ADDUCTS, FLAGS, INDIRECT, NAMESPACES, ORIGINS, PRIMARY, REASON_WORDS, ROUTES, TIERS, TRIVIAL_RATIONALES, XENOBIOTICS
 
 #: The label of the model whose species are the rows of `customer`.
@@ -33,8 +35,12 @@ def query(sql: str | None = None):
     return put
 
 
+def _text(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
 def _in(values) -> str:
-    return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
+    return "(" + ", ".join(map(_text, values)) + ")"
 
 
 def _tags(x: str) -> str:
@@ -198,8 +204,11 @@ def k4_unmapped_harmonization(spark, sf_dir):
     return report.unmapped(D.entries(spark, sf_dir), D.candidates(spark, sf_dir), D.decisions(spark, sf_dir))
 
 
-@query(f""", last AS (SELECT key, unnest(e) FROM (SELECT lower(trim(name)) AS key, max({{'o': ordinal, {", ".join(f"'ID_{d}': {d}" for d in NAMESPACES)}, 'ID_class': final_class}}) AS e FROM entries GROUP BY key))
-SELECT p_partkey, p_name, {", ".join(f"ID_{d}" for d in NAMESPACES)}, ID_class, key IS NOT NULL AS ID_matched FROM part LEFT JOIN last ON lower(trim(p_name)) = key""")
+_SOURCE_OF = {"gem_mam": "mam", "gem_relation": "relation"}
+
+
+@query(f""", last AS (SELECT key, unnest(e) FROM (SELECT lower(trim(name)) AS key, max({{'o': ordinal, {", ".join(f"'ID_{d}': {_SOURCE_OF.get(d, d)}" for d in report.ANNOTATION)}}}) AS e FROM entries GROUP BY key))
+SELECT p_partkey, p_name, {", ".join(f"coalesce(ID_{d}, '') AS ID_{d}" for d in report.ANNOTATION)}, key IS NOT NULL AS ID_matched FROM part LEFT JOIN last ON lower(trim(p_name)) = key""")
 def j8_annotate_source(spark, sf_dir):
     """Source rows with the ids of the last feature of their name."""
     return report.annotate(D.read(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", D.entries(spark, sf_dir))
@@ -328,11 +337,62 @@ def f31_trivial_rationale(spark, sf_dir):
     return D.decisions(spark, sf_dir).select("seq", (r.isin(TRIVIAL_RATIONALES) | (F.length(r) < 4)).alias("trivial"))
 
 
-@query("""SELECT DISTINCT db, regexp_extract('DBLINKS ' || upper(db) || ':  ' || id || '  ', ':\\s*(.+?)\\s*$', 1) AS key FROM candidates WHERE id IS NOT NULL""".replace("\\\\", "\\"))
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey::VARCHAR END AS pubchem, (s_suppkey * 2)::VARCHAR AS chebi, CASE WHEN s_suppkey % 2 = 0 THEN 'LM' || s_suppkey END AS lipidmaps FROM supplier""")
 def s10_dblink(spark, sf_dir):
-    """The value after a key on a link line, trimmed."""
-    line = F.concat(F.lit("DBLINKS "), F.upper("db"), F.lit(":  "), F.col("id"), F.lit("  "))
-    return D.candidates(spark, sf_dir).where("id is not null").select("db", F.regexp_extract(line, r":\s*(.+?)\s*$", 1).alias("key")).distinct()
+    """The first line of a key among a record's links, trimmed."""
+    k = F.col("s_suppkey")
+    text = lambda c: c.cast("string")
+    lines = F.array_compact(F.array(F.when(k % 3 != 0, F.concat(F.lit("PubChem: "), text(k), F.lit(" "))), F.concat(F.lit("ChEBI:  "), text(k * 2)), F.concat(F.lit("ChEBI: "), text(k * 3)), F.when(k % 2 == 0, F.concat(F.lit("LIPIDMAPS: LM"), text(k)))))
+    d = D.read(spark, sf_dir, "supplier").select("s_suppkey", lines.alias("l"))
+    return d.select("s_suppkey", *[readers.dblink(F.col("l"), key).alias(name) for key, name in (("PubChem", "pubchem"), ("ChEBI", "chebi"), ("LIPIDMAPS", "lipidmaps"))])
+
+
+@query("SELECT p_partkey::VARCHAR AS name FROM part WHERE p_partkey IS NOT NULL")
+def s2_default_column(spark, sf_dir):
+    """The first column of a sheet as text, without nulls."""
+    return readers.column(D.read(spark, sf_dir, "part").select("p_partkey", "p_name"))
+
+
+@query("""SELECT p AS path, string_split(string_split(p, '/')[-1], '.')[1] AS label FROM (SELECT DISTINCT '/models/' || p_brand || '.' || p_size || '.xml' AS p FROM part)""")
+def f28_model_label(spark, sf_dir):
+    path = F.concat(F.lit("/models/"), "p_brand", F.lit("."), F.col("p_size").cast("string"), F.lit(".xml"))
+    return D.read(spark, sf_dir, "part").select(path.alias("path")).distinct().select("path", readers.model_label_of(F.col("path")).alias("label"))
+
+
+_FORMULA_OF = "[" + ", ".join(f"'{x}'" for x in D.FORMULAS) + f"][p_partkey % {len(D.FORMULAS)} + 1]"
+
+
+@query(f"""SELECT p_partkey AS cid, f AS found, CASE WHEN f THEN p_partkey::VARCHAR END AS pubchem, CASE WHEN f THEN 'KEY' || p_partkey || '-N' END AS inchikey, CASE WHEN f THEN {_FORMULA_OF} END AS formula, CASE WHEN f THEN p_name END AS iupac,
+CASE WHEN f THEN (p_partkey % 900 + 100)::DOUBLE + 0.0634::DOUBLE END AS mass, CASE WHEN f AND p_partkey % 5 <> 0 THEN least(p_partkey % 40 + 1, 25) ELSE 0 END::INT AS n_names, CASE WHEN f AND p_partkey % 5 <> 0 THEN 'name ' || least(p_partkey % 40 + 1, 25) END AS last_name FROM (SELECT *, p_partkey % 7 <> 0 AS f FROM part)""")
+def s12_s16_compounds(spark, sf_dir):
+    """Recorded answers about compounds, with 25 names at most."""
+    c = readers.compound(D.compound_payloads(spark, sf_dir), "cid")
+    return c.select("cid", "found", "pubchem", "inchikey", "formula", "iupac", "mass", F.size("names").alias("n_names"), F.try_element_at("names", F.lit(-1)).alias("last_name"))
+
+
+_TERM = f"""t AS (SELECT 'CHEBI:' || p_partkey AS id, p_partkey % 11 <> 0 AND p_partkey % 13 <> 0 AS found, p_partkey, p_name, p_brand, {_FORMULA_OF} AS form FROM part)"""
+
+
+@query(f""", {_TERM} SELECT id, found, CASE WHEN found THEN p_name || ';' || p_brand ELSE '' END AS names, CASE WHEN found AND p_partkey % 4 < 3 THEN form END AS formula, CASE WHEN found THEN (p_partkey % 900 + 100)::DOUBLE + 0.5 END AS mass,
+CASE WHEN found AND p_partkey % 3 <> 0 THEN 'KEY' || p_partkey || '-N' END AS inchikey FROM t""")
+def s15_terms(spark, sf_dir):
+    """Recorded answers about terms: label and synonyms, and each fact under the first of its keys."""
+    return readers.term(D.term_payloads(spark, sf_dir)).withColumn("names", F.array_join("names", ";"))
+
+
+@query(f""", {_HELD}, {_TERM}, a AS (SELECT DISTINCT db, id FROM held), r AS (SELECT 'chebi' AS db, id, 2 AS n, CASE WHEN p_partkey % 4 < 3 THEN form END AS formula FROM t WHERE found
+UNION ALL SELECT 'pubchem', p_partkey::VARCHAR, CASE WHEN p_partkey % 5 <> 0 THEN least(p_partkey % 40 + 1, 25) ELSE 0 END, {_FORMULA_OF} FROM part WHERE p_partkey % 7 <> 0 UNION ALL SELECT 'kegg', 'C' || lpad(p_partkey::VARCHAR, greatest(5, length(p_partkey::VARCHAR))::INT, '0'), 1, {_FORMULA_OF} FROM part),
+j AS (SELECT a.db, a.id, n, formula, CASE WHEN a.db = 'inchikey' THEN 'unsupported db inchikey' WHEN a.db = 'kegg' AND ends_with(a.id, '5') THEN 'exit 1' END AS error FROM a LEFT JOIN r ON r.db = a.db AND r.id = a.id)
+SELECT db, id, n IS NOT NULL AND error IS NULL AS found, CASE WHEN error IS NULL THEN coalesce(n, 0) ELSE 0 END::INT AS n_names, CASE WHEN n IS NOT NULL AND error IS NULL THEN formula END AS formula, db = 'hmdb' AS noted, error FROM j""")
+def s17_fetch(spark, sf_dir):
+    """Records of each accepted id by its database; no source, no support and failure are told apart."""
+    asked = held(spark, sf_dir).select("db", "id").distinct()
+    n = F.col("p_partkey").cast("string")
+    kegg = D.read(spark, sf_dir, "part").select(F.concat(F.lit("C"), F.lpad(n, F.greatest(F.lit(5), F.length(n)), F.lit("0"))).alias("id"), F.array("p_name").alias("names"), D.pick(D.FORMULAS, F.col("p_partkey") % len(D.FORMULAS)).alias("formula"))
+    compounds = readers.compound(D.compound_payloads(spark, sf_dir), "cid").where("found").select(F.col("pubchem").alias("id"), "names", "formula")
+    failed = asked.where("db = 'kegg' and endswith(id, '5')").withColumn("error", F.lit("exit 1"))
+    out = readers.fetch(asked, {"kegg": kegg, "chebi": readers.term(D.term_payloads(spark, sf_dir)).where("found"), "pubchem": compounds}, failed)
+    return out.select("db", "id", "found", F.size("names").alias("n_names"), "formula", F.col("note").isNotNull().alias("noted"), "error")
 
 
 # ------------------------------------------------------------------ joins
@@ -412,11 +472,39 @@ def p11_risky(spark, sf_dir):
     return resolve.risky(D.features(spark, sf_dir))
 
 
-@query("""SELECT db, ordinal, array_to_string(list_sort(list_distinct(list(trim(note)))), '|') AS queries FROM candidates WHERE source <> 'metaboanalyst' AND NOT regexp_matches(note, '^[a-z]+:') GROUP BY db, ordinal""")
+@query(f""", {_NORMAL}, d AS (SELECT unnest(['kegg', 'pubchem', 'chebi']) AS db), al AS (SELECT ordinal, d.db, query, seq FROM candidates, d WHERE contains(source, d.db) AND query <> '' AND NOT regexp_matches(query, '^({"|".join(NAMESPACES)}):')
+UNION ALL SELECT ordinal, d.db, display, {2**62} FROM entries JOIN normal USING (feature_id), d WHERE display <> ''), fs AS (SELECT ordinal, db, query, min(seq) AS s FROM al GROUP BY ALL)
+SELECT ordinal, db, string_agg(query, ' | ' ORDER BY s, query) AS queries FROM fs GROUP BY ordinal, db""".replace("JOIN normal USING (feature_id), d", "JOIN (SELECT feature_id, display FROM normal) USING (feature_id), d"))
 def p12_u4_harmonized(spark, sf_dir):
-    """The distinct queries that led to candidates of a namespace."""
-    c = D.candidates(spark, sf_dir).where(F.col("source") != "metaboanalyst").where(~F.col("note").rlike("^[a-z]+:"))
-    return c.groupBy("db", "ordinal").agg(F.array_join(F.array_sort(F.collect_set(F.trim("note"))), "|").alias("queries"))
+    """The names that the sources of a database were asked for, and the normal form, each once, in order."""
+    return resolve.harmonized_queries(D.entries(spark, sf_dir), D.candidates(spark, sf_dir))
+
+
+@query(f""", {_HELD} SELECT ordinal, db, id FROM held SEMI JOIN (SELECT DISTINCT ordinal, db, id FROM decisions WHERE action = 'backcheck') USING (ordinal, db, id)""")
+def p10_backchecked(spark, sf_dir):
+    return resolve.backchecked(held(spark, sf_dir).select("ordinal", "db", "id"), D.decisions(spark, sf_dir))
+
+
+@query(f""", {_HELD}, sh AS (SELECT db, id, count(DISTINCT lower(trim(name))) AS n FROM held GROUP BY db, id HAVING count(DISTINCT lower(trim(name))) > 1),
+by_ AS (SELECT ordinal, id, array_to_string(list_sort(list_distinct(list(source))), ',') AS detail FROM candidates WHERE db = 'kegg' AND source IN {_in(INDIRECT)} GROUP BY ordinal, id)
+SELECT ordinal, 'shared' AS warning, db, id, (n - 1) || ' other names' AS detail FROM held JOIN sh USING (db, id)
+UNION ALL SELECT ordinal, 'unchecked', db, id, detail FROM held JOIN by_ USING (ordinal, id) WHERE db = 'kegg' AND NOT EXISTS (SELECT 1 FROM decisions d WHERE d.action = 'backcheck' AND d.ordinal = held.ordinal AND d.db = 'kegg' AND d.id = held.id)""")
+def p7_accept_warnings(spark, sf_dir):
+    """Accepted ids that others hold, or that were never held against their record."""
+    return resolve.accept_warnings(held(spark, sf_dir), D.candidates(spark, sf_dir), D.decisions(spark, sf_dir))
+
+
+@query()
+def p7_name_warnings(spark, sf_dir):
+    """Accepted ids that came under the name of another compound or of a class."""
+    return resolve.name_warnings(held(spark, sf_dir), D.candidates(spark, sf_dir)).select("ordinal", "db", "id", "match", "verdict", "conflicts")
+
+
+@query()
+def p11_risky_matches(spark, sf_dir):
+    """Exact matches whose record is another compound or a class by its name."""
+    c = D.candidates(spark, sf_dir).where("source = 'metaboanalyst'").select("ordinal", F.col("note").alias("match"))
+    return resolve.risky_matches(D.features(spark, sf_dir).join(c, "ordinal").select("feature_id", "name", "match"))
 
 
 @query(f""", {_HELD} SELECT db, id, count(*) AS n, count(DISTINCT lower(trim(name))) AS n_names, min(ordinal) AS first, max(ordinal) AS last FROM held GROUP BY db, id HAVING count(*) > 1""")
@@ -514,13 +602,13 @@ def j12_species_check(spark, sf_dir):
     return species.lookup(asked, model(spark, sf_dir))
 
 
-def _score_sql() -> str:
+def _score_sql(asked: str = "SELECT DISTINCT name AS query FROM features") -> str:
     g = lambda x: _GRAMS.format(x=x)
-    return f"""m AS (SELECT base, unnest(CASE WHEN len(names) = 0 THEN [base] ELSE names END) AS name FROM model), q AS (SELECT DISTINCT name AS query FROM features),
+    return f"""m AS (SELECT base, list_transform(species, lambda x: lower(x)) AS sl, unnest(CASE WHEN len(names) = 0 THEN [base] ELSE names END) AS name FROM model), q AS ({asked}),
 qg AS (SELECT query, lower(query) AS ql, lower(trim(query)) AS qt, {g("qf")} AS g, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS t FROM (SELECT query, {_FLAT.format(x="query")} AS qf FROM q)),
-mg AS (SELECT base, name, lower(name) AS nl, lower(base) AS bl, {g("f")} AS g, {g("fb")} AS gb, list_distinct(regexp_extract_all(lower(name), '[a-z0-9]+')) AS t FROM (SELECT *, {_FLAT.format(x="name")} AS f, regexp_replace(regexp_replace(lower(name), '\\([^)]*\\)', ' ', 'g'), '[^a-z0-9]', '', 'g') AS fb FROM m)),
-p AS (SELECT query, base, qt, nl, bl, qg.t AS t, mg.t AS u, greatest(CASE WHEN len(qg.g) = 0 OR len(mg.g) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(qg.g, mg.g)) / (len(qg.g) + len(mg.g)) END, CASE WHEN len(qg.g) = 0 OR len(gb) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(qg.g, gb)) / (len(qg.g) + len(gb)) END)::DOUBLE AS d FROM qg, mg),
-s AS (SELECT query, base, unnest([{{'s': CASE WHEN qt = bl THEN 96.0 ELSE 0.0 END::DOUBLE, 'o': 0, 'k': 'id-exact'}}, {{'s': CASE WHEN qt <> bl AND contains(bl, qt) THEN 60.0 + 20.0 * length(qt) / length(bl) ELSE 0.0 END, 'o': -1, 'k': 'id-substring'}},
+mg AS (SELECT base, sl, name, lower(name) AS nl, lower(base) AS bl, {g("f")} AS g, {g("fb")} AS gb, list_distinct(regexp_extract_all(lower(name), '[a-z0-9]+')) AS t FROM (SELECT *, {_FLAT.format(x="name")} AS f, regexp_replace(regexp_replace(lower(name), '\\([^)]*\\)', ' ', 'g'), '[^a-z0-9]', '', 'g') AS fb FROM m)),
+p AS (SELECT query, base, qt, nl, bl, qt = bl OR list_contains(sl, qt) AS same, qg.t AS t, mg.t AS u, greatest(CASE WHEN len(qg.g) = 0 OR len(mg.g) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(qg.g, mg.g)) / (len(qg.g) + len(mg.g)) END, CASE WHEN len(qg.g) = 0 OR len(gb) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(qg.g, gb)) / (len(qg.g) + len(gb)) END)::DOUBLE AS d FROM qg, mg),
+s AS (SELECT query, base, unnest([{{'s': CASE WHEN same THEN 96.0 ELSE 0.0 END::DOUBLE, 'o': 0, 'k': 'id-exact'}}, {{'s': CASE WHEN NOT same AND contains(bl, qt) THEN 60.0 + 20.0 * length(qt) / length(bl) ELSE 0.0 END, 'o': -1, 'k': 'id-substring'}},
  {{'s': CASE WHEN qt = nl THEN 100.0 ELSE 0.0 END, 'o': -2, 'k': 'name-exact'}}, {{'s': CASE WHEN qt <> nl AND (contains(nl, qt) OR contains(qt, nl)) THEN 50.0 + 35.0 * (least(length(qt), length(nl)) / greatest(length(qt), length(nl))) ELSE 0.0 END, 'o': -3, 'k': 'name-substring'}},
  {{'s': CASE WHEN qt <> nl AND len(t) > 0 AND len(u) > 0 THEN 60.0 * (len(list_intersect(t, u)) / len(list_distinct(list_concat(t, u)))) + CASE WHEN len(list_intersect(t, u)) = len(t) THEN 10.0 ELSE 0.0 END ELSE 0.0 END, 'o': -4, 'k': 'name-tokens'}},
  {{'s': CASE WHEN qt <> nl THEN CASE WHEN d > 0.8 THEN 100.0 * d ELSE 60.0 * d END ELSE 0.0 END, 'o': -5, 'k': 'name-trigram'}}]) AS x FROM p),
@@ -565,33 +653,111 @@ def a13_same_formula(spark, sf_dir):
     return species.same_formula(species.search(D.features(spark, sf_dir).select(F.col("name").alias("query")), m), m)
 
 
-_BACKFILL = f""", gaps AS (SELECT ordinal, db, id FROM (UNPIVOT (SELECT ordinal, kegg, chebi FROM entries WHERE hmdb IS NULL AND final_class IN {_KEPT}) ON kegg, chebi INTO NAME db VALUE id)),
-br AS (SELECT src_db, {canon("src_db", "src_id")} AS sid, {canon("'hmdb'", "hmdb")} AS target FROM bridge), filled AS (SELECT ordinal, list_sort(list_distinct(list(target))) AS targets FROM gaps JOIN br ON src_db = db AND sid = id GROUP BY ordinal)"""
+_PLACED = "unnest([0, 1]) AS place, unnest([" + ", ".join(f"[{', '.join(chr(39) + n + chr(39) for n in D.NAMES)}][{at} % {len(D.NAMES)} + 1]" for at in ("s_suppkey", "(s_suppkey * 7 + 1)")) + "]) AS query"
+_FOLD = """list_reduce(list_prepend({'pos': -1, 's': -1.0::DOUBLE, 'k': NULL::VARCHAR, 'm': NULL::VARCHAR}, list_sort(list({'pos': pos, 's': s, 'k': k, 'm': m}))), lambda a, x: CASE WHEN x.s > a.s THEN {'pos': x.pos, 's': round(x.s, 1), 'k': x.k, 'm': x.m} ELSE a END)"""
+_RANKED = """fo AS (SELECT key, base, """ + _FOLD + """ AS f FROM hits GROUP BY key, base), rk AS (SELECT key, base, f.s AS score, f.k AS kind, f.m AS matched, row_number() OVER (PARTITION BY key ORDER BY f.s DESC, base)::INT AS rank FROM fo)"""
+
 
+@query(f""", {_BASE}, sp AS (SELECT s_suppkey AS key, {_PLACED} FROM supplier), {_score_sql("SELECT DISTINCT trim(query) AS query FROM sp")}
+fa AS (SELECT s_suppkey AS key, CASE WHEN s_suppkey % 2 = 0 THEN 'C' || lpad((s_suppkey * 5)::VARCHAR, greatest(5, length((s_suppkey * 5)::VARCHAR))::INT, '0') END AS kegg, CASE WHEN s_suppkey % 3 = 0 THEN 'HMDB' || lpad((s_suppkey * 5)::VARCHAR, 7, '0') END AS hmdb, (s_suppkey * 5)::VARCHAR AS chebi,
+ CASE WHEN s_suppkey % 4 = 0 THEN [{", ".join(f"'{x}'" for x in D.FORMULAS)}][s_suppkey % {len(D.FORMULAS)} + 1] END AS formula, CASE WHEN s_suppkey % 5 <> 0 THEN s_acctbal + 1100.0 END AS mass FROM supplier),
+hits AS (SELECT key, base, 0 AS pos, 100.0::DOUBLE AS s, 'xref:kegg' AS k, NULL::VARCHAR AS m FROM fa JOIN model USING (kegg) UNION ALL SELECT key, base, 1, 100.0, 'xref:hmdb', NULL FROM fa JOIN model USING (hmdb) UNION ALL SELECT key, base, 2, 100.0, 'xref:chebi', NULL FROM fa JOIN model ON model.chebi = 'CHEBI:' || fa.chebi
+ UNION ALL SELECT key, base, 3, 95.0, 'formula', NULL FROM fa JOIN model ON (CASE fa.formula WHEN 'HO4C4H5' THEN 'C4H6O4' ELSE upper(fa.formula) END) = (CASE model.formula WHEN 'HO4C4H5' THEN 'C4H6O4' ELSE upper(model.formula) END)
+ UNION ALL SELECT key, base, 4, 85.0 - abs(model.mass - fa.mass) / greatest(fa.mass * (25.0::DOUBLE / 1e6), 1e-9) * 5.0, 'mass', NULL FROM fa, model WHERE fa.mass > 0 AND model.mass > 0 AND abs(model.mass - fa.mass) <= fa.mass * (25.0::DOUBLE / 1e6)
+ UNION ALL SELECT sp.key, b.base, sp.place + 5, x.s, x.k, b.query FROM sp JOIN b ON b.query = trim(sp.query) WHERE x.s >= 30.0), {_RANKED} SELECT * FROM rk WHERE rank <= 25""")
+def j13_all_routes(spark, sf_dir):
+    """The best species by ids, formula, mass and several spellings, folded in order."""
+    k = F.col("s_suppkey")
+    s = D.read(spark, sf_dir, "supplier")
+    spellings = s.select(k.alias("key"), F.posexplode(F.array(D.pick(D.NAMES, k % len(D.NAMES)), D.pick(D.NAMES, (k * 7 + 1) % len(D.NAMES)))).alias("place", "query"))
+    five = (k * 5).cast("string")
+    facts = s.select(k.alias("key"), F.when(k % 2 == 0, F.concat(F.lit("C"), F.lpad(five, F.greatest(F.lit(5), F.length(five)), F.lit("0")))).alias("kegg"), F.when(k % 3 == 0, F.concat(F.lit("HMDB"), F.lpad(five, 7, "0"))).alias("hmdb"), five.alias("chebi"), F.when(k % 4 == 0, D.pick(D.FORMULAS, k % len(D.FORMULAS))).alias("formula"), F.when(k % 5 != 0, F.col("s_acctbal") + 1100.0).alias("mass"))
+    return species.search_all(spellings, facts, model(spark, sf_dir))
 
-@query(_BACKFILL + """ SELECT ordinal, array_to_string(targets, ';') AS targets, len(targets)::INT AS n FROM filled""")
+
+_SPELLED = "sv(name, place, query) AS (VALUES " + ", ".join(f"({_text(n)}, {k}, {_text(v)})" for n, vs in SPELLINGS.items() for k, v in enumerate(vs)) + ")"
+
+
+@query(f""", {_SPELLED} SELECT name, place AS position, query AS variant FROM sv SEMI JOIN features USING (name)""")
+def f21_variants(spark, sf_dir):
+    """other spellings to try for each distinct name, by a table function."""
+    return variants.expand(D.features(spark, sf_dir).select("name").distinct(), "name")
+
+
+def _suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gaps = written(QUERIES["j17_p13_gaps"](spark, sf_dir), "gaps")
+    return gaps.join(species.suggest(gaps, model(spark, sf_dir)), F.col("name") == F.col("key"))
+
+
+@query(_XWALK + f""", {_NORMAL}, {_SPELLED}, gap AS (SELECT e.ordinal, name FROM entries e WHERE kegg IS NOT NULL AND final_class IN ('KEGG-mapped', 'HMDB-mapped', 'exogenous') AND NOT EXISTS (SELECT 1 FROM xwalk WHERE xwalk.ordinal = e.ordinal)),
+gn AS (SELECT DISTINCT name AS key, display FROM gap JOIN normal USING (name)), sp AS (SELECT key, 0 AS place, display AS query FROM gn UNION ALL SELECT key, row_number() OVER (PARTITION BY key ORDER BY query), query FROM (SELECT DISTINCT name AS key, query FROM sv JOIN gn ON gn.key = sv.name)),
+{_score_sql("SELECT DISTINCT trim(query) AS query FROM sp")} hits AS (SELECT sp.key, b.base, sp.place + 5 AS pos, x.s AS s, x.k AS k, b.query AS m FROM sp JOIN b ON b.query = trim(sp.query) WHERE x.s >= 30.0), {_RANKED} SELECT ordinal, base, score, kind, matched, rank FROM rk JOIN gap ON name = key WHERE rank <= 6""")
+def j17_suggestions(spark, sf_dir):
+    """Species to consider for entries that no id leads to, by name and spellings; each distinct name is searched for once."""
+    return _suggestions(spark, sf_dir).select("ordinal", "base", "score", "kind", "matched", "rank")
+
+
+@query()
+def j17_screened(spark, sf_dir):
+    """The suggestions with the verdict on their names, safest first."""
+    hits = _suggestions(spark, sf_dir).join(model(spark, sf_dir).select("base", F.col("name").alias("gem_name")), "base")
+    return species.screen(hits, "name", "gem_name", "ordinal").select("ordinal", "base", "score", "verdict", "place")
+
+
+_BACKFILL = f""", gaps AS (SELECT * FROM entries WHERE final_class IN {_in(report.GAINING)} AND hmdb IS NULL),
+fc AS (SELECT ordinal, db, arg_min(id, seq) AS candidate FROM candidates WHERE id IS NOT NULL AND db IN {_in(report.BACKFILL_FROM)} GROUP BY ordinal, db),
+ac AS (SELECT ordinal, unnest([0, 1, 2, 3]) AS place, unnest([{", ".join(f"'{d}'" for d in report.BACKFILL_FROM)}]) AS db, unnest([{", ".join(report.BACKFILL_FROM)}]) AS accepted FROM gaps),
+ask AS (SELECT ac.ordinal, place, ac.db, coalesce(accepted, candidate) AS id FROM ac LEFT JOIN fc USING (ordinal, db) WHERE coalesce(accepted, candidate) IS NOT NULL),
+br AS (SELECT DISTINCT src_db AS db, {canon("src_db", "src_id")} AS id, {canon("'hmdb'", "hmdb")} AS target FROM bridge),
+met AS (SELECT ordinal, place, list_sort(list_distinct(list(target))) AS t FROM ask JOIN br USING (db, id) GROUP BY ordinal, place),
+bd AS (SELECT ordinal, flatten(list(t ORDER BY place)) AS bridged, bool_or(len(t) > 1) AS ambiguous FROM met GROUP BY ordinal),
+ow AS (SELECT ordinal, list(id ORDER BY s) AS own FROM (SELECT ordinal, id, min(seq) AS s FROM candidates SEMI JOIN gaps USING (ordinal) WHERE db = 'hmdb' AND id IS NOT NULL GROUP BY ordinal, id) GROUP BY ordinal),
+al AS (SELECT ordinal, list_concat(coalesce(own, []), coalesce(bridged, [])) AS x, coalesce(ambiguous, false) AS ambiguous FROM gaps LEFT JOIN ow USING (ordinal) LEFT JOIN bd USING (ordinal)),
+bf AS (SELECT ordinal, list_filter(x, lambda v, i: list_position(x, v) = i) AS targets, ambiguous FROM al)"""
+
+
+def _backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.backfill(D.entries(spark, sf_dir), D.candidates(spark, sf_dir), D.bridge(spark, sf_dir))
+
+
+@query(_BACKFILL + """ SELECT ordinal, array_to_string(targets, ';') AS targets, len(targets)::INT AS n, ambiguous FROM bf""")
 def j16_backfill_bridge(spark, sf_dir):
-    """Accessions that the bridge knows for entries without one."""
-    return report.backfill(D.entries(spark, sf_dir), D.bridge(spark, sf_dir)).select("ordinal", F.array_join("targets", ";").alias("targets"), F.size("targets").alias("n"))
+    """Accessions that entries without one may take, by up to four of their ids."""
+    return _backfill(spark, sf_dir).select("ordinal", F.array_join("targets", ";").alias("targets"), F.size("targets").alias("n"), "ambiguous")
 
 
-@query(_BACKFILL + """ SELECT ordinal, targets[1] AS target, row_number() OVER (PARTITION BY targets[1] ORDER BY ordinal) = 1 AS given FROM filled""")
+@query(_BACKFILL + """ SELECT ordinal, targets[1] AS target, row_number() OVER (PARTITION BY targets[1] ORDER BY ordinal) = 1 AS given FROM bf WHERE len(targets) > 0""")
 def w3_allocation(spark, sf_dir):
     """Each first target goes to the first entry that asks."""
-    f = report.backfill(D.entries(spark, sf_dir), D.bridge(spark, sf_dir)).select("ordinal", F.element_at("targets", 1).alias("target"))
-    return resolve.allocate_single(f)
+    return resolve.allocate_single(_backfill(spark, sf_dir).where("size(targets) > 0").select("ordinal", F.element_at("targets", 1).alias("target")))
 
 
-@query()
-def w3_greedy_allocation(spark, sf_dir):
-    """W3, general form: entries take, in order, their first target that is still free."""
-    f = report.backfill(D.entries(spark, sf_dir), D.bridge(spark, sf_dir))
-    return resolve.allocate(f.select(F.lit(0).cast("long").alias("run"), "ordinal", "targets")).select("ordinal", "target")
+@query(_BACKFILL + """, tk AS (SELECT DISTINCT hmdb FROM entries WHERE hmdb IS NOT NULL), fr AS (SELECT ordinal, list_filter(targets, lambda v: NOT list_contains(h, v)) AS f FROM bf, (SELECT coalesce(list(hmdb), []) AS h FROM tk) WHERE NOT ambiguous),
+o AS (SELECT ordinal, f, row_number() OVER (ORDER BY ordinal) AS rn FROM fr WHERE len(f) > 0),
+st AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS taken, NULL::BIGINT AS ordinal, NULL::VARCHAR AS target UNION ALL
+ SELECT i + 1, CASE WHEN t IS NULL THEN taken ELSE list_append(taken, t) END, ordinal, t FROM (SELECT st.i, st.taken, o.ordinal, list_filter(o.f, lambda v: NOT list_contains(st.taken, v))[1] AS t FROM st JOIN o ON o.rn = st.i + 1))
+SELECT bf.ordinal, CASE WHEN ambiguous THEN 'ambiguous' WHEN st.target IS NOT NULL THEN 'gained' WHEN len(targets) > 0 THEN 'taken by another' ELSE 'nothing found' END AS outcome, st.target FROM bf LEFT JOIN st ON st.ordinal = bf.ordinal""")
+def w3_backfill(spark, sf_dir):
+    """In entry order, each takes its first accession that is still free; ambiguous ones take none."""
+    return report.backfilled(D.entries(spark, sf_dir), D.candidates(spark, sf_dir), D.bridge(spark, sf_dir))
+
+
+ORACLES["w3_backfill"] = ORACLES["w3_backfill"].replace("WITH features", "WITH RECURSIVE features", 1)
 
 
 @query("""SELECT mam, count(*) AS n, count(*) FILTER (relation = 'exact') AS n_exact, min(ordinal) AS first FROM entries WHERE mam IS NOT NULL GROUP BY mam HAVING count(*) > 1""")
 def j18_species_collisions(spark, sf_dir):
-    return D.entries(spark, sf_dir).where("mam is not null").groupBy("mam").agg(F.count("*").alias("n"), F.count_if(F.col("relation") == "exact").alias("n_exact"), F.min("ordinal").alias("first")).where("n > 1")
+    """Species that several entries have."""
+    active = D.entries(spark, sf_dir).where("mam is not null").select("ordinal", F.lit(MODEL).alias("label"), F.array("mam").alias("mam"), "relation")
+    return species.collisions(active.where("false"), active).drop("label")
+
+
+@query("""SELECT label, mam, count(*) AS n, count(*) FILTER (relation = 'exact') AS n_exact, min(ordinal) AS first FROM (SELECT ordinal, 'other' AS label, 'MAM' || (ordinal % 50) AS mam, relation FROM entries WHERE curated UNION ALL SELECT ordinal, 'other', mam, relation FROM entries WHERE NOT curated AND mam IS NOT NULL) GROUP BY label, mam HAVING count(*) > 1""")
+def j18_by_label(spark, sf_dir):
+    """The same under a label that only some entries have a result of; the others' active one counts."""
+    e = D.entries(spark, sf_dir)
+    results = e.where("curated").select("ordinal", F.lit("other").alias("label"), F.array(F.concat(F.lit("MAM"), (F.col("ordinal") % 50).cast("string"))).alias("mam"), "relation")
+    return species.collisions(results, e.where("mam is not null").select("ordinal", F.lit("other").alias("label"), F.array("mam").alias("mam"), "relation"))
 
 
 @query(f""", {_BASE} SELECT feature_id, relation, e.mam, e.mam IS NOT NULL AND m.base IS NOT NULL AS in_model FROM entries e LEFT JOIN model m ON m.base = e.mam WHERE relation IS NOT NULL""")
@@ -679,13 +845,6 @@ def u6_subset(spark, sf_dir):
     return a.join(b, "w").where((F.col("a") != F.col("b")) & names.subset(F.col("ta"), F.col("tb"))).select("a", "b")
 
 
-@query("""SELECT seq, json_extract_string(props, '$.k')::BIGINT AS k, json_extract(props, '$.missing') IS NOT NULL AS has_more FROM decisions""")
-def s12_payloads(spark, sf_dir):
-    """Fields of recorded JSON payloads."""
-    j = F.from_json("props", "k bigint, missing string")
-    return D.decisions(spark, sf_dir).select("seq", j["k"].alias("k"), j["missing"].isNotNull().alias("has_more"))
-
-
 # ------------------------------------------------------------------ flags and audit
 
 _CONDITIONS = f""", {_EVIDENCE},
@@ -824,24 +983,15 @@ def a14_audit_rollup(spark, sf_dir):
     return audit.rollup(_checks(spark, sf_dir))
 
 
-# ------------------------------------------------------------------ verdicts on names (expected rows written by hand)
+# ------------------------------------------------------------------ verdicts on names
 
-GOLD = [
-    ("Taurochenodeoxycholic acid", "Urocortisol", "conflict"), ("Taurochenodeoxycholic acid", "Tetrahydrocortisol", "conflict"),
-    ("LysoPC(P-16:0)", "1-Acyl-sn-glycero-3-phosphocholine", "conflict"), ("LysoPC(16:0)", "1-Acyl-sn-glycero-3-phosphocholine", "class-level"),
-    ("nLc4Cer", "1,3-beta-D-Galactosyl-N-acetyl-D-glucosaminyl-1,3-beta-D-galactosyl-1,4-D-glucosylceramide", "conflict"),
-    ("Lc3Cer", "nLc4Cer", "conflict"), ("15-HETE", "15-Hydroperoxyeicosatetraenoic acid", "conflict"), ("15-HETE", "5,15-DiHETE", "conflict"),
-    ("N1-Acetylspermine", "N1-Acetylspermidine", "conflict"), ("LysoPC(16:0)", "LysoPC(16:0/0:0)", "ok"), ("LysoPC(16:0)", "LysoPC(18:2/0:0)", "conflict"),
-    ("Glycochenodeoxycholic acid", "Glycochenodeoxycholate", "ok"), ("Spermine", "Spermine", "ok"), ("1-Linoleoylglycerophosphocholine", "LysoPC(18:2)", "ambiguous"),
-]
 
 
 @query("SELECT * FROM (VALUES " + ", ".join("('" + "', '".join(r) + "')" for r in GOLD) + ") AS t(query, candidate, verdict)")
 def f19_f20_verdicts(spark, sf_dir):
     """verdicts on pairs of names."""
     g = spark.createDataFrame(GOLD, "query string, candidate string, expected string")
-    g = g.withColumn("a", verdict.features(F.col("query"))).withColumn("b", verdict.features(F.col("candidate")))
-    return g.select("query", "candidate", verdict.compare(F.col("a"), F.col("b"))["verdict"].alias("verdict"))
+    return verdict.judged(g, "query", "candidate").select("query", "candidate", "v.verdict")
 
 
 @query("""SELECT * FROM (VALUES ('LysoPC(16:0)', 'ok'), ('15-HETE', 'conflict'), ('Taurochenodeoxycholic acid', 'conflict'), ('nothing', 'unknown')) AS t(query, verdict)""")
@@ -849,19 +999,17 @@ def f22_best_verdict(spark, sf_dir):
     """the verdict over all names of a record."""
     rows = [("LysoPC(16:0)", ["1-Acyl-sn-glycero-3-phosphocholine", "LysoPC(16:0/0:0)"]), ("15-HETE", ["15-HETE", "5,15-DiHETE"]), ("Taurochenodeoxycholic acid", ["Urocortisol"]), ("nothing", [])]
     r = spark.createDataFrame(rows, "query string, names array<string>").select("query", F.explode_outer("names").alias("name"))
-    r = r.withColumn("a", verdict.features(F.col("query"))).withColumn("b", verdict.features(F.col("name"))).withColumn("v", F.when(F.col("name").isNotNull(), verdict.compare(F.col("a"), F.col("b"))["verdict"]))
+    r = verdict.judged(r, "query", "name").select("query", F.when(F.col("name").isNotNull(), F.col("v.verdict")).alias("v"))
     return r.groupBy("query").agg(verdict.best_of(F.collect_set("v")).alias("verdict"))
 
 
+@query(f""", {_HELD}, n AS (SELECT DISTINCT db, id, trim(name) AS name FROM held) SELECT a.db, a.id, a.name AS a, b.name AS b FROM n a JOIN n b ON a.db = b.db AND a.id = b.id WHERE a.name < b.name""")
+def j5_pairs(spark, sf_dir):
+    """The pairs of different names on each shared id."""
+    return collide.pairs(held(spark, sf_dir)).select("db", "id", "a", "b")
+
+
 @query()
 def j5_pairwise(spark, sf_dir):
     """The different names on each shared id, compared in pairs."""
     return collide.pairs(held(spark, sf_dir)).select("db", "id", "a", "b", "verdict", F.array_join("conflicts", ";").alias("conflicts"))
-
-
-@query()
-def f21_variants(spark, sf_dir):
-    """other spellings to try for each distinct name, by a table function."""
-    from .functions import variants
-
-    return variants.expand(D.features(spark, sf_dir).select("name").distinct(), "name")

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from resolvent.functions import formula, ids, names, variants, verdict
-from resolvent.queries import GOLD
+from resolvent.gold import GOLD, SPELLINGS
 
 
 def column(spark, values, expr, kind="string"):
@@ -37,7 +37,7 @@ def test_similarity(spark):
     df = spark.createDataFrame([("Chenodeoxyglycocholate", "Glycochenodeoxycholic acid"), ("ab", "ab"), ("abc", "abc")], "a string, b string")
     got = [round(r.d, 4) for r in df.select(names.dice(names.grams(F.col("a")), names.grams(F.col("b"))).alias("d")).collect()]
     assert got[0] > 0.5 and got[1:] == [0.0, 1.0]
-    s = spark.createDataFrame([("Glucose", "glucose", "B1"), ("glucose", "D-Glucose", "B1"), ("b1", "x", "B1"), ("zz", "qq", "B1")], "q string, n string, b string").select(names.name_score(names.name_parts(F.col("q")), names.name_parts(F.col("n")), F.col("b")).alias("s")).collect()
+    s = spark.createDataFrame([("Glucose", "glucose", "B1"), ("glucose", "D-Glucose", "B1"), ("b1", "x", "B1"), ("zz", "qq", "B1")], "q string, n string, b string").select(names.name_score(names.name_parts(F.col("q")), names.name_parts(F.col("n")), F.col("b"), F.lit("b1_c b1_m")).alias("s")).collect()
     assert [(round(r.s.score, 2), r.s.kind) for r in s] == [(100.0, "name-exact"), (90.91, "name-trigram"), (96.0, "id-exact"), (0.0, "id-exact")]
 
 
@@ -51,6 +51,8 @@ def test_formulas(spark):
     m = column(spark, ["C2H7NO3S", "RCO2", None], formula.mono_mass)
     assert round(m[0], 5) == 125.01466 and m[1:] == [None, None]
     assert column(spark, ["RCO2", "RbCl", "XeF2", "C2X"], formula.is_pool) == [True, False, False, True]
+    assert column(spark, ["HCl", "H2O", "NaCl", "C2H7NO3S"], formula.canonical) == ["ClH", "H2O", "ClNa", "C2H7NO3S"]
+    assert [round(x, 3) for x in column(spark, ["H2O", "C2H7NO3S"], formula.average_mass)] == [18.015, 125.147]
     v = column(spark, [125.01466, 126.0], lambda x: formula.verify(F.lit("C2H7NO3S"), F.lit("C2H7NO3S"), x), "double")
     assert [(r.formula_match, r.mass_match) for r in v] == [(True, True), (True, False)]
     n = column(spark, [181.0707], lambda x: formula.neutral_masses(x, ["[M+H]+", "nonsense"]), "double")[0]
@@ -79,6 +81,7 @@ def test_variants(spark):
     assert "chenodeoxyglycocholate" in variants.variants("Glycochenodeoxycholic acid")
     assert "lactoneotetraosylceramide" in variants.variants("nLc4Cer") and "plasmenylcholine" in variants.variants("LysoPC(P-16:0)")
     assert not any("oleoyl" in v for v in variants.variants("Cer(d18:1/16:0)")) and variants.variants(None) == []
+    assert all(variants.variants(n) == found for n, found in SPELLINGS.items())
     assert max(len(variants.variants(n)) for n in ("LysoPC(16:0)", "PC(16:0/18:1)")) <= variants.MOST
     assert variants.variants("3'-sialyl-neolactotetraosylceramide")[0] == "Sialyl-3-paragloboside" and variants.variants("oxidized LPC") == ["oxidized lysophosphatidylcholine", "oxidized phosphatidylcholine"]
     assert variants.variants("LysoPS(18:0)")[:3] == ["1-stearoyl-sn-glycero-3-phosphoserine", "1-stearoylglycero-3-phosphoserine", "stearoyl lysophosphatidylserine"]

@@ -126,3 +126,59 @@ def test_finalize_goes_on_after_a_failure(tmp_path, spark):
 def test_substring_search(spark, term, want):
     r = spark.createDataFrame([(0, "Glucose"), (1, "x"), (2, "glue")], "position long, record string")
     assert [x.record for x in resolve.substring_search(spark.createDataFrame([(term,)], "term string"), r).orderBy("rank").collect()] == want
+
+
+def test_exported_code_runs(spark, tmp_path):
+    import json as J
+    import os
+    import subprocess
+    import sys
+
+    from resolvent.operators import export
+    from resolvent.registry import ORACLES, QUERIES
+
+    tables = ["part", "lineitem", "events", "customer", "orders", "supplier"]
+    found = export.steps(QUERIES, ORACLES, ["a17_model_stats", "f6_base_id", "j5_pairwise"])
+    assert [n for _, n, _ in found] == ["f6_base_id", "a17_model_stats"]
+    (tmp_path / "run.py").write_text(export.script(found, tables))
+    if os.path.isdir("/root/testdata/sf0.001"):
+        out = subprocess.run([sys.executable, str(tmp_path / "run.py"), "/root/testdata/sf0.001"], capture_output=True, text=True, check=True).stdout
+        assert out.split() == ["f6_base_id", "150", "a17_model_stats", "1"]
+    assert [c["cell_type"] for c in J.loads(export.notebook(found, tables))["cells"]] == ["code", "markdown", "code", "markdown", "code"]
+
+
+def test_folded_search(spark):
+    rows = [(1, "B1c", "c", "Glucose", "C6H12O6", 0, 180.063, "C1", None, "CHEBI:5"), (2, "B2c", "c", "Galactose", "C6H12O6", 0, 180.064, None, None, None), (3, "B3c", "c", "Urea", "CH4N2O", 0, 60.03, None, "HMDB0000294", None)]
+    m = species.index(spark.createDataFrame(rows, "ordinal long, species_id string, compartment string, name string, formula string, charge int, mass double, kegg string, hmdb string, chebi string"))
+    spelled = spark.createDataFrame([("a", 0, "glucos"), ("a", 1, "Glucose"), ("b", 0, "b2C"), ("c", 0, " "), ("d", 0, "zzzz")], "key string, place int, query string")
+    facts = spark.createDataFrame([("a", None, None, None, None, None), ("b", None, None, None, "C6H12O6", 180.063), ("c", "C1", "HMDB0000294", "5", None, None)], "key string, kegg string, hmdb string, chebi string, formula string, mass double")
+    got = {(r.key, r.base): (r.score, r.kind, r.matched) for r in species.search_all(spelled, facts, m).collect()}
+    assert got["a", "B1"] == (100.0, "name-exact", "Glucose") and got["b", "B2"] == (96.0, "id-exact", "b2C") and got["b", "B1"] == (95.0, "formula", None)
+    assert got["c", "B1"] == (100.0, "xref:kegg", None) and got["c", "B3"] == (100.0, "xref:hmdb", None) and not any(k == "d" for k, _ in got)
+
+
+def test_routing(spark):
+    schema = "ordinal long, feature_id string, name string, kegg string, hmdb string, chebi string, pubchem string, inchikey string, final_class string, confidence string, origin string"
+    no = [None] * 4
+    rows = [
+        (1, "M1", "x", "C1", *no, None, None, None), (2, "M2", "x", None, *no, None, None, None), (3, "M3", "Diethyl phthalate", None, *no, "exogenous-excluded", None, None),
+        (4, "M4", "x", None, *no, "exogenous", None, None), (5, "M5", "Diethyl phthalate", "C1", *no, "exogenous", "M1", "industrial"), (6, "M6", "x", "C2", *no, None, None, None), (7, "M7", "x", None, *no, "nonsense", None, "mars"),
+        (8, "M8", "4-thing 2-", "C1", *no, "KEGG-mapped", None, None),
+    ]
+    unbacked = spark.createDataFrame([(6,)], "ordinal long")
+    got = {r.feature_id: tuple(r)[1:] for r in resolve.route(spark.createDataFrame(rows, schema), unbacked).collect()}
+    assert got["M1"] == ("accept", "KEGG-mapped", "M2", "endogenous", "") and got["M2"] == ("accept", "unmapped", "M2", None, "")
+    assert got["M3"] == ("exclude", "xenobiotic-excluded", "X", "plasticizer", "") and got["M4"] == ("accept", "exogenous", "M4", None, "exogenous without origin")
+    assert got["M5"] == ("accept", "exogenous", "M1", "industrial", "origin implies another class; kept under a non-biological name")
+    assert got["M6"][0] == "refused: id without a candidate" and got["M7"][0] == "refused: unknown class" and got["M8"][4] == "locant by a route that isn't exact"
+
+
+def test_name_warnings(spark):
+    h = spark.createDataFrame([(1, "LysoPC(16:0)", "kegg", "C1"), (2, "15-HETE", "kegg", "C2"), (3, "Spermine", "kegg", "C3")], "ordinal long, name string, db string, id string")
+    c = spark.createDataFrame([(1, "kegg", "C1", "1-Acyl-sn-glycero-3-phosphocholine"), (2, "kegg", "C2", "5,15-DiHETE"), (3, "kegg", "C3", "Spermine"), (3, "kegg", "C3", "")], "ordinal long, db string, id string, note string")
+    assert {(r.ordinal, r.verdict) for r in resolve.name_warnings(h, c).collect()} == {(1, "class-level"), (2, "conflict")}
+
+
+def test_screen_puts_the_safest_first(spark):
+    hits = spark.createDataFrame([("k", "15-HETE", "5,15-DiHETE", 1), ("k", "15-HETE", None, 2), ("k", "15-HETE", "15-HETE", 3)], "key string, name string, gem_name string, rank int")
+    assert [(r.rank, r.verdict) for r in species.screen(hits, "name", "gem_name").orderBy("place").collect()] == [(3, "ok"), (1, "conflict"), (2, "unknown")]

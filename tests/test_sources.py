@@ -1,8 +1,14 @@
+import http.server
 import json
+import sys
+import threading
 
 import pytest
+from pyspark.sql import functions as F
 
-from resolvent.sources import readers
+from resolvent import errors
+from resolvent.plans import written
+from resolvent.sources import outside, readers, settings
 from resolvent.sources.store import Conflict, Store
 from resolvent.streaming import decisions
 
@@ -60,3 +66,102 @@ def test_stream_of_decisions(spark, tmp_path):
     q.stop()
     assert {(r.user_id, r.event_id, r.n) for r in spark.table("latest").collect()} == {(0, 18, 7), (1, 19, 7), (2, 17, 6)}
     assert {c for c in decisions.counts(decisions.read(spark, f"{tmp_path}/in")).columns} == {"start", "event_type", "n"}
+
+
+def test_terms(spark):
+    full = {"_embedded": {"terms": [{"label": "taurine", "synonyms": ["2-aminoethanesulfonic acid", ""], "annotation": {"formula": ["x"], "generalized_empirical_formula": ["C2H7NO3S", "y"], "mass": "125.1", "inchi_key_string": []}}]}}
+    rows = [("15891", json.dumps(full)), ("CHEBI:2", json.dumps({"_embedded": {"terms": []}})), ("3", None)]
+    got = {r.id: r for r in readers.term(spark.createDataFrame(rows, "id string, payload string")).collect()}
+    one = got["CHEBI:15891"]
+    assert (one.found, one.names, one.formula, one.mass, one.inchikey) == (True, ["taurine", "2-aminoethanesulfonic acid"], "C2H7NO3S", 125.1, None)
+    assert not got["CHEBI:2"].found and not got["CHEBI:3"].found and got["CHEBI:3"].names == []
+
+
+def test_fetch_tells_kinds_of_misses_apart(spark):
+    asked = spark.createDataFrame([("KEGG", "C1"), ("kegg", "C2"), ("kegg", "C3"), ("hmdb", "H1"), ("lipidmaps", "L1"), ("kegg", None)], "db string, id string")
+    records = {"kegg": spark.createDataFrame([("C1", ["a"], "CH4"), ("C3", ["c"], None)], "id string, names array<string>, formula string")}
+    failed = spark.createDataFrame([("kegg", "C3", "exit 1")], "db string, id string, error string")
+    got = {r.id: (r.found, r.names, r.note is not None, r.error) for r in readers.fetch(asked, records, failed).collect()}
+    assert got == {"C1": (True, ["a"], False, None), "C2": (False, [], False, None), "C3": (False, [], False, "exit 1"), "H1": (False, [], True, None), "L1": (False, [], False, "unsupported db lipidmaps")}
+
+
+def test_dblinks_and_columns(spark):
+    df = spark.createDataFrame([(["PubChem: 1 ", "ChEBI:  2 3", "ChEBI: 4"], 7)], "l array<string>, `my col` int")
+    assert df.select(readers.dblink(F.col("l"), "ChEBI").alias("a"), readers.dblink(F.col("l"), "KEGG").alias("b")).first() == ("2 3", None)
+    assert [r.name for r in readers.column(df.select("my col")).collect()] == ["7"] == [r.name for r in readers.column(df, "my col").collect()]
+    assert spark.createDataFrame([("/a/b.c/M-1.v2.xml",)], "p string").select(readers.model_label_of(F.col("p")).alias("x")).first().x == "M-1" == readers.model_label("/a/b.c/M-1.v2.xml")
+
+
+def test_sbml(spark, tmp_path):
+    (tmp_path / "m.xml").write_text("""<sbml xmlns:fbc="f" xmlns:rdf="r"><model><listOfSpecies>
+<species id="a_c" name="A" compartment="c" fbc:chemicalFormula="CH4" fbc:charge="-1"><annotation><rdf:li rdf:resource="https://identifiers.org/kegg.compound/C00001"/><rdf:li rdf:resource="https://identifiers.org/kegg.compound/C00002"/><rdf:li rdf:resource="https://identifiers.org/chebi/CHEBI:5"/></annotation></species>
+<species id="b_c" name="B"/></listOfSpecies></model></sbml>""")
+    a, b = readers.model_xml(spark, str(tmp_path / "m.xml")).orderBy("species_id").collect()
+    assert (a.name, a.compartment, a.formula, a.charge, a.kegg, a.chebi, a.hmdb) == ("A", "c", "CH4", -1, ["C00001", "C00002"], ["CHEBI:5"], [])
+    assert (b.compartment, b.kegg) == ("", [])
+
+
+def test_failures():
+    f = errors.unknown_entry("M1")
+    assert f.row() == {"error": "unknown feature_id M1", "error_code": "unknown_entry", "means": errors.CODES["unknown_entry"], "suggested_next_tools": ["detect_state", "ingest_names"]}
+    with pytest.raises(ValueError):
+        errors.Failure("no_such_code", "x")
+
+
+def test_settings(spark, tmp_path):
+    assert settings.asset(spark, "model", str(tmp_path)) == str(tmp_path) and settings.asset(spark, "model", f"{tmp_path}/no") is None
+    spark.conf.set("spark.resolvent.model", "/given")
+    assert settings.asset(spark, "model", str(tmp_path)) == "/given"
+    spark.conf.unset("spark.resolvent.model")
+    with pytest.raises(errors.Failure):
+        outside.http(spark, ["http://localhost:1/x"])
+
+
+class _Answers(http.server.BaseHTTPRequestHandler):
+    def do_GET(self):
+        body = b'{"a": 1}' if self.path == "/ok" else b"not json"
+        self.send_response(500 if self.path == "/bad" else 200)
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *_):
+        pass
+
+
+def test_outside(spark, tmp_path):
+    server = http.server.HTTPServer(("127.0.0.1", 0), _Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    (tmp_path / "p.py").write_text("import json, sys\nr = json.load(sys.stdin)\nprint('noise')\nif r['x'] == 1: json.dump({'y': 2}, open(r['out'], 'w'))\nif r['x'] == 2: sys.exit(3)\n")
+    spark.conf.set(settings.OUTSIDE, "true")
+    try:
+        at = f"http://127.0.0.1:{server.server_port}"
+        got = {r.key[len(at) :]: (r.ok, r.payload, bool(r.error)) for r in outside.http(spark, [f"{at}/ok", f"{at}/bad", f"{at}/text"], delay=0).collect()}
+        assert got == {"/ok": (True, '{"a": 1}', False), "/bad": (False, None, True), "/text": (False, None, True)}
+        asked = spark.createDataFrame([(str(x), json.dumps({"x": x})) for x in (1, 2, 3)], "key string, request string")
+        got = {r.key: (r.ok, r.payload, (r.error or "")[:9]) for r in outside.programs(asked, [sys.executable, str(tmp_path / "p.py")]).collect()}
+        assert got == {"1": (True, '{"y": 2}', ""), "2": (False, None, "exit 3: "), "3": (False, None, "no answer")}
+    finally:
+        spark.conf.unset(settings.OUTSIDE)
+        server.shutdown()
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Spark:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://x:7077"
+            getConf = staticmethod(lambda: Spark.conf)
+
+    with pytest.raises(ValueError):
+        written.shared_folder(Spark)
+
+
+def test_ship(spark):
+    import zipfile
+
+    from resolvent.ship import ship
+
+    names = zipfile.ZipFile(ship(spark)).namelist()
+    assert "resolvent/__init__.py" in names and "resolvent/functions/names.py" in names
