@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as V
+from ..plans.written import written
 
 SET_AXES = ["skeleton", "ether_linkage"]
 SCALAR_AXES = ["glycan_series", "glycan_length", "sialyl_linkage", "omega", "peroxidation", "hydroxy_count", "acetyl_count", "polyamine_backbone"]
@@ -97,8 +98,12 @@ def features(name: Column, let: Callable[[str, Column], Column] = lambda _, c: c
 
 
 def featured(found: DataFrame, name: str) -> DataFrame:
-    """name and f, the features of each distinct value of a column; each step is a column of its own that the next ones read."""
-    df = found.select(F.col(name).alias("name")).distinct()
+    """name and f, the features of each distinct value of a column; each step is a column of its own that the next ones read.
+
+    The distinct names are written first: Spark would push a condition on their features below the
+    aggregation, where every row has to be looked at.
+    """
+    df = written(found.select(F.col(name).alias("name")).distinct(), "names")
 
     def let(key: str, c: Column) -> Column:
         nonlocal df

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, verdict
+from ..plans.written import written
 from ..vocab import CLASS_OF_ORIGIN, FLAGS, FUZZY, KEPT, NAMESPACES, ORIGINS, PRIMARY, TIERS, TRIVIAL_RATIONALES
 from . import collide, resolve
 
@@ -27,8 +28,9 @@ def class_evidence(entries: DataFrame, candidates: DataFrame, decisions: DataFra
     Shown by a back-check, by the name of a candidate with that id, or, for all ids of an entry, by
     its class_level_id flag. Each distinct name is looked at once.
     """
-    named = candidates.where("id is not null and note <> ''").select("ordinal", "db", "id", "note").distinct()
-    generic = verdict.featured(named, "note").where("f.resolution = 'class'").select(F.col("name").alias("note"))
+    named = candidates.where("id is not null and note <> ''").select("ordinal", "db", "id", "note")
+    # written, since Spark would infer the condition for the candidates' side of the join too
+    generic = written(verdict.featured(named, "note").where("f.resolution = 'class'").select(F.col("name").alias("note")), "generic")
     flagged = raised.where("flag = 'class_level_id'").select("ordinal").distinct()
     return class_level(decisions).unionByName(named.join(generic, "note").select("ordinal", "db", "id")).unionByName(held(entries).join(flagged, "ordinal", "left_semi").select("ordinal", "db", "id")).distinct()
 

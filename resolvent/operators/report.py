@@ -6,34 +6,30 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, names
+from ..plans.written import written
 from ..vocab import CAUSES, CLASSES, EXCLUDED, MAPPED_RELATIONS, NAMESPACES, PRIMARY, ROUTES
 from .resolve import ACCEPTING, allocate, reason_category
 
 
-def class_counts(spark: SparkSession, entries: DataFrame) -> DataFrame:
-    """Every class of the vocabulary and `pending`, with zero where there is none."""
-    vocab = spark.createDataFrame([(c,) for c in [*CLASSES, "pending"]], "metric string")
-    key = F.when(F.col("final_class").isin(CLASSES), F.col("final_class")).otherwise("pending")
-    return vocab.join(entries.groupBy(key.alias("metric")).agg(F.count("*").alias("value")), "metric", "left").select("metric", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
-
+def coverage(spark: SparkSession, entries: DataFrame) -> DataFrame:
+    """metric, value, denom, pct: every class of the vocabulary and `pending`, with zero where there is none; metrics; model relations.
 
-def metrics(entries: DataFrame) -> DataFrame:
-    """The conditional counts, in one pass."""
-    rel = F.col("relation").isin(MAPPED_RELATIONS)
+    The entries are read once: they are counted by class and relation, and a few rows go on.
+    """
+    counts = entries.groupBy("final_class", "relation").agg(F.count("*").alias("n"), F.count("kegg").alias("kegg"), F.count("hmdb").alias("hmdb"))
+    cls, rel, n = F.col("final_class"), F.col("relation"), F.col("n")
+    some = lambda condition: F.when(F.coalesce(condition, F.lit(False)), n).otherwise(0)
     cases = {
-        "primary": F.col("final_class").isin(PRIMARY), "has_kegg": F.col("kegg").isNotNull(), "has_hmdb": F.col("hmdb").isNotNull(), "gem_mapped": rel,
-        "gem_species_level": F.col("relation") == "exact", "exogenous": F.col("final_class") == "exogenous", "xenobiotic": F.col("final_class") == EXCLUDED,
+        "#total": n, "primary_usable": some(cls.isin(PRIMARY)), "has_kegg": F.col("kegg"), "has_hmdb": F.col("hmdb"), "gem_mapped": some(rel.isin(MAPPED_RELATIONS)),
+        "gem_species_level": some(rel == "exact"), "exogenous": some(cls == "exogenous"), "xenobiotic_excluded": some(cls == EXCLUDED),
     }
-    one = entries.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in cases.items()])
-    return one.select(F.expr("stack(%d, %s) as (metric, value)" % (len(cases), ", ".join(f"'{k}', {k}" for k in cases))))
-
-
-def coverage(spark: SparkSession, entries: DataFrame) -> DataFrame:
-    """metric, value, denom, pct: classes, metrics and model relations."""
-    rel = entries.where("relation is not null").groupBy(F.concat(F.lit("relation:"), F.col("relation")).alias("metric")).agg(F.count("*").alias("value"))
-    rows = class_counts(spark, entries).unionByName(metrics(entries)).unionByName(rel)
-    total = entries.agg(F.count("*").alias("denom"))
-    return rows.join(F.broadcast(total)).select("metric", "value", "denom", F.coalesce(F.round(F.try_divide(100.0 * F.col("value"), "denom"), 1), F.lit(0.0)).alias("pct"))
+    own = [F.struct(F.concat(F.lit("class:"), F.when(cls.isin(CLASSES), cls).otherwise("pending")).alias("metric"), n.alias("value")), F.struct(F.concat(F.lit("gem_relation:"), rel).alias("metric"), n.alias("value"))]
+    rows = counts.select(F.explode(F.array(*own, *[F.struct(F.lit(k).alias("metric"), v.cast("long").alias("value")) for k, v in cases.items()])).alias("x")).select("x.*").where("metric is not null")
+    none = spark.createDataFrame([(c, 0) for c in [*(f"class:{c}" for c in [*CLASSES, "pending"]), *cases]], "metric string, value long")
+    summed = rows.unionByName(none).groupBy("metric").agg(F.sum("value").alias("value"))
+    total = F.max(F.when(F.col("metric") == "#total", F.col("value"))).over(Window.partitionBy(F.lit(0)))  # a row per metric
+    out = summed.withColumn("denom", total).where("metric <> '#total'")
+    return out.select("metric", "value", "denom", F.coalesce(F.round(F.try_divide(100.0 * F.col("value"), "denom"), 1), F.lit(0.0)).alias("pct"))
 
 
 def membership(entries: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -218,7 +214,7 @@ def backfill(entries: DataFrame, candidates: DataFrame, bridge: DataFrame) -> Da
 
 def backfilled(entries: DataFrame, candidates: DataFrame, bridge: DataFrame) -> DataFrame:
     """ordinal, outcome, target: what each entry without an accession gains. No accession goes to two entries, nor one that another entry has; where the bridge is ambiguous nothing is taken."""
-    found = backfill(entries, candidates, bridge)
+    found = written(backfill(entries, candidates, bridge), "backfill")
     taken = entries.where("hmdb is not null").select(F.col("hmdb").alias("target")).distinct()
     options = found.where("not ambiguous").select("ordinal", F.posexplode("targets").alias("place", "target"))
     free = options.join(taken, "target", "left_anti").groupBy("ordinal").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "target"))), lambda x: x["target"]).alias("targets"))

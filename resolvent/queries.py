@@ -70,10 +70,10 @@ def held(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ coverage and reports
 
 _COVERAGE = f""", rows AS (
-SELECT v AS metric, count(o)::BIGINT AS value FROM (SELECT unnest([{", ".join(f"'{c}'" for c in [*CLASSES, "pending"])}]) AS v)
+SELECT 'class:' || v AS metric, count(o)::BIGINT AS value FROM (SELECT unnest([{", ".join(f"'{c}'" for c in [*CLASSES, "pending"])}]) AS v)
   LEFT JOIN (SELECT ordinal AS o, coalesce(final_class, 'pending') AS c FROM entries) ON c = v GROUP BY v
-UNION ALL SELECT 'relation:' || relation, count(*) FROM entries WHERE relation IS NOT NULL GROUP BY relation
-UNION ALL SELECT unnest(['primary', 'has_kegg', 'has_hmdb', 'gem_mapped', 'gem_species_level', 'exogenous', 'xenobiotic']), unnest([p, k, h, g, s, e, x]) FROM (SELECT
+UNION ALL SELECT 'gem_relation:' || relation, count(*) FROM entries WHERE relation IS NOT NULL GROUP BY relation
+UNION ALL SELECT unnest(['primary_usable', 'has_kegg', 'has_hmdb', 'gem_mapped', 'gem_species_level', 'exogenous', 'xenobiotic_excluded']), unnest([p, k, h, g, s, e, x]) FROM (SELECT
   count(*) FILTER (final_class IN {_in(PRIMARY)}) AS p, count(kegg) AS k, count(hmdb) AS h, count(*) FILTER (relation IN ('exact', 'class-proxy', 'isomer-surrogate')) AS g,
   count(*) FILTER (relation = 'exact') AS s, count(*) FILTER (final_class = 'exogenous') AS e, count(*) FILTER (final_class = 'xenobiotic-excluded') AS x FROM entries))
 SELECT metric, value, n AS denom, coalesce(round(100.0 * value::DOUBLE / nullif(n, 0), 1), 0.0) AS pct FROM rows, (SELECT count(*) AS n FROM entries)"""
@@ -739,7 +739,8 @@ st AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS taken, NULL::BIGINT AS ordinal, N
 SELECT bf.ordinal, CASE WHEN ambiguous THEN 'ambiguous' WHEN st.target IS NOT NULL THEN 'gained' WHEN len(targets) > 0 THEN 'taken by another' ELSE 'nothing found' END AS outcome, st.target FROM bf LEFT JOIN st ON st.ordinal = bf.ordinal""")
 def w3_backfill(spark, sf_dir):
     """In entry order, each takes its first accession that is still free; ambiguous ones take none."""
-    return report.backfilled(D.entries(spark, sf_dir), D.candidates(spark, sf_dir), D.bridge(spark, sf_dir))
+    e, c, _ = _ledger(spark, sf_dir)
+    return report.backfilled(e, c, D.bridge(spark, sf_dir))
 
 
 ORACLES["w3_backfill"] = ORACLES["w3_backfill"].replace("WITH features", "WITH RECURSIVE features", 1)
@@ -863,8 +864,9 @@ states AS (SELECT r.ordinal, r.flag, CASE WHEN a.flag IS NOT NULL THEN 'acknowle
 
 def _ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entries, candidates and decisions, written once, since the checks read them again and again."""
-    found = D.entries(spark, sf_dir), D.candidates(spark, sf_dir).drop("raw_id", "query"), D.decisions(spark, sf_dir).drop("props", "ts")
-    return tuple(written(df, name) for df, name in zip(found, ("entries", "candidates", "decisions")))
+    c = written(D.candidates(spark, sf_dir).drop("raw_id", "query"), "candidates")
+    a = written(D.accepted(spark, sf_dir, c), "accepted")
+    return written(D.entries(spark, sf_dir, a), "entries"), c, written(D.decisions(spark, sf_dir, a).drop("props", "ts"), "decisions")
 
 
 def _states(e: DataFrame, c: DataFrame, d: DataFrame) -> DataFrame:

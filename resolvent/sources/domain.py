@@ -71,9 +71,9 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("id", ids.canonical(F.col("db"), F.col("raw_id")))
 
 
-def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ordinal, db, id: the candidate of least (seq, id) per namespace; some features are pending, a few ids were made up."""
-    best = candidates(spark, sf_dir).where("id is not null and ordinal % 9 <> 8").groupBy("ordinal", "db").agg(F.min(F.struct("seq", "id")).alias("b"))
+def accepted(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    """ordinal, db, id: the candidate of least (seq, id) per namespace; some features are pending, a few ids were made up. found: candidates() that are there already."""
+    best = (candidates(spark, sf_dir) if found is None else found).where("id is not null and ordinal % 9 <> 8").groupBy("ordinal", "db").agg(F.min(F.struct("seq", "id")).alias("b"))
     return best.select("ordinal", "db", F.when((F.col("db") == "kegg") & (F.col("ordinal") % 17 == 0), F.lit("C99999")).otherwise(F.col("b.id")).alias("id"))
 
 
@@ -81,9 +81,9 @@ def derive_class(kegg: Column, hmdb: Column, structure: Column) -> Column:
     return F.when(kegg.isNotNull(), PRIMARY[0]).when(hmdb.isNotNull(), PRIMARY[1]).when(structure, "structure-only").otherwise("unmapped")
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def entries(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> DataFrame:
     """One row per feature: ids by namespace, final_class, confidence, origin, relation, curated rationale, model species."""
-    wide = accepted(spark, sf_dir).groupBy("ordinal").pivot("db", NAMESPACES).agg(F.min("id"))
+    wide = (accepted(spark, sf_dir) if held is None else held).groupBy("ordinal").pivot("db", NAMESPACES).agg(F.min("id"))
     k = F.col("ordinal")
     rows = features(spark, sf_dir).join(wide, "ordinal", "left")
     structure = F.coalesce(*NAMESPACES[2:]).isNotNull()
@@ -97,7 +97,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def decisions(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> DataFrame:
     """ordinal, seq, ts, action, db, id, verdict, db_resolution, rationale; every second id is the accepted one of its namespace."""
     k = F.col("event_id")
     action = F.element_at(F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv]), F.col("event_type"))
@@ -105,7 +105,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("ordinal"), k.alias("seq"), "ts", action.alias("action"), pick(NAMESPACES, k % 5).alias("db"),
         pick(RATIONALES, k % len(RATIONALES)).alias("rationale"), F.col("props"),
     )
-    held = accepted(spark, sf_dir).withColumnRenamed("id", "held")
+    held = (accepted(spark, sf_dir) if held is None else held).withColumnRenamed("id", "held")
     check = F.col("action") == "backcheck"
     return rows.join(held, ["ordinal", "db"], "left").select(
         "ordinal", "seq", "ts", "action", "db", F.when((F.col("seq") % 2 == 0) & F.col("held").isNotNull(), F.col("held")).otherwise(F.concat(F.lit("X"), F.col("seq"))).alias("id"),
