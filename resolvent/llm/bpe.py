@@ -26,8 +26,8 @@ from .common import texts, tune
 
 #: Rows longer than this are merged with a heap of pairs: the same merges, without a quadratic matrix.
 LONGEST_ROW = 256
-#: Chunks and matches remembered by a worker before it forgets them all.
-REMEMBERED = 300_000
+#: Chunks and matches remembered by a worker before it forgets them all: about 250 bytes each.
+REMEMBERED = 1_000_000
 _NONE = np.int32(2**31 - 1)
 #: A space between white space, or after white space at the end.
 _INNER_SPACE = re.compile(r"\s(?: \s| $)")
@@ -151,7 +151,8 @@ def chunks(text: str) -> list[str]:
     if " " not in text or _INNER_SPACE.search(text):
         return [text]
     head, *rest = text.split(" ")
-    return [head, *[" " + x for x in rest]]
+    found = [" " + x for x in rest]
+    return [head, *found] if head else found
 
 
 class Remembering(dict):
@@ -162,7 +163,7 @@ class Remembering(dict):
         self.make, self.most, self.most_chars, self.chars = make, most, most_chars, 0
 
     def learn(self, found: Iterable[str]) -> None:
-        new = [x for x in set(found) if x not in self]
+        new = list(set(found).difference(self))
         if len(self) and (len(self) + len(new) > self.most or self.chars > self.most_chars):
             self.clear()
             self.chars, new = 0, list(set(found))
@@ -236,10 +237,10 @@ def _batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iter
                 end += 1
             memory.learn([c for cs in found[start:end] for c in cs])
             for cs in found[start:end]:
-                got = [memory[c] for c in cs]
-                n.append(sum([g[2] for g in got]))
-                ids.append(hashlib.sha256(b" ".join([g[0] for g in got if g[2]])).hexdigest())
-                decoded.append(hashlib.sha256(b"".join([g[1] for g in got])).hexdigest())
+                said, data, count = zip(*map(memory.__getitem__, cs)) if cs else ((), (), ())
+                n.append(sum(count))
+                ids.append(hashlib.sha256(b" ".join(said)).hexdigest())
+                decoded.append(hashlib.sha256(b"".join(data)).hexdigest())
             start = end
         yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
