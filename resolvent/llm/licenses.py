@@ -1,19 +1,21 @@
 """License scans: a trained paragraph classifier whose predictions are confirmed against templates.
 
 A paragraph is a run of lines that aren't blank, so a notice may be wrapped at any word. Its lines
-are read one by one, and its words, across lines, in overlapping stretches of LONGEST: where a
-stretch has CONFIRMED of a template's bigrams, its shortest run with all of them there is read, runs
-that overlap as one. Sparse word unigrams and bigrams feed a multinomial logistic regression over
-licence families and an unknown class. It is trained here, on variations of the templates, on
-mixtures of families, and on a bounded sample of the corpus's own paragraphs as unknown; its
-temperature is fitted on variations that it was not trained on. A predicted family counts if at least
-CONFIRMED of the word bigrams of one of its templates are in what was read. Lines and stretches that
-confirm no template aren't scored.
+are read one by one, and its words, across lines, in overlapping stretches of LONGEST. Every line and stretch is scored: its word unigrams and bigrams,
+hashed into slots, feed a multinomial logistic regression over licence families and an unknown
+class. It is trained here, on variations of the templates among words of the corpus, on scraps of
+templates, and on a bounded sample of the corpus's own paragraphs as unknown; its temperature is
+fitted on examples that it was not trained on. Where the families together reach SCREEN, templates
+are compared: the shortest run of words with CONFIRMED of a template's bigrams is scored
+on its own, runs that overlap as one, and its family counts if one of the family's own templates is
+confirmed in it. A paragraph with a line or stretch that is likelier licensed than not but confirms
+no template is suspect, and counted as that.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,8 +27,13 @@ from pyspark.sql import functions as F
 from .common import texts, tune
 
 UNKNOWN, NONE = "unknown", "none"
-#: Sampled documents whose paragraphs teach the unknown class, characters of each; words per stretch; confirmation; least probability.
-SAMPLE_DOCS, ROW_CHARS, LONGEST, CONFIRMED, LEAST = 300, 2_000, 80, 0.8, 0.5
+#: Sampled documents whose paragraphs teach the unknown class, characters of each; words per stretch and from one to the next: a notice of LONGEST - STRIDE words is whole in one; confirmation; least probability, and that from which templates are compared.
+SAMPLE_DOCS, ROW_CHARS, LONGEST, STRIDE, CONFIRMED, LEAST, SCREEN = 300, 2_000, 48, 16, 0.8, 0.5, 0.0005
+#: Slots of hashed n-grams as a power of two; variations of a template, and examples of no licence, that are trained on.
+BITS, VARIATIONS, OTHERS, STEPS = 18, 24, 900, 160
+_MASK = (1 << BITS) - 1
+#: Words whose codes a worker remembers.
+REMEMBERED = 500_000
 
 #: Short notices by family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -48,7 +55,11 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
         "SPDX-License-Identifier: GPL-3.0-only",
     ),
-    "LGPL": ("This library is licensed under the GNU Lesser General Public License.", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    "LGPL": (
+        "This library is licensed under the GNU Lesser General Public License.",
+        "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    ),
     "MIT": (
         "Released under the MIT License.",
         "Licensed under the MIT license.",
@@ -81,8 +92,8 @@ def blocks(text: str | None) -> list[list[list[str]]]:
 
 
 def stretches(found: list[str]) -> list[list[str]]:
-    """The words in stretches of at most LONGEST that overlap by half."""
-    return [found[s : s + LONGEST] for s in range(0, max(1, len(found) - LONGEST // 2), LONGEST // 2)] if len(found) > LONGEST else [found]
+    """The words in stretches of at most LONGEST, each STRIDE words after the one before it."""
+    return [found[s : s + LONGEST] for s in range(0, max(1, len(found) - LONGEST + STRIDE), STRIDE)] if len(found) > LONGEST else [found]
 
 
 def shortest_run(found: list[str], wanted: set[tuple[str, str]]) -> tuple[int, int]:
@@ -101,78 +112,115 @@ def shortest_run(found: list[str], wanted: set[tuple[str, str]]) -> tuple[int, i
     return best[1], best[1] + best[0]
 
 
+class Codes(dict):
+    """A word's 32-bit code, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        out = self[word] = zlib.crc32(word.encode())
+        return out
+
+
+_CODES = Codes()
+
+
+def slots(found: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of the unigrams and bigrams of word lists, and the list that each belongs to."""
+    sizes = [len(t) for t in found]
+    codes = np.array([_CODES[w] for t in found for w in t], np.uint64)
+    owner = np.repeat(np.arange(len(found)), sizes)
+    both = owner[1:] == owner[:-1]
+    pair = ((codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:]) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)
+    return np.concatenate([codes & np.uint64(_MASK), pair[both]]).astype(np.int64), np.concatenate([owner, owner[1:][both]])
+
+
 class Model:
-    """Weights by class over the n-grams of the templates, the share of other words, and the length."""
+    """Weights by slot and class; slots that training did not meet weigh nothing."""
 
     def __init__(self, background: list[list[str]], seed: int = 3):
         self.templates = {k: [pairs(tokens(t)) for t in ts] for k, ts in TEMPLATES.items()}
         self.bigrams = set().union(*[p for ts in self.templates.values() for p in ts])
-        grams = sorted({(w,) for ts in TEMPLATES.values() for t in ts for w in tokens(t)} | self.bigrams)
-        self.at = {g: k for k, g in enumerate(grams)}
         self.classes = [*sorted(TEMPLATES), UNKNOWN]
         rng = np.random.default_rng(seed)
         words = [w for b in background for w in b] or ["lorem"]
         pick = lambda n: [words[i] for i in rng.integers(0, len(words), n)]
 
-        def varied(t: list[str]) -> list[str]:
-            kept = [w for w in t if rng.random() > 0.06] or t
-            return [*pick(int(rng.integers(0, 4))), *kept, *pick(int(rng.integers(0, 6)))]
+        def among(t: list[str], most: int) -> list[str]:
+            room = int(rng.integers(0, max(1, most - len(t))))
+            before = int(rng.integers(0, room + 1))
+            return [*pick(before), *t, *pick(room - before)]
 
-        x, y, held_x, held_y = [], [], [], []
+        found, truth = [], []
         for k, family in enumerate(self.classes[:-1]):
-            for t in TEMPLATES[family]:
-                for n in range(24):
-                    (held_x if n % 4 == 3 else x).append(varied(tokens(t)))
-                    (held_y if n % 4 == 3 else y).append(k)
+            for t in map(tokens, TEMPLATES[family]):
+                for n in range(VARIATIONS):
+                    kept = [w for w in t if rng.random() > 0.06] or t
+                    found.append(among(kept, LONGEST if n % 2 else len(kept) + 6))
+                    truth.append(k)
         every = [tokens(t) for ts in TEMPLATES.values() for t in ts]
-        for n in range(600):  # no licence: corpus paragraphs, scraps of templates among corpus words, mixtures
-            if n % 3 == 0 and background:
+        for n in range(OTHERS):  # no licence: corpus paragraphs, scraps of templates among corpus words
+            if n % 3 and background:
                 one = background[int(rng.integers(0, len(background)))][:LONGEST]
             else:
                 t = every[int(rng.integers(0, len(every)))]
                 s = int(rng.integers(0, len(t)))
-                one = [*pick(int(rng.integers(2, 20))), *t[s : s + int(rng.integers(1, 3))], *pick(int(rng.integers(2, 20)))]
-            (held_x if n % 4 == 3 else x).append(one)
-            (held_y if n % 4 == 3 else y).append(len(self.classes) - 1)
-        a, b = self._matrix(x), np.array(y)
-        w = np.zeros((a.shape[1], len(self.classes)))
-        speed = np.zeros_like(w)
-        target = np.eye(len(self.classes))[b]
-        for _ in range(300):
-            z = a @ w
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            speed = 0.9 * speed - 2.0 * (a.T @ (p - target) / len(a) + 1e-4 * w)
+                one = among(t[s : s + int(rng.integers(1, 3))], LONGEST)
+            found.append(one)
+            truth.append(len(self.classes) - 1)
+        held = np.arange(len(found)) % 4 == 3
+        self._fit([t for t, h in zip(found, held) if not h], np.array(truth)[~held])
+        self.temperature = 1.0
+        z, own = self.margins([t for t, h in zip(found, held) if h]), np.array(truth)[held]
+        loss = lambda t: -np.log(self._softmax(z / t)[np.arange(len(own)), own] + 1e-12).mean()
+        self.temperature = float(min(np.geomspace(0.25, 4, 25), key=loss))
+
+    def _fit(self, found: list[list[str]], truth: np.ndarray) -> None:
+        """Gradient descent with momentum on the mean log loss, over the slots that occur."""
+        slot, owner = slots(found)
+        seen, at = np.unique(slot, return_inverse=True)
+        n, classes = len(found), len(self.classes)
+        w, bias = np.zeros((len(seen), classes)), np.zeros(classes)
+        speed, bias_speed, target = np.zeros_like(w), np.zeros_like(bias), np.eye(classes)[truth]
+        order = np.argsort(owner, kind="stable")
+        by_owner, starts = at[order], np.searchsorted(owner[order], np.arange(n))
+        by_slot = np.argsort(at, kind="stable")
+        slot_owner, slot_starts = owner[by_slot], np.searchsorted(at[by_slot], np.arange(len(seen)))
+        for _ in range(STEPS):
+            p = self._softmax(np.add.reduceat(w[by_owner], starts, axis=0) + bias)
+            error = (p - target) / n
+            speed = 0.9 * speed - 0.3 * (np.add.reduceat(error[slot_owner], slot_starts, axis=0) + 1e-5 * w)
+            bias_speed = 0.9 * bias_speed - 0.3 * error.sum(axis=0)
             w += speed
-        self.w = w
-        held, truth = self._matrix(held_x) @ w, np.array(held_y)
-        loss = lambda t: -np.log(self._softmax(held / t)[np.arange(len(truth)), truth] + 1e-12).mean()
-        self.temperature = min(np.geomspace(0.25, 4, 25), key=loss)
+            bias += bias_speed
+        self.place = np.zeros(1 << BITS, np.int32)
+        self.place[seen] = np.arange(1, len(seen) + 1)
+        self.w, self.bias = np.concatenate([np.zeros((1, classes)), w]), bias
 
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
         p = np.exp(z - z.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
-    def _matrix(self, found: list[list[str]]) -> np.ndarray:
-        n = len(self.at)
-        out = np.zeros((len(found), n + 2))
-        for r, t in enumerate(found):
-            for g in {(w,) for w in t} | pairs(t):
-                if (k := self.at.get(g)) is not None:
-                    out[r, k] = 1
-            out[r, n] = 2 * sum((w,) not in self.at for w in t) / max(1, len(t))
-        out[:, n + 1] = 1
-        return out
+    def margins(self, found: list[list[str]]) -> np.ndarray:
+        z = np.tile(self.bias, (len(found), 1))
+        slot, owner = slots(found)
+        at = self.place[slot]
+        met = np.flatnonzero(at)
+        at, owner = at[met], owner[met]
+        for k in range(len(self.classes)):
+            z[:, k] += np.bincount(owner, weights=self.w[at, k], minlength=len(found))
+        return z
+
+    def probabilities(self, found: list[list[str]]) -> np.ndarray:
+        """Of each list of words, the calibrated probability of each class."""
+        return self._softmax(self.margins(found) / self.temperature) if found else np.zeros((0, len(self.classes)))
 
     def predict(self, found: list[list[str]]) -> list[tuple[str, float]]:
-        """Family and probability of each paragraph's words; UNKNOWN unless likely and confirmed."""
-        if not found:
-            return []
-        p = self._softmax(self._matrix(found) @ self.w / self.temperature)
-        best = p.argmax(axis=1)
+        """Family and probability of each list of words; UNKNOWN unless likely and confirmed."""
+        p = self.probabilities(found)
         out = []
-        for t, k, row in zip(found, best.tolist(), p):
+        for t, k, row in zip(found, p.argmax(axis=1).tolist(), p):
             name, had = self.classes[k], pairs(t)
             sure = name != UNKNOWN and row[k] >= LEAST and any(len(q & had) >= CONFIRMED * len(q) for q in self.templates[name])
             out.append((name, float(row[k])) if sure else (UNKNOWN, float(row[-1])))
@@ -193,16 +241,12 @@ class Model:
                 out.append((a, b))
         return [found[a:b] for a, b in out]
 
-    def paragraphs(self, text: str | None) -> tuple[int, list[tuple[int, list[str]]]]:
-        """The number of paragraphs, and the words to score, each with the place of its paragraph."""
-        found = blocks(text)
-        out = []
-        for k, lines in enumerate(found):
-            parts = [p for t in lines for p in stretches(t)]
-            whole = stretches([w for t in lines for w in t])
-            out += [(k, p) for p in parts if self.confirmed(p)]
-            out += [(k, r) for p in whole for r in self.runs(p)]
-        return len(found), out
+
+def readings(lines: list[list[str]]) -> list[list[str]]:
+    """What is read of a paragraph: its words in stretches, and each of its lines."""
+    whole = [w for t in lines for w in t]
+    single = [p for t in lines if t for p in stretches(t)] if len(lines) > 1 else []
+    return [*single, *(stretches(whole) if whole else [])]
 
 
 def confirmed_nowhere(found: list[str]) -> bool:
@@ -221,37 +265,64 @@ def learn(docs: DataFrame, rows: int = SAMPLE_DOCS, chars: int = ROW_CHARS) -> l
     ids = [r.doc_id for r in own.select("doc_id").distinct().orderBy(place, "doc_id").limit(rows).collect()]
     start = F.pmod(place, F.greatest(F.length("text") - chars + 1, F.lit(1))).cast("int") + 1
     part = own.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min(F.col("text").substr(start, F.lit(chars))).alias("text"))
-    words = sorted({tuple(p) for r in (part.collect() if ids else ()) for b in blocks(r.text) for p in stretches([w for t in b for w in t])})
+    words = sorted({tuple(p) for r in (part.collect() if ids else ()) for b in blocks(r.text) for p in readings(b)})
     return [list(t) for t in words if len(t) > 2 and confirmed_nowhere(list(t))]
 
 
+#: Words that are scored together.
+_TOGETHER = 400_000
+
+
+def _groups(found: list[str | None]) -> Iterator[list[list[list[list[str]]]]]:
+    """The paragraphs of texts, of as many together as have about _TOGETHER words."""
+    held, size = [], 0
+    for t in found:
+        held.append(blocks(t))
+        size += sum(len(line) for b in held[-1] for line in b)
+        if size >= _TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def read(model: Model, found: list[str | None]) -> list[tuple[int, list[tuple[int, str, float]], set[int]]]:
+    """Of each text: the number of paragraphs, (paragraph, family, probability) of its confirmed notices, and the suspect paragraphs without one."""
+    out = []
+    for group in _groups(found):
+        parts = [(i, k, p) for i, own in enumerate(group) for k, lines in enumerate(own) for p in readings(lines)]
+        likely = 1 - model.probabilities([p for _, _, p in parts])[:, -1]
+        runs = [(*parts[j][:2], r) for j in np.flatnonzero(likely >= SCREEN).tolist() for r in model.runs(parts[j][2])]
+        hits: list[list[tuple[int, str, float]]] = [[] for _ in group]
+        for (i, k, _), (name, p) in zip(runs, model.predict([r for _, _, r in runs])):
+            if name != UNKNOWN:
+                hits[i].append((k, name, p))
+        suspects: list[set[int]] = [set() for _ in group]
+        for j in np.flatnonzero(likely >= LEAST).tolist():
+            suspects[parts[j][0]].add(parts[j][1])
+        out += [(len(own), h, s - {k for k, _, _ in h}) for own, h, s in zip(group, hits, suspects)]
+    return out
+
+
 def _scan(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_paragraphs", "n_licensed", "license", "score", "families"]
+    names = ["doc_id", "n_paragraphs", "n_licensed", "license", "score", "families", "n_suspect"]
     for b in batches:
-        n, found, owner = [], [], []
-        for k, t in enumerate(b.column("text").to_pylist()):
-            blocks, had = model.paragraphs(t)
-            n.append(blocks)
-            found += [p for _, p in had]
-            owner += [(k, place) for place, _ in had]
-        hits: list[list[tuple[str, float]]] = [[] for _ in n]
-        licensed: list[set[int]] = [set() for _ in n]
-        for at in range(0, len(found), 2048):
-            for (k, place), (name, p) in zip(owner[at : at + 2048], model.predict(found[at : at + 2048])):
-                if name != UNKNOWN:
-                    hits[k].append((name, p))
-                    licensed[k].add(place)
-        best = [min(((-p, name) for name, p in h), default=(0.0, NONE)) for h in hits]
-        columns = [pa.array(n, pa.int64()), pa.array([len(x) for x in licensed], pa.int64()), pa.array([x[1] for x in best]), pa.array([abs(x[0]) for x in best], pa.float64()), pa.array([",".join(sorted({x[0] for x in h})) for h in hits])]
+        n, licensed, name, score, families, suspect = [], [], [], [], [], []
+        for count, hits, suspects in read(model, b.column("text").to_pylist()):
+            p, best = min(((-p, f) for _, f, p in hits), default=(0.0, NONE))
+            for column, v in zip((n, licensed, name, score, families, suspect), (count, len({k for k, _, _ in hits}), best, abs(p), ",".join(sorted({f for _, f, _ in hits})), len(suspects))):
+                column.append(v)
+        columns = [pa.array(n, pa.int64()), pa.array(licensed, pa.int64()), pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(families, pa.string()), pa.array(suspect, pa.int64())]
         yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *columns], names=names)
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_paragraphs, n_licensed, license (the surest family, or `none`), score and families of each whole text.
+    """doc_id, n_paragraphs, n_licensed, license (the surest family, or `none`), score, families and n_suspect of each whole text.
 
     Null, empty and wordless texts have no licence. Equal scores go to the family first in the
     alphabet. Repeated rows give equal rows.
     """
     tune(docs.sparkSession)
-    model = Model(learn(docs))  # a few thousand weights, sent with the tasks
-    return texts(docs).mapInArrow(lambda it: _scan(it, model), "doc_id long, n_paragraphs long, n_licensed long, license string, score double, families string")
+    model = Model(learn(docs))  # some MB, sent with the tasks
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return texts(docs).mapInArrow(lambda it: _scan(it, shared.value), "doc_id long, n_paragraphs long, n_licensed long, license string, score double, families string, n_suspect long")

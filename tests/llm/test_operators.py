@@ -168,26 +168,69 @@ def test_licenses_in_wrapped_paragraphs(spark, docs):
     assert got == {1: (1, 1, "MIT"), 2: (1, 1, "BSD"), 3: (1, 1, "GPL"), 4: (1, 1, "proprietary"), 5: (3, 1, "BSD,MIT"), 6: (1, 1, "LGPL"), 7: (2, 0, "")}
 
 
-def test_licenses_match_a_plain_pass(docs, texts):
+def _plain_probabilities(model, words):
+    """Of the weights alone, one word and one pair at a time, in exact order."""
+    z = list(model.bias)
+    grams = [zlib.crc32(w.encode()) & (1 << licenses.BITS) - 1 for w in words]
+    for a, b in zip(words, words[1:]):
+        h = (zlib.crc32(a.encode()) * 0x9E3779B97F4A7C15 + zlib.crc32(b.encode())) & (1 << 64) - 1
+        grams.append((h * 0xD6E8FEB86659FD93 & (1 << 64) - 1) >> (64 - licenses.BITS))
+    for g in grams:
+        z = [x + y for x, y in zip(z, model.w[model.place[g]])]
+    e = np.exp((np.array(z) - max(z)) / model.temperature)
+    return e / e.sum()
+
+
+def test_license_scan_against_a_plain_pass(docs, texts):
+    """Every stretch of every paragraph scored by plain sums, every template compared, notice by notice."""
     model = licenses.Model(licenses.learn(docs))
-    for d, _, n, name, _, _ in rows(licenses.scan(docs)):
-        found = [model.predict([licenses.tokens(x)])[0][0] for x in (dict(texts)[d] or "").split("\n") if len(licenses.tokens(x)) <= licenses.LONGEST]
-        assert n >= sum(x != licenses.UNKNOWN for x in found)
-        assert (name == "none") <= all(x == licenses.UNKNOWN for x in found)
-
-
-def test_license_scores_by_plain_sums(docs, texts):
-    """Every prediction again, from the weights alone, one word and one pair at a time."""
-    model = licenses.Model(licenses.learn(docs))
-    found = [licenses.tokens(t) for ts in licenses.TEMPLATES.values() for t in ts] + [p for _, t in texts for _, p in model.paragraphs(t)[1]]
-    for words, (name, score) in zip(found, model.predict(found)):
-        grams = {(w,) for w in words} | set(zip(words, words[1:]))
-        own = [sum(model.w[model.at[g]][k] for g in grams if g in model.at) + model.w[-1][k] + model.w[-2][k] * 2 * sum((w,) not in model.at for w in words) / max(1, len(words)) for k in range(len(model.classes))]
-        e = np.exp((np.array(own) - max(own)) / model.temperature)
-        e /= e.sum()
-        best = max(range(len(own)), key=lambda k: (own[k], -k))
-        sure = model.classes[best] != licenses.UNKNOWN and e[best] >= licenses.LEAST and any(len(licenses.pairs(licenses.tokens(t)) & licenses.pairs(words)) >= licenses.CONFIRMED * len(licenses.pairs(licenses.tokens(t))) for t in licenses.TEMPLATES[model.classes[best]])
-        assert name == (model.classes[best] if sure else licenses.UNKNOWN) and score == pytest.approx(e[best] if sure else e[-1])
+    extra = [(2000, "one two three\n\nLicensed under the MIT\nlicense. And more words\n\n" + "w1 w2 " * 90 + "All rights reserved. " + "w3 w4 " * 60), (2001, "licensed under the old rules of the house")]
+    rows_ = [*texts, *extra]
+    got = dict(zip([d for d, _ in rows_], licenses.read(model, [t for _, t in rows_])))
+    for d, t in rows_:
+        paras = [[licenses.tokens(line) for line in p.split("\n")] for p in "\n".join(l if l.strip() else "\0" for l in (t or "").split("\n")).replace("\n\0", "\0").replace("\0\n", "\0").split("\0") if p]
+        n, hits, suspects = got[d]
+        assert n == len(paras)
+        want, suspect = [], set()
+        for k, lines in enumerate(paras):
+            whole = [w for line in lines for w in line]
+            parts = [p for line in lines if line and len(lines) > 1 for p in licenses.stretches(line)] + (licenses.stretches(whole) if whole else [])
+            for part in parts:
+                likely = 1 - _plain_probabilities(model, part)[-1]
+                if likely >= licenses.LEAST:
+                    suspect.add(k)
+                for run in model.runs(part) if likely >= licenses.SCREEN else []:
+                    p = _plain_probabilities(model, run)
+                    name = model.classes[int(p.argmax())]
+                    ok = name != licenses.UNKNOWN and p.max() >= licenses.LEAST and any(len(licenses.pairs(licenses.tokens(x)) & licenses.pairs(run)) >= licenses.CONFIRMED * len(licenses.pairs(licenses.tokens(x))) for x in licenses.TEMPLATES[name])
+                    want += [(k, name, p.max())] if ok else []
+        assert [(k, f) for k, f, _ in hits] == [(k, f) for k, f, _ in want] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(hits, want))
+        assert suspects == suspect - {k for k, _, _ in want}
+    assert [f for _, f, _ in got[2000][1]] and {f for _, f, _ in got[2000][1]} == {"MIT", "proprietary"} and not got[2001][1]
+
+
+def test_license_classifier_on_held_out_paragraphs(docs):
+    """Notices of every family among words that training never put beside them are told from each other and from none."""
+    model, rng = licenses.Model(licenses.learn(docs)), random.Random(12)
+    filler = [f"v{k}" for k in range(300)]
+    right = total = 0
+    for family, notices in licenses.TEMPLATES.items():
+        for t in notices:
+            words = [*(rng.choice(filler) for _ in range(rng.randint(0, 30))), *licenses.tokens(t), *(rng.choice(filler) for _ in range(rng.randint(0, 30)))]
+            p = model.probabilities([words])[0]
+            right += model.classes[int(p.argmax())] == family and p[-1] < 0.5
+            total += 1
+    none = [[rng.choice(filler) for _ in range(60)] for _ in range(60)]
+    assert right >= 0.9 * total and (model.probabilities(none)[:, -1] > 0.5).mean() >= 0.95
+
+
+def test_equal_license_scores_go_to_the_first_family(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "read", lambda model, found: [(1, [(0, "MIT", 0.9), (0, "BSD", 0.9), (0, "GPL", 0.8)], set()) for _ in found])
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["x"])], names=["doc_id", "text"])
+    out = next(licenses._scan(iter([batch]), None)).to_pylist()[0]
+    assert (out["license"], out["families"], out["n_licensed"]) == ("BSD", "BSD,GPL,MIT", 1)
 
 
 # ---------------------------------------------------------------- suffix arrays
