@@ -32,6 +32,12 @@ def canonical_list(db: Column, ids: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(ids, lambda x: canonical(db, x))))
 
 
+def listed(c: Column) -> Column:
+    """An annotation as an array: one id, or a JSON list of ids; null and blanks give none."""
+    many = F.when(c.startswith("["), F.from_json(c, "array<string>")).otherwise(F.array(c))
+    return F.filter(F.coalesce(many, F.expr("cast(array() as array<string>)")), lambda x: F.coalesce(x, F.lit("")) != "")
+
+
 def ambiguous(targets: Column) -> Column:
     """Of a map namespace -> ids, the namespaces with more than one."""
     return F.map_filter(targets, lambda _, v: F.size(v) > 1)

@@ -32,13 +32,17 @@ def names(found: DataFrame, column: str, start: int = 0) -> DataFrame:
 
 
 def table(spark: SparkSession, path: str, sep: str = "\t", header_row: int = 0) -> DataFrame:
-    """A delimited table whose header is on line `header_row`; the lines above are dropped."""
+    """A delimited file whose header is on line `header_row`; the lines above, and empty ones, are dropped.
+
+    Lines are numbered within the parts that Spark reads a file in; the header must be in the first.
+    A value doesn't go over the end of its line.
+    """
     if not header_row:
         return spark.read.csv(path, sep=sep, header=True)
-    lines = spark.read.text(path, wholetext=True).select(F.slice(F.split("value", "\r?\n"), F.lit(header_row + 1), F.size(F.split("value", "\r?\n"))).alias("l"))
-    head = lines.select(F.element_at("l", 1)).first()[0].split(sep)
-    rows = lines.select(F.explode(F.expr("slice(l, 2, size(l))")).alias("v")).where("v <> ''").select(F.split("v", sep).alias("c"))
-    return rows.select(*[F.get("c", F.lit(k)).alias(name) for k, name in enumerate(head)])
+    lines = spark.read.text(path).withColumn("k", F.monotonically_increasing_id())
+    head = lines.where(F.col("k") == header_row).first()["value"].rstrip("\r").split(sep)
+    rows = lines.where((F.col("k") > header_row) & (F.rtrim("value") != "")).select(F.from_csv(F.regexp_replace("value", "\r$", ""), ", ".join(f"c{k} string" for k in range(len(head))), {"sep": sep}).alias("c"))
+    return rows.select("c.*").toDF(*head)
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -57,10 +61,9 @@ def ledger(spark: SparkSession, path: str) -> DataFrame:
 def model(spark: SparkSession, path: str) -> DataFrame:
     """Species of a JSON model in model order; annotations may be one id or a list."""
     notes = F.from_json(F.get_json_object("x", "$.annotation"), "map<string, string>")
-    one = lambda k: F.when(notes[k].startswith("["), F.from_json(notes[k], "array<string>")).otherwise(F.array(notes[k]))
     raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json(F.get_json_object("value", "$.metabolites"), "array<string>")).alias("ordinal", "x"))
     text = lambda k: F.get_json_object("x", f"$.{k}")
-    return raw.select("ordinal", text("id").alias("species_id"), F.coalesce(text("compartment"), F.lit("")).alias("compartment"), text("name").alias("name"), text("formula").alias("formula"), text("charge").cast("int").alias("charge"), *[F.array_compact(one(k)).alias(d) for d, k in (("kegg", "kegg.compound"), ("hmdb", "hmdb"), ("chebi", "chebi"))])
+    return raw.select("ordinal", text("id").alias("species_id"), F.coalesce(text("compartment"), F.lit("")).alias("compartment"), text("name").alias("name"), text("formula").alias("formula"), text("charge").cast("int").alias("charge"), *[ids.listed(notes[k]).alias(d) for d, k in (("kegg", "kegg.compound"), ("hmdb", "hmdb"), ("chebi", "chebi"))])
 
 
 _SPECIES = "_id string, _name string, _compartment string, `_fbc:chemicalFormula` string, `_fbc:charge` int, annotation string"

@@ -22,6 +22,9 @@ def test_names(spark):
 def test_table_with_preamble(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("made by a machine\n\nname\tmz\nglucose\t180\n\nurea\t60\n")
     assert [tuple(r) for r in readers.table(spark, str(tmp_path / "t.tsv"), header_row=2).collect()] == [("glucose", "180"), ("urea", "60")]
+    (tmp_path / "q.csv").write_text('x\r\nmy col,b\r\n"a, b",2\r\n')
+    out = readers.table(spark, str(tmp_path / "q.csv"), sep=",", header_row=1)
+    assert out.columns == ["my col", "b"] and [tuple(r) for r in out.collect()] == [("a, b", "2")]
 
 
 def test_old_ledger_is_mended(spark, tmp_path):
