@@ -2,16 +2,17 @@
 
 A 400-byte string that occurs twice chooses, at both places, the same 32-byte gram in it: the one of
 least hash. Neighbouring strings mostly share the gram, so a text falls into segments: the strings
-that chose one gram, which each start in one segment only. Segments whose gram occurs twice or more
-anywhere are dealt to shards by gram, so equal strings meet in a shard. Of segments with the very
-same bytes, one stands for all: its strings are known to repeat, and others may still share them.
+that chose one gram, which each start in one segment only. Of segments with the very same bytes, one
+stands for all: its strings are known to repeat, and others may still share them. Segments whose gram
+different segments have as well are dealt to shards by gram, so equal strings meet in a shard; one
+that has its gram for itself can share no string with another.
 
 A shard concatenates its segments and sorts the suffixes by induction: suffixes are classified,
-the leftmost-smaller substrings sorted by a first induction and named, their order found from the
-string of names (recursively while the names are few, else by doubling), and a second induction
-sorts all suffixes. Common prefixes with the predecessor are computed in text order. The inductions
-run bucket by bucket in numpy, a wave of suffixes at a time; the prefixes run over all segments in
-step.
+the leftmost-smaller substrings between them sorted, by several packed characters at a time, and
+named, the order of their suffixes found recursively from the string of names, and all suffixes
+induced from it. Common prefixes with the predecessor are computed in text order. The induction runs in numpy, many neighbouring
+buckets at a time as long as none of them puts a suffix into another of them, else one bucket wave
+by wave; the prefixes run over all segments in step.
 
 Grams with very many different segments are dealt over several shards. There, each shard passes on
 one representative of each of its different strings, packed by ranges of their hashes, and the
@@ -33,6 +34,8 @@ from .common import discard, heavy, join_split, materialize, texts, tune
 
 SPAN, GRAM = 400, 32
 _REACH = SPAN - GRAM + 1
+#: Places of a bucket from which it is induced alone.
+ALONE = 2_048
 #: Bytes of segments in a shard on average, and different segments of one gram that share a shard.
 SHARD_BYTES, SHARED = 1_500_000, 1_000
 
@@ -44,39 +47,101 @@ def _deal(sa: np.ndarray, at: np.ndarray, items: np.ndarray, chars: np.ndarray,
     """Appends items to the buckets of their chars, in order: upwards from at, or downwards."""
     order = np.argsort(chars, kind="stable")
     c = chars[order]
-    first = np.flatnonzero(np.diff(c, prepend=-1))
-    size = np.diff(first, append=len(c))
+    new = np.ones(len(c), bool)
+    np.not_equal(c[1:], c[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    if len(first) == len(c):
+        sa[at[c]] = items[order]
+        at[c] += -1 if down else 1
+        return
+    size = np.append(first[1:], len(c)) - first
     rank = np.arange(len(c)) - np.repeat(first, size)
     place = at[c] - rank if down else at[c] + rank
     sa[place] = items[order]
     at[c[first]] += -size if down else size
 
 
+def _together(sa: np.ndarray, at: np.ndarray, t: np.ndarray, keep: np.ndarray, group: np.ndarray, starts: np.ndarray, sizes: np.ndarray, down: bool) -> int:
+    """Induces from as many of the first buckets of a group as put nothing into one another; -> how many.
+
+    starts and sizes: two ranges of places for each bucket, read upwards, or downwards.
+    """
+    flat = sizes.ravel()
+    before = np.cumsum(flat) - flat
+    n = int(before[-1] + flat[-1])
+    along = np.arange(n)
+    items = sa[np.repeat(starts.ravel() + before, flat) - along if down else np.repeat(starts.ravel() - before, flat) + along]
+    own = np.repeat(np.arange(len(group)), sizes.sum(axis=1))
+    got = np.flatnonzero((items > 0) & keep[items - 1])  # of the end mark's own place, before all, keep says no
+    if not len(got):
+        return len(group)
+    own, put = own[got], items[got] - 1
+    to = t[put]
+    furthest = (np.maximum if down else np.minimum).accumulate(to)
+    last = np.searchsorted(own, np.arange(len(group)), side="right") - 1
+    bound = furthest[np.maximum(last, 0)]
+    apart = ((bound < group) if down else (bound > group)) | (last < 0)
+    n = len(group) if apart.all() else int(apart.argmin())
+    end = last[n - 1] + 1 if n else 0
+    if end:
+        _deal(sa, at, put[:end], to[:end], down)
+    return n
+
+
 def _induce(t: np.ndarray, small: np.ndarray, heads: np.ndarray, tails: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """All suffixes, from the leftmost-smaller ones in order. small[i]: suffix i is smaller than suffix i + 1.
+    """All suffixes, from the leftmost-smaller ones, given in their order. small[i]: suffix i is smaller than suffix i + 1.
 
     heads[c] is the first place of bucket c, tails[c] the one past its last.
     """
     sa = np.full(len(t), -1, np.int64)
     chars = t[lms]
     count = np.bincount(chars, minlength=len(heads))
-    _deal(sa, tails - count, lms, chars, False)
+    seeds = tails - count
+    _deal(sa, seeds.copy(), lms, chars, False)
     head = heads.copy()
-    for c in np.flatnonzero(tails > heads).tolist():
+    used = np.flatnonzero(tails > heads)
+    alone = np.append((tails - heads)[used] > ALONE, True)
+    large, starts, sizes = ~small, np.stack([heads[used], seeds[used]], 1), np.stack([count[used]] * 2, 1)
+    i, width = 0, 8
+    while i < len(used):
+        group = used[i : i + min(width, int(alone[i : i + width].argmax()) if alone[i : i + width].any() else width)]
+        if len(group) > 1:  # larger ones of many buckets
+            part = slice(i, i + len(group))
+            sizes[part, 0] = head[group] - starts[part, 0]
+            if n := _together(sa, head, t, large, group, starts[part], sizes[part], False):
+                i += n
+                width = min(2 * width, 8192) if n == len(group) else max(4, 2 * n)
+                continue
+        c = int(used[i])
+        i, width = i + 1, 8
         start = heads[c]
-        while start < head[c]:  # larger ones: each wave may put more into this bucket
+        while start < head[c]:  # each wave may put more into this bucket
             wave = sa[start : head[c]]
             start = head[c]
             before = wave[wave > 0] - 1
-            before = before[~small[before]]
+            before = before[large[before]]
             if len(before):
                 _deal(sa, head, before, t[before], False)
-        wave = sa[tails[c] - count[c] : tails[c]]
+        wave = sa[seeds[c] : tails[c]]
         before = wave[wave > 0] - 1
+        before = before[large[before]]
         if len(before):
             _deal(sa, head, before, t[before], False)
     tail = tails - 1
-    for c in np.flatnonzero(tails > heads)[::-1].tolist():
+    used, alone = used[::-1], np.append(alone[:-1][::-1], True)
+    starts, sizes = np.stack([tails[used], head[used]], 1) - 1, np.stack([head[used] - heads[used]] * 2, 1)
+    i, width = 0, 8
+    while i < len(used):
+        group = used[i : i + min(width, int(alone[i : i + width].argmax()) if alone[i : i + width].any() else width)]
+        if len(group) > 1:  # smaller ones of many buckets
+            part = slice(i, i + len(group))
+            sizes[part, 0] = starts[part, 0] - tail[group]
+            if n := _together(sa, tail, t, small, group, starts[part], sizes[part], True):
+                i += n
+                width = min(2 * width, 8192) if n == len(group) else max(4, 2 * n)
+                continue
+        c = int(used[i])
+        i, width = i + 1, 8
         end = tails[c] - 1
         while end > tail[c]:
             wave = sa[tail[c] + 1 : end + 1][::-1]
@@ -85,44 +150,57 @@ def _induce(t: np.ndarray, small: np.ndarray, heads: np.ndarray, tails: np.ndarr
             before = before[small[before]]
             if len(before):
                 _deal(sa, tail, before, t[before], True)
-        if c == t[-1] and heads[c] + 1 == tails[c]:  # the end mark is smaller than nothing, and no one put it there
-            sa[heads[c]] = len(t) - 1
         wave = sa[heads[c] : head[c]][::-1]
         before = wave[wave > 0] - 1
         before = before[small[before]]
         if len(before):
             _deal(sa, tail, before, t[before], True)
-        if c == t[-1] and heads[c] + 1 == tails[c] and len(t) > 1 and small[len(t) - 2]:
-            raise AssertionError("the end mark must be the least character")
+    sa[0] = len(t) - 1  # the end mark, smaller than all, which no suffix puts there
     return sa
 
 
-def _order_of_names(names: np.ndarray, k: int) -> np.ndarray:
-    """The suffix order of a string of names 0..k-1, by doubling; only ties are sorted again."""
-    n = len(names)
-    order = np.argsort(names, kind="stable")
-    rank = np.empty(n, np.int64)
-    first = np.flatnonzero(np.diff(names[order], prepend=-1))
-    rank[order] = np.repeat(first, np.diff(first, append=n))
-    size = 1
+def _names(t: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
+    """The rank of each substring from one leftmost-smaller place to the next, equal ones alike.
+
+    Compared are characters, the larger type before the smaller; so no substring is the start of
+    another. As many of them as fit in 62 bits are packed; only ties go on to the next ones.
+    """
+    bits = int(2 * k - 1).bit_length()
+    step = 62 // bits
+    length = np.append(np.diff(lms), 0) + 1
+    end = len(t) - 1
+
+    def key(which: np.ndarray, d: int) -> np.ndarray:
+        at, left = lms[which] + d, length[which] - d
+        out = np.zeros(len(which), np.int64)
+        for j in range(step):
+            place = np.minimum(at + j, end)
+            out = (out << bits) | np.where(j < left, 2 * t[place].astype(np.int64) + small[place], 0)
+        return out
+
+    first = key(np.arange(len(lms)), 0)
+    order = np.argsort(first, kind="stable")
+    first = first[order]
+    new = np.ones(len(lms), bool)
+    new[1:] = first[1:] != first[:-1]
+    d = step
     while True:
-        sorted_rank = rank[order]
-        same = np.zeros(n, bool)
-        same[1:] = sorted_rank[1:] == sorted_rank[:-1]
-        tied = same.copy()
-        tied[:-1] |= same[1:]
+        tied = ~new
+        tied[:-1] |= ~new[1:]
         at = np.flatnonzero(tied)
+        at = at[length[order[at]] > d]
         if not len(at):
-            return order
-        items = order[at]
-        after = np.where(items + size < n, rank[np.minimum(items + size, n - 1)] + 1, 0)
-        key = rank[items] * (n + 1) + after
-        by = np.argsort(key, kind="stable")
-        items, key = items[by], key[by]
-        order[at] = items
-        new = np.diff(key, prepend=-1) != 0
-        rank[items] = np.maximum.accumulate(np.where(new, at, 0))
-        size *= 2
+            break
+        group, items = np.cumsum(new)[at], order[at]
+        more = key(items, d)
+        by = np.lexsort((more, group))
+        order[at] = items[by]
+        more, group = more[by], group[by]
+        new[at[1:]] |= (more[1:] != more[:-1]) & (group[1:] == group[:-1])
+        d += step
+    names = np.empty(len(lms), np.int64)
+    names[order] = np.cumsum(new) - 1
+    return names
 
 
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
@@ -140,39 +218,18 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     is_lms[0] = False
     is_lms[1:] &= ~small[:-1]
     lms = np.flatnonzero(is_lms)
-    tails = np.cumsum(np.bincount(t, minlength=k))
-    heads = tails - np.bincount(t, minlength=k)
+    counts = np.bincount(t, minlength=k)
+    tails = np.cumsum(counts)
     if len(lms) > 1:
-        sa = _induce(t, small, heads, tails, lms)
-        found = sa[is_lms[sa]]
-        # equal neighbours get one name: compare them character by character
-        end = np.empty(n, np.int64)
-        end[lms] = np.append(lms[1:], n - 1)
-        a, b = found[:-1], found[1:]
-        length = end[a] - a
-        equal = length == end[b] - b
-        equal[0] = False  # the end mark
-        live = np.flatnonzero(equal)
-        d = 0
-        while len(live):
-            differ = t[a[live] + d] != t[b[live] + d]
-            equal[live[differ]] = False
-            live = live[~differ]
-            live = live[length[live] > d]
-            d += 1
-        name = np.empty(n, np.int64)
-        name[found] = np.concatenate([[0], np.cumsum(~equal)])
-        names = name[lms]
+        names = _names(t, small, lms, k)
         kinds = int(names.max()) + 1
         if kinds == len(lms):
             order = np.empty(len(lms), np.int64)
             order[names] = np.arange(len(lms))
-        elif kinds <= 256:
-            order = suffix_array(names, kinds)
         else:
-            order = _order_of_names(names, kinds)
+            order = suffix_array(names, kinds)
         lms = lms[order]
-    return _induce(t, small, heads, tails, lms)
+    return _induce(t, small, tails - counts, tails, lms)
 
 
 def permuted_prefixes(t: np.ndarray, sa: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -395,16 +452,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     wide = heavy(grams, ["gram"], "kinds", n_kinds)
     wanted = join_split(kinds, grams, ["gram"], wide).withColumn("again", F.col("c") > 1).withColumn("parts", F.ceil(F.col("kinds") / SHARED).cast("int"))
     wanted = materialize(wanted, "wanted")
-    size = wanted.agg(F.sum(F.col("n") + SPAN)).first()[0] or 0
+    own = wanted.where("kinds = 1").select("gram", "seg", F.array(F.lit(0), F.col("n")).alias("runs"))
+    mixed = wanted.where("kinds > 1")
+    size = mixed.agg(F.sum(F.col("n") + SPAN)).first()[0] or 0
     shards = int(size // SHARD_BYTES) + 1
     salt = F.when(F.col("parts") > 1, F.pmod("seg", F.col("parts"))).otherwise(0)
     entry = F.struct(F.pmod(F.xxhash64("gram", salt), F.lit(shards)).alias("shard"), "gram", "seg", "again", "parts", "start", "n")
-    by_doc = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(entry).alias("wanted"))
+    by_doc = mixed.groupBy("doc_id", "text_hash").agg(F.collect_list(entry).alias("wanted"))
     key = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
     fetched = rows.alias("r").join(by_doc.alias("w"), key("r", "w")).select("text", "wanted").mapInArrow(_fetch, "shard long, gram long, seg long, again boolean, parts int, data binary")
     found = materialize(fetched.groupBy("shard").applyInArrow(_shard, _FOUND), "repeated")
     merged = found.where("leaders is not null").select("gram", "range", "leaders").groupBy("gram", "range").applyInArrow(_merge, _FOUND)
-    runs = found.where("runs is not null").select("gram", "seg", "runs").unionByName(merged.select("gram", "seg", "runs")).groupBy("gram", "seg").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    runs = found.where("runs is not null").select("gram", "seg", "runs").unionByName(merged.select("gram", "seg", "runs")).groupBy("gram", "seg").agg(F.flatten(F.collect_list("runs")).alias("runs")).unionByName(own)
     # a set: rows that repeat a doc_id and a text say the same
     spans = join_split(cut, runs, ["gram", "seg"], common).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "runs")).alias("spans"))
     spans = materialize(spans, "spans")

@@ -244,6 +244,19 @@ def test_suffix_array():
         assert suffixes.suffix_array(t, k + 1).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
 
 
+@pytest.mark.parametrize("alone", [1, 4, 2048])
+def test_suffix_array_of_many_characters(monkeypatch, alone):
+    """Names of any number are sorted by the same recursion; buckets go alone or together."""
+    monkeypatch.setattr(suffixes, "ALONE", alone)
+    rng = np.random.default_rng(7)
+    for trial in range(60):
+        n, k = int(rng.integers(2, 400)), int(rng.integers(2, [8, 60, 900][trial % 3]))
+        t = np.append(np.tile(rng.integers(1, k + 1, 9), n // 9 + 1) if trial % 5 == 0 else rng.integers(1, k + 1, n), 0)
+        assert suffixes.suffix_array(t, k + 1).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    long = np.append(np.tile(rng.integers(1, 5000, 700), 4), 0)
+    assert suffixes.suffix_array(long, 5001).tolist() == sorted(range(len(long)), key=lambda i: long[i:].tolist())
+
+
 def test_segments_hold_every_string_once():
     rng = random.Random(3)
     for data in (bytes(rng.randrange(256) for _ in range(5000)), b"ab" * 1000, b"x" * 399, b"x" * 400, b""):
