@@ -67,23 +67,23 @@ def features(name: Column, let: Callable[[str, Column], Column] = lambda _, c: c
     ester = (F.size(trivial) > 0) & headed
     implied = (F.size(chains) > 0) & F.array_contains(skeleton, "glycerophospholipid") & (F.size(said) == 0)
     ether = F.when(ester | implied, F.array_distinct(F.concat(said, F.array(F.lit("acyl"))))).otherwise(said)
-    stated = F.regexp_extract(low, r"\b(?:n|omega)\s*-?\s*([369])\b", 1)
+    stated = F.regexp_extract(low, V.OMEGA, 1)
     omegas = F.array_compact(F.transform(trivial, lambda x: _map({k: v[1] for k, v in V.ACYLS.items() if v[1]})[x]))
     omega = F.when(stated != "", F.concat(F.lit("n-"), stated)).otherwise(F.get(omegas, F.lit(0)))
     known = F.flatten(F.transform(trivial, lambda x: F.create_map(*[y for k, v in V.ACYLS.items() for y in (F.lit(k), F.array(*[F.lit(p) for p in v[2]]) if v[2] else F.expr("cast(array() as array<int>)"))])[x]))
     listed = F.flatten(F.transform(_all(low, V.POSITIONS), lambda x: F.transform(F.split(x, ","), lambda y: y.cast("int"))))
     link = F.coalesce(*[F.nullif(F.regexp_extract(low, V.SERIES_LINK, k), F.lit("")) for k in (1, 2, 3)])
     series = F.coalesce(_first(low, V.SERIES), _map(V.SERIES_OF_LINK)[link])
-    size = F.coalesce(*[F.nullif(F.regexp_extract(low, r"\bn?-?lc(\d)|\bgb(\d)", k), F.lit("")) for k in (1, 2)]).cast("int")
-    osyl = _map(V.OSYL)[F.regexp_extract(low, "(mono|di|tri|tetra|penta|hexa)a?osyl", 1)]
+    size = F.coalesce(*[F.nullif(F.regexp_extract(low, V.GLYCAN_SIZE, k), F.lit("")) for k in (1, 2)]).cast("int")
+    osyl = _map(V.OSYL)[F.regexp_extract(low, V.OSYL_COUNT, 1)]
     length = F.coalesce(size, osyl, F.when(low.contains("paraglobo"), 4))
     pairs = F.transform(_all(low, V.LINKAGE, 0), lambda x: F.array_join(F.slice(F.regexp_extract_all(x, F.lit(r"(\d)"), F.lit(1)), 1, 2), "-"))
     oxidation = let("oxidation", low.rlike(V.OXIDATION))
-    hydroxy = F.when(low.rlike("h[ep]?ete|hode"), F.when(low.rlike(r"\bdi-?h[ep]?ete|\bdihydroxy"), 2).otherwise(1)).when(
+    hydroxy = F.when(low.rlike(V.HETE_OR_HODE), F.when(low.rlike(V.TWO_HYDROXY), 2).otherwise(1)).when(
         F.array_contains(skeleton, "eicosanoid") & low.contains("hydroxy"), F.when(low.contains("dihydroxy"), 2).otherwise(1)
     )
     polyamine = let("polyamine", F.coalesce(*[F.when(low.contains(p), F.lit(p)) for p in V.POLYAMINES]))
-    acetyl = F.when(polyamine.isNotNull() | F.array_contains(skeleton, "amino-acid"), F.when(low.rlike(r"di-?acetyl|\bbis-?acetyl"), 2).when(low.rlike(r"monoacetyl|n\d*-acetyl|\bacetyl"), 1))
+    acetyl = F.when(polyamine.isNotNull() | F.array_contains(skeleton, "amino-acid"), F.when(low.rlike(V.TWO_ACETYL), 2).when(low.rlike(V.ONE_ACETYL), 1))
     generic = let("generic", low.rlike(V.GENERIC))
     lipid = F.arrays_overlap(skeleton, F.array(*map(F.lit, V.LIPIDS)))
     resolution = F.when((F.size(chains) > 0) | low.rlike(V.HEADGROUP), "species").when(lipid | generic, "class").otherwise("species")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import vocab as V
 from ..functions import ids, names
 from ..plans.written import written
 from ..vocab import CAUSES, CLASSES, EXCLUDED, MAPPED_RELATIONS, NAMESPACES, PRIMARY, ROUTES
@@ -104,11 +105,11 @@ def cause(original: Column, logic: Column, route: Column) -> Column:
     low, o = F.lower(logic), original
     typo, short, form, synonym, combined, vendor = map(F.lit, CAUSES)
     return (
-        F.when(low.contains("typo"), typo)
-        .when(F.lower(route).contains("xref bridge") | low.contains("bridgedb promotes"), vendor)
-        .when(low.contains("combined name") | low.contains("isomer pair") | o.contains("/"), combined)
-        .when(o.rlike(r"=\s*[A-Z0-9]{2,5}\b") | names.strip(o).rlike("^[A-Z0-9]{2,5}$") | o.rlike(r"\([A-Z0-9]{2,6}\)"), short)
-        .when((F.lower(o).contains("carnitine") & o.contains(" ")) | o.rlike(r"-\d-?[Pp]hosphate") | o.startswith("Orto"), form)
+        F.when(low.contains(V.TYPO), typo)
+        .when(F.lower(route).contains(V.VENDOR_ROUTE) | low.contains(V.VENDOR_LOGIC), vendor)
+        .when(low.rlike("|".join(V.COMBINED)) | o.contains("/"), combined)
+        .when(o.rlike(V.SHORT_AFTER_EQUALS) | names.strip(o).rlike(V.SHORT_ALONE) | o.rlike(V.SHORT_IN_BRACKETS), short)
+        .when((F.lower(o).contains("carnitine") & o.contains(" ")) | o.rlike(V.HYPHENATED_PHOSPHATE) | o.startswith(V.MISSPELT_START), form)
         .otherwise(synonym)
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..plans.written import written
+from ..vocab import NO_RECORDS
 
 LEDGER_SCHEMA = 2
 
@@ -114,10 +115,6 @@ def term(payloads: DataFrame) -> DataFrame:
     return payloads.select(ids.chebi(F.trim("id")).alias("id"), one.isNotNull().alias("found"), F.when(one.isNotNull(), names).otherwise(F.expr(_NO_NAMES)).alias("names"), fact(FORMULA_KEYS).alias("formula"), fact(MASS_KEYS).try_cast("double").alias("mass"), fact(INCHIKEY_KEYS).alias("inchikey"))
 
 
-#: What a database that has no record source says.
-NO_RECORDS = "HMDB has no open record API — bridge the accession to PubChem/InChIKey (bridge_xref) and back-check that record"
-
-
 def fetch(asked: DataFrame, records: dict[str, DataFrame], failed: DataFrame | None = None) -> DataFrame:
     """asked(db, id) -> db, id, found, names, formula, note, error, by the records (id, names, formula) of each database.
 
