@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_HMDB = "(?i)^HMDB0*([0-9]+)$"
+
+
 def pad_hmdb(c: Column) -> Column:
     """HMDB accessions with seven digits at least; anything else as it is."""
-    digits = F.regexp_extract(F.trim(c), "(?i)^HMDB0*([0-9]+)$", 1)
+    digits = F.regexp_extract(F.trim(c), _HMDB, 1)
     return F.when(digits == "", c).otherwise(F.concat(F.lit("HMDB"), F.lpad(digits, F.greatest(F.lit(7), F.length(digits)), F.lit("0"))))
 
 
@@ -27,6 +30,15 @@ def canonical(db: Column, c: Column) -> Column:
     return F.when(db == "hmdb", pad_hmdb(c)).when(db == "chebi", chebi(c)).otherwise(c)
 
 
+def with_canonical(df: DataFrame, db: str, raw: str, out: str) -> DataFrame:
+    """df with canonical(db, raw) as `out`, for tables of many rows: in steps, so that the value is cleaned and its digits found once."""
+    clean, digits = F.col(f"_{out}_clean"), F.col(f"_{out}_digits")
+    rows = df.withColumn(f"_{out}_clean", missing(F.trim(raw))).withColumn(f"_{out}_digits", F.when(F.col(db) == "hmdb", F.regexp_extract(clean, _HMDB, 1)))
+    padded = F.concat(F.lit("HMDB"), F.lpad(digits, F.greatest(F.lit(7), F.length(digits)), F.lit("0")))
+    value = F.when(digits != "", padded).when((F.col(db) == "chebi") & ~F.upper(clean).startswith("CHEBI:"), F.concat(F.lit("CHEBI:"), clean)).otherwise(clean)
+    return rows.withColumn(out, value).drop(f"_{out}_clean", f"_{out}_digits")
+
+
 def canonical_list(db: Column, ids: Column) -> Column:
     """Canonical, blanks dropped, each once, in the order given."""
     return F.array_distinct(F.array_compact(F.transform(ids, lambda x: canonical(db, x))))

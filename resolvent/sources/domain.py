@@ -68,7 +68,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(NAMESPACES, which).alias("db"), raw.alias("raw_id"), pick(NAMES, (F.col("l_suppkey") + F.col("l_partkey")) % len(NAMES)).alias("note"),
         F.when(~even, pick(FORMULAS, F.col("l_suppkey") % len(FORMULAS))).alias("formula"), asked.alias("query"),
     )
-    return rows.withColumn("id", ids.canonical(F.col("db"), F.col("raw_id")))
+    return ids.with_canonical(rows, "db", "raw_id", "id")
 
 
 def accepted(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:

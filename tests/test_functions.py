@@ -32,6 +32,13 @@ def test_ids(spark):
     assert column(spark, [{"a": ["1", "2"], "b": ["1"]}], ids.ambiguous, "map<string, array<string>>") == [{"a": ["1", "2"]}]
 
 
+def test_canonical_in_steps(spark):
+    raw = ["HMDB00349", " hmdb0000349", "HMDB123456789", "CHEBI:5", "chebi:5", "5", " 7 ", "", "NA", "null", None, "C00031", "HMDBx"]
+    df = spark.createDataFrame([(d, r) for d in ("kegg", "hmdb", "chebi", None) for r in raw], "db string, r string").withColumn("want", ids.canonical(F.col("db"), F.col("r")))
+    got = ids.with_canonical(df, "db", "r", "id")
+    assert got.columns == ["db", "r", "want", "id"] and [r.id for r in got.collect()] == [r.want for r in got.collect()]
+
+
 def test_similarity(spark):
     assert column(spark, ["ab", "", "a-b c"], names.grams) == [[], [], ["abc"]]
     df = spark.createDataFrame([("Chenodeoxyglycocholate", "Glycochenodeoxycholic acid"), ("ab", "ab"), ("abc", "abc")], "a string, b string")
