@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, licenses, media, packing, quality, rules, simhash, suffixes, windows
+from . import align, bpe, langid, licenses, media, packing, periodic, quality, rules, simhash, suffixes, tokencount, windows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,5 +62,17 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_packing, op3_licenses, op4_suffix_dedup, op5_media, op6_substring_dedup, op7_quality, op8_language, op9_rules, op10_bpe, rules_ablation, media_pages)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_runs(periodic.plant(table(spark, sf_dir, "documents"))))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_packing, op3_licenses, op4_suffix_dedup, op5_media, op6_substring_dedup, op7_quality, op8_language, op9_rules, op10_bpe, op11_alignment, op12_token_counts, op13_periodic, rules_ablation, media_pages)}
 ORACLES: dict[str, str] = {"op4_suffix_dedup": suffixes.ORACLE, "op6_substring_dedup": windows.ORACLE, "op9_rules": rules.ORACLE, "rules_ablation": rules.ABLATION_ORACLE}
