@@ -31,8 +31,11 @@ from .packing import _byte_alphabet, _ids
 GATHERED, HELD = 2_000_000, 4_000_000
 #: Rows of partial counts that a shard gets on average.
 SHARD = 4_000_000
-_LISTS = {"a_ids": pa.int32(), "b_ids": pa.int32(), "a_sizes": pa.int32(), "b_sizes": pa.int32()}
-_ALIGNED = "doc_id long, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
+_COLUMNS = ["a_ids", "b_ids", "a_sizes", "b_sizes"]
+_ALIGNED = "doc_id long, " + ", ".join(f"{c} array<int>" for c in _COLUMNS)
+#: The written form: ids as unsigned 32-bit integers, and for each token a byte that is 1 if a group ends with it. Unlike lists, it's read without a level for each token.
+_PACKED_COLUMNS = ["a_ids", "b_ids", "a_last", "b_last"]
+_PACKED = "doc_id long, " + ", ".join(f"{c} binary" for c in _PACKED_COLUMNS)
 _DIGESTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -62,7 +65,7 @@ class Pair:
         return self.a.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int32) if self.a.fast else np.array(self.slow.encode(text, add_special_tokens=False).ids, np.int32)
 
     def align(self, text: str | None, b_ids: list[int]) -> tuple[np.ndarray, ...] | None:
-        """(a_ids, b_ids, tokens of A in each group, of B): None if there is no text or its tokens don't spell it."""
+        """(a_ids, b_ids, whether each token of A ends a group, of B): None if there is no text or its tokens don't spell it."""
         if not text:
             return None
         a, b, data = self.a_ids(" " + text), np.array(b_ids, np.int32), b" " + text.encode()
@@ -71,10 +74,9 @@ class Pair:
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         ends = np.zeros(len(data) + 1, np.int8)
         ends[a_end] = 1
-        b_at = np.flatnonzero(ends[b_end])
+        b_last = ends[b_end]
         ends[b_end] += 1
-        a_at = np.flatnonzero(ends[a_end] == 2)
-        return a, b, np.diff(a_at, prepend=-1).astype(np.int32), np.diff(b_at, prepend=-1).astype(np.int32)
+        return a, b, (ends[a_end] == 2).astype(np.int8), b_last
 
 
 @functools.lru_cache(maxsize=2)
@@ -82,40 +84,58 @@ def _pair(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)
 
 
-def _lists(rows: list[np.ndarray | None], kind: pa.DataType) -> pa.ListArray:
+def _lists(rows: list[np.ndarray | None]) -> pa.ListArray:
     """A list per row, null where the row is None."""
-    size = [0 if r is None else len(r) for r in rows]
-    offsets = np.r_[0, np.cumsum(size)].astype(np.int32)
-    values = np.concatenate([r for r in rows if r is not None and len(r)] or [np.zeros(0)])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(kind.to_pandas_dtype()), kind), mask=pa.array([r is None for r in rows], pa.bool_()))
+    offsets = np.r_[0, np.cumsum([0 if r is None else len(r) for r in rows])].astype(np.int32)
+    values = np.concatenate([np.zeros(0, np.int32), *[r for r in rows if r is not None]])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)), mask=pa.array([r is None for r in rows], pa.bool_()))
 
 
-def _align_batches(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
+def _sizes(last: np.ndarray | None) -> np.ndarray | None:
+    return None if last is None else np.diff(np.flatnonzero(last), prepend=-1)
+
+
+def _align_batches(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, packed: bool) -> Iterator[pa.RecordBatch]:
     pair = _pair(a_path, b_path)
     for b in batches:
         found = b.column("text").to_pylist()
         ids = pair.b.encode([x or "" for x in found], num_threads=1)
-        rows = [pair.align(x, i) or (None,) * 4 for x, i in zip(found, ids)]
-        columns = [_lists(list(c), kind) for c, kind in zip(zip(*rows), _LISTS.values())] if rows else [pa.array([], pa.list_(k)) for k in _LISTS.values()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *columns], names=["doc_id", *_LISTS])
+        columns = list(zip(*[pair.align(x, i) or (None,) * 4 for x, i in zip(found, ids)])) or [()] * 4
+        if packed:
+            columns, names = [pa.array([None if x is None else x.tobytes() for x in c], pa.binary()) for c in columns], _PACKED_COLUMNS
+        else:
+            columns, names = [_lists(c) for c in (*columns[:2], *[list(map(_sizes, c)) for c in columns[2:]])], _COLUMNS
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *columns], names=["doc_id", *names])
 
 
-def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def alignments(docs: DataFrame, a_path: str, b_path: str, packed: bool = False) -> DataFrame:
     """doc_id, a_ids, b_ids, and how many tokens of each every group has (a_sizes, b_sizes); no shuffle.
 
     A's tokens are of space + text, special strings being plain text; B puts the space there itself.
     Null and empty texts, and texts that either tokenizer's tokens don't spell byte by byte (B reads
-    U+2581 as a space), have four nulls. Repeated rows give equal rows, and rows without a doc_id keep it null.
+    U+2581 as a space), have four nulls. Repeated rows give equal rows, and rows without a doc_id
+    keep it null. packed: the four as bytes, for the other functions here.
     """
     tune(docs.sparkSession)
-    return texts(docs).mapInArrow(lambda it: _align_batches(it, a_path, b_path), _ALIGNED)
+    return texts(docs).mapInArrow(lambda it: _align_batches(it, a_path, b_path, packed), _PACKED if packed else _ALIGNED)
+
+
+def _unpacked(b: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of a packed batch: the four columns end to end, and where each of its rows begins and the last ends, in tokens."""
+    values, offsets = [], []
+    for name in _PACKED_COLUMNS:
+        column, kind = b.column(name), np.dtype("<i4" if name.endswith("ids") else "i1")
+        at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+        data = column.buffers()[2] if len(column) else None
+        values.append(np.frombuffer(data, "u1")[at[0] : at[-1]].view(kind) if data is not None else np.zeros(0, kind))
+        offsets.append((at - at[0]) // kind.itemsize)
+    return values, offsets
 
 
-def _links(b: pa.RecordBatch) -> np.ndarray:
+def _links(values: list[np.ndarray]) -> np.ndarray:
     """The links of a batch, document after document: the last tokens of every group."""
-    a_ids, b_ids, a_sizes, b_sizes = (b.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in _LISTS)
-    # a document's last group ends with its last token, so groups and tokens stay in step over documents
-    return b_ids[np.cumsum(b_sizes) - 1] << 32 | a_ids[np.cumsum(a_sizes) - 1]
+    a_ids, b_ids, a_last, b_last = values
+    return b_ids[b_last != 0].astype(np.int64) << 32 | a_ids[a_last != 0]
 
 
 def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +154,7 @@ def _partial_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         return _summed([held[0], keys], [held[1], n]) if len(held[0]) else (keys, n)
 
     for b in batches:
-        new.append(_links(b))
+        new.append(_links(_unpacked(b)[0]))
         size += len(new[-1])
         if size >= GATHERED:
             held, new, size = count(), [], 0
@@ -148,11 +168,11 @@ def _partial_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
-    """(key, n), sorted by key within and over the partitions: how many links have the pair of ids b << 32 | a.
+    """Of packed alignments: (key, n), sorted by key within and over the partitions: how many links have the pair of ids b << 32 | a.
 
     A key has at most a row per partition before the sort, however common it is.
     """
-    partial = materialize(aligned.select(*_LISTS).where("a_ids is not null").mapInArrow(_partial_batches, "key long, n long"), "partial-counts")
+    partial = materialize(aligned.select(*_PACKED_COLUMNS).where("a_ids is not null").mapInArrow(_partial_batches, "key long, n long"), "partial-counts")
     shards = max(1, -(-partial.count() // SHARD))
     return partial.repartitionByRange(shards, "key").sortWithinPartitions("key").mapInArrow(_run_sums, "key long, n long")
 
@@ -258,26 +278,25 @@ def _spell(sizes: tuple[int, int]) -> tuple[list[bytes], int]:
 def _digest_batches(batches: Iterator[pa.RecordBatch], counts: Counts, sizes: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     signs, offset = _spell(sizes)
     for b in batches:
-        keys = _links(b)
+        values, offsets = _unpacked(b)
+        keys = _links(values)
         n = counts.look_up(keys)
         best = n == counts.tops[keys >> 32]
-        each = [b.column(c).to_numpy(zero_copy_only=False) for c in _LISTS]
+        a_ids, b_ids, a_last, b_last = values
+        # 2 * id, + 1 at a group's end; a token comes after all tokens of the groups before its own, B's after A's of its own
+        a_code, b_code = 2 * a_ids.astype(np.int64) + a_last, offset + 2 * b_ids.astype(np.int64) + b_last
         out, at = [], 0
-        for row in zip(*each):
-            if row[0] is None:
+        for none, a, z, c, e in zip(b.column("a_ids").is_null().to_pylist(), offsets[0].tolist(), offsets[0][1:].tolist(), offsets[1].tolist(), offsets[1][1:].tolist()):
+            if none:
                 out.append((0, 0, 0, 0, 0, 0, ""))
                 continue
-            a, bb, a_n, b_n = row
-            g = len(a_n)
-            a_last, b_last = np.cumsum(a_n), np.cumsum(b_n)
-            code = np.empty(len(a) + len(bb), np.int64)
-            a_code, b_code = 2 * a.astype(np.int64), offset + 2 * bb.astype(np.int64)
-            a_code[a_last - 1] += 1
-            b_code[b_last - 1] += 1
-            code[np.arange(len(a)) + np.repeat(b_last - b_n, a_n)] = a_code
-            code[np.arange(len(bb)) + np.repeat(a_last, b_n)] = b_code
+            a_end, b_end = np.flatnonzero(a_last[a:z]) + 1, np.flatnonzero(b_last[c:e]) + 1
+            g = len(a_end)
+            code = np.empty(z - a + e - c, np.int64)
+            code[np.arange(z - a) + np.repeat(np.r_[0, b_end[:-1]], np.diff(a_end, prepend=0))] = a_code[a:z]
+            code[np.arange(e - c) + np.repeat(a_end, np.diff(b_end, prepend=0))] = b_code[c:e]
             said = b"".join(map(signs.__getitem__, code.tolist()))[:-1]
-            out.append((len(a), len(bb), g, g, int(best[at : at + g].sum()), int(n[at : at + g].sum()), hashlib.sha256(said).hexdigest()))
+            out.append((z - a, e - c, g, g, int(best[at : at + g].sum()), int(n[at : at + g].sum()), hashlib.sha256(said).hexdigest()))
             at += g
         names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
         columns = [pa.array(c, pa.string() if name == "groups_sha256" else pa.int64()) for name, c in zip(names, zip(*out) if out else [()] * 7)]
@@ -285,7 +304,7 @@ def _digest_batches(batches: Iterator[pa.RecordBatch], counts: Counts, sizes: tu
 
 
 def digests(aligned: DataFrame, counts: Counts, sizes: tuple[int, int]) -> DataFrame:
-    """Of the rows of alignments(): numbers of tokens, groups and links, the links whose count is their B id's highest, the sum of counts, and a hash of the groups.
+    """Of packed alignments: numbers of tokens, groups and links, the links whose count is their B id's highest, the sum of counts, and a hash of the groups.
 
     sizes: numbers of ids of A and B. Rows of nulls have zeros and an empty string.
     """
@@ -297,6 +316,6 @@ def align(docs: DataFrame, a_path: str, b_path: str, finish: Callable[[DataFrame
 
     The aligned tokens are written once, so texts are tokenized once. An empty table gives no rows.
     """
-    aligned = materialize(alignments(docs, a_path, b_path), "aligned")
+    aligned = materialize(alignments(docs, a_path, b_path, packed=True), "aligned")
     pair = _pair(a_path, b_path)
     return finish(aligned, Counts.of(pair_counts(aligned)), (len(pair.a_bytes), len(pair.b_bytes)))

@@ -135,7 +135,8 @@ def test_alignment_in_small_partial_counts_and_shards(odd, monkeypatch):
     rows, docs = odd
     assert got(align.align(docs, JSON, MODEL)) == aligned(rows)
     table = align.alignments(docs, JSON, MODEL)
-    counted = [tuple(r) for r in align.pair_counts(table).collect()]
+    packed = align.alignments(docs, JSON, MODEL, packed=True)
+    counted = [tuple(r) for r in align.pair_counts(packed).collect()]
     assert counted == sorted(counted) and len({k for k, _ in counted}) == len(counted)
     assert sum(n for _, n in counted) == sum(len(r.a_sizes or ()) for r in table.collect())
 
