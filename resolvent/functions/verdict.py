@@ -98,12 +98,13 @@ def features(name: Column, let: Callable[[str, Column], Column] = lambda _, c: c
 
 
 def featured(found: DataFrame, name: str) -> DataFrame:
-    """name and f, the features of each distinct value of a column; each step is a column of its own that the next ones read.
+    """name and f, the features of each distinct value of a column, as a written table.
 
-    The distinct names are written first: Spark would push a condition on their features below the
-    aggregation, where every row has to be looked at.
+    Each step is a column of its own that the next ones read. What reads the table sees plain
+    columns: comparisons of two names stay small however the axes are computed, and Spark can't push
+    a condition on them below the aggregation, where every row would have to be looked at.
     """
-    df = written(found.select(F.col(name).alias("name")).distinct(), "names")
+    df = found.select(F.col(name).alias("name")).distinct()
 
     def let(key: str, c: Column) -> Column:
         nonlocal df
@@ -111,15 +112,19 @@ def featured(found: DataFrame, name: str) -> DataFrame:
         return F.col(f"_{key}")
 
     whole = features(F.col("name"), let)
-    return df.select("name", whole.alias("f"))
+    return written(df.select("name", whole.alias("f")), "features")
 
 
 def judged(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """pairs with v, the comparison of the names in two columns. Each distinct name is read once, and each distinct pair compared once; the joins keep expressions apart."""
-    names = featured(pairs.select(F.col(left).alias("name")).union(pairs.select(F.col(right))), "name")
+    """pairs with v, the comparison of the names in two columns. Each distinct name is read once, and each distinct pair compared once.
+
+    The comparisons are written: a condition on a verdict would otherwise be pushed into its seventeen axes and spread over all their combinations.
+    """
+    one = written(pairs.select(F.col(left).alias("_l"), F.col(right).alias("_r")).distinct(), "pairs")
+    names = featured(one.select(F.col("_l").alias("name")).union(one.select("_r")), "name")
     a, b = names.select(F.col("name").alias("_a"), F.col("f").alias("_fa")), names.select(F.col("name").alias("_b"), F.col("f").alias("_fb"))
-    one = pairs.select(F.col(left).alias("_l"), F.col(right).alias("_r")).distinct()
     one = one.join(a, F.col("_l").eqNullSafe(F.col("_a"))).join(b, F.col("_r").eqNullSafe(F.col("_b"))).select("_l", "_r", compare(F.col("_fa"), F.col("_fb")).alias("v"))
+    one = written(one, "verdicts")
     return pairs.join(one, F.col(left).eqNullSafe(F.col("_l")) & F.col(right).eqNullSafe(F.col("_r"))).drop("_l", "_r")
 
 

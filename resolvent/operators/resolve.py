@@ -154,9 +154,13 @@ def accept_warnings(held: DataFrame, candidates: DataFrame, decisions: DataFrame
 
 
 def name_warnings(held: DataFrame, candidates: DataFrame) -> DataFrame:
-    """ordinal, name, db, id, match, verdict, conflicts: accepted ids that came under a name of another compound or of a class."""
-    named = names.normalized(held, "name", "n").select("ordinal", F.col("n.normalized").alias("name"), "db", "id")
-    met = named.join(candidates.where("id is not null and note <> ''").select("ordinal", "db", "id", F.col("note").alias("match")).distinct(), ["ordinal", "db", "id"])
+    """ordinal, name, db, id, match, verdict, conflicts: accepted ids that came under a name of another compound or of a class.
+
+    Normal forms are written, one per distinct name: as join keys they would be computed anew in every condition on them.
+    """
+    normal = written(names.normalized(held.select("name").distinct(), "name", "n").select("name", F.col("n.normalized").alias("normal")), "normal")
+    named = held.join(normal, held["name"].eqNullSafe(normal["name"])).select("ordinal", F.col("normal").alias("name"), "db", "id")
+    met = written(named.join(candidates.where("id is not null and note <> ''").select("ordinal", "db", "id", F.col("note").alias("match")).distinct(), ["ordinal", "db", "id"]), "met")
     judged = risky_matches(met.select(F.lit(None).cast("string").alias("feature_id"), "name", "match")).drop("feature_id")
     return met.join(judged, ["name", "match"])
 
