@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,12 +10,13 @@ from pyspark.sql import functions as F
 
 from .functions import formula, ids, names, variants, verdict
 from .gold import GOLD, SPELLINGS
-from .operators import audit, collide, report, resolve, species
-from .oracles import PRELUDE, canon
-from .plans.written import written
+from .operators import assign, audit, collide, report, resolve, species
+from .oracles import PRELUDE, canon, verdicts
+from .plans.written import shared_folder, written
 from .sources import domain as D
 from .sources import readers
-from .vocab import ADDUCTS, ARTIFACTS, CAUSES, CLASS_OF_ORIGIN, CLASSES, DEFAULT_ADDUCTS, FLAGS, INDIRECT, NAMESPACES, ORIGINS, PRIMARY, REASON_WORDS, ROUTES, TIERS, TRIVIAL_RATIONALES, XENOBIOTICS
+from .sources.store import Store
+from .vocab import ADDUCTS, ARTIFACTS, CAUSES, CAVEATS, CLASS_OF_ORIGIN, CLASSES, DEFAULT_ADDUCTS, FLAGS, INDIRECT, MAPPED_RELATIONS, NAMESPACES, ORIGINS, PRIMARY, REASON_WORDS, ROUTES, TIERS, TRIVIAL_RATIONALES, XENOBIOTICS
 
 #: The label of the model whose species are the rows of `customer`.
 MODEL = "customer"
@@ -504,13 +506,15 @@ def p7_accept_warnings(spark, sf_dir):
     return resolve.accept_warnings(held(spark, sf_dir), D.candidates(spark, sf_dir), D.decisions(spark, sf_dir))
 
 
-@query()
+@query(f""", {_HELD}, {_NORMAL}, nn AS (SELECT DISTINCT name, display FROM normal), mt AS (SELECT DISTINCT h.ordinal, h.db, h.id, display AS l, c.note AS r FROM held h JOIN nn ON nn.name = h.name JOIN candidates c ON c.ordinal = h.ordinal AND c.db = h.db AND c.id = h.id WHERE c.note <> ''),
+{verdicts("mt")} SELECT ordinal, db, id, r AS "match", verdict, conflicts FROM mt JOIN vd USING (l, r) WHERE verdict IN ('conflict', 'class-level')""")
 def p7_name_warnings(spark, sf_dir):
     """Accepted ids that came under the name of another compound or of a class."""
     return resolve.name_warnings(held(spark, sf_dir), D.candidates(spark, sf_dir)).select("ordinal", "db", "id", "match", "verdict", "conflicts")
 
 
-@query()
+@query(f""", mt AS (SELECT DISTINCT feature_id, name AS l, note AS r FROM features JOIN candidates USING (ordinal) WHERE source = 'metaboanalyst'), {verdicts("mt")}
+SELECT feature_id, l AS name, r AS "match", verdict, conflicts FROM mt JOIN vd USING (l, r) WHERE verdict IN ('conflict', 'class-level')""")
 def p11_risky_matches(spark, sf_dir):
     """Exact matches whose record is another compound or a class by its name."""
     c = D.candidates(spark, sf_dir).where("source = 'metaboanalyst'").select("ordinal", F.col("note").alias("match"))
@@ -786,6 +790,59 @@ def k4_gem_curation(spark, sf_dir):
     return report.model_curation(D.entries(spark, sf_dir), model(spark, sf_dir), MODEL)
 
 
+_B = lambda c: f"'MAM' || lpad((1 + ({c}) % 40)::VARCHAR, 5, '0')"
+_CALLS = _XWALK + f""", {_NORMAL}, aq AS (SELECT CASE WHEN k % 41 = 0 THEN -k ELSE k END AS ordinal, [{", ".join(map(_text, [*D.RELATIONS, "same as"]))}][(k // 2) % 6 + 1] AS relation, [{", ".join(map(_text, D.REASONS))}][(k // 7) % 4 + 1] AS rationale,
+ CASE WHEN k % 5 = 0 THEN [] WHEN k % 5 = 2 THEN [{_B("k")} || CASE WHEN (1 + k % 40) % 2 = 0 THEN '_c' ELSE 'c' END] WHEN k % 5 = 3 THEN [{_B("k")}, {_B("k + 7")}] WHEN k % 10 = 4 THEN [{_B("k")}, 'MAM9' || k] ELSE [{_B("k")}] END AS mam FROM (SELECT p_partkey AS k FROM part)),
+mm AS (SELECT ordinal, relation, unnest(mam) AS id, generate_subscripts(mam, 1) AS place FROM aq), lk AS (SELECT x.id, coalesce(m.base, s.base) AS base FROM (SELECT DISTINCT id FROM mm) x LEFT JOIN model m ON m.base = x.id LEFT JOIN (SELECT species_id, min(base) AS base FROM base GROUP BY species_id) s ON s.species_id = x.id),
+sd AS (SELECT e.ordinal, coalesce(nullif(n.display, ''), e.name) AS said FROM entries e JOIN normal n USING (feature_id)), cd AS (SELECT mm.*, lk.base, m.name AS gem_name, coalesce(regexp_matches(m.formula, '[RX]([^a-z]|$)'), false) AS pool, said FROM mm JOIN lk USING (id) LEFT JOIN model m ON m.base = lk.base LEFT JOIN sd ON sd.ordinal = mm.ordinal),
+pr AS (SELECT DISTINCT said AS l, gem_name AS r FROM cd WHERE said IS NOT NULL AND coalesce(gem_name, '') <> ''), {verdicts("pr")}, {_score_sql()} r AS (SELECT query, base, max(round(x.s, 1)) AS score FROM b WHERE x.s >= 30.0 GROUP BY query, base), w AS (SELECT query, base, row_number() OVER (PARTITION BY query ORDER BY score DESC, base) AS rank FROM r),
+se AS (SELECT DISTINCT ordinal, base FROM w JOIN features ON name = query WHERE rank <= 6),
+ow AS (SELECT cd.*, CASE WHEN verdict = 'conflict' AND relation <> 'isomer-surrogate' THEN 'conflict: ' || cd.base || ' on ' || replace(conflicts, ';', ',') WHEN verdict = 'class-level' AND relation = 'exact' THEN 'class level: ' || cd.base END AS note, se.base IS NULL AND cd.ordinal IN (SELECT ordinal FROM se) AS unmet
+ FROM cd LEFT JOIN vd ON l = said AND r = gem_name LEFT JOIN se ON se.ordinal = cd.ordinal AND se.base = cd.base),
+sm AS (SELECT ordinal, list(base ORDER BY place) AS bases, list(coalesce(gem_name, '') ORDER BY place) AS gnames, arg_min(id, place) FILTER (base IS NULL) AS missing, list('not among the searched: ' || base ORDER BY place) FILTER (unmet) AS w1, list('pool formula: ' || base ORDER BY place) FILTER (pool AND relation = 'exact') AS w2, list(note ORDER BY place) FILTER (note IS NOT NULL) AS w3 FROM ow GROUP BY ordinal),
+cl AS (SELECT aq.ordinal, relation, rationale, coalesce(bases, []) AS bases, coalesce(gnames, []) AS gnames, w1, w2, w3, CASE WHEN sd.ordinal IS NULL THEN 'unknown entry' WHEN relation = 'same as' THEN 'unknown relation' WHEN relation IN {_in(MAPPED_RELATIONS)} AND len(mam) = 0 THEN 'the relation needs a species' WHEN relation NOT IN {_in(MAPPED_RELATIONS)} AND len(mam) > 0 THEN 'the relation carries no species'
+ WHEN length(trim(rationale)) < 8 THEN 'the reason is too short' WHEN missing IS NOT NULL THEN 'not in the model: ' || missing END AS refusal FROM aq LEFT JOIN sd USING (ordinal) LEFT JOIN sm USING (ordinal)),
+acc AS (SELECT * FROM cl WHERE refusal IS NULL), st AS (SELECT ordinal, mam AS base FROM entries WHERE relation = 'exact' AND mam IS NOT NULL), md AS (SELECT DISTINCT ordinal, unnest(bases) AS base FROM acc WHERE relation = 'exact'),
+el AS (SELECT ordinal, list_sort(list('exact elsewhere: ' || base)) AS w5 FROM md WHERE EXISTS (SELECT 1 FROM st WHERE st.base = md.base AND st.ordinal <> md.ordinal AND (st.ordinal > md.ordinal OR st.ordinal NOT IN (SELECT ordinal FROM acc))) OR EXISTS (SELECT 1 FROM md o WHERE o.base = md.base AND o.ordinal < md.ordinal) GROUP BY ordinal)"""
+
+
+def _assigned(spark: SparkSession, sf_dir: str, e: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The calls on the model, and the results stored before them."""
+    named = e.select("ordinal", F.col("name").alias("query"))
+    searched = named.join(species.search(named, index, 6), "query").select("ordinal", "base")
+    none = F.expr("cast(array() as array<string>)")
+    stored = e.where("relation is not null").select("ordinal", F.lit(MODEL).alias("label"), F.when(F.col("mam").isNotNull(), F.array("mam")).otherwise(none).alias("mam"), "relation", "rationale", none.alias("names"), "curated")
+    return assign.assign(D.calls(spark, sf_dir), e.select("ordinal", "name"), index, searched, stored), stored
+
+
+@query(_CALLS + f""" SELECT ordinal, CASE WHEN refusal IS NULL THEN 'assigned' ELSE 'refused: ' || refusal END AS action, relation, CASE WHEN refusal IS NULL THEN array_to_string(bases, ';') END AS mam, CASE WHEN refusal IS NULL THEN array_to_string(gnames, ';') END AS names,
+CASE WHEN refusal IS NULL THEN CASE relation {" ".join(f"WHEN '{r}' THEN {_text(c)}" for r, c in CAVEATS.items())} END END AS caveat,
+CASE WHEN refusal IS NULL THEN array_to_string(list_concat(coalesce(w1, []), coalesce(w2, []), coalesce(w3, []), CASE WHEN relation IN ('isomer-surrogate', 'class-proxy') AND length(trim(rationale)) < 20 THEN ['thin reason for a stand-in'] ELSE [] END, coalesce(w5, [])), '; ') ELSE '' END AS warnings
+FROM cl LEFT JOIN el USING (ordinal)""")
+def gem_assign(spark, sf_dir):
+    """The calls on the model: refused or assigned, with what to be warned of."""
+    e = written(D.entries(spark, sf_dir), "entries")
+    out, _ = _assigned(spark, sf_dir, e, written(model(spark, sf_dir), "index"))
+    return out.select("ordinal", "action", "relation", F.array_join("mam", ";").alias("mam"), F.array_join("names", ";").alias("names"), "caveat", F.array_join("warnings", "; ").alias("warnings"))
+
+
+@query(_CALLS + f""", s2 AS (SELECT ordinal, bases AS mam, relation, rationale, gnames AS names, true AS curated FROM acc UNION ALL SELECT ordinal, CASE WHEN mam IS NULL THEN [] ELSE [mam] END, relation, rationale, [], curated FROM entries WHERE relation IS NOT NULL AND ordinal NOT IN (SELECT ordinal FROM acc)),
+cw AS (SELECT e.ordinal, coalesce(bases, []) AS mam, CASE WHEN via IS NULL THEN 'id-gap' WHEN (SELECT bool_or(coalesce(regexp_matches(formula, '[RX]([^a-z]|$)'), false)) FROM model WHERE list_contains(bases, base)) THEN 'class-proxy' ELSE 'exact' END AS relation, CASE WHEN via IS NULL THEN 'no id of it in the model' ELSE 'by its id of ' || via END AS rationale,
+ coalesce((SELECT list(coalesce(name, '') ORDER BY base) FROM model WHERE list_contains(bases, base)), []) AS names, false AS curated FROM entries e LEFT JOIN xwalk USING (ordinal) WHERE final_class IN ('KEGG-mapped', 'HMDB-mapped', 'exogenous')),
+fin AS (SELECT * FROM s2 WHERE curated OR ordinal NOT IN (SELECT ordinal FROM cw) UNION ALL SELECT * FROM cw WHERE ordinal NOT IN (SELECT ordinal FROM s2 WHERE curated))
+SELECT ordinal, '{MODEL}' AS label, array_to_string(mam, ';') AS mam, relation, rationale, array_to_string(names, ';') AS names, curated FROM fin""")
+def gem_writeback(spark, sf_dir):
+    """The stored results of the model after the calls by hand and then the crosswalk, each merged into a revision of its own; curated results stay."""
+    e, index = written(D.entries(spark, sf_dir), "entries"), written(model(spark, sf_dir), "index")
+    calls, stored = _assigned(spark, sf_dir, e, index)
+    store = Store(spark, f"{shared_folder(spark)}/resolvent/results-{uuid.uuid4().hex}")
+    at = store.merge("results", stored.select(assign.RESULT), ["ordinal", "label"], 0)
+    at = store.merge("results", assign.results(calls, MODEL).select(assign.RESULT), ["ordinal", "label"], at, assign.kept)
+    relevant = e.where(F.col("final_class").isin([*PRIMARY, "exogenous"]))
+    at = store.merge("results", assign.crosswalked(relevant, index, MODEL).select(assign.RESULT), ["ordinal", "label"], at, assign.kept)
+    return store.read("results", at).select("ordinal", "label", F.array_join("mam", ";").alias("mam"), "relation", "rationale", F.array_join("names", ";").alias("names"), "curated")
+
+
 # ------------------------------------------------------------------ events, windows, sets
 
 
@@ -1025,7 +1082,8 @@ def j5_pairs(spark, sf_dir):
     return collide.pairs(held(spark, sf_dir)).select("db", "id", "a", "b")
 
 
-@query()
+@query(f""", {_HELD}, nm AS (SELECT DISTINCT db, id, trim(name) AS name FROM held), pr AS (SELECT a.db, a.id, a.name AS l, b.name AS r FROM nm a JOIN nm b ON a.db = b.db AND a.id = b.id WHERE a.name < b.name), {verdicts("pr")}
+SELECT db, id, l AS a, r AS b, verdict, conflicts FROM pr JOIN vd USING (l, r)""")
 def j5_pairwise(spark, sf_dir):
     """The different names on each shared id, compared in pairs."""
     return collide.pairs(held(spark, sf_dir)).select("db", "id", "a", "b", "verdict", F.array_join("conflicts", ";").alias("conflicts"))

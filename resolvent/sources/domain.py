@@ -130,6 +130,20 @@ def species(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Reasons that calls on the model are given, from too short to full.
+REASONS = ["fits", "its chain fits", "the only one of its class in the model", "reviewed against its record"]
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ordinal, mam (array of ids), relation, rationale: a call on the model for every feature, and some for none."""
+    k = F.col("p_partkey")
+    base = lambda c: F.concat(F.lit("MAM"), F.lpad((1 + c % 40).cast("string"), 5, "0"))
+    in_c = F.concat(F.lit(" "), base(k), F.when((1 + k % 40) % 2 == 0, "_c ").otherwise("c "))
+    none = F.expr("cast(array() as array<string>)")
+    mam = F.when(k % 5 == 0, none).when(k % 5 == 2, F.array(in_c)).when(k % 5 == 3, F.array(base(k), base(k + 7))).when(k % 10 == 4, F.array(base(k), F.concat(F.lit("MAM9"), k.cast("string")))).otherwise(F.array(base(k)))
+    return read(spark, sf_dir, "part").select(F.when(k % 41 == 0, -k).otherwise(k).alias("ordinal"), mam.alias("mam"), pick([*RELATIONS, "same as"], F.floor(k / 2) % 6).alias("relation"), pick(REASONS, F.floor(k / 7) % 4).alias("rationale"))
+
+
 def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src_db, src_id, hmdb: cross-references, some of them to several accessions or in several spellings."""
     c = F.col("o_custkey")

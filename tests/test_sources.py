@@ -168,3 +168,33 @@ def test_ship(spark):
 
     names = zipfile.ZipFile(ship(spark)).namelist()
     assert "resolvent/__init__.py" in names and "resolvent/functions/names.py" in names
+
+
+def test_merge_writes_only_the_buckets_it_touches(spark, tmp_path):
+    s = Store(spark, f"{tmp_path}/run")
+    row = lambda k, v, c=False: (k, "m", v, c)
+    df = lambda *rows: spark.createDataFrame(list(rows), "ordinal long, label string, v string, curated boolean")
+    s.commit({"other": df(row(1, "o"))}, 0)
+    assert s.merge("t", df(*[row(k, "a", k == 7) for k in range(200)]), ["ordinal", "label"], 1) == 2
+    before = s._manifest(2)["t"]
+    kept = lambda old, new: old("curated") & ~new("curated")
+    assert s.merge("t", df(row(7, "b"), row(8, "b"), row(None, "n"), row(900, "new", True)), ["ordinal", "label"], 2, kept) == 3
+    after = s._manifest(3)["t"]
+    assert 1 <= sum(before.get(b) != f for b, f in after.items()) <= 4
+    got = {r.ordinal: r.v for r in s.read("t").collect()}
+    assert len(got) == 202 and got[7] == "a" and got[8] == "b" and got[None] == "n" and got[900] == "new"
+    assert {r.v for r in s.read("t", 2).collect()} == {"a"} and s.read("other").count() == 1
+    with pytest.raises(Conflict):
+        s.merge("t", df(row(1, "late")), ["ordinal", "label"], 2)
+    assert s.merge("t", df(row(None, "again"), row(7, "by hand", True)), ["ordinal", "label"], 3, kept) == 4
+    got = {r.ordinal: r.v for r in s.read("t").collect()}
+    assert len(got) == 202 and got[None] == "again" and got[7] == "by hand"
+    assert s.merge("t", df(), ["ordinal", "label"], 4) == 5 and s.read("t").count() == 202
+
+
+def test_merge_into_a_table_that_was_written_whole(spark, tmp_path):
+    s = Store(spark, f"{tmp_path}/whole")
+    df = lambda *rows: spark.createDataFrame(list(rows), "k long, v string")
+    s.commit({"t": df((1, "a"), (2, "a"))}, 0)
+    s.merge("t", df((2, "b"), (3, "b")), ["k"], 1)
+    assert sorted(map(tuple, s.read("t").collect())) == [(1, "a"), (2, "b"), (3, "b")]
