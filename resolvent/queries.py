@@ -14,7 +14,7 @@ from .operators import assign, audit, collide, report, resolve, species
 from .oracles import PRELUDE, canon, verdicts
 from .plans.written import shared_folder, written
 from .sources import domain as D
-from .sources import readers
+from .sources import ledger, readers
 from .sources.store import Store
 from .vocab import ADDUCTS, ARTIFACTS, CAUSES, CAVEATS, CLASS_OF_ORIGIN, CLASSES, DEFAULT_ADDUCTS, FLAGS, INDIRECT, MAPPED_RELATIONS, NAMESPACES, ORIGINS, PRIMARY, REASON_WORDS, ROUTES, TIERS, TRIVIAL_RATIONALES, XENOBIOTICS
 
@@ -230,6 +230,25 @@ def j19_reassembly(spark, sf_dir):
     return report.reassemble(D.entries(spark, sf_dir), D.candidates(spark, sf_dir))
 
 
+@query(f""", c AS (SELECT ordinal, count(*) AS n, arg_min(source, seq) AS source, count(id) AS ids FROM candidates GROUP BY ordinal), d AS (SELECT ordinal, count(*) AS n, arg_max(action, seq) AS action FROM decisions GROUP BY ordinal)
+SELECT lpad((e.ordinal // 100)::VARCHAR, 6, '0') AS run, feature_id, name AS original_name, final_class, confidence, {_ids_sql(NAMESPACES)} AS ids, mam, coalesce(c.n, 0) AS n_candidates, coalesce(c.ids, 0) AS n_ids, c.source AS first_source, coalesce(d.n, 0) AS n_decisions, d.action AS last_action,
+concat_ws(';', CASE WHEN e.ordinal % 3 = 0 THEN 'class_level_id' END, CASE WHEN e.ordinal % 5 = 0 THEN 'old_flag' END) AS flags, e.ordinal AS left_over, CASE WHEN (e.ordinal // 100) % 2 = 1 THEN (SELECT count(*) FROM entries x WHERE x.ordinal // 100 = e.ordinal // 100 AND x.mam IS NOT NULL) END AS repaired
+FROM entries e LEFT JOIN c USING (ordinal) LEFT JOIN d USING (ordinal)""")
+def s4_ledgers(spark, sf_dir):
+    """Ledgers of both versions read whole and upgraded: every entry with what its candidates, decisions and flags come to."""
+    t = {k: written(df, k) for k, df in ledger.tables(written(D.ledgers(spark, sf_dir), "ledgers"), "now").items()}
+    key = ["run", "feature_id"]
+    id_of = F.coalesce(*NAMESPACES)
+    c = t["candidates"].groupBy(key).agg(F.count("*").alias("n_candidates"), F.count(id_of).alias("n_ids"), F.min(F.struct("position", "source"))["source"].alias("first_source"))
+    d = t["decisions"].groupBy(key).agg(F.count("*").alias("n_decisions"), F.max(F.struct("position", "action"))["action"].alias("last_action"))
+    f = t["flags"].groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("flag")), ";").alias("flags"))
+    m = t["meta"].select("run", F.size(F.try_variant_get(F.col("rest")["migrations"], "$[0].model_ids_repaired", "array<variant>")).cast("long").alias("repaired"))
+    e = t["entries"].join(c, key, "left").join(d, key, "left").join(f, key, "left").join(m, "run")
+    zero = lambda x: F.coalesce(x, F.lit(0)).alias(x)
+    ids_of = F.concat_ws(";", *[F.concat(F.lit(f"{x}:"), F.col("accepted")[x]) for x in NAMESPACES])
+    return e.select(*key, "original_name", "final_class", "confidence", ids_of.alias("ids"), F.get("gem_mam", F.lit(0)).alias("mam"), zero("n_candidates"), zero("n_ids"), "first_source", zero("n_decisions"), "last_action", F.coalesce("flags", F.lit("")).alias("flags"), F.try_variant_get(F.col("rest")["ordinal"], "$", "long").alias("left_over"), "repaired")
+
+
 @query("""SELECT count(*) AS n, count(*) FILTER (final_class IS NULL) AS pending, CASE WHEN count(*) = 0 THEN 'ingest_names' WHEN (SELECT count(*) FROM candidates) = 0 THEN 'exact_match'
 WHEN count(*) FILTER (final_class IS NULL) > 0 THEN 'gather_evidence' ELSE 'model_or_finalize' END AS step FROM entries""")
 def p14_next_step(spark, sf_dir):
