@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as V
-from ..plans.written import written
+from ..plans.written import discard, written
 
 SET_AXES = ["skeleton", "ether_linkage"]
 SCALAR_AXES = ["glycan_series", "glycan_length", "sialyl_linkage", "omega", "peroxidation", "hydroxy_count", "acetyl_count", "polyamine_backbone"]
@@ -120,11 +120,12 @@ def judged(pairs: DataFrame, left: str, right: str) -> DataFrame:
 
     The comparisons are written: a condition on a verdict would otherwise be pushed into its seventeen axes and spread over all their combinations.
     """
-    one = written(pairs.select(F.col(left).alias("_l"), F.col(right).alias("_r")).distinct(), "pairs")
+    met = one = written(pairs.select(F.col(left).alias("_l"), F.col(right).alias("_r")).distinct(), "pairs")
     names = featured(one.select(F.col("_l").alias("name")).union(one.select("_r")), "name")
     a, b = names.select(F.col("name").alias("_a"), F.col("f").alias("_fa")), names.select(F.col("name").alias("_b"), F.col("f").alias("_fb"))
     one = one.join(a, F.col("_l").eqNullSafe(F.col("_a"))).join(b, F.col("_r").eqNullSafe(F.col("_b"))).select("_l", "_r", compare(F.col("_fa"), F.col("_fb")).alias("v"))
     one = written(one, "verdicts")
+    discard(met, names)
     return pairs.join(one, F.col(left).eqNullSafe(F.col("_l")) & F.col(right).eqNullSafe(F.col("_r"))).drop("_l", "_r")
 
 

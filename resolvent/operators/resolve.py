@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, names, verdict
-from ..plans.written import written
+from ..plans.written import discard, written
 from ..vocab import CLASS_OF_ORIGIN, CLASSES, EXCLUDED, INDIRECT, LEGACY_CLASSES, NAMESPACES, ORIGINS, PRIMARY, REASON_WORDS
 
 
@@ -186,15 +187,39 @@ def allocate_single(asked: DataFrame) -> DataFrame:
     return asked.withColumn("given", F.row_number().over(w) == 1)
 
 
-def allocate(asked: DataFrame) -> DataFrame:
+#: Pairs of a run up to which one task goes through them in order.
+IN_ORDER = 1_000_000
+
+
+def _in_order(found: pd.DataFrame) -> pd.DataFrame:
+    """One run's entries in ordinal order; each takes its first target that is still there."""
+    taken, got = set(), {}
+    for k, target in zip(*(found.sort_values(["ordinal", "place"])[c].tolist() for c in ("ordinal", "target"))):
+        if k not in got and target not in taken:
+            taken.add(target)
+            got[k] = target
+    return pd.DataFrame({"run": found["run"].iloc[0], "ordinal": list(got), "target": list(got.values())})
+
+
+def allocate(asked: DataFrame, in_order: int = IN_ORDER) -> DataFrame:
     """run, ordinal, targets (array, in order) -> run, ordinal, target: in ordinal order, each takes its first target that none before it took.
 
-    Not one after the other but in rounds: each proposes to the first target it has left, and a
+    Runs are independent. One of up to in_order pairs is gone through in order by one task, however long its chains.
+    In a larger one, entries settle in rounds: each proposes to the first target it has left, and a
     target drops all that come after the least ordinal that proposes to it. As every target ranks by
     ordinal, what is left in the end is what the order would have given. Each round is two
-    aggregations and a join over the pairs that are left, written down.
+    aggregations and a join over the pairs that are left, written down; what it read is deleted.
     """
-    pairs = asked.select("run", "ordinal", F.posexplode("targets").alias("place", "target")).groupBy("run", "ordinal", "target").agg(F.min("place").alias("place"))
+    pairs = written(asked.select("run", "ordinal", F.posexplode("targets").alias("place", "target")).groupBy("run", "ordinal", "target").agg(F.min("place").alias("place")), "asked")
+    sizes = written(pairs.groupBy("run").agg(F.count("*").alias("n")), "runs")
+    small = pairs.join(sizes.where(F.col("n") <= in_order), "run", "left_semi")
+    got = small.groupBy("run").applyInPandas(_in_order, pairs.select("run", "ordinal", "target").schema)
+    if not sizes.where(F.col("n") > in_order).isEmpty():
+        got = got.unionByName(_in_rounds(pairs.join(sizes.where(F.col("n") > in_order), "run", "left_semi")))
+    return asked.select("run", "ordinal").join(got, ["run", "ordinal"], "left")
+
+
+def _in_rounds(pairs: DataFrame) -> DataFrame:
     pairs = written(pairs, "asked")
     n = pairs.count()
     while True:
@@ -203,7 +228,8 @@ def allocate(asked: DataFrame) -> DataFrame:
         left = written(pairs.join(holder, ["run", "target"], "left").where("holder is null or ordinal <= holder").drop("holder"), "asked")
         m = left.count()
         if m == n:
-            return asked.select("run", "ordinal").join(first, ["run", "ordinal"], "left")
+            return first
+        discard(pairs)
         pairs, n = left, m
 
 

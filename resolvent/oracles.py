@@ -40,7 +40,7 @@ candidates AS (SELECT *, {canon("db", "raw_id")} AS id FROM (SELECT l_partkey AS
     CASE WHEN l_linenumber = 7 THEN '' WHEN l_linenumber = 3 THEN 'chebi:' || {_N} ELSE {_list(NAMES)}[(l_suppkey * 7 + l_partkey) % {len(NAMES)} + 1] END AS query
     FROM lineitem)),
 accepted AS (SELECT ordinal, db, CASE WHEN db = 'kegg' AND ordinal % 17 = 0 THEN 'C99999' ELSE b.id END AS id
-    FROM (SELECT ordinal, db, min({{'seq': seq, 'id': id}}) AS b FROM candidates WHERE id IS NOT NULL AND ordinal % 9 <> 8 GROUP BY ordinal, db)),
+    FROM (SELECT ordinal, db, min({{'seq': seq, 'id': id}}) AS b FROM candidates WHERE id IS NOT NULL AND ordinal % 9 <> 8 AND NOT (ordinal % 11 = 3 AND db = 'hmdb' OR ordinal % 31 = 5 AND db IN ('kegg', 'hmdb') OR ordinal % 37 = 6) GROUP BY ordinal, db)),
 wide AS (SELECT ordinal, {", ".join(f"min(id) FILTER (db = '{d}') AS {d}" for d in NAMESPACES)} FROM accepted GROUP BY ordinal),
 entries AS (SELECT *, CASE WHEN relation IN ('exact', 'class-proxy', 'isomer-surrogate') THEN 'MAM' || lpad((ordinal // 2 % 400)::VARCHAR, 5, '0') END AS mam FROM
    (SELECT f.ordinal, feature_id, name, {", ".join(NAMESPACES)},
@@ -51,7 +51,7 @@ entries AS (SELECT *, CASE WHEN relation IN ('exact', 'class-proxy', 'isomer-sur
     CASE WHEN f.ordinal % 6 < 5 THEN {_list(RELATIONS)}[f.ordinal % 6 + 1] END AS relation,
     CASE WHEN f.ordinal % 3 = 0 THEN 'chosen because its chain matches' ELSE 'short' END AS rationale, f.ordinal % 3 = 0 AS curated
     FROM features f LEFT JOIN wide USING (ordinal))),
-decisions AS (SELECT ordinal, seq, ts, action, db, CASE WHEN seq % 2 = 0 AND held IS NOT NULL THEN held ELSE 'X' || seq END AS id,
+decisions AS (SELECT ordinal, seq, ts, action, db, CASE WHEN seq % 3 <> 0 AND held IS NOT NULL THEN held ELSE 'X' || seq END AS id,
     CASE WHEN action = 'backcheck' THEN {_list(VERDICTS)}[seq % 4 + 1] END AS verdict,
     CASE WHEN action = 'backcheck' THEN CASE WHEN seq % 7 = 0 THEN 'class' ELSE 'species' END END AS db_resolution, rationale, props
     FROM (SELECT user_id AS ordinal, event_id AS seq, ts, CASE event_type {_CASES} END AS action, {_list(NAMESPACES)}[event_id % 5 + 1] AS db,

@@ -549,7 +549,7 @@ def j4_shared_ids(spark, sf_dir):
 #: Of the names of candidates, those of a class: lipids without a chain or head group of their own.
 _GENERIC = _in(["1-Acyl-sn-glycero-3-phosphocholine"])
 _EVIDENCE = f"""{_HELD}, k AS (SELECT DISTINCT ordinal, db, id FROM decisions WHERE action = 'backcheck' AND (verdict = 'class-level' OR db_resolution = 'class')),
-raised AS (SELECT DISTINCT ordinal, [{", ".join(f"'{f}'" for f in [*FLAGS, "old_flag"])}][(ordinal + o) % {len(FLAGS) + 1} + 1] AS flag FROM entries, (SELECT unnest([0, 3]) AS o)),
+raised AS (SELECT DISTINCT ordinal, [{", ".join(f"'{f}'" for f in [*FLAGS, "old_flag"])}][(ordinal + o) % {len(FLAGS) + 1} + 1] AS flag FROM entries, (SELECT unnest([0, 4]) AS o)),
 ev AS (SELECT * FROM k UNION SELECT ordinal, db, id FROM candidates WHERE id IS NOT NULL AND note IN {_GENERIC} UNION SELECT h.ordinal, db, id FROM held h JOIN raised r ON r.ordinal = h.ordinal WHERE flag = 'class_level_id'),
 sev AS (SELECT h.db, h.id, count(*) AS n, CASE WHEN count(DISTINCT lower(trim(name))) = 1 THEN 'duplicate-name' WHEN count(ev.ordinal) > 0 THEN 'class-id-shared' ELSE 'collision' END AS severity FROM held h LEFT JOIN ev ON ev.ordinal = h.ordinal AND ev.db = h.db AND ev.id = h.id GROUP BY h.db, h.id HAVING count(*) > 1)"""
 
@@ -557,7 +557,7 @@ sev AS (SELECT h.db, h.id, count(*) AS n, CASE WHEN count(DISTINCT lower(trim(na
 def raised(e: DataFrame) -> DataFrame:
     """ordinal, flag: two flags for each entry, in turn."""
     flags = [*FLAGS, "old_flag"]
-    return e.select("ordinal", F.explode(F.array(F.lit(0), F.lit(3))).alias("o")).select("ordinal", D.pick(flags, (F.col("ordinal") + F.col("o")) % len(flags)).alias("flag"))
+    return e.select("ordinal", F.explode(F.array(F.lit(0), F.lit(4))).alias("o")).select("ordinal", D.pick(flags, (F.col("ordinal") + F.col("o")) % len(flags)).alias("flag"))
 
 
 def evidence(e: DataFrame, c: DataFrame, d: DataFrame) -> DataFrame:

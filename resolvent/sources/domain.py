@@ -71,9 +71,13 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.with_canonical(rows, "db", "raw_id", "id")
 
 
+#: Which ids were found and not accepted: the hmdb ids of some features, the primary ids of others, all of a few.
+UNACCEPTED = "ordinal % 11 = 3 and db = 'hmdb' or ordinal % 31 = 5 and db in ('kegg', 'hmdb') or ordinal % 37 = 6"
+
+
 def accepted(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
-    """ordinal, db, id: the candidate of least (seq, id) per namespace; some features are pending, a few ids were made up. found: candidates() that are there already."""
-    best = (candidates(spark, sf_dir) if found is None else found).where("id is not null and ordinal % 9 <> 8").groupBy("ordinal", "db").agg(F.min(F.struct("seq", "id")).alias("b"))
+    """ordinal, db, id: the candidate of least (seq, id) per namespace; some features are pending, some ids weren't accepted, a few were made up. found: candidates() that are there already."""
+    best = (candidates(spark, sf_dir) if found is None else found).where("id is not null and ordinal % 9 <> 8").where(f"not ({UNACCEPTED})").groupBy("ordinal", "db").agg(F.min(F.struct("seq", "id")).alias("b"))
     return best.select("ordinal", "db", F.when((F.col("db") == "kegg") & (F.col("ordinal") % 17 == 0), F.lit("C99999")).otherwise(F.col("b.id")).alias("id"))
 
 
@@ -98,7 +102,7 @@ def entries(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) ->
 
 
 def decisions(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> DataFrame:
-    """ordinal, seq, ts, action, db, id, verdict, db_resolution, rationale; every second id is the accepted one of its namespace."""
+    """ordinal, seq, ts, action, db, id, verdict, db_resolution, rationale; two ids of three are the accepted one of their namespace."""
     k = F.col("event_id")
     action = F.element_at(F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv]), F.col("event_type"))
     rows = read(spark, sf_dir, "events").select(
@@ -108,7 +112,7 @@ def decisions(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -
     held = (accepted(spark, sf_dir) if held is None else held).withColumnRenamed("id", "held")
     check = F.col("action") == "backcheck"
     return rows.join(held, ["ordinal", "db"], "left").select(
-        "ordinal", "seq", "ts", "action", "db", F.when((F.col("seq") % 2 == 0) & F.col("held").isNotNull(), F.col("held")).otherwise(F.concat(F.lit("X"), F.col("seq"))).alias("id"),
+        "ordinal", "seq", "ts", "action", "db", F.when((F.col("seq") % 3 != 0) & F.col("held").isNotNull(), F.col("held")).otherwise(F.concat(F.lit("X"), F.col("seq"))).alias("id"),
         F.when(check, pick(VERDICTS, F.col("seq") % 4)).alias("verdict"), F.when(check, F.when(F.col("seq") % 7 == 0, "class").otherwise("species")).alias("db_resolution"), "rationale", "props",
     )
 

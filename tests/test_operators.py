@@ -8,10 +8,11 @@ from resolvent.plans import blocking
 from resolvent.vocab import CAUSES
 
 
-def test_greedy_allocation(spark):
+@pytest.mark.parametrize("in_order", [0, 20, 10**6])
+def test_greedy_allocation(spark, in_order):
     rng = random.Random(1)
     rows = [(k % 3, k, sorted(rng.sample("abcdefghij", rng.randint(0, 4)))) for k in range(60)]
-    got = {r.ordinal: r.target for r in resolve.allocate(spark.createDataFrame(rows, "run long, ordinal long, targets array<string>")).collect()}
+    got = {r.ordinal: r.target for r in resolve.allocate(spark.createDataFrame(rows, "run long, ordinal long, targets array<string>"), in_order).collect()}
     taken = {0: set(), 1: set(), 2: set()}
     for run, k, targets in rows:
         want = next((t for t in targets if t not in taken[run]), None)
@@ -19,6 +20,16 @@ def test_greedy_allocation(spark):
         assert got[k] == want
 
 
+def test_a_chain_takes_no_round_an_entry(spark):
+    rows = [(0, k, [f"t{k - 1}", f"t{k}"] if k else ["t0"]) for k in range(1000)] + [(None, 5, []), (1, 6, None)]
+    asked = spark.createDataFrame(rows, "run long, ordinal long, targets array<string>")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    got = {(r.run, r.ordinal): r.target for r in resolve.allocate(asked).collect()}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain")) < 20
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {(0, k): f"t{k}" for k in range(1000)} | {(None, 5): None, (1, 6): None}
+
+
 def test_range_join_loses_no_pair(spark):
     rng = random.Random(2)
     a, b = [rng.uniform(50, 2000) for _ in range(200)], [rng.uniform(50, 2000) for _ in range(200)]
