@@ -32,12 +32,11 @@ def lookup(asked: DataFrame, index: DataFrame) -> DataFrame:
 def _by_name(spellings: DataFrame, index: DataFrame, least: float) -> DataFrame:
     """query, base, score, order, kind: of each distinct query the best of the routes of names.name_score per species, from a score on.
 
-    Candidates share a trigram with the query, or contain it or are contained in it through one:
-    only names shorter than a trigram can match without, and those are met by their first characters.
+    Only pairs that some route can score so high are looked at: see blocking.may_score.
     """
     named = index.select("base", F.array_join("species", " ").alias("ids"), F.explode(F.concat("names", F.when(F.size("names") == 0, F.array(F.col("base"))).otherwise(F.expr("cast(array() as array<string>)")))).alias("name"))
     asked = spellings.select("query").distinct()
-    pairs = blocking.share_a_gram(asked, "query", named, "name", extra=["base", "ids"])
+    pairs = blocking.may_score(asked, "query", named, "name", ["base", "ids"], least)
     q_parts = asked.withColumn("q", names.name_parts(F.trim("query")))
     n_parts = named.select("name").distinct().withColumn("n", names.name_parts(F.col("name")))
     scored = pairs.join(q_parts, "query").join(n_parts, "name").withColumn("s", names.name_score(F.col("q"), F.col("n"), F.col("base"), F.col("ids"))).where(F.col("s.score") >= least)

@@ -8,12 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
-
-
-def _keys(c):
-    """Trigrams of the letters and digits, and the words; the whole of names without either."""
-    g = F.array_union(names.grams(c), names.tokens(c))
-    return F.when(F.size(g) > 0, g).otherwise(F.array(names.flat(c)))
+from .written import written
 
 
 def _is_short(c):
@@ -37,21 +32,87 @@ def _runs(c):
     return F.concat(F.array(F.lit("")), of(1), of(2), of(3))
 
 
-def share_a_gram(left: DataFrame, l_name: str, right: DataFrame, r_name: str, extra: list[str]) -> DataFrame:
-    """Distinct pairs where the left name shares a trigram or a word with the right one or with a column of extra.
-
-    A name of fewer than three letters and digits, which has no trigram, also meets the names that
-    contain its first three characters (all of it, if it has fewer); left names are trimmed for that.
-    """
-    a = left.select(l_name, F.explode(_keys(F.col(l_name))).alias("_gram"))
-    b = right.select(r_name, *extra, F.explode(_keys(F.concat_ws(" ", r_name, *extra))).alias("_gram"))
+def _short(left: DataFrame, l_name: str, right: DataFrame, r_name: str, extra: list[str]) -> DataFrame:
+    """Pairs of which one is a name of fewer than three letters and digits, that the other (or a column of extra) has the first three characters of."""
     l, r = F.trim(F.col(l_name)), F.col(r_name)
     short_a = left.where(_is_short(l)).select(l_name, _short_key(l).alias("_gram"))
     runs_b = right.select(r_name, *extra, F.explode(F.array_distinct(F.concat(_runs(r), *[_runs(F.col(c)) for c in extra]))).alias("_gram"))
     short_b = right.where(_is_short(r)).select(r_name, *extra, _short_key(r).alias("_gram"))
     runs_a = left.select(l_name, F.explode(F.array_distinct(_runs(l))).alias("_gram"))
-    met = [x.join(y, "_gram").select(l_name, r_name, *extra) for x, y in ((a, b), (short_a, runs_b), (runs_a, short_b))]
-    return met[0].unionByName(met[1]).unionByName(met[2]).distinct()
+    return short_a.join(runs_b, "_gram").unionByName(runs_a.join(short_b, "_gram"), allowMissingColumns=True).select(l_name, r_name, *extra)
+
+
+def _ordered(sets: DataFrame, rarity: DataFrame) -> DataFrame:
+    """sets (id, set) -> id, n, ordered: its members from the rarest on; what rarity (g, c) doesn't have comes first."""
+    each = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("g")).join(rarity, "g", "left")
+    return each.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "g"))).alias("ordered"))
+
+
+def set_join(left: DataFrame, right: DataFrame, least: float, of: str = "dice") -> DataFrame:
+    """(l, r): pairs of ids of sets (id, set; ids distinct) whose Dice (or Jaccard, of="jaccard") coefficient can be `least` or more, none lost.
+
+    Sets are ordered by the rarity of their members on the right. Two sets that are alike enough share one
+    of the first n - need + 1 members of each, need being the least overlap at the length of either alone; so commoner
+    members are no keys at all. Of pairs that meet, those go whose lengths differ too much, or whose
+    members after the first common one are too few for the overlap that both lengths ask for.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be over 0 and at most 1")
+    part = least / (2 - least) if of == "dice" else least
+    joint = least / 2 if of == "dice" else least / (1 + least)
+    up = lambda c: F.ceil(c - 1e-9)
+    rarity = right.select(F.explode("set").alias("g")).groupBy("g").agg(F.count("*").alias("c"))
+
+    def keys(sets: DataFrame, name: str) -> DataFrame:
+        prefix = F.slice("ordered", 1, (F.col("n") - up(F.col("n") * part) + 1).cast("int"))
+        return _ordered(sets, rarity).select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.posexplode(prefix).alias(f"at_{name}", "x")).select(name, f"n_{name}", f"at_{name}", F.col("x.g").alias("g"))
+
+    met = keys(left, "l").join(keys(right, "r"), "g").where((F.col("n_l") >= F.col("n_r") * part - 1e-9) & (F.col("n_r") >= F.col("n_l") * part - 1e-9))
+    first = met.groupBy("l", "r").agg(F.first("n_l").alias("n_l"), F.first("n_r").alias("n_r"), F.min("at_l").alias("i"), F.min("at_r").alias("j"))
+    return first.where(F.least(F.col("n_l") - F.col("i"), F.col("n_r") - F.col("j")) >= up((F.col("n_l") + F.col("n_r")) * joint)).select("l", "r")
+
+
+def contained(small: DataFrame, large: DataFrame) -> DataFrame:
+    """(small, large): pairs of texts of which the large contains the small, met through the small one's rarest trigram of letters and digits; texts without one aren't met.
+
+    small, large: text, and low, what is compared.
+    """
+    grams = large.select(F.col("text").alias("large"), F.col("low").alias("_large"), F.explode(names.grams(F.col("low"))).alias("g"))
+    rarity = grams.groupBy("g").agg(F.count("*").alias("c"))
+    each = small.select(F.col("text").alias("small"), F.col("low").alias("_small"), F.explode(names.grams(F.col("low"))).alias("g")).join(rarity, "g", "left")
+    rarest = each.groupBy("small", "_small").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "g"))["g"].alias("g"))
+    return rarest.join(grams, "g").where(F.contains("_large", "_small")).select("small", "large").distinct()
+
+
+def may_score(left: DataFrame, l_name: str, right: DataFrame, r_name: str, extra: list[str], least: float) -> DataFrame:
+    """Distinct pairs among which are all that names.name_score gives `least` or more (over 10): by what each of its routes needs for that.
+
+    Trigrams alike (a Dice coefficient of least / 60, or 0.8 if that is less), words alike (a Jaccard coefficient of
+    (least - 10) / 60), or one text in the other; left names are trimmed for that.
+    """
+    if least <= 10:
+        raise ValueError("least must be over 10: nearly every pair of names scores that")
+    low = lambda c: F.lower(F.trim(c))
+    a = written(left.select(l_name).distinct().withColumn("low", low(F.col(l_name))), "asked")
+    b = written(right.select(r_name, *extra).distinct(), "named")
+    n = b.select(F.col(r_name).alias("id")).distinct()
+    sets = lambda df, c, f: df.select("id", f(F.col(c)).alias("set")).where("size(set) > 0")
+    q = a.select(F.col("low").alias("id")).distinct()
+    dice, words = min(least / 60, 0.8), min(max((least - 10) / 60, 1e-6), 1.0)
+    by_name = set_join(sets(q, "id", names.grams), sets(n, "id", names.grams), dice)
+    bare = n.where(F.col("id").contains("("))
+    by_name = by_name.union(set_join(sets(q, "id", names.grams), sets(bare, "id", lambda c: names.grams(names.without_brackets(c))), dice))
+    by_name = by_name.union(set_join(sets(q, "id", names.tokens), sets(n, "id", names.tokens), words, "jaccard"))
+    text = lambda df, c, l: df.select(F.col(c).alias("text"), l.alias("low"))
+    asked, named = text(q, "id", F.col("id")), text(n, "id", F.lower("id"))
+    by_name = by_name.union(contained(asked, named)).union(contained(named, asked).select("large", "small"))
+    found = by_name.toDF("low", r_name).distinct().join(b, r_name)
+    if extra:
+        whole = b.select(F.concat_ws(" ", *extra).alias("_text"), *extra).distinct()
+        ids = contained(asked, text(whole, "_text", F.lower("_text"))).toDF("low", "_text").join(whole, "_text").join(b, extra)
+        found = found.unionByName(ids.drop("_text"))
+    met = found.join(a, "low").select(l_name, r_name, *extra)
+    return met.unionByName(_short(left, l_name, right, r_name, extra)).distinct()
 
 
 def dice_join(left: DataFrame, l_name: str, right: DataFrame, r_name: str, above: float, extra: list[str]) -> DataFrame:

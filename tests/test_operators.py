@@ -193,3 +193,31 @@ def test_name_warnings(spark):
 def test_screen_puts_the_safest_first(spark):
     hits = spark.createDataFrame([("k", "15-HETE", "5,15-DiHETE", 1), ("k", "15-HETE", None, 2), ("k", "15-HETE", "15-HETE", 3)], "key string, name string, gem_name string, rank int")
     assert [(r.rank, r.verdict) for r in species.screen(hits, "name", "gem_name").orderBy("place").collect()] == [(3, "ok"), (1, "conflict"), (2, "unknown")]
+
+
+@pytest.mark.parametrize("of, least", [("dice", 0.5), ("dice", 0.8), ("dice", 1.0), ("jaccard", 1 / 3), ("jaccard", 0.05)])
+def test_set_join_loses_no_pair(spark, of, least):
+    rng = random.Random(6)
+    pool = [f"g{min(rng.randint(0, 40), rng.randint(0, 40))}" for _ in range(400)]
+    sets = [set(rng.sample(pool, rng.randint(1, 14))) for _ in range(120)]
+    a, b = [(f"a{k}", sorted(s)) for k, s in enumerate(sets[:60])], [(f"b{k}", sorted(s)) for k, s in enumerate(sets[60:] + sets[:5])]
+    met = {(r.l, r.r) for r in blocking.set_join(*[spark.createDataFrame(x, "id string, set array<string>") for x in (a, b)], least, of).collect()}
+    shared = lambda x, y: len(set(x) & set(y))
+    like = lambda x, y: 2 * shared(x, y) / (len(x) + len(y)) if of == "dice" else shared(x, y) / len(set(x) | set(y))
+    want = {(i, j) for i, x in a for j, y in b if like(x, y) >= least - 1e-12}
+    assert want <= met and (least < 0.5 or len(met) < sum(shared(x, y) > 0 for _, x in a for _, y in b) / 2)
+
+
+def test_may_score_finds_what_scores(spark):
+    from resolvent.functions import names
+
+    rng = random.Random(12)
+    part = ["glucose", "phosphate", "acid", "D", "6", "lyso", "PC", "(16:0)", "(R)", "2", "PG", "acetyl", "-", "spermine", "a", "ß"]
+    said = sorted({"".join(rng.choice(["", " ", "-"]) + rng.choice(part) for _ in range(rng.randint(1, 5))).strip() for _ in range(150)})
+    q = spark.createDataFrame([(x,) for x in said[:50]] + [("2PGA",), ("pg",), ("B7_c",), ("",), (" glucose ",)], "query string")
+    n = spark.createDataFrame([(x, f"B{k}", f"B{k}_c B{k}_m") for k, x in enumerate(said[30:])], "name string, base string, ids string")
+    score = names.name_score(names.name_parts(F.trim("query")), names.name_parts(F.col("name")), F.col("base"), F.col("ids"))["score"]
+    for least in (20.0, 30.0, 60.0, 95.0):
+        want = {(r.query, r.base) for r in q.where("query <> ''").crossJoin(n).where(score >= least).select("query", "base").collect()}
+        met = {(r.query, r.base) for r in blocking.may_score(q, "query", n, "name", ["base", "ids"], least).collect()}
+        assert want <= met
