@@ -29,59 +29,113 @@ _SILENT, _BLOCK = {"script", "style", "template", "noscript"}, {"p", "div", "li"
 SEQUENCE = "array<struct<position: int, kind: string, text: string, ref: string, caption: string>>"
 
 
+def _ref(a: dict) -> str | None:
+    """The medium that an element shows: src, else what scripts would load later, else the first of its sizes."""
+    sizes = (a.get("srcset") or a.get("data-srcset") or "").split(",")[0].split()
+    return next((x.strip() for x in (a.get("src"), a.get("data-src"), *sizes[:1]) if x and x.strip()), None)
+
+
 class _Reader(HTMLParser):
+    """Items in page order. A figure's captions, wherever in it they stand, go to its media when it ends; figures may be nested.
+
+    A caption ends with its element, its figure or the page. Captions that no medium takes are text,
+    and so is what follows the first block of a caption that only the end of the page closes.
+    """
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out: list[dict] = []
         self.said: list[str] = []
-        self.silent, self.figure, self.caption = 0, None, None
+        self.silent = 0
+        self.figures: list[tuple[int, list[str]]] = []  # where each open one begins, and its captions
+        self.caption: list[list[str]] | None = None  # blocks of the open one
 
-    def flush(self) -> None:
-        if said := " ".join("".join(self.said).split()):
+    def text(self, said: str) -> None:
+        if said:
             self.out.append({"kind": "text", "text": said, "ref": None, "caption": None})
+
+    def flush(self) -> None:
+        self.text(" ".join("".join(self.said).split()))
         self.said = []
 
+    def block(self) -> None:
+        if self.caption is None:
+            self.flush()
+        else:
+            self.caption.append([])
+
+    def medium(self, ref: str | None, alt: str | None) -> None:
+        if ref:
+            self.flush()
+            self.out.append({"kind": "media", "text": None, "ref": ref, "caption": alt or None, "own": False})
+
+    def end_caption(self, whole: bool = True) -> None:
+        if self.caption is None:
+            return
+        blocks = [x for part in self.caption if (x := " ".join("".join(part).split()))]
+        self.caption = None
+        said = " ".join(blocks) if whole else (blocks or [""])[0]
+        if self.figures and said:
+            self.figures[-1][1].append(said)
+        else:
+            self.text(said)
+        for x in () if whole else blocks[1:]:
+            self.text(x)
+
+    def end_figure(self) -> None:
+        start, captions = self.figures.pop()
+        said = " ".join(captions)
+        takers = [x for x in self.out[start:] if x["kind"] == "media" and not x["own"]] if said else []
+        for x in takers:
+            x["caption"], x["own"] = said, True
+        if not takers:
+            self.text(said)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _SILENT:
             self.silent += 1
         if tag in _BLOCK:
-            self.flush()
+            self.block()
         if tag == "figure":
-            self.figure = len(self.out)
+            self.end_caption()
+            self.figures.append((len(self.out), []))
         if tag == "figcaption":
+            self.end_caption()
             self.flush()
-            self.caption = []
-        a = dict(attrs)
-        if tag in ("img", "audio", "video", "source") and a.get("src"):
-            self.flush()
-            self.out.append({"kind": "media", "text": None, "ref": a["src"], "caption": a.get("alt") or None})
+            self.caption = [[]]
+        if tag in ("img", "audio", "video", "source"):
+            a = dict(attrs)
+            self.medium(a.get("poster"), None)
+            self.medium(_ref(a), a.get("alt"))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _SILENT and self.silent:
             self.silent -= 1
+        if tag == "figcaption" or tag == "figure" and self.figures:
+            self.end_caption()
         if tag in _BLOCK:
-            self.flush()
-        if tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            for x in self.out[self.figure :] if self.figure is not None and said else ():
-                if x["kind"] == "media":
-                    x["caption"] = said
-            self.caption = None
-        if tag == "figure":
-            self.figure = None
+            self.block()
+        if tag == "figure" and self.figures:
+            self.end_figure()
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
-            (self.said if self.caption is None else self.caption).append(data)
+            (self.said if self.caption is None else self.caption[-1]).append(data)
+
+    def end(self) -> list[dict]:
+        self.close()
+        self.flush()
+        self.end_caption(whole=False)
+        while self.figures:
+            self.end_figure()
+        return [{"position": k, **{c: x[c] for c in ("kind", "text", "ref", "caption")}} for k, x in enumerate(self.out)]
 
 
 def sequence(page: str | None) -> list[dict]:
-    """Text and media of a page in order; a figure's caption goes to its media. Null or empty: nothing."""
+    """Text and media of a page in order; a figure's captions go to its media. Null or empty: nothing."""
     reader = _Reader()
     reader.feed(page or "")
-    reader.close()
-    reader.flush()
-    return [{"position": k, **x} for k, x in enumerate(reader.out)]
+    return reader.end()
 
 
 def _read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
