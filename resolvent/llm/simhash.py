@@ -139,13 +139,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable by links).
 
     One row for each row of docs. Null, empty and wordless texts have fingerprint zero and are
-    linked like any other. Rows with the same text share a fingerprint and so a component. A null
-    doc_id keeps its row; it never is a component_id unless no other id is in reach.
+    linked like any other. Rows with the same text share a fingerprint and so a component. Rows
+    without a doc_id are linked too and may join others; their component_id is null only if no row with an id is in reach.
     """
     fps = materialize(fingerprints(docs), "fingerprints")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    most = nodes.agg(F.max("node").alias("top"), F.count_if(F.col("node").isNull()).alias("none")).first()
+    if most.none:  # fingerprints of rows without ids alone: numbers above every id (left out where a long has none above)
+        nodes = materialize(nodes.withColumn("node", F.coalesce("node", F.try_add(F.lit(-1 if most.top is None else most.top), F.monotonically_increasing_id() + 1))), "nodes")
     found = components(links(nodes.where("node is not null")))
     named = nodes.join(found.select(F.col("u").alias("node"), F.col("v").alias("low")), "node", "left").select(F.col("fp").alias("n_fp"), F.coalesce("low", "node").alias("component_id"))
+    if most.none:
+        named = named.withColumn("component_id", F.when(F.col("component_id") <= F.lit(most.top).cast("long"), F.col("component_id")))
     return fps.join(named, F.col("fp") == F.col("n_fp"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
