@@ -24,7 +24,9 @@ from .common import bucket, plain, texts, tune
 
 #: Training bounds per language: rows fetched, characters of a row's text, characters in the automaton, characters that set its own rate.
 SAMPLE_ROWS, ROW_CHARS, AUTOMATON_CHARS, RATE_CHARS = 60, 4_000, 16_000, 16_000
-ALPHABET, BLOCK, LANES, UNKNOWN = 62, 1024, 4096, "und"
+BLOCK, LANES, UNKNOWN = 1024, 4096, "und"
+#: Letters of a language with a class of their own, and classes that its other letters share by a hash.
+OWN, SHARED = 126, 126
 #: How much a phrase rate above the best counts in the score.
 SHARPNESS = 12.0
 #: Phrases that a text of any language may need beyond what its length explains, and the excess over which it is in no learned language.
@@ -41,28 +43,31 @@ def _codes(text: str) -> np.ndarray:
 
 
 class Classes:
-    """Characters as small numbers: 0 for runs of what is no letter, 1 for rare letters, then the commonest."""
+    """Characters as small numbers, for one language: 0 is no letter, 1 a letter that its text doesn't have; then its commonest letters, and the others by a hash."""
 
-    def __init__(self, sample: list[str]):
-        count = Counter(c for t in sample for c in t.lower() if c.isalpha())
+    def __init__(self, sample: str):
+        count = Counter(c for c in sample.lower() if c.isalpha())
         self.table = np.where(_letters(), 1, 0).astype(np.uint8)
-        for k, (c, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 2]):
-            self.table[ord(c)] = k + 2
+        for k, (c, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))):
+            self.table[ord(c)] = 2 + (k if k < OWN else OWN + (ord(c) * 2_654_435_761 >> 12) % SHARED)
+        self.width = int(self.table.max()) + 1
 
     def __call__(self, codes: np.ndarray) -> np.ndarray:
         return self.table[codes]
 
 
-def _squeezed(c: np.ndarray) -> np.ndarray:
-    keep = c > 0
-    keep[1:] |= c[:-1] > 0
+def _squeezed(text: str) -> np.ndarray:
+    """Code points of the text in lower case; of each run of what is no letter only the first stays, if a letter comes before it."""
+    c = _codes(text)
+    keep = _letters()[c]
+    keep[1:] |= keep[:-1].copy()
     return c[keep]
 
 
-def suffix_automaton(s: list[int]) -> np.ndarray:
-    """Transitions of the automaton of all substrings of s, as a flat table of state * ALPHABET + class.
+def suffix_automaton(s: list[int], width: int) -> np.ndarray:
+    """Transitions of the automaton of all substrings of s, as a flat table of state * width + class, for classes below width.
 
-    Entries are premultiplied by ALPHABET; the start is 0 and no transition leads there, so 0 means none.
+    Entries are premultiplied by width; the start is 0 and no transition leads there, so 0 means none.
     """
     go, link, length, last = [{}], [-1], [0], 0
     for c in s:
@@ -88,20 +93,20 @@ def suffix_automaton(s: list[int]) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.zeros(len(go) * ALPHABET, np.int32)
+    table = np.zeros(len(go) * width, np.int32)
     order = np.argsort(np.array(length), kind="stable")  # states of short matches, the commonest, side by side
     place = np.empty(len(go), np.int64)
     place[order] = np.arange(len(go))
     for state, moves in enumerate(go):
         for c, to in moves.items():
-            table[place[state] * ALPHABET + c] = place[to] * ALPHABET
+            table[place[state] * width + c] = place[to] * width
     return table
 
 
-def _phrases(table: np.ndarray, steps: np.ndarray, active: np.ndarray) -> np.ndarray:
+def _phrases(table: np.ndarray, width: int, steps: np.ndarray, active: np.ndarray) -> np.ndarray:
     """Phrases of each lane: steps[t, lane] is its t-th class, active[t] lanes (the first ones) have one."""
     n = steps.shape[1]
-    state, count, root = np.zeros(n, np.int32), np.zeros(n, np.int32), table[:ALPHABET].copy()
+    state, count, root = np.zeros(n, np.int32), np.zeros(n, np.int32), table[:width].copy()
     for t, k in enumerate(active.tolist()):
         c = steps[t, :k]
         s = state[:k]
@@ -117,8 +122,8 @@ class Model:
 
     def __init__(self, names: list[str], automaton: list[str], rate: list[str]):
         self.names = names
-        self.classes = Classes(automaton)
-        self.tables = [suffix_automaton(_squeezed(self.classes(_codes(t))).tolist()) for t in automaton]
+        self.classes = [Classes(t) for t in automaton]
+        self.tables = [suffix_automaton(c(_squeezed(t)).tolist(), c.width) for c, t in zip(self.classes, automaton)]
         self.rates = np.ones(len(names))
         for k, t in enumerate(rate):
             n, chars = self.parse([t or automaton[k]])
@@ -127,7 +132,7 @@ class Model:
     def parse(self, found: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases by text and language, and the characters parsed."""
         phrases = np.zeros((len(found), len(self.names)), np.int64)
-        squeezed = [_squeezed(self.classes(_codes(t))) if t else np.zeros(0, np.uint8) for t in found]
+        squeezed = [_squeezed(t) if t else np.zeros(0, np.uint32) for t in found]
         chars = np.array([len(c) for c in squeezed], np.int64)
         if not chars.sum():
             return phrases, chars
@@ -139,13 +144,13 @@ class Model:
             own, start, end = np.array(lanes[at : at + LANES]).T
             order = np.argsort(start - end, kind="stable")
             own, start, size = own[order], start[order], (end - start)[order]
-            steps = np.zeros((len(own), size[0]), np.uint8)
+            steps = np.zeros((len(own), size[0]), np.uint32)
             for row, first, n in zip(steps, start.tolist(), size.tolist()):
                 row[:n] = flat[first : first + n]
             steps = np.ascontiguousarray(steps.T)
             active = np.searchsorted(-size, -np.arange(size[0]), side="left")
-            for k, table in enumerate(self.tables):
-                np.add.at(phrases[:, k], own, _phrases(table, steps, active) + 1)
+            for k, (classes, table) in enumerate(zip(self.classes, self.tables)):
+                np.add.at(phrases[:, k], own, _phrases(table, classes.width, classes(steps), active) + 1)
         return phrases, chars
 
     def predict(self, found: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:

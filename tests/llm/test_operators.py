@@ -53,6 +53,22 @@ def test_components(spark):
     assert found == {k: 0 for k in range(1, 41)} | {k: 100 for k in range(101, 130)} | {201: 200}
 
 
+@pytest.mark.parametrize("data, want", [
+    ([(5, "a b c d"), (None, "a b c d")], [(5, 5), (None, 5)]), ([(None, "a b c"), (None, "a b c"), (None, "q r s t")], [(None, None)] * 3), ([((1 << 63) - 1, "x y z w"), (None, "unlike it at all, quite")], [((1 << 63) - 1, (1 << 63) - 1), (None, None)]),
+])
+def test_simhash_of_rows_without_ids(spark, data, want):
+    got = simhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"))
+    assert rows(got, "doc_id", "component_id") == sorted(want, key=str)
+
+
+def test_a_row_without_id_bridges(spark, monkeypatch):
+    """Fingerprints 0, 7 and 63: the outer two differ in six bits, and only the row between them has no id."""
+    fps = spark.createDataFrame([(9, 0), (4, 63), (None, 7), (None, 0xFF << 50), (30, 0xFF << 20)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: fps)
+    got = rows(simhash.near_duplicates(fps), "doc_id", "component_id")
+    assert got == sorted([(9, 4), (4, 4), (None, 4), (None, None), (30, 30)], key=str)
+
+
 def test_simhash_keeps_one_of_each_group(spark, docs, texts):
     twice = docs.unionByName(docs.where("doc_id < 30"))
     kept = simhash.without_near_duplicates(twice)
@@ -322,6 +338,30 @@ def test_sequences(spark):
     assert {r.id: len(r.sequence) for r in media.sequences(df).collect()} == {1: 6, 2: 0}
 
 
+def shown(page):
+    return [(x["text"] or x["ref"], x["caption"]) for x in media.sequence(page)]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<figure><figcaption>first</figcaption><img src=a alt=old></figure>more", [("a", "first"), ("more", None)]),
+        ("<p>x</p><figure><img src=a><figcaption>open <b>one</b></figure><p>kept</p>", [("x", None), ("a", "open one"), ("kept", None)]),
+        ("<figure><img src=a><figcaption>open<p>lost text</p><p>more", [("a", "open"), ("lost text", None), ("more", None)]),
+        ("<figure><img src=a><figure><img src=b><figcaption>inner</figcaption></figure><figcaption>outer</figcaption></figure>", [("a", "outer"), ("b", "inner")]),
+        ("<figure><figure><img src=b alt=t></figure><figcaption>outer</figcaption></figure>", [("b", "outer")]),
+        ("<figcaption>alone</figcaption><p>x", [("alone", None), ("x", None)]),
+        ("<figure><p>only text</p><figcaption>said</figcaption></figure>", [("only text", None), ("said", None)]),
+        ("<figure><img src=a><figcaption>one</figcaption><figcaption>two<p>three</p></figcaption></figure>", [("a", "one two three")]),
+        ("<picture><source srcset='b.webp 1x, c.webp 2x'><img data-src=d alt=e></picture><video poster=p src=v></video><img srcset=' '>", [("b.webp", None), ("d", "e"), ("p", None), ("v", None)]),
+        ("</figure></figcaption>x<figure>", [("x", None)]),
+        ("<figure><figcaption>a<figcaption>b<img src=m>", [("m", "a b")]),
+    ],
+)
+def test_malformed_and_reordered_pages(page, want):
+    assert shown(page) == want
+
+
 # ---------------------------------------------------------------- substring dedup
 
 
@@ -510,10 +550,35 @@ def test_equal_rates_go_to_the_first_language(spark):
     assert {r.lang_pred for r in got} == {"aa"} and len(got) == len(data) and all((r.held_out is None) == (r.doc_id is None) for r in got)
 
 
+SCRIPTS = {
+    "en": "the stone by the river was quiet and the lantern hung over amber water in winter",
+    "ru": "тихий камень у реки и фонарь над янтарной водой зимой в старой гавани",
+    "el": "η ήσυχη πέτρα δίπλα στο ποτάμι και το φανάρι πάνω από το νερό τον χειμώνα",
+    "zh": "河边的石头很安静冬天灯笼挂在琥珀色的水面上旧港口里纸信号慢慢地亮着人们说着话走过桥去买米和茶",
+    "ja": "川辺の石は静かで冬には琥珀色の水の上にランタンが吊るされ古い港では紙の信号がゆっくりと光っていた",
+    "ko": "강가의 돌은 조용했고 겨울에는 호박빛 물 위에 등불이 걸려 있었다 오래된 항구에서",
+}
+
+
+def test_scripts_beside_one_another(spark):
+    """Each language has an alphabet of its own: one script's letters don't crowd out another's."""
+    rng = random.Random(3)
+    cut = lambda t, n: "".join(t[i : i + 6] for i in (rng.randrange(max(1, len(t) - 6)) for _ in range(n)))
+    data = [(100 * k + j, cut(t, 40), lang) for k, (lang, t) in enumerate(SCRIPTS.items()) for j in range(60)]
+    got = {r.doc_id: r for r in langid.predict_languages(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
+    assert all(got[d].lang_pred == lang for d, _, lang in data if got[d].held_out) and sum(r.held_out for r in got.values()) > 80
+
+
+def test_letters_beyond_the_own_classes_share_some():
+    c = langid.Classes("".join(chr(0x4E00 + k) for k in range(900)))
+    codes = np.arange(0x4E00, 0x4E00 + 1000)
+    assert c.width <= 256 and set(c(codes[900:])) == {1} and min(c(codes[:900])) == 2 and len(set(c(codes[: langid.OWN]))) == langid.OWN
+
+
 def test_cross_parsing_counts_greedy_phrases():
     rng = random.Random(8)
     sample = [rng.randint(0, 3) for _ in range(300)]
-    table = langid.suffix_automaton(sample)
+    table = langid.suffix_automaton(sample, 5)
     known = {tuple(sample[i:j]) for i in range(len(sample)) for j in range(i + 1, min(len(sample), i + 40) + 1)}
     for _ in range(20):
         text = [rng.randint(0, 4) for _ in range(rng.randint(1, 60))]
@@ -524,7 +589,7 @@ def test_cross_parsing_counts_greedy_phrases():
                 j += 1
             n, i = n + 1, j
         steps = np.array(text, np.uint8)[:, None]
-        got = int(langid._phrases(table, steps, np.ones(len(text), np.int64))[0]) + (tuple(text[:1]) in known)
+        got = int(langid._phrases(table, 5, steps, np.ones(len(text), np.int64))[0]) + (tuple(text[:1]) in known)
         # a class that the sample lacks ends a phrase of its own
         lost = sum(c == 4 for c in text)
         assert n <= got + lost and got <= n + lost + 1
