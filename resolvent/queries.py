@@ -16,6 +16,8 @@ from .plans.written import shared_folder, written
 from .sources import domain as D
 from .sources import ledger, readers
 from .sources.store import Store
+from .streaming import decisions as log
+from .streaming import flags
 from .vocab import ADDUCTS, ARTIFACTS, CAUSES, CAVEATS, CLASS_OF_ORIGIN, CLASSES, DEFAULT_ADDUCTS, FLAGS, INDIRECT, MAPPED_RELATIONS, NAMESPACES, ORIGINS, PRIMARY, REASON_WORDS, ROUTES, TIERS, TRIVIAL_RATIONALES, XENOBIOTICS
 
 #: The label of the model whose species are the rows of `customer`.
@@ -982,6 +984,25 @@ def a5_flag_summary(spark, sf_dir):
     return audit.flag_summary(_states(*_ledger(spark, sf_dir)))
 
 
+@query(_CONDITIONS + """ SELECT flag, count(*) FILTER (state = 'open') AS open, count(*) FILTER (state = 'acknowledged') AS acknowledged, count(*) FILTER (state = 'self_resolved') AS self_resolved FROM states GROUP BY flag""")
+def fl_stream(spark, sf_dir):
+    """FL1-FL8, W2: the flag summary from a stream of all events, by the state that it keeps of each feature."""
+    c = written(D.candidates(spark, sf_dir).drop("raw_id", "query"), "candidates")
+    a = written(D.accepted(spark, sf_dir, c), "accepted")
+    e = written(D.entries(spark, sf_dir, a), "entries")
+    where = f"{shared_folder(spark)}/resolvent/flags-{uuid.uuid4().hex}"
+    stream = flags.states(D.decisions(spark, sf_dir, a, log.read(spark, f"{sf_dir}/events.parque[t]")), audit.held(e))
+    before = spark.conf.get(flags.PROVIDER[0], None)
+    spark.conf.set(*flags.PROVIDER)
+    try:
+        append = lambda df, _: df.write.mode("append").parquet(f"{where}/out")
+        stream.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(flags.PROVIDER[0]) if before is None else spark.conf.set(flags.PROVIDER[0], before)
+    few = written(flags.as_decisions(flags.latest(spark.read.schema(flags.OUTPUT).parquet(f"{where}/out"))), "decisions")
+    return audit.flag_summary(_states(e, c, few))
+
+
 @query(_CONDITIONS + f""", {_NORMAL}, op AS (SELECT ordinal, string_agg(DISTINCT flag, ';' ORDER BY flag) AS flags FROM states WHERE state = 'open' GROUP BY ordinal)
 SELECT e.feature_id, e.name AS original_name, display AS normalized, coalesce(final_class, '') AS final_class, coalesce(origin, '') AS origin, coalesce(confidence, '') AS confidence, {", ".join(f"coalesce({d}, '') AS {d}" for d in NAMESPACES)},
 CASE WHEN relation IS NULL THEN '' ELSE '{MODEL}' END AS gem_model, coalesce(mam, '') AS gem_mam, coalesce(relation, '') AS gem_relation, CASE WHEN relation NOT IN ('exact', 'class-proxy', 'isomer-surrogate') THEN relation ELSE '' END AS gem_cause, coalesce(flags, '') AS flags,

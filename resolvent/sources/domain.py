@@ -101,11 +101,11 @@ def entries(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) ->
     )
 
 
-def decisions(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> DataFrame:
-    """ordinal, seq, ts, action, db, id, verdict, db_resolution, rationale; two ids of three are the accepted one of their namespace."""
+def decisions(spark: SparkSession, sf_dir: str, held: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
+    """events: a stream of the events in place of their table. ordinal, seq, ts, action, db, id, verdict, db_resolution, rationale; two ids of three are the accepted one of their namespace."""
     k = F.col("event_id")
     action = F.element_at(F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv]), F.col("event_type"))
-    rows = read(spark, sf_dir, "events").select(
+    rows = (read(spark, sf_dir, "events") if events is None else events).select(
         F.col("user_id").alias("ordinal"), k.alias("seq"), "ts", action.alias("action"), pick(NAMESPACES, k % 5).alias("db"),
         pick(RATIONALES, k % len(RATIONALES)).alias("rationale"), F.col("props"),
     )

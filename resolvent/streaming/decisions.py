@@ -9,6 +9,7 @@ SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value do
 
 
 def read(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
+    """The events under a folder or a pattern (of a single file, a pattern that names it) as a stream."""
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 

@@ -198,3 +198,37 @@ def test_merge_into_a_table_that_was_written_whole(spark, tmp_path):
     s.commit({"t": df((1, "a"), (2, "a"))}, 0)
     s.merge("t", df((2, "b"), (3, "b")), ["k"], 1)
     assert sorted(map(tuple, s.read("t").collect())) == [(1, "a"), (2, "b"), (3, "b")]
+
+
+def test_flag_states_go_on_after_a_restart(spark, tmp_path):
+    """Two runs over one checkpoint give what all decisions give at once; of each kind the last five are remembered."""
+    import random
+
+    from resolvent.streaming import flags
+
+    rng = random.Random(4)
+    held = spark.createDataFrame([(k, "kegg", f"C{k}") for k in range(6)], "ordinal long, db string, id string")
+    rows = [(rng.randint(0, 6), s, rng.choice(["accept", "backcheck", "view", None]) if s > 60 else "backcheck", "kegg", f"C{rng.randint(0, 2)}", rng.choice(["ok", "conflict", "class-level", None]), rng.choice(["class", "species"])) for s in range(120)] + [(None, 500, "accept", "kegg", "C1", None, None)]
+    schema = "ordinal long, seq long, action string, db string, id string, verdict string, db_resolution string"
+    spark.conf.set(*flags.PROVIDER)
+
+    def run():
+        q = flags.states(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), held).writeStream.outputMode("update")
+        q.foreachBatch(lambda df, _: df.write.mode("append").parquet(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+
+    spark.createDataFrame(rows[:50], schema).write.parquet(f"{tmp_path}/in")
+    run()
+    spark.createDataFrame(rows[50:], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    spark.conf.unset(flags.PROVIDER[0])
+    got = {r.ordinal: r for r in flags.latest(spark.read.parquet(f"{tmp_path}/out")).collect()}
+    for k in range(7):
+        own = [r for r in rows if r[0] == k and r[2]]
+        checks = [r for r in own if r[2] == "backcheck" and k < 6 and r[4] == f"C{k}"]
+        if own:
+            assert got[k].n == len(own) and got[k].redecided == any(r[2] == "accept" for r in own)
+            assert got[k].conflicts == sorted({f"kegg={r[4]}" for r in checks if r[5] == "conflict"}) and got[k].classes == sorted({f"kegg={r[4]}" for r in checks if r[5] == "class-level" or r[6] == "class"})
+            assert got[k].history == ";".join(sorted(f"{a}:{','.join(map(str, [r[1] for r in own if r[2] == a][-5:]))}" for a in {r[2] for r in own}))
+    assert set(got) == {r[0] for r in rows if r[0] is not None and r[2]}
+    said = {tuple(r) for r in flags.as_decisions(spark.createDataFrame([(1, True, ["kegg=C=1"], [], 3, "")], flags.OUTPUT)).collect()}
+    assert said == {(1, "accept", None, None, None, None), (1, "backcheck", "kegg", "C=1", "conflict", None)}
