@@ -48,6 +48,22 @@ def intersections(members: DataFrame) -> DataFrame:
     return members.groupBy(*has).agg(F.count("*").alias("n"), F.min("feature_id").alias("first"))
 
 
+def totals(members: DataFrame) -> DataFrame:
+    """namespaces, size, n, kind: the features that have all of a set of namespaces, for every set that some feature has. One pass: the exact combinations, at most 32, are rolled up by a cube."""
+    has = [f"has_{d}" for d in NAMESPACES]
+    rolled = members.groupBy(*has).agg(F.count("*").alias("c")).cube(*has).agg(F.sum("c").alias("n"))
+    inclusive = rolled.where(" and ".join(f"coalesce({h}, true)" for h in has))  # of each namespace those that have it, or all
+    size = sum(F.coalesce(h, F.lit(False)).cast("int") for h in has)
+    kind = F.when(size == 0, "total").when(size == len(has), "all_five").when(size == 1, "with_id").otherwise("intersection")
+    return inclusive.select(F.concat_ws(";", *[F.when(F.col(h), F.lit(d)) for h, d in zip(has, NAMESPACES)]).alias("namespaces"), size.alias("size"), "n", kind.alias("kind"))
+
+
+def most_common(said: DataFrame) -> DataFrame:
+    """list, value, ordinal -> list, value, n, first, rank: per list the commonest first, of equals the one that came first."""
+    w = Window.partitionBy("list").orderBy(F.col("n").desc(), "first")
+    return said.groupBy("list", "value").agg(F.count("*").alias("n"), F.min("ordinal").alias("first")).withColumn("rank", F.row_number().over(w))
+
+
 def improvement(entries: DataFrame, candidates: DataFrame) -> DataFrame:
     """metric, baseline, after: features with an id per namespace, with a primary one and in the model, by the first pass alone and at the end; and the classes at the end."""
     first = candidates.where("id is not null and source = 'metaboanalyst'").groupBy("ordinal").pivot("db", NAMESPACES).agg(F.lit(True)).select("ordinal", *[F.coalesce(d, F.lit(False)).alias(f"b_{d}") for d in NAMESPACES])

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import formula, ids, names, variants, verdict
-from .gold import GOLD, SPELLINGS
+from .functions import formula, ids, names, sql, variants, verdict
+from .gold import SPELLINGS
 from .operators import assign, audit, collide, report, resolve, species
 from .oracles import PRELUDE, canon, verdicts
 from .plans.written import shared_folder, written
@@ -111,6 +111,13 @@ def a6_upset(spark, sf_dir):
     return report.intersections(report.membership(D.entries(spark, sf_dir), D.candidates(spark, sf_dir)))
 
 
+@query(f""", {_HELD} {_MEMBERS}, bits AS (SELECT {" + ".join(f"CASE WHEN {d} IS NOT NULL THEN {1 << k} ELSE 0 END" for k, d in enumerate(NAMESPACES))} AS b FROM m), masks AS (SELECT unnest(range(0, 32)) AS k)
+SELECT concat_ws(';', {", ".join(f"CASE WHEN k & {1 << k} > 0 THEN '{d}' END" for k, d in enumerate(NAMESPACES))}) AS namespaces, bit_count(k)::INT AS size, count(*) AS n, CASE WHEN k = 0 THEN 'total' WHEN k = 31 THEN 'all_five' WHEN bit_count(k) = 1 THEN 'with_id' ELSE 'intersection' END AS kind FROM bits JOIN masks ON b & k = k GROUP BY k""")
+def a6_totals(spark, sf_dir):
+    """Features that have all of some namespaces, for every set of them: the total, those with each, inclusive intersections, all five."""
+    return report.totals(report.membership(D.entries(spark, sf_dir), D.candidates(spark, sf_dir)))
+
+
 _IMPROVED = f""", {_HELD}, u AS (SELECT ordinal, db FROM held UNION SELECT ordinal, db FROM candidates WHERE id IS NOT NULL),
 bb AS (SELECT ordinal, {", ".join(f"bool_or(db = '{d}') AS b_{d}" for d in NAMESPACES)} FROM candidates WHERE id IS NOT NULL AND source = 'metaboanalyst' GROUP BY ordinal),
 aa AS (SELECT ordinal, {", ".join(f"bool_or(db = '{d}') AS a_{d}" for d in NAMESPACES)} FROM u GROUP BY ordinal),
@@ -257,9 +264,19 @@ def p14_next_step(spark, sf_dir):
     return report.next_step(D.entries(spark, sf_dir), D.candidates(spark, sf_dir))
 
 
-@query("""SELECT origin, relation, count(*) AS n, min(ordinal) AS first FROM entries WHERE origin IS NOT NULL AND relation IS NOT NULL GROUP BY origin, relation""")
+_SAID = f"""SELECT 'exogenous' AS list, category AS value, ordinal FROM sa WHERE final_class = 'exogenous' UNION ALL SELECT 'excluded', category, ordinal FROM sa WHERE final_class <> 'exogenous'
+UNION ALL SELECT 'model', coalesce(relation, CASE WHEN mam IS NOT NULL THEN 'unspecified' ELSE 'not-evaluated' END), ordinal FROM entries WHERE relation IS NOT NULL OR mam IS NOT NULL OR final_class IN ('KEGG-mapped', 'HMDB-mapped', 'exogenous')"""
+
+
+@query(f""", {_HISTORY}, sr AS (SELECT *, coalesce(last_call, last_rationale, '') AS reason FROM entries LEFT JOIN history USING (ordinal) WHERE final_class IN ('exogenous', 'xenobiotic-excluded')), sa AS (SELECT ordinal, final_class, coalesce(nullif(origin, 'endogenous'), {_origin("name")}, {_REASON}) AS category FROM sr),
+sy AS (SELECT list, value, count(*) AS n, min(ordinal) AS first FROM ({_SAID}) GROUP BY list, value) SELECT *, row_number() OVER (PARTITION BY list ORDER BY n DESC, first)::INT AS rank FROM sy""")
 def a10_most_common(spark, sf_dir):
-    return D.entries(spark, sf_dir).where("origin is not null and relation is not null").groupBy("origin", "relation").agg(F.count("*").alias("n"), F.min("ordinal").alias("first"))
+    """A10: of the kept and the excluded the categories, of the model's answers the relations, commonest first, of equals the one seen first."""
+    e = written(D.entries(spark, sf_dir), "entries")
+    at = e.select("feature_id", "ordinal")
+    apart = report.set_apart(e, resolve.latest(D.decisions(spark, sf_dir))).join(at, "feature_id").select(F.when(F.col("final_class") == "exogenous", "exogenous").otherwise("excluded").alias("list"), F.col("category").alias("value"), "ordinal")
+    answers = report.model_curation(e, model(spark, sf_dir), MODEL).join(at, "feature_id").select(F.lit("model").alias("list"), F.col("relation").alias("value"), "ordinal")
+    return report.most_common(apart.unionByName(answers))
 
 
 # ------------------------------------------------------------------ names, ids, scalar functions
@@ -719,20 +736,42 @@ def f21_variants(spark, sf_dir):
     return variants.expand(D.features(spark, sf_dir).select("name").distinct(), "name")
 
 
+@query(f""", {_SPELLED}, sn AS (SELECT feature_id, name FROM features) SELECT feature_id, lower(name) AS said, place AS position, query AS variant, {canon("'hmdb'", "'HMDB' || (place * 7 + 1)")} AS padded FROM sn JOIN sv USING (name)""")
+def x2_spellings_in_sql(spark, sf_dir):
+    """Spellings of every feature's name by the table function, laterally, and ids by SQL functions, all in Spark SQL."""
+    sql.register(spark)
+    return spark.sql(
+        "SELECT feature_id, lower(f.name) AS said, v.position, v.variant, canonical_id('hmdb', concat('HMDB', v.position * 7 + 1)) AS padded FROM {features} f JOIN (SELECT n.name, s.position, s.variant FROM (SELECT DISTINCT name FROM {features}) n, LATERAL spellings(n.name) s) v ON v.name = f.name",
+        features=D.features(spark, sf_dir),
+    )
+
+
+@query(f"""SELECT DISTINCT db, raw_id, {canon("db", "raw_id")} AS id, 'M' || lpad(ordinal::VARCHAR, greatest(4, length(ordinal::VARCHAR))::INT, '0') AS feature_id FROM candidates""")
+def x1_ids_in_sql(spark, sf_dir):
+    """Canonical ids by SQL functions alone."""
+    sql.register(spark)
+    return spark.sql("SELECT DISTINCT db, raw_id, canonical_id(db, raw_id) AS id, feature_id(ordinal) AS feature_id FROM {c}", c=D.candidates(spark, sf_dir))
+
+
 def _suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     gaps = written(QUERIES["j17_p13_gaps"](spark, sf_dir), "gaps")
     return gaps.join(species.suggest(gaps, model(spark, sf_dir)), F.col("name") == F.col("key"))
 
 
-@query(_XWALK + f""", {_NORMAL}, {_SPELLED}, gap AS (SELECT e.ordinal, name FROM entries e WHERE kegg IS NOT NULL AND final_class IN ('KEGG-mapped', 'HMDB-mapped', 'exogenous') AND NOT EXISTS (SELECT 1 FROM xwalk WHERE xwalk.ordinal = e.ordinal)),
+_SUGGESTED = _XWALK + f""", {_NORMAL}, {_SPELLED}, gap AS (SELECT e.ordinal, name FROM entries e WHERE kegg IS NOT NULL AND final_class IN ('KEGG-mapped', 'HMDB-mapped', 'exogenous') AND NOT EXISTS (SELECT 1 FROM xwalk WHERE xwalk.ordinal = e.ordinal)),
 gn AS (SELECT DISTINCT name AS key, display FROM gap JOIN normal USING (name)), sp AS (SELECT key, 0 AS place, display AS query FROM gn UNION ALL SELECT key, row_number() OVER (PARTITION BY key ORDER BY query), query FROM (SELECT DISTINCT name AS key, query FROM sv JOIN gn ON gn.key = sv.name)),
-{_score_sql("SELECT DISTINCT trim(query) AS query FROM sp")} hits AS (SELECT sp.key, b.base, sp.place + 5 AS pos, x.s AS s, x.k AS k, b.query AS m FROM sp JOIN b ON b.query = trim(sp.query) WHERE x.s >= 30.0), {_RANKED} SELECT ordinal, base, score, kind, matched, rank FROM rk JOIN gap ON name = key WHERE rank <= 6""")
+{_score_sql("SELECT DISTINCT trim(query) AS query FROM sp")} hits AS (SELECT sp.key, b.base, sp.place + 5 AS pos, x.s AS s, x.k AS k, b.query AS m FROM sp JOIN b ON b.query = trim(sp.query) WHERE x.s >= 30.0), {_RANKED}"""
+
+
+@query(_SUGGESTED + """ SELECT ordinal, base, score, kind, matched, rank FROM rk JOIN gap ON name = key WHERE rank <= 6""")
 def j17_suggestions(spark, sf_dir):
     """Species to consider for entries that no id leads to, by name and spellings; each distinct name is searched for once."""
     return _suggestions(spark, sf_dir).select("ordinal", "base", "score", "kind", "matched", "rank")
 
 
-@query()
+@query(_SUGGESTED + f""", sg AS (SELECT ordinal, gap.name AS l, coalesce(model.name, '') AS r, base, score, rank FROM rk JOIN gap ON gap.name = key JOIN model USING (base) WHERE rank <= 6), {verdicts("sg")},
+ju AS (SELECT ordinal, base, score, rank, CASE WHEN r = '' THEN 'unknown' ELSE verdict END AS verdict FROM sg JOIN vd USING (l, r))
+SELECT ordinal, base, score, verdict, row_number() OVER (PARTITION BY ordinal ORDER BY CASE verdict WHEN 'ok' THEN 0 WHEN 'class-level' THEN 1 WHEN 'ambiguous' THEN 2 WHEN 'conflict' THEN 3 ELSE 4 END, rank)::INT AS place FROM ju""")
 def j17_screened(spark, sf_dir):
     """The suggestions with the verdict on their names, safest first."""
     hits = _suggestions(spark, sf_dir).join(model(spark, sf_dir).select("base", F.col("name").alias("gem_name")), "base")
@@ -895,13 +934,11 @@ def o1_safest_first(spark, sf_dir):
     return d.withColumn("place", F.row_number().over(Window.partitionBy("ordinal").orderBy(verdict.rank(F.col("verdict")), "seq")))
 
 
-@query(""", w AS (SELECT ordinal, note, min(seq) AS pos, lower(trim(note)) = 'urocortisol' AS exact FROM candidates WHERE source = 'chebi-ols4' GROUP BY ALL) SELECT ordinal, note, exact, row_number() OVER (PARTITION BY ordinal ORDER BY exact DESC, pos, note)::INT AS place FROM w""")
+@query(""", dn AS (SELECT f.name AS query, note AS label, CASE WHEN db = 'chebi' THEN id WHEN db = 'inchikey' THEN '' ELSE 'CHEBI:' || (seq % 1000) END AS chebi, row_number() OVER (PARTITION BY f.name ORDER BY seq, note, chebi) AS pos, db = 'inchikey' AS anonymous FROM candidates JOIN features f USING (ordinal) WHERE source = 'chebi-ols4' AND id IS NOT NULL)
+SELECT query, chebi, label AS name, lower(trim(label)) = lower(trim(query)) AS exact, row_number() OVER (PARTITION BY query ORDER BY lower(trim(label)) = lower(trim(query)) DESC, pos)::INT AS place FROM dn WHERE NOT anonymous""")
 def o5_s14_exact_first(spark, sf_dir):
-    """Search hits with the exact name first, else in order."""
-    from pyspark.sql import Window
-
-    d = D.candidates(spark, sf_dir).where("source = 'chebi-ols4'").groupBy("ordinal", "note").agg(F.min("seq").alias("pos")).withColumn("exact", F.lower(F.trim("note")) == "urocortisol")
-    return d.select("ordinal", "note", "exact", F.row_number().over(Window.partitionBy("ordinal").orderBy(F.col("exact").desc(), "pos", "note")).alias("place"))
+    """Recorded search answers for every name: hits with an id, the exact name first, else in order."""
+    return readers.term_search(D.search_payloads(spark, sf_dir))
 
 
 @query(f""", t AS (SELECT unnest({_tags("name")}) AS tag, coalesce(final_class IN {_KEPT}, false) AS k FROM entries) SELECT tag, count(*) FILTER (k) AS kept, count(*) FILTER (NOT k) AS excluded, count(*) FILTER (k) > 0 AND count(*) FILTER (NOT k) > 0 AS inconsistent FROM t GROUP BY tag""")
@@ -1097,23 +1134,24 @@ def a14_audit_rollup(spark, sf_dir):
 
 
 
-@query(", g(query, candidate, verdict) AS (VALUES " + ", ".join("('" + "', '".join(r) + "')" for r in GOLD) + ") SELECT g.*, n FROM g JOIN (SELECT name, count(*) AS n FROM features GROUP BY name) ON name = query")
+@query(f""", pr AS (SELECT f.name AS l, c.note AS r, count(*) AS n FROM candidates c JOIN features f USING (ordinal) GROUP BY ALL), {verdicts("pr")} SELECT l AS query, r AS candidate, verdict, conflicts, n FROM pr JOIN vd USING (l, r)""")
 def f19_f20_verdicts(spark, sf_dir):
-    """verdicts on pairs of names, for the names that features have."""
-    g = spark.createDataFrame(GOLD, "query string, candidate string, expected string")
-    there = D.features(spark, sf_dir).groupBy(F.col("name").alias("query")).agg(F.count("*").alias("n"))
-    g = g.join(there, "query")
-    return verdict.judged(g, "query", "candidate").select("query", "candidate", "v.verdict", "n")
+    """the verdict on each name and the name of each of its candidates, and the axes of conflict."""
+    n = D.features(spark, sf_dir).select("ordinal", F.col("name").alias("query"))
+    g = D.candidates(spark, sf_dir).select("ordinal", F.col("note").alias("candidate")).join(n, "ordinal").groupBy("query", "candidate").agg(F.count("*").alias("n"))
+    return verdict.judged(g, "query", "candidate").select("query", "candidate", "v.verdict", F.array_join("v.conflicts", ";").alias("conflicts"), "n")
 
 
-@query("""SELECT * FROM (VALUES ('LysoPC(16:0)', 'ok'), ('15-HETE', 'conflict'), ('Taurochenodeoxycholic acid', 'conflict'), ('nothing', 'unknown')) AS t(query, verdict) WHERE query IN (SELECT name FROM features)""")
+@query(f""", rc AS (SELECT DISTINCT db, id, note FROM candidates WHERE id IS NOT NULL), pr AS (SELECT DISTINCT h.ordinal, h.name AS l, h.db, h.id, rc.note AS r FROM held h LEFT JOIN rc ON rc.db = h.db AND rc.id = h.id), {verdicts("(SELECT l, r FROM pr WHERE r IS NOT NULL)")}
+SELECT ordinal, pr.db, pr.id, count(pr.r) AS n_names, CASE WHEN bool_or(verdict = 'conflict') THEN 'conflict' WHEN bool_or(verdict = 'ok') THEN 'ok' WHEN bool_or(verdict = 'class-level') THEN 'class-level' WHEN bool_or(verdict = 'ambiguous') THEN 'ambiguous' ELSE 'unknown' END AS verdict
+FROM pr LEFT JOIN vd ON vd.l = pr.l AND vd.r = pr.r GROUP BY ordinal, pr.db, pr.id""".replace(", rc AS", f", {_HELD}, rc AS", 1))
 def f22_best_verdict(spark, sf_dir):
-    """the verdict over all names of a record."""
-    rows = [("LysoPC(16:0)", ["1-Acyl-sn-glycero-3-phosphocholine", "LysoPC(16:0/0:0)"]), ("15-HETE", ["15-HETE", "5,15-DiHETE"]), ("Taurochenodeoxycholic acid", ["Urocortisol"]), ("nothing", [])]
-    there = D.features(spark, sf_dir).select(F.col("name").alias("query")).distinct()
-    r = spark.createDataFrame(rows, "query string, names array<string>").join(there, "query").select("query", F.explode_outer("names").alias("name"))
-    r = verdict.judged(r, "query", "name").select("query", F.when(F.col("name").isNotNull(), F.col("v.verdict")).alias("v"))
-    return r.groupBy("query").agg(verdict.best_of(F.collect_set("v")).alias("verdict"))
+    """of every accepted id, the verdict over all names that its record has among the candidates; unknown for a record without names."""
+    records = D.candidates(spark, sf_dir).where("id is not null").select("db", "id", "note").distinct()
+    r = written(held(spark, sf_dir).join(records, ["db", "id"], "left").select("ordinal", "name", "db", "id", "note"), "records")
+    judged = verdict.judged(r.where("note is not null").select("name", "note").distinct(), "name", "note").select(F.col("name").alias("l"), F.col("note").alias("r"), F.col("v.verdict").alias("v"))
+    r = r.join(judged, (F.col("name") == F.col("l")) & (F.col("note") == F.col("r")), "left")
+    return r.groupBy("ordinal", "db", "id").agg(F.count("note").alias("n_names"), verdict.best_of(F.collect_set("v")).alias("verdict"))
 
 
 @query(f""", {_HELD}, n AS (SELECT DISTINCT db, id, trim(name) AS name FROM held) SELECT a.db, a.id, a.name AS a, b.name AS b FROM n a JOIN n b ON a.db = b.db AND a.id = b.id WHERE a.name < b.name""")

@@ -201,3 +201,11 @@ def term_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     term = F.concat(F.lit('{"label":"'), F.col("p_name"), F.lit('","synonyms":["'), F.col("p_brand"), F.lit('",""],"annotation":'), facts, F.lit("}"))
     payload = F.when(k % 11 == 0, F.lit('{"_embedded":{"terms":[]}}')).when(k % 13 == 0, F.lit("{}")).otherwise(F.concat(F.lit('{"_embedded":{"terms":['), term, F.lit("]}}")))
     return read(spark, sf_dir, "part").select(F.when(k % 2 == 0, text).otherwise(F.concat(F.lit("CHEBI:"), text)).alias("id"), payload.alias("payload"))
+
+
+def search_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query, payload: recorded search answers, as JSON, for every distinct name of a feature; some hits are without an id."""
+    c = candidates(spark, sf_dir).where("source = 'chebi-ols4' and id is not null").drop("query").join(features(spark, sf_dir).select("ordinal", F.col("name").alias("query")), "ordinal")
+    chebi = F.when(F.col("db") == "inchikey", "").when(F.col("db") == "chebi", F.col("id")).otherwise(F.concat(F.lit("CHEBI:"), (F.col("seq") % 1000).cast("string")))
+    docs = c.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("note").alias("label"), chebi.alias("obo_id")))).alias("docs"))
+    return docs.select("query", F.to_json(F.struct(F.struct("docs").alias("response"))).alias("payload"))
