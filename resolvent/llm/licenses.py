@@ -8,7 +8,8 @@ templates, and on a bounded sample of the corpus's own paragraphs as unknown; it
 fitted on examples that it was not trained on. Where the families together reach SCREEN, templates
 are compared: the shortest run of words with CONFIRMED of a template's bigrams is scored
 on its own, runs that overlap as one, and its family counts if one of the family's own templates is
-confirmed in it. A paragraph with a line or stretch that is likelier licensed than not but confirms
+confirmed in it. Siblings (the GNU and the Creative Commons licences) differ in single words, which a template alone
+would tolerate: a family doesn't count if such a word of another stands in the run, nor if a word like "not" stands before it. A paragraph with a line or stretch that is likelier licensed than not but confirms
 no template is suspect, and counted as that.
 """
 
@@ -35,40 +36,62 @@ _MASK = (1 << BITS) - 1
 #: Words whose codes a worker remembers.
 REMEMBERED = 500_000
 
+
+
+def _spdx(*names: str) -> tuple[str, ...]:
+    return tuple(f"SPDX-License-Identifier: {n}" for n in names)
+
+
+def _creative(short: str, long: str) -> tuple[str, ...]:
+    return (f"Licensed under CC {short} 4.0.", f"This work is licensed under a Creative Commons Attribution{long} 4.0 International License.", *_spdx(f"CC-{short}-4.0"))
+
+
+def _gnu(kind: str, short: str, *versions: str) -> tuple[str, ...]:
+    said = f"GNU {kind}General Public License"
+    return (
+        f"This work is licensed under the {said}, version 3.", f"This library is licensed under the {said}.", f"Released under the {said}.", f"under the terms of the {said} as published by the Free Software Foundation",
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the {said}", *_spdx(*[f"{short}-{v}-{end}" for v in versions for end in ("only", "or-later")]),
+    )
+
+
 #: Short notices by family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
+    "0BSD": ("Licensed under the Zero-Clause BSD license.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", *_spdx("0BSD")),
+    "AGPL": _gnu("Affero ", "AGPL", "3.0"),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-        "SPDX-License-Identifier: Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", *_spdx("Apache-2.0"),
     ),
     "BSD": (
-        "Released under the BSD license.",
-        "Use of this source code is governed by a BSD-style license.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "SPDX-License-Identifier: BSD-3-Clause",
-    ),
-    "CC-BY": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-NC": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "GPL": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
-        "SPDX-License-Identifier: GPL-3.0-only",
-    ),
-    "LGPL": (
-        "This library is licensed under the GNU Lesser General Public License.",
-        "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
-        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "Released under the BSD license.", "Licensed under the BSD license.", "Use of this source code is governed by a BSD-style license.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", *_spdx("BSD-3-Clause", "BSD-2-Clause"),
     ),
+    "CC-BY": _creative("BY", ""),
+    "CC-BY-NC": _creative("BY-NC", "-NonCommercial"),
+    "CC-BY-NC-ND": _creative("BY-NC-ND", "-NonCommercial-NoDerivatives"),
+    "CC-BY-NC-SA": _creative("BY-NC-SA", "-NonCommercial-ShareAlike"),
+    "CC-BY-ND": _creative("BY-ND", "-NoDerivatives"),
+    "CC-BY-SA": _creative("BY-SA", "-ShareAlike"),
+    "EPL": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "Licensed under the Eclipse Public License.", *_spdx("EPL-2.0")),
+    "GPL": _gnu("", "GPL", "2.0", "3.0"),
+    "ISC": ("Licensed under the ISC license.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", *_spdx("ISC")),
+    "LGPL": _gnu("Lesser ", "LGPL", "2.1", "3.0"),
     "MIT": (
-        "Released under the MIT License.",
-        "Licensed under the MIT license.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-        "SPDX-License-Identifier: MIT",
+        "Released under the MIT License.", "Licensed under the MIT license.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", *_spdx("MIT"),
     ),
-    "MPL": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0."),
+    "MPL": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", *_spdx("MPL-2.0")),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.", *_spdx("Unlicense")),
+    "Zlib": ("Licensed under the zlib license.", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", *_spdx("Zlib")),
     "proprietary": ("All rights reserved.", "Copyright, all rights reserved. No part of this work may be reproduced without permission."),
+}
+#: Words that tell the families of a kind apart wherever they stand in a notice, each with what it means.
+TELLING = {
+    "GPL": {"affero": "affero", "lesser": "lesser", "agpl": "affero", "lgpl": "lesser"},
+    "CC": {"sa": "sharealike", "sharealike": "sharealike", "nc": "noncommercial", "noncommercial": "noncommercial", "nd": "noderivatives", "noderivatives": "noderivatives", "noderivs": "noderivatives"},
 }
+#: Words that take a notice back, if one of the BEFORE words before it is among them.
+DENIALS, BEFORE = {"not", "never", "nor", "longer", "isn", "aren", "wasn", "weren", "without"}, 3
 _TOKEN = re.compile(r"[a-z0-9]+")
 
 
@@ -80,6 +103,17 @@ def pairs(found: list[str]) -> set[tuple[str, str]]:
     return set(zip(found, found[1:]))
 
 
+def kind(family: str) -> str | None:
+    """Of a family with siblings, whose kind it is."""
+    return "CC" if family.startswith("CC-") else "GPL" if family.endswith("GPL") else None
+
+
+def told(family: str, found: list[str]) -> frozenset[str]:
+    """What the telling words of a family's kind say, of the words of a notice."""
+    words = TELLING.get(kind(family) or "", {})
+    return frozenset(words[w] for w in found if w in words)
+
+
 def blocks(text: str | None) -> list[list[list[str]]]:
     """The paragraphs of a text, each the words of its lines."""
     out: list[list[list[str]]] = [[]]
@@ -123,6 +157,8 @@ class Codes(dict):
 
 
 _CODES = Codes()
+#: Word lists whose weights are added up together.
+_ADDED = 4_000
 
 
 def slots(found: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,6 +177,7 @@ class Model:
     def __init__(self, background: list[list[str]], seed: int = 3):
         self.templates = {k: [pairs(tokens(t)) for t in ts] for k, ts in TEMPLATES.items()}
         self.bigrams = set().union(*[p for ts in self.templates.values() for p in ts])
+        self.told = {k: {told(k, tokens(t)) for t in ts} for k, ts in TEMPLATES.items()}
         self.classes = [*sorted(TEMPLATES), UNKNOWN]
         rng = np.random.default_rng(seed)
         words = [w for b in background for w in b] or ["lorem"]
@@ -159,9 +196,12 @@ class Model:
                     found.append(among(kept, LONGEST if n % 2 else len(kept) + 6))
                     truth.append(k)
         every = [tokens(t) for ts in TEMPLATES.values() for t in ts]
-        for n in range(OTHERS):  # no licence: corpus paragraphs, scraps of templates among corpus words
+        for n in range(OTHERS):  # no licence: corpus paragraphs, scraps of templates among corpus words, notices taken back
             if n % 3 and background:
                 one = background[int(rng.integers(0, len(background)))][:LONGEST]
+            elif n % 2:  # a notice that is taken back
+                denial = sorted(DENIALS)[int(rng.integers(0, len(DENIALS)))]
+                one = [denial, *pick(int(rng.integers(0, BEFORE))), *every[int(rng.integers(0, len(every)))]][:LONGEST]
             else:
                 t = every[int(rng.integers(0, len(every)))]
                 s = int(rng.integers(0, len(t)))
@@ -205,11 +245,15 @@ class Model:
     def margins(self, found: list[list[str]]) -> np.ndarray:
         z = np.tile(self.bias, (len(found), 1))
         slot, owner = slots(found)
-        at = self.place[slot]
-        met = np.flatnonzero(at)
-        at, owner = at[met], owner[met]
-        for k in range(len(self.classes)):
-            z[:, k] += np.bincount(owner, weights=self.w[at, k], minlength=len(found))
+        n_words = sum(map(len, found))
+        for part in (slice(0, n_words), slice(n_words, None)):  # words, then pairs: each in the order of their lists
+            at = self.place[slot[part]]
+            met = np.flatnonzero(at)
+            at, own = at[met], owner[part][met]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else met
+            for k in range(0, len(first), _ADDED):
+                lo, hi = first[k], first[k + _ADDED] if k + _ADDED < len(first) else len(at)
+                z[own[first[k : k + _ADDED]]] += np.add.reduceat(self.w[at[lo:hi]], first[k : k + _ADDED] - lo, axis=0)
         return z
 
     def probabilities(self, found: list[list[str]]) -> np.ndarray:
@@ -217,12 +261,12 @@ class Model:
         return self._softmax(self.margins(found) / self.temperature) if found else np.zeros((0, len(self.classes)))
 
     def predict(self, found: list[list[str]]) -> list[tuple[str, float]]:
-        """Family and probability of each list of words; UNKNOWN unless likely and confirmed."""
+        """Family and probability of each list of words; UNKNOWN unless likely, confirmed by a template, without a word that tells a sibling's notice, and not taken back by its first word."""
         p = self.probabilities(found)
         out = []
         for t, k, row in zip(found, p.argmax(axis=1).tolist(), p):
             name, had = self.classes[k], pairs(t)
-            sure = name != UNKNOWN and row[k] >= LEAST and any(len(q & had) >= CONFIRMED * len(q) for q in self.templates[name])
+            sure = name != UNKNOWN and row[k] >= LEAST and any(len(q & had) >= CONFIRMED * len(q) for q in self.templates[name]) and told(name, t) in self.told[name] and t[0] not in DENIALS
             out.append((name, float(row[k])) if sure else (UNKNOWN, float(row[-1])))
         return out
 
@@ -232,9 +276,10 @@ class Model:
         return [q for ts in self.templates.values() for q in ts if len(q & had) >= CONFIRMED * len(q)] if had else []
 
     def runs(self, found: list[str]) -> list[list[str]]:
-        """The runs of the confirmed templates; those that overlap are one, so that their families compete."""
+        """The runs of the confirmed templates, from the word on that takes one back; those that overlap are one, so that their families compete."""
         out: list[tuple[int, int]] = []
         for a, b in sorted(shortest_run(found, q) for q in self.confirmed(found)):
+            a = next((k for k in range(max(0, a - BEFORE), a) if found[k] in DENIALS), a)
             if out and a < out[-1][1]:
                 out[-1] = out[-1][0], max(b, out[-1][1])
             else:

@@ -218,7 +218,7 @@ def test_license_scan_against_a_plain_pass(docs, texts):
                 for run in model.runs(part) if likely >= licenses.SCREEN else []:
                     p = _plain_probabilities(model, run)
                     name = model.classes[int(p.argmax())]
-                    ok = name != licenses.UNKNOWN and p.max() >= licenses.LEAST and any(len(licenses.pairs(licenses.tokens(x)) & licenses.pairs(run)) >= licenses.CONFIRMED * len(licenses.pairs(licenses.tokens(x))) for x in licenses.TEMPLATES[name])
+                    ok = name != licenses.UNKNOWN and p.max() >= licenses.LEAST and any(len(licenses.pairs(licenses.tokens(x)) & licenses.pairs(run)) >= licenses.CONFIRMED * len(licenses.pairs(licenses.tokens(x))) for x in licenses.TEMPLATES[name]) and licenses.told(name, run) in {licenses.told(name, licenses.tokens(x)) for x in licenses.TEMPLATES[name]} and run[0] not in licenses.DENIALS
                     want += [(k, name, p.max())] if ok else []
         assert [(k, f) for k, f, _ in hits] == [(k, f) for k, f, _ in want] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(hits, want))
         assert suspects == suspect - {k for k, _, _ in want}
@@ -240,6 +240,24 @@ def test_license_classifier_on_held_out_paragraphs(docs):
     assert right >= 0.9 * total and (model.probabilities(none)[:, -1] > 0.5).mean() >= 0.95
 
 
+SIBLINGS = {
+    "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL", "Released under the GNU Affero General Public License.": "AGPL", "This library is licensed under the GNU Lesser General Public License.": "LGPL",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License": "AGPL", "This work is licensed under the GNU General Public License, version 3.": "GPL",
+    "Licensed under CC BY-SA 4.0.": "CC-BY-SA", "Licensed under CC BY-ND 4.0.": "CC-BY-ND", "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA", "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "Licensed under CC BY 4.0.": "CC-BY",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": "CC-BY-ND",
+    "SPDX-License-Identifier: GPL-2.0-only": "GPL", "SPDX-License-Identifier: LGPL-3.0-only": "LGPL", "SPDX-License-Identifier: MPL-2.0": "MPL", "SPDX-License-Identifier: ISC": "ISC", "SPDX-License-Identifier: 0BSD": "0BSD",
+    "Licensed under the ISC license.": "ISC", "Licensed under the Eclipse Public License.": "EPL", "This is free and unencumbered software released into the public domain.": "Unlicense", "Licensed under the zlib license.": "Zlib",
+    "Not licensed under the MIT license.": "none", "This is not licensed under the MIT license.": "none", "It is no longer released under the BSD license.": "none",
+}
+
+
+def test_sibling_families_and_notices_taken_back(spark, docs):
+    known = [(k, t) for k, t in enumerate(SIBLINGS)]
+    df = spark.createDataFrame(known, "doc_id long, text string").unionByName(docs.select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
+    got = {r.doc_id: r.license for r in licenses.scan(df).where("doc_id < 1000").collect()}
+    assert {t: got[k] for k, t in known} == SIBLINGS
+
+
 def test_equal_license_scores_go_to_the_first_family(spark, monkeypatch):
     monkeypatch.setattr(licenses, "read", lambda model, found: [(1, [(0, "MIT", 0.9), (0, "BSD", 0.9), (0, "GPL", 0.8)], set()) for _ in found])
     import pyarrow as pa
