@@ -149,7 +149,7 @@ def test_exported_code_runs(spark, tmp_path):
     from resolvent.registry import ORACLES, QUERIES
 
     tables = ["part", "lineitem", "events", "customer", "orders", "supplier"]
-    found = export.steps(QUERIES, ORACLES, ["a17_model_stats", "f6_base_id", "j5_pairwise"])
+    found = export.steps(QUERIES | {"without_sql": QUERIES["coverage"]}, ORACLES, ["a17_model_stats", "f6_base_id", "without_sql"])
     assert [n for _, n, _ in found] == ["f6_base_id", "a17_model_stats"]
     (tmp_path / "run.py").write_text(export.script(found, tables))
     if os.path.isdir("/root/testdata/sf0.001"):
