@@ -20,7 +20,7 @@ TEXT = {
     "candidates": ["source", "kegg", "hmdb", "chebi", "pubchem", "inchikey", "name", "formula"],
     "decisions": ["action", "rationale", "ts"],
 }
-#: What an entry of version 2 has at least.
+#: What an entry of version 2 has at least.
 DEFAULTS = {"gem": "{}", "gem_candidates": "[]", "gem_relation": "null", "gem_model": "null", "gem_curated": "false"}
 _FIELDS, _ITEMS = "map<string, variant>", "array<variant>"
 
