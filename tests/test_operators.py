@@ -139,6 +139,13 @@ def test_substring_search(spark, term, want):
     assert [x.record for x in resolve.substring_search(spark.createDataFrame([(term,)], "term string"), r).orderBy("rank").collect()] == want
 
 
+def test_substring_search_broadcasts_no_runs(spark):
+    r = spark.createDataFrame([(k, ["blue anvil", "red bolt", "Red Anvil"][k % 3]) for k in range(60)] + [(7, "red bolt")] * 2, "position long, record string")
+    got = resolve.substring_search(spark.createDataFrame([("red",), ("an",)], "term string"), r)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [(x.term, x.position) for x in got.orderBy("term", "rank").collect()] == [("an", k) for k in (0, 2, 3, 5, 6, 8)] + [("red", k) for k in (1, 2, 4, 5, 7, 8)]
+
+
 def test_exported_code_runs(spark, tmp_path):
     import json as J
     import os
