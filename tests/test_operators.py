@@ -175,6 +175,28 @@ def test_folded_search(spark):
     assert got["c", "B1"] == (100.0, "xref:kegg", None) and got["c", "B3"] == (100.0, "xref:hmdb", None) and not any(k == "d" for k, _ in got)
 
 
+def _most_joined(plan) -> int:
+    """The most rows that a join of an executed plan made."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return _most_joined(plan.executedPlan())
+    if plan.nodeName().endswith("QueryStage"):
+        return _most_joined(plan.plan())
+    n = plan.metrics().get("numOutputRows")
+    own = n.get().value() if "Join" in plan.nodeName() and n.isDefined() else 0
+    return max([own, *[_most_joined(plan.children().apply(k)) for k in range(plan.children().size())]])
+
+
+def test_folded_search_does_not_pair_all_that_share_a_name_or_formula(spark):
+    rows = [(k, f"B{k:03}c", "c", "Glucose", "C6H12O6", 0, 500.0 + k, None, None, "CHEBI:5" if k == 199 else None) for k in range(200)]
+    m = species.index(spark.createDataFrame(rows, "ordinal long, species_id string, compartment string, name string, formula string, charge int, mass double, kegg string, hmdb string, chebi string"))
+    spelled = spark.createDataFrame([(k, 0, "glucose 1") for k in range(200)], "key int, place int, query string")
+    facts = spark.createDataFrame([(k, None, None, "5", "C6H12O6", 500.0 + k) for k in range(200)], "key int, kegg string, hmdb string, chebi string, formula string, mass double")
+    got = species.search_all(spelled, facts, m)
+    found = {(r.key, r.rank): (r.base, r.score, r.kind) for r in got.collect()}
+    assert len(found) == 200 * 25 and all(found[k, 1] == ("B199", 100.0, "xref:chebi") and [found[k, 1 + i] for i in (1, 24)] == [("B000", 95.0, "formula"), ("B023", 95.0, "formula")] for k in range(200))
+    assert _most_joined(got._jdf.queryExecution().executedPlan()) < 200 * 60
+
+
 def test_routing(spark):
     schema = "ordinal long, feature_id string, name string, kegg string, hmdb string, chebi string, pubchem string, inchikey string, final_class string, confidence string, origin string"
     no = [None] * 4
