@@ -250,3 +250,19 @@ def test_may_score_finds_what_scores(spark):
         want = {(r.query, r.base) for r in q.where("query <> ''").crossJoin(n).where(score >= least).select("query", "base").collect()}
         met = {(r.query, r.base) for r in blocking.may_score(q, "query", n, "name", ["base", "ids"], least).collect()}
         assert want <= met
+
+
+def test_calls_on_the_model_broadcast_nothing(spark, monkeypatch):
+    from resolvent.operators import assign
+
+    seen = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    real = assign.written
+    monkeypatch.setattr(assign, "written", lambda df, name: (seen.append((name, plan(df))), real(df, name))[1])
+    m = species.index(spark.createDataFrame([(1, "B1c", "c", "Urea", "CH4N2O", 0, 60.0, "C1", None, None)], "ordinal long, species_id string, compartment string, name string, formula string, charge int, mass double, kegg string, hmdb string, chebi string"))
+    asked = spark.createDataFrame([(1, ["B1"], "exact", "reviewed by hand"), (2, ["B1c"], "exact", "reviewed by hand"), (3, ["B9"], "exact", "reviewed by hand")], "ordinal long, mam array<string>, relation string, rationale string")
+    entries = spark.createDataFrame([(1, "Urea"), (2, "Urea"), (3, "Urea")], "ordinal long, name string")
+    stored = spark.createDataFrame([], "ordinal long, label string, mam array<string>, relation string, rationale string, names array<string>, curated boolean")
+    got = assign.assign(asked, entries, m, spark.createDataFrame([(1, "B1"), (2, "B1")], "ordinal long, base string"), stored)
+    assert {r.ordinal: (r.action, r.warnings) for r in got.collect()} == {1: ("assigned", []), 2: ("assigned", ["exact elsewhere: B1"]), 3: ("refused: not in the model: B9", [])}
+    assert not [name for name, p in [*seen, ("result", plan(got))] if name in ("called", "calls", "result") and "Broadcast" in p]
