@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.written import written
+
 #: Parts of a merged table that can be written by themselves.
 BUCKETS = 64
 
@@ -85,7 +87,7 @@ class Store:
         where, manifest = self._begin(base), self._manifest(base)
         folders, columns = manifest.get(table, {}), updates.columns
         at = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(BUCKETS)).cast("int")
-        dealt = updates.withColumn("bucket", at)
+        dealt = written(updates.withColumn("bucket", at), "updates")  # read twice
         touched = {str(r.bucket) for r in dealt.select("bucket").distinct().collect()}  # BUCKETS at most
         old = sorted({f for b, f in folders.items() if not b or b in touched})
         if not touched and "" not in folders:
@@ -98,7 +100,7 @@ class Store:
             stays = F.col("new").isNull() | (F.col("old").isNotNull() & F.coalesce(keep, F.lit(False)))
             dealt = x.join(y, functools.reduce(lambda a, b: a & b, same), "full").select(F.when(stays, F.col("old")).otherwise(F.col("new")).alias("r")).select("r.*")
         dealt.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{where}/{table}")
-        written = set(map(str, range(BUCKETS))) if "" in folders else touched
+        whole = set(map(str, range(BUCKETS))) if "" in folders else touched
         have = {s.getPath().getName().removeprefix("bucket=") for s in self._fs.listStatus(self._path(f"{self.path}/{where}/{table}")) if s.isDirectory()}
-        fresh = {b: f"{where}/{table}/bucket={b}" for b in written & have}
+        fresh = {b: f"{where}/{table}/bucket={b}" for b in whole & have}
         return self._claim(manifest | {table: {b: f for b, f in folders.items() if b} | fresh}, base)
