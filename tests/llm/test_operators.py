@@ -311,6 +311,24 @@ def test_suffix_dedup_of_repeated_rows_and_null_ids(spark):
     assert rows(suffixes.remove_repeats(df)) == sorted(brute.repeated_bytes(data), key=str)
 
 
+@pytest.mark.parametrize("light", [1_000, 3])
+def test_suffix_dedup_of_a_phrase_all_over_a_text(spark, monkeypatch, light):
+    """A segment that a text has at many places is joined as one row of that text, heavy or not."""
+    monkeypatch.setattr(common, "LIGHT", light)
+    written, write = {}, suffixes.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        written[name] = out.groupBy("doc_id", "gram", "seg").count().select(F.max("count")).first()[0] if name == "segments" else None
+        return out
+
+    monkeypatch.setattr(suffixes, "materialize", counted)
+    data = [(k, f"start {k} " * 9 + "the same words " * 150 + f"end {k}") for k in range(12)] + [(50, "lone phrase " * 90), (51, " ".join(f"n{k}" for k in range(300)))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert rows(suffixes.remove_repeats(df)) == sorted(brute.repeated_bytes(data), key=str)
+    assert written["segments"] == 1
+
+
 # ---------------------------------------------------------------- media
 
 
