@@ -2,6 +2,9 @@
 
 import json
 
+import duckdb
+
+from resolvent.registry import ORACLES, QUERIES
 from resolvent.sources import ledger
 
 NOW = {
@@ -66,3 +69,23 @@ def test_nothing_in_it(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(NOW))
     (tmp_path / "b.json").write_text(json.dumps(NOW, indent=2))
     assert back(ledger.tables(ledger.read(spark, str(tmp_path)))) == {"a.json": NOW, "b.json": NOW}
+
+
+def test_large_keys_tied_lines_and_unknown_events(spark, tmp_path):
+    """Runs whose names share their first six digits stay apart, of lines with one seq the first in the table is first, a decision without an action isn't the last."""
+    con = duckdb.connect(config={"threads": 1})
+    tables = {
+        "part": "SELECT x * 100 + y AS p_partkey, 'name ' || y AS p_name FROM (SELECT unnest([0, 1, 1000000, 1000001, 1000002]) AS x), range(4) t(y)",
+        "lineitem/0": "SELECT 5 AS l_orderkey, p_partkey AS l_partkey, p_partkey % 7 AS l_suppkey, 1 AS l_linenumber, ['R', 'A', 'N'][1 + (p_partkey + y) % 3] AS l_returnflag, 'F' AS l_linestatus FROM part, range(2) t(y) WHERE p_partkey % 4 < 3",
+        "lineitem/1": "SELECT 5 AS l_orderkey, p_partkey AS l_partkey, 3 AS l_suppkey, 1 AS l_linenumber, 'A' AS l_returnflag, 'O' AS l_linestatus FROM part",
+        "events": "SELECT p_partkey * 2 + y AS event_id, TIMESTAMP '2024-01-01' AS ts, p_partkey AS user_id, CASE WHEN y = 0 THEN 'signup' WHEN p_partkey % 2 = 0 THEN 'view' ELSE 'other' END AS event_type, '{}' AS props FROM part, range(2) t(y)",
+    }
+    (tmp_path / "lineitem.parquet").mkdir()
+    for k, s in tables.items():
+        name, _, file = k.partition("/")
+        con.execute(f"COPY ({s}) TO '{tmp_path}/{name}.parquet{f'/{file}.parquet' if file else ''}'")
+        con.execute(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet{'/*.parquet' if file else ''}'")
+    got = QUERIES["s4_ledgers"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES['s4_ledgers']})").fetchall()
+    assert len(want) == 20 and {r[got.columns.index("run")] for r in want} == {"000000", "000001", "100000"}
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
